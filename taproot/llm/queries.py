@@ -20,8 +20,15 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op3_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from taproot.llm.tiff import digests, stored_texts
+
+    return digests(stored_texts(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_tiff": op3_tiff,
 }
 
 #: DuckDB SQL for those queries that SQL can express.
