@@ -26,10 +26,31 @@ def op3_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(stored_texts(table(spark, sf_dir, "documents")))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from taproot.llm.warc import archived_pages
+
+    return archived_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_tiff": op3_tiff,
+    "op8_warc": op8_warc,
 }
 
 #: DuckDB SQL for those queries that SQL can express.
 ORACLES: dict[str, str] = {}
+
+ORACLES["op8_warc"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+q AS (
+  SELECT *, min(page_id) OVER (PARTITION BY hex) AS first,
+         array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + CAST((CAST('0x' || substr(hex, CAST(1 + 5 * (k // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (k % 4) AS BIGINT)) & 31 AS BIGINT), 1)), '') AS b32
+  FROM p)
+SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, b32 AS payload_digest,
+       CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM q
+"""
