@@ -31,6 +31,16 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """About ``most`` rows of ``df``, never over twice as many, those whose hashed ``key`` is least.
+
+    The share is set from a count, so no partition sends more than its part of the sample.
+    """
+    spread, n = 1 << 40, df.count()
+    share = min(spread, -(-spread * most // n)) if n else spread
+    return df.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(spread)) < share).limit(2 * most)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(node, component)``; a component's name is its least node.
 
@@ -77,4 +87,4 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return stars.select(F.col("u").alias("node"), "component").union(roots)
 
 
-__all__ = ["DataFrame", "F", "SparkSession", "Window", "components", "shared_dir", "table", "written"]
+__all__ = ["DataFrame", "F", "SparkSession", "Window", "components", "hash_sample", "shared_dir", "table", "written"]

@@ -32,9 +32,16 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(table(spark, sf_dir, "pages"))
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from taproot.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_tiff": op3_tiff,
+    "op6_langid": op6_langid,
     "op8_warc": op8_warc,
 }
 
