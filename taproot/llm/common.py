@@ -41,6 +41,15 @@ def hash_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(spread)) < share).limit(2 * most)
 
 
+def loosened(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt evenly, but not by the aggregation key ``key`` itself.
+
+    A join on that key then shuffles both sides, so that Spark can split the other side's skewed
+    partitions; joined as it stands, it would hold all rows of a frequent key to one task.
+    """
+    return df.repartition(F.xxhash64(key, F.lit(1)))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(node, component)``; a component's name is its least node.
 
@@ -65,12 +74,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # large star: larger neighbours join the least node of the neighbourhood
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         big = (
-            both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            both.where("v > u").join(loosened(least, "u"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         ).distinct()
         # small star: smaller neighbours and the node itself join the least of them
         low = big.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            big.join(low, "u")
+            big.join(loosened(low, "u"), "u")
             .select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v"))
             .where("u <> v")
             .distinct()
@@ -87,4 +96,4 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return stars.select(F.col("u").alias("node"), "component").union(roots)
 
 
-__all__ = ["DataFrame", "F", "SparkSession", "Window", "components", "hash_sample", "shared_dir", "table", "written"]
+__all__ = ["DataFrame", "F", "SparkSession", "Window", "components", "hash_sample", "loosened", "shared_dir", "table", "written"]

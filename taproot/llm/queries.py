@@ -38,11 +38,18 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from taproot.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), n=4)
+
+
 QUERIES: dict[str, Query] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_tiff": op3_tiff,
     "op6_langid": op6_langid,
     "op8_warc": op8_warc,
+    "op10_minhash": op10_minhash,
 }
 
 #: DuckDB SQL for those queries that SQL can express.
