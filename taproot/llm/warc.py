@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from taproot.llm.common import F, written
+from taproot.llm.common import F, hash_sample, written
 
 DICT_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
 VERSION = b"WARC/1.1"
@@ -189,19 +189,14 @@ def page_record(page_id, url: str | None, payload: bytes, refers_to) -> bytes:
 
 
 def train_dictionary(pages: DataFrame, *, samples: int = 400, size: int = 16_384) -> bytes:
-    """A compression dictionary from at most ``samples`` pages, those of the least hashed ids.
+    """A compression dictionary from about ``samples`` pages, those of the least hashed ids.
 
     It bears on the archives' size alone.  Fewer than eight samples give no dictionary.
     """
     import zstandard
 
-    rows = (
-        pages.where(F.length("html") > 0)
-        .select(F.xxhash64("page_id").alias("h"), F.substring("html", 1, 8192).alias("html"))
-        .orderBy("h", "html")
-        .limit(samples)
-        .collect()
-    )
+    some = hash_sample(pages.where(F.length("html") > 0), "page_id", samples).select(F.substring("html", 1, 8192).alias("html"))
+    rows = sorted(some.collect())
     if len(rows) < 8:
         return b""
     try:
