@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-NONE = 1 << 30
+NONE = 1 << 62
 #: White space of the pattern as Unicode has it; the four separators U+001C..1F are not in it.
 SPACE = r"\t-\r \x85\xa0  -     　"
 
@@ -51,64 +51,56 @@ def library_class(name: str) -> str:
     return "".join(ranges)
 
 
-class MergeTree:
-    """A segment tree over byte positions; a node holds the least ``(rank, position)`` below it.
+def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one piece, the leftmost pair of least rank merged first.
 
-    Leaf ``i`` has the rank of the pair that begins at live position ``i``.  The root is thus the
-    leftmost least pair.  A merge kills one position and changes at most three leaves, each a walk
-    of logarithmic length to the root.
+    A segment tree over byte positions holds at its leaf ``i`` the rank of the pair that begins at
+    the live part ``i``, with ``i`` in the low bits; inner nodes hold the minimum, so the root is
+    the leftmost least pair.  A merge kills one position and changes three leaves at most (the part
+    itself, the dead one, the live neighbour before), each a walk of logarithmic length upwards.
     """
-
-    def __init__(self, piece: bytes, ranks: dict[bytes, int]):
-        n = len(piece)
-        self.piece, self.ranks, self.n = piece, ranks, n
-        self.size = size = 1 << max(0, (n - 1).bit_length())
-        self.end = list(range(1, n + 1))  # of the part that begins at i
-        self.prev = list(range(-1, n - 1))
-        tree = [(NONE, i) for i in range(2 * size)]
-        get = ranks.get
-        for i in range(n - 1):
-            tree[size + i] = (get(piece[i : i + 2], NONE), i)
-        for i in range(size - 1, 0, -1):
-            tree[i] = min(tree[2 * i], tree[2 * i + 1])
-        self.tree = tree
-
-    def put(self, i: int, rank: int) -> None:
-        tree, k = self.tree, self.size + i
-        tree[k] = (rank, i)
-        k >>= 1
-        while k:
-            a, b = tree[2 * k], tree[2 * k + 1]
-            best = a if a <= b else b
-            if tree[k] == best:
-                break
-            tree[k] = best
+    n, get = len(piece), ranks.get
+    size = 1 << (n - 1).bit_length() if n > 1 else 1
+    tree = [NONE] * (2 * size)
+    for i in range(n - 1):
+        if (r := get(piece[i : i + 2])) is not None:
+            tree[size + i] = r << 32 | i
+    for k in range(size - 1, 0, -1):
+        x, y = tree[2 * k], tree[2 * k + 1]
+        tree[k] = x if x < y else y
+    end = list(range(1, n + 1))  # of the part that begins at i
+    prev = list(range(-1, n - 1))
+    while (top := tree[1]) != NONE:
+        i = top & 0xFFFFFFFF
+        j = end[i]
+        end[i] = m = end[j]
+        changed = [(j, NONE)]
+        if m < n:
+            prev[m] = i
+            r = get(piece[i : end[m]])
+            changed.append((i, NONE if r is None else r << 32 | i))
+        else:
+            changed.append((i, NONE))
+        if (h := prev[i]) >= 0:
+            r = get(piece[h:m])
+            changed.append((h, NONE if r is None else r << 32 | h))
+        for leaf, value in changed:
+            k = size + leaf
+            tree[k] = value
             k >>= 1
-
-    def pair(self, i: int) -> int:
-        """The rank of the part at i with the next one."""
-        j = self.end[i]
-        return self.ranks.get(self.piece[i : self.end[j]], NONE) if j < self.n else NONE
-
-    def merge(self) -> list[int]:
-        end, prev, n = self.end, self.prev, self.n
-        while True:
-            rank, i = self.tree[1]
-            if rank == NONE:
-                break
-            j = end[i]
-            end[i] = k = end[j]
-            if k < n:
-                prev[k] = i
-            self.put(j, NONE)
-            self.put(i, self.pair(i))
-            if (h := prev[i]) >= 0:
-                self.put(h, self.pair(h))
-        out, i = [], 0
-        while i < n:
-            out.append(self.ranks[self.piece[i : end[i]]])
-            i = end[i]
-        return out
+            while k:
+                x, y = tree[2 * k], tree[2 * k + 1]
+                if y < x:
+                    x = y
+                if tree[k] == x:
+                    break
+                tree[k] = x
+                k >>= 1
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[piece[i : end[i]]])
+        i = end[i]
+    return out
 
 
 class ByteBPE:
@@ -116,10 +108,10 @@ class ByteBPE:
 
     ``encode`` splits a text by the pattern and merges each match separately; special tokens are
     plain text.  Text that no match covers is skipped, as the public library does.  Short pieces
-    are kept in a bounded cache, as text repeats its words.
+    are kept in a bounded cache of two generations, as text repeats its words.
     """
 
-    KEEP, LONGEST = 200_000, 48
+    KEEP, LONGEST = 250_000, 48
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
@@ -131,6 +123,8 @@ class ByteBPE:
         self.rare = re.compile(f"[{FIRST_RARE}-\U0010ffff]").search
         self.source, self.exact = pattern, None
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.decimal = {v: str(v) for v in ranks.values()}
 
     def split(self, text: str) -> list[str]:
         """The matches of the pattern.  Releases of Unicode differ on letters and digits from
@@ -144,12 +138,14 @@ class ByteBPE:
         return self.exact(text)
 
     def piece(self, text: str) -> tuple[int, ...]:
-        raw = text.encode("utf-8")
-        whole = self.ranks.get(raw)
-        ids = (whole,) if whole is not None else tuple(MergeTree(raw, self.ranks).merge())
+        ids = self.older.get(text)
+        if ids is None:
+            raw = text.encode("utf-8")
+            whole = self.ranks.get(raw)
+            ids = (whole,) if whole is not None else tuple(merged(raw, self.ranks))
         if len(text) <= self.LONGEST:
             if len(self.cache) >= self.KEEP:
-                self.cache.clear()
+                self.older, self.cache = self.cache, {}
             self.cache[text] = ids
         return ids
 
@@ -190,7 +186,7 @@ def encode(
             for x in batch.column(len(keep)):
                 t = bpe.encode(x.as_py() or "")
                 n.append(len(t))
-                a.append(sha(",".join(map(str, t)).encode()).hexdigest())
+                a.append(sha(",".join(map(bpe.decimal.__getitem__, t)).encode()).hexdigest())
                 b.append(sha(bpe.decode(t)).hexdigest())
                 if ids:
                     all_ids.append(t)
