@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +44,42 @@ def hash_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(spread)) < share).limit(2 * most)
 
 
+def blocked(df: DataFrame, key: str, by: str, most: int) -> DataFrame:
+    """Rows of ``df`` dealt out and sorted so that every two rows of one ``key`` meet in a group.
+
+    A group is a run of rows of equal ``key, p, q``.  Keys of at most ``most`` rows are one group,
+    keys of one row are left out, and a larger key is cut by a hash of ``by`` into blocks of about
+    that size, each pair ``(p, q)`` of which is a group.  ``own`` is the row's block.
+    """
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows_")).where("rows_ > 1")
+    sizes = sizes.select(key, F.ceil(F.col("rows_") / most).cast("int").alias("cuts_"))
+    m = df.join(loosened(sizes, key), key)
+    m = m.withColumn("own", F.pmod(F.xxhash64(by), F.col("cuts_")).cast("int"))
+    m = m.withColumn("other_", F.explode(F.sequence(F.lit(0), F.col("cuts_") - 1)))
+    m = m.withColumn("p", F.least("own", "other_")).withColumn("q", F.greatest("own", "other_"))
+    m = m.select(key, "p", "q", "own", *[c for c in df.columns if c != key])
+    return m.repartition(key, "p", "q").sortWithinPartitions(key, "p", "q", by)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """Consecutive rows of equal first ``keys`` columns (whole numbers), as tables."""
+    held: list[pa.RecordBatch] = []
+    name: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([batch.column(i).to_numpy() for i in range(keys)], axis=1)
+        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(k)]
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            if name != (here := tuple(k[s].tolist())):
+                if held:
+                    yield name, pa.Table.from_batches(held)
+                held, name = [], here
+            held.append(batch.slice(s, e - s))
+    if held:
+        yield name, pa.Table.from_batches(held)
+
+
 def loosened(df: DataFrame, key: str) -> DataFrame:
     """``df`` dealt evenly, but not by the aggregation key ``key`` itself.
 
@@ -96,4 +135,4 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return stars.select(F.col("u").alias("node"), "component").union(roots)
 
 
-__all__ = ["DataFrame", "F", "SparkSession", "Window", "components", "hash_sample", "loosened", "shared_dir", "table", "written"]
+__all__ = ["DataFrame", "F", "SparkSession", "Window", "blocked", "components", "hash_sample", "loosened", "runs", "shared_dir", "table", "written"]

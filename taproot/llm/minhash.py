@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from taproot.llm.common import F, components, loosened, written
+from taproot.llm.common import F, blocked, components, loosened, runs, written
 
 BITS = 2  # kept of each minimum
 PER_LONG = 64 // BITS
@@ -171,14 +171,7 @@ def cross_pairs(members: DataFrame, low: float, hashes: int) -> DataFrame:
     rows is cut into blocks and every two of its blocks meet in a group of their own, so that no
     task gathers a whole bucket.  Signatures are compared as packed words; only pairs that pass leave.
     """
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cuts"))
-    m = members.join(loosened(sizes, "bucket"), "bucket")
-    own = F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
-    m = m.withColumn("own", own).withColumn("other", other)
-    m = m.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
-    m = m.select("bucket", "p", "q", "own", "id", "component", "n_shingles", "sig")
-    m = m.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "id")
+    m = blocked(members.select("bucket", "id", "component", "n_shingles", "sig"), "bucket", "id", BLOCK)
     chance, words = 1 / (1 << BITS), hashes // PER_LONG
 
     def compare(own, p, q, ids, comp, size, sig):
@@ -203,31 +196,12 @@ def cross_pairs(members: DataFrame, low: float, hashes: int) -> DataFrame:
         return np.concatenate(found_a or [np.empty(0, np.int64)]), np.concatenate(found_b or [np.empty(0, np.int64)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        name = None
-
-        def done():
-            t = pa.Table.from_batches(held)
-            if t.num_rows < 2:
-                return None
+        for (_, p, q), t in runs(batches, 3):
             sig = np.array(t.column("sig").combine_chunks().flatten()).reshape(t.num_rows, words).view(np.uint64)
             cols = [t.column(c).to_numpy() for c in ("own", "id", "component", "n_shingles")]
-            a, b = compare(cols[0], name[1], name[2], cols[1], cols[2], cols[3], sig)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]) if len(a) else None
-
-        for batch in batches:
-            keys = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if s == e:
-                    continue
-                if name != tuple(keys[s]):
-                    if held and (out := done()):
-                        yield out
-                    held, name = [], tuple(keys[s])
-                held.append(batch.slice(s, e - s))
-        if held and (out := done()):
-            yield out
+            a, b = compare(cols[0], p, q, *cols[1:], sig)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return m.mapInArrow(run, "a bigint, b bigint").distinct()
 

@@ -44,9 +44,16 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n=4)
 
 
+def op4_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from taproot.llm.caps import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_tiff": op3_tiff,
+    "op4_caps": op4_caps,
     "op6_langid": op6_langid,
     "op8_warc": op8_warc,
     "op10_minhash": op10_minhash,
