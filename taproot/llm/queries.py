@@ -50,10 +50,22 @@ def op4_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+#: Production mixture: the clean domain keeps its tokens, the others shrink to these shares.
+MIXTURE = {"clean": 0.9, "junk": 0.08, "toxic": 0.02}
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from taproot.llm.mixing import labelled_domains, rated
+
+    docs = table(spark, sf_dir, "documents")
+    return rated(docs, labelled_domains(table(spark, sf_dir, "labels")), MIXTURE, hold="clean")
+
+
 QUERIES: dict[str, Query] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_tiff": op3_tiff,
     "op4_caps": op4_caps,
+    "op5_mixing": op5_mixing,
     "op6_langid": op6_langid,
     "op8_warc": op8_warc,
     "op10_minhash": op10_minhash,
