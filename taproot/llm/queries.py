@@ -11,6 +11,12 @@ from taproot.llm.common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from taproot.llm.secrets import findings
+
+    return findings(table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,6 +68,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_secrets": op1_secrets,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_tiff": op3_tiff,
     "op4_caps": op4_caps,
