@@ -78,7 +78,8 @@ def symbols(tokens: Column) -> Column:
         name = F.when(is_hex, "hex").when(is_32, "base32").otherwise("base64")
         plain = F.when(is_hex, F.lower(x)).otherwise(F.translate(x, "-_=", "+/"))
         alphabet = F.when(is_hex, ALPHABETS["hex"]).when(is_32, ALPHABETS["base32"]).otherwise(ALPHABETS["base64"])
-        letters = F.filter(F.split(plain, ""), lambda c: c != "")
+        number = x.rlike("^[0-9]*$")  # a plain number is no encoded text
+        letters = F.filter(F.split(F.when(number, "").otherwise(plain), ""), lambda c: c != "")
         values = F.transform(letters, lambda c: F.instr(alphabet, c) - 1)
         return F.struct(t["start"].alias("start"), t["stop"].alias("stop"), name.alias("kind"), values.alias("v"))
 
