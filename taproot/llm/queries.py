@@ -44,6 +44,12 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from taproot.llm.sharding import hilbert_shards
+
+    return hilbert_shards(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from taproot.llm.minhash import near_duplicates
 
@@ -75,6 +81,7 @@ QUERIES: dict[str, Query] = {
     "op5_mixing": op5_mixing,
     "op6_langid": op6_langid,
     "op8_warc": op8_warc,
+    "op9_sharding": op9_sharding,
     "op10_minhash": op10_minhash,
 }
 
