@@ -32,6 +32,12 @@ def op3_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(stored_texts(table(spark, sf_dir, "documents")))
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from taproot.llm.licences import licensed
+
+    return licensed(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from taproot.llm.warc import archived_pages
 
@@ -80,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op4_caps": op4_caps,
     "op5_mixing": op5_mixing,
     "op6_langid": op6_langid,
+    "op7_licences": op7_licences,
     "op8_warc": op8_warc,
     "op9_sharding": op9_sharding,
     "op10_minhash": op10_minhash,
