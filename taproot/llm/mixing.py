@@ -16,20 +16,19 @@ from taproot.llm.common import F, hash_sample, written
 from taproot.llm.langid import calibrate, fit_ftrl, softmax
 
 BITS = 15
-_SHAPES = [(re.compile(rb"[A-Z\xc3]"), b"X"), (re.compile(rb"[a-z\x80-\xff]"), b"x"), (re.compile(rb"[0-9]"), b"9")]
+_OTHER = bytes(c for c in range(128) if not bytes([c]).isalnum())
+_SHAPE = bytes(ord("X") if 65 <= c <= 90 else ord("9") if 48 <= c <= 57 else ord("x") if 97 <= c <= 122 or c >= 128 else c for c in range(256))
+_REPEATS = re.compile(rb"(.)\1+", re.S).sub
 
 
 class Buckets(dict):
     """Word -> two buckets, of its bare lower-case letters and of its shape, in one number."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 500_000:
             self.clear()
-        bare = re.sub(rb"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", b"", word).lower()
-        shape = word
-        for pattern, mark in _SHAPES:
-            shape = pattern.sub(mark, shape)
-        shape = re.sub(rb"(.)\1+", rb"\1+", shape)
+        bare = word.translate(None, _OTHER).lower()
+        shape = _REPEATS(rb"\1+", word.translate(_SHAPE))
         one = xxhash.xxh32_intdigest(bare) >> (33 - BITS)
         two = (1 << (BITS - 1)) + (xxhash.xxh32_intdigest(shape, 1) >> (33 - BITS))
         self[word] = both = one | two << 32
@@ -107,12 +106,14 @@ def memberships(docs: DataFrame, model: Domains, key: str = "doc_id", text: str
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, p array<double>")
 
 
-def stepped(steps: list[tuple[np.ndarray, float]], scale: float, cap: float):
+def stepped(steps: list[tuple[np.ndarray, float]], scale: float, cap: float, held: int | None = None):
     """``rate`` and ``ahead`` after the given steps from 1, as one expression over ``n_tokens, p``.
 
     A step ``(u, push)`` moves from the point ahead against the gradient, clips to [0, cap], and
-    looks ahead by ``push`` times the change made.
+    looks ahead by ``push`` times the change made.  Documents that more likely than not are of domain
+    ``held`` don't go below 1.
     """
+    floor = F.lit(0.0) if held is None else F.when(F.col("p")[held] >= 0.5, 1.0).otherwise(0.0)
     start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead"))
     if not steps:
         return start
@@ -121,7 +122,7 @@ def stepped(steps: list[tuple[np.ndarray, float]], scale: float, cap: float):
 
     def step(at, u):
         move = sum(F.col("p")[k] * u[k] for k in range(K)) * F.col("n_tokens") / F.lit(scale)
-        new = F.least(F.lit(float(cap)), F.greatest(F.lit(0.0), at["ahead"] - move))
+        new = F.least(F.lit(float(cap)), F.greatest(floor, at["ahead"] - move))
         return F.struct(new.alias("rate"), (new + u[K] * (new - at["rate"])).alias("ahead"))
 
     return F.aggregate(table, start, step)
@@ -138,7 +139,7 @@ def fit_rates(
     inverse Gram matrix of the domains over all documents, which makes a unit step exact as long as
     no rate meets a bound; steps are accelerated by Nesterov's rule.  The best prefix of the steps
     is returned, so that targets which can't be reached are approached.  ``total`` defaults to the tokens there are,
-    or, with ``hold``, to what keeps that domain's own total.
+    or, with ``hold``, to what keeps that domain's own total; its likely members keep rate 1 at least.
     """
     K = len(names)
     want = np.array([max(0.0, float(targets.get(x, 0.0))) for x in names])
@@ -167,7 +168,7 @@ def fit_rates(
         steps.append((whiten @ (ahead - goal), (t - 1) / after))
         t = after
         row = (
-            members.select("n_tokens", "p", stepped(steps, scale, cap).alias("r"))
+            members.select("n_tokens", "p", stepped(steps, scale, cap, names.index(hold) if hold in names else None).alias("r"))
             .agg(*[exact(F.col("n_tokens") * F.col("p")[k] * F.col("r")[x]).alias(f"{x}{k}") for k in range(K) for x in ("rate", "ahead")])
             .first()
         )
@@ -203,8 +204,9 @@ def rated(
     model = train(docs, labelled, max_rows=max_rows, key=key, text=text)
     members = written(memberships(docs, model, key, text))
     steps, scale = fit_rates(members, model.names, targets, total=total, hold=hold, cap=cap)
+    held = model.names.index(hold) if hold in model.names else None
     out = members.select(
-        key, "n_tokens", *[F.col("p")[k].alias(f"p_{x}") for k, x in enumerate(model.names)], F.round(stepped(steps, scale, cap)["rate"], 9).alias("rate")
+        key, "n_tokens", *[F.col("p")[k].alias(f"p_{x}") for k, x in enumerate(model.names)], F.round(stepped(steps, scale, cap, held)["rate"], 9).alias("rate")
     )
     return out.withColumn("copies", copies(key))
 

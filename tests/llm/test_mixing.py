@@ -55,6 +55,16 @@ def test_against_dense_projected_gradient(spark):
     assert (rate == 0).any() and len(steps) < 30
 
 
+def test_held_domain_keeps_its_documents(spark):
+    rows, docs, tags = corpus(spark)
+    got = mixing.rated(docs.where("doc_id < 600"), tags, TARGETS, hold="clean").toPandas()
+    likely = got[got.p_clean >= 0.5]
+    assert len(likely) > 300 and (likely.rate >= 1).all() and (likely.copies >= 1).all()
+    assert (got[got.p_junk > 0.9].rate < 1).all()
+    kept = (got.n_tokens * got.p_clean * got.rate).sum() / (got.n_tokens * got.p_clean).sum()
+    assert 0.97 < kept < 1.06
+
+
 def test_unreachable_targets_stay_in_bounds(spark):
     members = spark.createDataFrame([(10, [1.0, 0.0])] * 5 + [(1, [0.0, 1.0])], "n_tokens long, p array<double>")
     steps, scale = mixing.fit_rates(members, ["a", "b"], {"b": 1.0}, cap=3.0)
