@@ -44,15 +44,18 @@ def hash_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(spread)) < share).limit(2 * most)
 
 
-def blocked(df: DataFrame, key: str, by: str, most: int) -> DataFrame:
+def blocked(df: DataFrame, key: str, by: str, most: int, weight: str | None = None, heaviest: int = 0) -> DataFrame:
     """Rows of ``df`` dealt out and sorted so that every two rows of one ``key`` meet in a group.
 
     A group is a run of rows of equal ``key, p, q``.  Keys of at most ``most`` rows are one group,
     keys of one row are left out, and a larger key is cut by a hash of ``by`` into blocks of about
-    that size, each pair ``(p, q)`` of which is a group.  ``own`` is the row's block.
+    that size, each pair ``(p, q)`` of which is a group.  ``own`` is the row's block.  With
+    ``weight``, blocks are also to weigh no more than ``heaviest`` together.
     """
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows_")).where("rows_ > 1")
-    sizes = sizes.select(key, F.ceil(F.col("rows_") / most).cast("int").alias("cuts_"))
+    heavy = F.sum(weight) / heaviest if weight else F.lit(0.0)
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows_"), heavy.alias("heavy_")).where("rows_ > 1")
+    cuts = F.least(F.col("rows_"), F.ceil(F.greatest(F.col("rows_") / most, F.col("heavy_"))))
+    sizes = sizes.select(key, cuts.cast("int").alias("cuts_"))
     m = df.join(loosened(sizes, key), key)
     m = m.withColumn("own", F.pmod(F.xxhash64(by), F.col("cuts_")).cast("int"))
     m = m.withColumn("other_", F.explode(F.sequence(F.lit(0), F.col("cuts_") - 1)))

@@ -161,57 +161,104 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int, key: str
     return both.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
-BLOCK = 1024
+BLOCK, WEIGHT = 1024, 1 << 20  # rows and shingles of a block
 
 
-def cross_pairs(members: DataFrame, low: float, hashes: int, best: int | None = None) -> DataFrame:
-    """Pairs of one bucket and two components whose estimate is at least ``low``.
+def likely(p: int, q: int, own, ids, comp, size, sig, low: float, hashes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs across components of one group whose estimate is at least ``low``."""
+    chance = 1 / (1 << BITS)
+    left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
+    for at in range(0, len(left), 256):
+        part = left[at : at + 256]
+        apart = np.zeros((len(part), len(right)), np.int16)
+        for w in range(hashes // PER_LONG):
+            x = sig[part, w][:, None] ^ sig[right, w][None, :]
+            x = (x | (x >> np.uint64(1))) & np.uint64(ODD)
+            apart += np.bitwise_count(x)
+        like = ((1 - apart / hashes) - chance) / (1 - chance) >= low
+        like &= comp[part][:, None] != comp[right][None, :]
+        if p == q:
+            like &= ids[part][:, None] < ids[right][None, :]
+        like &= np.minimum(size[part][:, None], size[right][None, :]) >= low * np.maximum(size[part][:, None], size[right][None, :])
+        i, j = np.nonzero(like)
+        yield part[i], right[j]
+
+
+def unpacked(t: pa.Table, hashes: int) -> tuple:
+    """The columns that ``likely`` reads."""
+    sig = np.array(t.column("sig").combine_chunks().flatten()).reshape(t.num_rows, hashes // PER_LONG).view(np.uint64)
+    return *(t.column(c).to_numpy() for c in ("own", "id", "component", "n_shingles")), sig
+
+
+def involved(members: DataFrame, low: float, hashes: int) -> DataFrame:
+    """Rows ``bucket, id`` of ``members`` that have a likely partner of another component in the bucket.
+
+    ``members`` has ``bucket, id, component, n_shingles, sig``.  Only rows leave a group, not pairs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (bucket, p, q), t in runs(batches, 3):
+            columns = unpacked(t, hashes)
+            hit = np.zeros(t.num_rows, bool)
+            for i, j in likely(p, q, *columns, low, hashes):
+                hit[i] = hit[j] = True
+            ids = columns[1][hit]
+            if len(ids):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), bucket)), pa.array(ids)], names=["bucket", "id"])
 
-    With ``best``, only the so many likeliest partners of each member in its group.
+    return blocked(members.select("bucket", "id", "component", "n_shingles", "sig"), "bucket", "id", BLOCK).mapInArrow(run, "bucket bigint, id bigint").distinct()
 
-    ``members`` has ``bucket, id, component, n_shingles, sig``.  A bucket of more than ``BLOCK``
-    rows is cut into blocks and every two of its blocks meet in a group of their own, so that no
-    task gathers a whole bucket.  Signatures are compared as packed words; only pairs that pass leave.
+
+def joining(members: DataFrame, low: float, hashes: int, n: int, percent: int) -> DataFrame:
+    """Links ``a, b`` that join components inside a bucket, confirmed on whole shingle sets.
+
+    ``members`` has the columns of ``involved`` and ``t``, the text, which comes once per bucket and
+    block, not once per pair.  Likely pairs are confirmed unless a link already found in the group
+    joins their components, so at most one link per component leaves a group.
     """
-    m = blocked(members.select("bucket", "id", "component", "n_shingles", "sig"), "bucket", "id", BLOCK)
-    chance, words = 1 / (1 << BITS), hashes // PER_LONG
-
-    def compare(own, p, q, ids, comp, size, sig):
-        left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
-        found_a, found_b = [], []
-        for at in range(0, len(left), 256):
-            part = left[at : at + 256]
-            apart = np.zeros((len(part), len(right)), np.int16)
-            for w in range(words):
-                x = sig[part, w][:, None] ^ sig[right, w][None, :]
-                x = (x | (x >> np.uint64(1))) & np.uint64(ODD)
-                apart += np.bitwise_count(x)
-            like = ((1 - apart / hashes) - chance) / (1 - chance) >= low
-            like &= comp[part][:, None] != comp[right][None, :]
-            if p == q and best is None:
-                like &= ids[part][:, None] < ids[right][None, :]
-            small = np.minimum(size[part][:, None], size[right][None, :])
-            like &= small >= low * np.maximum(size[part][:, None], size[right][None, :])
-            if best is not None and len(right) > best:
-                apart[~like] = hashes + 1
-                near = np.zeros_like(like)
-                np.put_along_axis(near, np.argpartition(apart, best - 1, axis=1)[:, :best], True, axis=1)
-                like &= near
-            i, j = np.nonzero(like)
-            a, b = part[i], right[j]
-            found_a.append(np.minimum(ids[a], ids[b]))
-            found_b.append(np.maximum(ids[a], ids[b]))
-        return np.concatenate(found_a or [np.empty(0, np.int64)]), np.concatenate(found_b or [np.empty(0, np.int64)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for (_, p, q), t in runs(batches, 3):
-            sig = np.array(t.column("sig").combine_chunks().flatten()).reshape(t.num_rows, words).view(np.uint64)
-            cols = [t.column(c).to_numpy() for c in ("own", "id", "component", "n_shingles")]
-            a, b = compare(cols[0], p, q, *cols[1:], sig)
-            if len(a):
+            columns = unpacked(t, hashes)
+            _, ids, comp, _, _ = columns
+            texts, sets, top, found = t.column("t"), {}, {}, []
+
+            def root(c: int) -> int:
+                while top.get(c, c) != c:
+                    c = top[c]
+                return c
+
+            def set_of(k: int) -> np.ndarray:
+                if k not in sets:
+                    sets[k] = shingles(words_of(texts[k].as_py()), known, n)
+                return sets[k]
+
+            for i, j in likely(p, q, *columns, low, hashes):
+                cuts = np.flatnonzero(np.diff(i)) + 1
+                for x, ys in zip(i[np.r_[0, cuts]] if len(i) else [], np.split(j, cuts), strict=False):
+                    x = int(x)
+                    while True:
+                        mine = root(int(comp[x]))
+                        ys = np.array([y for y in ys if root(int(comp[y])) != mine], int)
+                        some, ys = ys[:64], ys[64:]
+                        if not len(some):
+                            break
+                        one, others = set_of(x), [set_of(int(y)) for y in some]
+                        all_ = np.concatenate(others)
+                        hit = one[np.minimum(np.searchsorted(one, all_), len(one) - 1)] == all_
+                        sizes = np.array([len(o) for o in others])
+                        same = np.add.reduceat(hit, np.r_[0, np.cumsum(sizes)[:-1]], dtype=np.int64)
+                        for y in some[100 * same >= percent * (len(one) + sizes - same)]:
+                            a, b = root(int(comp[x])), root(int(comp[y]))
+                            if a != b:
+                                top[max(a, b)] = min(a, b)
+                                found.append(sorted((int(ids[x]), int(ids[y]))))
+            if found:
+                a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return m.mapInArrow(run, "a bigint, b bigint").distinct()
+    return blocked(members, "bucket", "id", BLOCK, "n_shingles", WEIGHT).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(
@@ -223,10 +270,10 @@ def near_duplicates(
     ``n``-word shingles; fewer words are one shingle.  A document without a word links with nothing.
     Equal word sequences form a class and only its least id goes on.  Band keys give buckets.  First
     every member is held against its bucket's least member, which joins the usual group of copies at
-    a linear cost.  In buckets that still hold several components each member then meets its two
-    likeliest partners of other components, twice, and at last all pairs across components whose
-    b-bit estimate could reach the threshold are confirmed, so that no candidate pair that matters is
-    left out.  A pair at a similarity of 0.8 misses all bands with probability 3e-6.
+    a linear cost.  In buckets that still hold several components, the members whose b-bit estimate
+    with one of another component could reach the threshold then bring their texts to the bucket, and
+    every such pair is confirmed there unless its components are joined already, so that no candidate
+    pair that matters is left out and no list of pairs is made.  A pair at a similarity of 0.8 misses all bands with probability 3e-6.
 
     Ids must be whole numbers.  A null id is kept and has no component but null.  Rows that repeat an
     id and text fall in one class.  Other columns are not read.
@@ -251,21 +298,19 @@ def near_duplicates(
         .where(estimate(F.col("sa"), F.col("sb"), hashes) >= low)
         .select("a", "b")
     )
-    tested = written(near)
-    links = written(confirmed(tested, docs, n, percent, key, text))
+    links = written(confirmed(near, docs, n, percent, key, text))
     comps = written(components(links))
-    for best in (2, 2, None):
-        named = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "bucket", F.col("rep").alias("id"), F.coalesce("component", "rep").alias("component")
-        )
-        open_ = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        rest = named.join(loosened(open_.select("bucket"), "bucket"), "bucket").join(marks.withColumnRenamed("rep", "id"), "id")
-        pairs = written(cross_pairs(rest, low, hashes, best).join(tested, ["a", "b"], "left_anti"))
-        extra = written(confirmed(pairs, docs, n, percent, key, text))
-        if not extra.isEmpty():
-            links = links.union(extra)
-            comps = written(components(links))
-        tested = tested.union(pairs)
+    named = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "bucket", F.col("rep").alias("id"), F.coalesce("component", "rep").alias("component")
+    )
+    open_ = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    rest = named.join(loosened(open_.select("bucket"), "bucket"), "bucket").join(marks.withColumnRenamed("rep", "id"), "id")
+    rest = written(rest)
+    ones = rest.join(involved(rest, low, hashes), ["bucket", "id"], "left_semi")
+    ones = ones.join(docs.select(F.col(key).alias("id"), F.col(text).alias("t")), "id")
+    extra = written(joining(ones.select("bucket", "id", "component", "n_shingles", "sig", "t"), low, hashes, n, percent))
+    if not extra.isEmpty():
+        comps = written(components(links.union(extra)))
     names = classes.select("class", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     names = written(names.select("class", F.coalesce("component", "rep").alias("component")))
     found = sk.select("id", "class", "n_shingles").join(names, "class", "left")
