@@ -1,4 +1,728 @@
-"""Registered queries and the SQL they are compared with."""
+"""Registered queries, one per operator, and the SQL they are compared with.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Queries run over forests derived from the shared tables (``forests``): ``orders`` is bushy, ``events`` has
+long chains, and ``compact`` is ``orders`` moved together so that fields of view overlap.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from taproot.operators import blocks, graph, mesh, resample, scores, segment, spatial, topology, volume
+from taproot.plans.forests import EVENTS, ORDERS, forest
+from taproot.sources import artefacts, ingest
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+VIEW = volume.View((1, 1, 1), (5, 5, 5), True, 1.0)
+LEAF = (8, 8, 8)
+CUT = 25  # every so many nodes one is taken out to break trees up
+
+
+def tidy(df: DataFrame) -> DataFrame:
+    """Whole numbers as bigint and fractions rounded, as the SQL has them."""
+    out = []
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if kind in ("int", "smallint", "tinyint", "bigint"):
+            c = c.cast("bigint")
+        elif kind in ("double", "float"):
+            c = F.round(c, 6) + F.lit(0.0)
+        elif kind == "array<int>":
+            c = c.cast("array<bigint>")
+        out.append(c.alias(name))
+    return df.select(*out)
+
+
+def sql(columns: str, body: str, *ctes: str) -> str:
+    """SQL whose columns are cast alike: ``d:name`` a rounded double, ``s:`` text, ``b:`` boolean."""
+    out = []
+    for c in columns.split():
+        kind, _, name = c.rpartition(":")
+        out.append({"": f'CAST("{name}" AS BIGINT)', "d": f'round(CAST("{name}" AS DOUBLE), 6) + 0.0', "s": f'CAST("{name}" AS VARCHAR)', "b": f'CAST("{name}" AS BOOLEAN)'}[kind] + f' AS "{name}"')
+    head = "WITH RECURSIVE " + ",\n".join(ctes) + "\n" if ctes else ""
+    return f"{head}SELECT {', '.join(out)} FROM ({body}) AS result"
+
+
+def query(name: str, oracle: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[name] = lambda spark, sf_dir: tidy(f(spark, sf_dir))
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+# ------------------------------------------------------------------ shared tables, in both languages
+
+A, B = f"nodes AS ({ORDERS})", f"nodes AS ({EVENTS})"
+COMPACT = f"nodes AS (SELECT arbor_id, nid, pid, floor(x / 32) AS x, floor(y / 16) AS y, z FROM ({ORDERS}) AS wide)"
+PATHS = """paths AS (
+  SELECT arbor_id, nid, pid, x, y, z, 0 AS depth, [nid] AS path FROM nodes WHERE pid IS NULL
+  UNION ALL SELECT n.arbor_id, n.nid, n.pid, n.x, n.y, n.z, p.depth + 1, list_append(p.path, n.nid)
+  FROM nodes n JOIN paths p ON n.arbor_id = p.arbor_id AND n.pid = p.nid)"""
+CLOSURE = "closure AS (SELECT arbor_id, nid, unnest(path) AS anc, len(path) - generate_subscripts(path, 1) AS dist FROM paths)"
+KIDS = "kids AS (SELECT n.arbor_id, n.nid, n.pid, n.x, n.y, n.z, coalesce(k.c, 0) AS n_children FROM nodes n LEFT JOIN (SELECT arbor_id, pid, count(*) AS c FROM nodes WHERE pid IS NOT NULL GROUP BY ALL) k ON k.arbor_id = n.arbor_id AND k.pid = n.nid)"
+SEGS = """heads AS (
+  SELECT c.arbor_id, c.nid, c.pid, p.path, c.n_children, c.nid AS head, 0 AS sd, 1 AS pos FROM kids c JOIN paths p USING (arbor_id, nid) JOIN nodes u ON u.arbor_id = c.arbor_id AND u.nid = c.pid WHERE u.pid IS NULL
+  UNION ALL
+  SELECT c.arbor_id, c.nid, c.pid, p.path, c.n_children,
+         CASE WHEN h.n_children > 1 THEN c.nid ELSE h.head END, h.sd + CASE WHEN h.n_children > 1 THEN 1 ELSE 0 END,
+         CASE WHEN h.n_children > 1 THEN 1 ELSE h.pos + 1 END
+  FROM heads h JOIN kids c ON c.arbor_id = h.arbor_id AND c.pid = h.nid JOIN paths p ON p.arbor_id = c.arbor_id AND p.nid = c.nid),
+numbered AS (SELECT arbor_id, head, row_number() OVER (PARTITION BY arbor_id ORDER BY sd, path) - 1 AS seg_id FROM heads WHERE pos = 1),
+segs AS (
+  SELECT h.arbor_id, n.seg_id, h.pos, h.nid FROM heads h JOIN numbered n ON n.arbor_id = h.arbor_id AND n.head = h.head
+  UNION ALL SELECT h.arbor_id, n.seg_id, 0, h.pid FROM heads h JOIN numbered n ON n.arbor_id = h.arbor_id AND n.head = h.head WHERE h.pos = 1)"""
+
+
+def strahler_sql(levels: int) -> str:
+    """Strahler numbers from the deepest level up, one step a level."""
+    parts = [f"s{levels} AS (SELECT arbor_id, nid, pid, 1 AS s FROM paths WHERE depth = {levels})"]
+    for d in range(levels - 1, -1, -1):
+        up = f"(SELECT arbor_id, pid, max(s) AS m FROM s{d + 1} GROUP BY ALL)"
+        parts.append(
+            f"s{d} AS (SELECT p.arbor_id, p.nid, p.pid, CASE WHEN m.m IS NULL THEN 1 WHEN (SELECT count(*) FROM s{d + 1} c WHERE c.arbor_id = p.arbor_id AND c.pid = p.nid AND c.s = m.m) > 1 THEN m.m + 1 ELSE m.m END AS s "
+            f"FROM paths p LEFT JOIN {up} m ON m.arbor_id = p.arbor_id AND m.pid = p.nid WHERE depth = {d})"
+        )
+    parts.append("strahler AS (" + " UNION ALL ".join(f"SELECT * FROM s{d}" for d in range(levels + 1)) + ")")
+    return ",\n".join(parts)
+
+
+STRAHLER_A, STRAHLER_B = strahler_sql(7), strahler_sql(40)
+OFFSETS = "offsets AS (SELECT i.range AS i, j.range AS j, k.range AS k FROM range(5) i, range(5) j, range(5) k)"
+MASKS = "masks AS (SELECT arbor_id, nid, i, j, k, CASE WHEN (nid * 31 + i * 7 + j * 13 + k * 17) % 5 < 3 THEN 1 ELSE 0 END AS v FROM nodes, offsets WHERE nid % 11 <> 3)"
+FIELDS = "fields AS (SELECT arbor_id, nid, i, j, k, x + i - 2 AS vx, y + j - 2 AS vy, z + k - 2 AS vz, (i-2)*(i-2) + (j-2)*(j-2) + (k-2)*(k-2) AS d2 FROM nodes, offsets)"
+VOXELS = """voxels AS (
+  SELECT f.arbor_id, f.vx, f.vy, f.vz, sum(coalesce(m.v, 0)) AS seg_count, count(*) AS view_count, min(CASE WHEN 4 * d2 <= 25 THEN sqrt(d2) / sqrt(12.0) END) AS distance
+  FROM fields f LEFT JOIN masks m USING (arbor_id, nid, i, j, k) GROUP BY ALL)"""
+WEIGHTED = """weighted AS (
+  SELECT f.arbor_id, f.nid, f.i, f.j, f.k, 4 * d2 <= 25 AND seg_count > 0 AS boolean,
+         CASE WHEN 4 * d2 <= 25 AND seg_count > 0 THEN coalesce(distance, 0) ELSE 0 END AS dist,
+         CASE WHEN 4 * d2 <= 25 THEN seg_count / (view_count + 1.0) ELSE 0 END AS viewed,
+         CASE WHEN 4 * d2 <= 25 THEN seg_count / (view_count + 1.0) * coalesce(distance, 0) ELSE 0 END AS dist_view
+  FROM fields f JOIN voxels USING (arbor_id, vx, vy, vz))"""
+SCORES = """scores AS (
+  SELECT arbor_id, nid, CASE WHEN v <= 1e-8 THEN 0 ELSE spot // 25 - 2 END AS di, CASE WHEN v <= 1e-8 THEN 0 ELSE spot // 5 % 5 - 2 END AS dj,
+         CASE WHEN v <= 1e-8 THEN 0 ELSE spot % 5 - 2 END AS dk, CASE WHEN v <= 1e-8 THEN 0 ELSE v END AS score
+  FROM (SELECT arbor_id, nid, dist_view AS v, (i * 5 + j) * 5 + k AS spot, row_number() OVER (PARTITION BY arbor_id, nid ORDER BY dist_view DESC, (i * 5 + j) * 5 + k) AS r FROM weighted) WHERE r = 1)"""
+CONNECT = """connect AS (
+  SELECT e.arbor_id, e.nid, e.pid,
+         CASE WHEN e.nid % 11 = 3 OR e.pid % 11 = 3 THEN -1.0 WHEN sx <= 0 OR sy <= 0 OR sz <= 0 THEN -2.0 ELSE coalesce(b.n, 0) / (sx * sy * sz) END AS connectivity
+  FROM (SELECT c.arbor_id, c.nid, c.pid, 5 - abs(c.x - p.x) AS sx, 5 - abs(c.y - p.y) AS sy, 5 - abs(c.z - p.z) AS sz FROM nodes c JOIN nodes p ON p.arbor_id = c.arbor_id AND p.nid = c.pid) e
+  LEFT JOIN (SELECT c.arbor_id, c.nid, count(*) AS n FROM nodes c JOIN nodes p ON p.arbor_id = c.arbor_id AND p.nid = c.pid
+        JOIN masks a ON a.arbor_id = c.arbor_id AND a.nid = c.nid AND a.v = 1
+        JOIN masks b ON b.arbor_id = p.arbor_id AND b.nid = p.nid AND b.v = 1 AND b.i + p.x = a.i + c.x AND b.j + p.y = a.j + c.y AND b.k + p.z = a.k + c.z GROUP BY ALL) b
+  ON b.arbor_id = e.arbor_id AND b.nid = e.nid)"""
+VOLUME = (COMPACT, OFFSETS, MASKS, FIELDS, VOXELS)
+SCORED = (*VOLUME, WEIGHTED, SCORES)
+EDGES = "edges AS (SELECT l_partkey AS u, 1000000 + l_suppkey AS v, l_discount * 10 AS score FROM lineitem WHERE l_orderkey % 40 = 1)"
+FRAGS = "frags AS (SELECT vx AS x, vy AS y, vz AS z, min(arbor_id * 100 + nid) AS frag_id FROM (SELECT arbor_id, nid, x + i - 2 AS vx, y + j - 2 AS vy, z + k - 2 AS vz FROM nodes, offsets WHERE arbor_id % 20 = 1 AND (i-2)*(i-2) + (j-2)*(j-2) + (k-2)*(k-2) <= 4) GROUP BY ALL)"
+RAG = "rag AS (SELECT arbor_id * 100 + nid AS u, arbor_id * 100 + pid AS v, (nid % 4) / 10.0 AS score FROM nodes WHERE pid IS NOT NULL AND arbor_id % 20 = 1)"
+
+
+def a(spark, sf):
+    return forest(spark, sf, "orders")
+
+
+def b(spark, sf):
+    return forest(spark, sf, "events")
+
+
+def compact(spark, sf):
+    return a(spark, sf).withColumns({"x": F.floor(F.col("x") / 32).cast("double"), "y": F.floor(F.col("y") / 16).cast("double")})
+
+
+def index_a(spark, sf):
+    return topology.index(a(spark, sf))
+
+
+def index_b(spark, sf):
+    return topology.index(b(spark, sf))
+
+
+def masks_of(nodes: DataFrame) -> DataFrame:
+    m = volume.offsets(nodes.where("nid % 11 <> 3").select("arbor_id", "nid"), VIEW)
+    return m.select("arbor_id", "nid", "i", "j", "k", F.expr("cast(if((nid * 31 + i * 7 + j * 13 + k * 17) % 5 < 3, 1, 0) as tinyint)").alias("v"))
+
+
+def voxels_of(nodes: DataFrame) -> DataFrame:
+    return volume.accumulate(nodes, masks_of(nodes), VIEW)
+
+
+# ------------------------------------------------------------------ sources and ingest
+
+
+@query("forest_orders", sql("arbor_id nid pid d:x d:y d:z", "SELECT * FROM nodes", A))
+def _(spark, sf):
+    return a(spark, sf)
+
+
+@query("forest_events", sql("arbor_id nid pid d:x d:y d:z", "SELECT * FROM nodes", B))
+def _(spark, sf):
+    return b(spark, sf)
+
+
+@query("csv_nodes", sql("arbor_id nid pid d:x d:y d:z", "SELECT arbor_id, nid, CASE WHEN pid = 1 THEN NULL ELSE pid END AS pid, trunc(x) AS x, y - 40 AS y, z FROM nodes", A))
+def _(spark, sf):
+    parent = F.when(F.col("pid").isNull(), " none ").when(F.col("pid") == 1, "null").otherwise(F.col("pid").cast("string"))
+    line = F.concat_ws(",", F.col("nid").cast("string"), parent, F.concat(F.lit("|"), (F.col("x") + 0.75).cast("string"), F.lit("|")), (F.col("y") - 40).cast("string"), F.col("z").cast("string"))
+    return ingest.parse_csv(a(spark, sf).select("arbor_id", line.alias("line")))
+
+
+@query("id_pairs", sql("arbor_id nid pid d:x", "SELECT arbor_id, nid, pid, CAST(NULL AS DOUBLE) AS x FROM nodes", B))
+def _(spark, sf):
+    return b(spark, sf).select("arbor_id", "nid", "pid", F.lit(None).cast("double").alias("x"))
+
+
+@query("last_row_wins", sql("arbor_id nid pid d:x", "SELECT arbor_id, nid % 5 AS nid, pid, x FROM (SELECT *, row_number() OVER (PARTITION BY arbor_id, nid % 5 ORDER BY nid DESC) AS r FROM nodes) WHERE r = 1", A))
+def _(spark, sf):
+    rows = a(spark, sf).withColumn("at", F.col("nid")).withColumn("nid", F.col("nid") % 5)
+    return ingest.last_wins(rows, "at").select("arbor_id", "nid", "pid", "x")
+
+
+BROKEN = f"nodes AS (SELECT arbor_id, nid, CASE WHEN pid % {CUT} = 7 THEN NULL ELSE pid END AS pid, x, y, z FROM ({EVENTS}) AS whole WHERE nid % {CUT} <> 7)"
+LARGEST = "sizes AS (SELECT arbor_id, path[1] AS root, count(*) AS n FROM paths GROUP BY ALL), best AS (SELECT arbor_id, root FROM (SELECT *, row_number() OVER (PARTITION BY arbor_id ORDER BY n DESC, root) AS r FROM sizes) WHERE r = 1)"
+
+
+def broken(spark, sf):
+    return b(spark, sf).where(f"nid % {CUT} <> 7")
+
+
+@query("build_tree", sql("arbor_id nid pid depth root_nid", "SELECT p.arbor_id, p.nid, p.pid, p.depth, path[1] AS root_nid FROM paths p JOIN best b ON b.arbor_id = p.arbor_id AND b.root = p.path[1]", BROKEN, PATHS, LARGEST))
+def _(spark, sf):
+    return ingest.build_tree(broken(spark, sf)).select("arbor_id", "nid", "pid", "depth", "root_nid")
+
+
+@query("excluded_nodes", sql("arbor_id excluded", "SELECT s.arbor_id, sum(CASE WHEN s.root <> b.root THEN n ELSE 0 END) AS excluded FROM sizes s JOIN best b USING (arbor_id) GROUP BY ALL", BROKEN, PATHS, LARGEST))
+def _(spark, sf):
+    nodes = broken(spark, sf)
+    return ingest.excluded(nodes, topology.index(nodes))
+
+
+@query("extract_data", sql("arbor_id nid pid d:x d:y d:z strahler", "SELECT n.*, s.s AS strahler FROM nodes n JOIN strahler s USING (arbor_id, nid)", A, PATHS, STRAHLER_A))
+def _(spark, sf):
+    return ingest.extract(index_a(spark, sf))[0]
+
+
+@query("saved_and_loaded", sql("arbor_id nid pid d:x d:y d:z", "SELECT * FROM nodes", B))
+def _(spark, sf):
+    import uuid
+
+    from taproot.config import Config
+    from taproot.operators.lineage import cut
+
+    cut(spark.range(1))  # makes sure that there is a shared folder
+    base = f"{spark.sparkContext.getCheckpointDir()}/saved-{uuid.uuid4().hex}"
+    artefacts.save(base, Config(), nodes=b(spark, sf))
+    return artefacts.load(spark, base)["nodes"]
+
+
+# ------------------------------------------------------------------ accessors
+
+
+@query("node_kinds", sql("arbor_id nid b:is_root b:is_branch b:is_leaf b:is_regular", "SELECT arbor_id, nid, pid IS NULL AS is_root, n_children + CASE WHEN pid IS NULL THEN 0 ELSE 1 END > 2 AS is_branch, n_children = 0 AS is_leaf, n_children + CASE WHEN pid IS NULL THEN 0 ELSE 1 END = 2 AS is_regular FROM kids", A, KIDS))
+def _(spark, sf):
+    flags = {"is_root": topology.is_root(), "is_branch": topology.is_branch(), "is_leaf": topology.is_leaf(), "is_regular": topology.is_regular()}
+    return index_a(spark, sf).select("arbor_id", "nid", *[c.alias(n) for n, c in flags.items()])
+
+
+@query("children", sql("arbor_id nid s:children", "SELECT n.arbor_id, n.nid, coalesce(string_agg(k.nid, ',' ORDER BY k.nid), '') AS children FROM nodes n LEFT JOIN nodes k ON k.arbor_id = n.arbor_id AND k.pid = n.nid GROUP BY ALL", A))
+def _(spark, sf):
+    return topology.children(a(spark, sf)).withColumn("children", F.concat_ws(",", F.transform("children", lambda x: x.cast("string"))))
+
+
+@query("neighbours", sql("arbor_id nid other", "SELECT arbor_id, nid, pid AS other FROM nodes WHERE pid IS NOT NULL UNION ALL SELECT arbor_id, pid, nid FROM nodes WHERE pid IS NOT NULL", B))
+def _(spark, sf):
+    return topology.neighbours(b(spark, sf))
+
+
+@query("following", sql("arbor_id nid other", "SELECT n.arbor_id, n.nid, k.nid AS other FROM nodes n JOIN nodes k ON k.arbor_id = n.arbor_id AND k.pid = n.nid WHERE n.pid IS NOT NULL", A))
+def _(spark, sf):
+    nodes = a(spark, sf)
+    return topology.following(nodes, nodes.where("pid is not null").withColumn("prev", F.col("pid")))
+
+
+@query("node_bounds", sql("arbor_id nid d:lo_x d:lo_y d:lo_z d:hi_x d:hi_y d:hi_z", "SELECT arbor_id, nid, x - 2 AS lo_x, y - 1 AS lo_y, z - 3 AS lo_z, x + 3 AS hi_x, y + 2 AS hi_y, z + 4 AS hi_z FROM nodes", A))
+def _(spark, sf):
+    return spatial.node_bounds(a(spark, sf), (5, 3, 7))
+
+
+@query("region_bounds", sql("arbor_id lo_x lo_y lo_z hi_x hi_y hi_z", "SELECT arbor_id, min(x) - 2 AS lo_x, min(y) - 1 AS lo_y, min(z) - 3 AS lo_z, max(x) + 3 AS hi_x, max(y) + 2 AS hi_y, max(z) + 4 AS hi_z FROM nodes GROUP BY arbor_id", A))
+def _(spark, sf):
+    return spatial.region_bounds(a(spark, sf), (5, 3, 7))
+
+
+@query("transform", sql("arbor_id nid d:x d:y d:z", "SELECT arbor_id, nid, (x + 1.5) * 2 AS x, (y - 3) * 0.25 AS y, (z + 0) * -1 AS z FROM nodes", B))
+def _(spark, sf):
+    return spatial.transformed(b(spark, sf), (1.5, -3, 0), (2, 0.25, -1)).select("arbor_id", "nid", "x", "y", "z")
+
+
+BOUNDED = f"whole AS ({EVENTS}), ins AS (SELECT * FROM whole WHERE x >= 20 AND x < 150 AND y >= 0 AND y < 9), nodes AS (SELECT i.arbor_id, i.nid, p.nid AS pid, i.x, i.y, i.z FROM ins i LEFT JOIN ins p ON p.arbor_id = i.arbor_id AND p.nid = i.pid)"
+
+
+@query("filter_by_bounds", sql("arbor_id nid pid depth", "SELECT p.arbor_id, p.nid, p.pid, p.depth FROM paths p JOIN best b ON b.arbor_id = p.arbor_id AND b.root = p.path[1]", BOUNDED, PATHS, LARGEST))
+def _(spark, sf):
+    return topology.filter_by_bounds(b(spark, sf), (20, 0, -1), (150, 9, 99))[0].select("arbor_id", "nid", "pid", "depth")
+
+
+@query("bounds_dropped", sql("arbor_id dropped", "SELECT arbor_id, count(*) FILTER (WHERE NOT (x >= 20 AND x < 150 AND y >= 0 AND y < 9)) AS dropped FROM nodes GROUP BY arbor_id", B))
+def _(spark, sf):
+    return topology.filter_by_bounds(b(spark, sf), (20, 0, -1), (150, 9, 99))[1]
+
+
+@query("filter_by_strahler", sql("arbor_id nid pid", "SELECT n.arbor_id, n.nid, n.pid FROM nodes n JOIN strahler s USING (arbor_id, nid) WHERE s.s >= 2", A, PATHS, STRAHLER_A))
+def _(spark, sf):
+    return topology.filter_by_order(index_a(spark, sf), 2).select("arbor_id", "nid", "pid")
+
+
+# ------------------------------------------------------------------ traversal and topology
+
+
+@query("dfs_order", sql("arbor_id nid rank", "SELECT arbor_id, nid, row_number() OVER (PARTITION BY arbor_id ORDER BY path) - 1 AS rank FROM paths", B, PATHS))
+def _(spark, sf):
+    return topology.depth_first(index_b(spark, sf))
+
+
+@query("dfs_pruned", sql("arbor_id nid rank", "SELECT arbor_id, nid, row_number() OVER (PARTITION BY arbor_id ORDER BY path) - 1 AS rank FROM paths WHERE NOT list_has_any(path, [3, 18])", B, PATHS))
+def _(spark, sf):
+    nodes = index_b(spark, sf)
+    return topology.depth_first(nodes, nodes.where("nid in (3, 18)"))
+
+
+@query("bfs_order", sql("arbor_id nid rank", "SELECT arbor_id, nid, row_number() OVER (PARTITION BY arbor_id ORDER BY depth, path DESC) - 1 AS rank FROM paths", A, PATHS))
+def _(spark, sf):
+    return topology.breadth_first(index_a(spark, sf))
+
+
+@query("subtree", sql("arbor_id start nid rank", "SELECT arbor_id, anc AS start, nid, row_number() OVER (PARTITION BY arbor_id, anc ORDER BY path) - 1 AS rank FROM closure JOIN paths USING (arbor_id, nid) WHERE anc IN (2, 3)", A, PATHS, CLOSURE))
+def _(spark, sf):
+    nodes = index_a(spark, sf)
+    return topology.subtree(nodes, nodes.where("nid in (2, 3)"))
+
+
+@query("ancestors", sql("arbor_id nid anc dist", "SELECT * FROM closure WHERE nid % 3 = 1", A, PATHS, CLOSURE))
+def _(spark, sf):
+    nodes = index_a(spark, sf)
+    return topology.ancestors(nodes, nodes.where("nid % 3 = 1"))
+
+
+@query("segments", sql("arbor_id seg_id pos nid", "SELECT * FROM segs", B, PATHS, KIDS, SEGS))
+def _(spark, sf):
+    return topology.segments(index_b(spark, sf))
+
+
+@query("root_leaf_paths", sql("arbor_id leaf_no leaf pos nid", "SELECT arbor_id, row_number() OVER (PARTITION BY arbor_id ORDER BY path) - 1 AS leaf_no, l.nid AS leaf, unnest(range(len(path))) AS pos, unnest(path) AS nid FROM (SELECT p.* FROM paths p JOIN kids k USING (arbor_id, nid) WHERE k.n_children = 0) l", A, PATHS, KIDS))
+def _(spark, sf):
+    return topology.root_leaf_paths(index_a(spark, sf))
+
+
+@query("minimal_subtree", sql("arbor_id nid", """SELECT c.arbor_id, c.anc AS nid FROM (SELECT arbor_id, anc, count(*) AS n FROM closure WHERE nid IN (5, 7, 9) GROUP BY ALL) c
+  JOIN paths p ON p.arbor_id = c.arbor_id AND p.nid = c.anc
+  JOIN (SELECT h.arbor_id, max(p.depth) AS least FROM (SELECT arbor_id, anc, count(*) AS n FROM closure WHERE nid IN (5, 7, 9) GROUP BY ALL) h JOIN paths p ON p.arbor_id = h.arbor_id AND p.nid = h.anc
+        JOIN (SELECT arbor_id, count(*) AS n FROM nodes WHERE nid IN (5, 7, 9) GROUP BY ALL) w ON w.arbor_id = h.arbor_id AND w.n = h.n GROUP BY ALL) m ON m.arbor_id = c.arbor_id WHERE p.depth >= m.least""", A, PATHS, CLOSURE))
+def _(spark, sf):
+    nodes = index_a(spark, sf)
+    return topology.minimal_subtree(nodes, nodes.where("nid in (5, 7, 9)"))
+
+
+@query("interesting_nodes", sql("arbor_id nid s:kind", "SELECT * FROM (SELECT arbor_id, nid, CASE WHEN pid IS NULL THEN 'root' WHEN n_children > 1 THEN 'branch' WHEN n_children = 0 THEN 'leaf' END AS kind FROM kids) WHERE kind IS NOT NULL", B, KIDS))
+def _(spark, sf):
+    return topology.interesting(index_b(spark, sf), True, True, True).drop("dfs")
+
+
+@query("strahler", sql("arbor_id nid strahler", "SELECT arbor_id, nid, s AS strahler FROM strahler", A, PATHS, STRAHLER_A))
+def _(spark, sf):
+    return index_a(spark, sf).select("arbor_id", "nid", F.col("order_no").alias("strahler"))
+
+
+@query("strahler_deep", sql("arbor_id nid strahler", "SELECT arbor_id, nid, s AS strahler FROM strahler", B, PATHS, STRAHLER_B))
+def _(spark, sf):
+    return index_b(spark, sf).select("arbor_id", "nid", F.col("order_no").alias("strahler"))
+
+
+@query("delete_branch", sql("arbor_id nid pid", "SELECT p.arbor_id, p.nid, p.pid FROM paths p WHERE NOT list_contains(path, 5) AND EXISTS (SELECT 1 FROM nodes n WHERE n.arbor_id = p.arbor_id AND n.nid = 5)", A, PATHS))
+def _(spark, sf):
+    nodes = index_a(spark, sf)
+    return topology.delete_branch(nodes, nodes.where("nid = 5").select("arbor_id", F.col("pid").alias("a"), F.col("nid").alias("b"))).select("arbor_id", "nid", "pid")
+
+
+@query("keep_branch", sql("arbor_id nid pid", "SELECT arbor_id, nid, CASE WHEN nid = 5 THEN NULL ELSE pid END AS pid FROM paths WHERE list_contains(path, 5)", A, PATHS))
+def _(spark, sf):
+    nodes = index_a(spark, sf)
+    return topology.delete_branch(nodes, nodes.where("nid = 5").select("arbor_id", F.col("nid").alias("a"), F.col("pid").alias("b"))).select("arbor_id", "nid", "pid")
+
+
+@query("split", sql("arbor_id s:part nid", "SELECT arbor_id, CASE WHEN list_contains(path, 6) THEN 'lower' ELSE 'upper' END AS part, nid FROM paths WHERE (list_contains(path, 6) OR NOT list_contains(path, 3)) AND EXISTS (SELECT 1 FROM nodes n WHERE n.arbor_id = paths.arbor_id AND n.nid = 6)", B, PATHS))
+def _(spark, sf):
+    nodes = index_b(spark, sf)
+    return topology.split(nodes, nodes.where("nid = 6").select("arbor_id", F.lit(2).cast("bigint").alias("first"), F.lit(3).cast("bigint").alias("second"), F.lit(6).cast("bigint").alias("last")))
+
+
+@query("topological_copy", sql("arbor_id nid pid length", "SELECT s.arbor_id, s.nid, f.nid AS pid, s.pos AS length FROM segs s JOIN (SELECT arbor_id, seg_id, max(pos) AS m FROM segs GROUP BY ALL) m ON m.arbor_id = s.arbor_id AND m.seg_id = s.seg_id AND m.m = s.pos JOIN segs f ON f.arbor_id = s.arbor_id AND f.seg_id = s.seg_id AND f.pos = 0 UNION ALL SELECT arbor_id, nid, NULL, 0 FROM nodes WHERE pid IS NULL", B, PATHS, KIDS, SEGS))
+def _(spark, sf):
+    return topology.topological_copy(index_b(spark, sf))
+
+
+LENGTHS = "lengths AS (SELECT c.arbor_id, sqrt((c.x-p.x)*(c.x-p.x) + (c.y-p.y)*(c.y-p.y) + (c.z-p.z)*(c.z-p.z)) AS d FROM nodes c JOIN nodes p ON p.arbor_id = c.arbor_id AND p.nid = c.pid), stats AS (SELECT arbor_id, count(*) AS edges, avg(d) AS mean, stddev_pop(d) AS deviation FROM lengths GROUP BY arbor_id)"
+
+
+@query("regularness", sql("arbor_id edges d:mean d:deviation outliers", "SELECT s.*, (SELECT count(*) FROM lengths l WHERE l.arbor_id = s.arbor_id AND l.d > s.mean + 2 * s.deviation + 1e-9) AS outliers FROM stats s", B, LENGTHS))
+def _(spark, sf):
+    return topology.regularness(index_b(spark, sf))
+
+
+@query("reroot", sql("arbor_id nid pid", "SELECT p.arbor_id, p.nid, CASE WHEN p.nid = 6 THEN NULL WHEN list_contains(r.path, p.nid) THEN r.path[list_position(r.path, p.nid) + 1] ELSE p.pid END AS pid FROM paths p JOIN paths r ON r.arbor_id = p.arbor_id AND r.nid = 6", A, PATHS))
+def _(spark, sf):
+    nodes = index_a(spark, sf)
+    return topology.rerooted(nodes, nodes.where("nid = 6")).select("arbor_id", "nid", "pid")
+
+
+@query("reindex", sql("arbor_id nid pid", "SELECT r.arbor_id, r.rank AS nid, p.rank AS pid FROM ranks r LEFT JOIN ranks p ON p.arbor_id = r.arbor_id AND p.nid = r.pid", A, PATHS, "ranks AS (SELECT arbor_id, nid, pid, row_number() OVER (PARTITION BY arbor_id ORDER BY path) - 1 AS rank FROM paths)"))
+def _(spark, sf):
+    return topology.reindexed(index_a(spark, sf)).select("arbor_id", "nid", "pid")
+
+
+@query("merge_trees", sql("arbor_id nid pid", f"SELECT arbor_id, nid, pid FROM nodes UNION ALL SELECT arbor_id, nid + 1000, CASE WHEN pid IS NULL THEN (SELECT max(n.nid) FROM nodes n WHERE n.arbor_id = e.arbor_id) ELSE pid + 1000 END FROM ({EVENTS}) e WHERE arbor_id IN (SELECT arbor_id FROM nodes)", A))
+def _(spark, sf):
+    one = a(spark, sf)
+    last = one.groupBy("arbor_id").agg(F.max("nid").alias("a_nid"))
+    two = b(spark, sf).join(last, "arbor_id", "left_semi").withColumns({"nid": F.col("nid") + 1000, "pid": F.col("pid") + 1000})
+    return topology.merged(one, two, last.withColumn("b_root", F.lit(1000).cast("bigint"))).select("arbor_id", "nid", "pid")
+
+
+@query("strahler_from_other", sql("arbor_id nid strahler", "SELECT s.arbor_id, s.nid, s.s AS strahler FROM strahler s WHERE (SELECT count(*) FROM nodes n WHERE n.arbor_id = s.arbor_id) > 1", B, PATHS, STRAHLER_B))
+def _(spark, sf):
+    nodes = index_b(spark, sf)
+    return topology.order_from(nodes, nodes).withColumnRenamed("order_no", "strahler")
+
+
+# ------------------------------------------------------------------ space
+
+
+@query("tree_bounds", sql("arbor_id lo_x lo_y lo_z hi_x hi_y hi_z", "SELECT arbor_id, min(x) AS lo_x, min(y) AS lo_y, min(z) AS lo_z, max(x) AS hi_x, max(y) AS hi_y, max(z) AS hi_z FROM nodes GROUP BY arbor_id", B))
+def _(spark, sf):
+    return spatial.bounds(b(spark, sf))
+
+
+def flood_sql(near: str) -> str:
+    return f"""edges AS (SELECT arbor_id, nid AS p, pid AS q FROM nodes WHERE pid IS NOT NULL UNION ALL SELECT arbor_id, pid, nid FROM nodes WHERE pid IS NOT NULL),
+starts AS (SELECT arbor_id, nid AS start, x AS sx, y AS sy, z AS sz FROM nodes WHERE nid = 20),
+flood AS (SELECT arbor_id, start, start AS nid, sx, sy, sz FROM starts
+  UNION SELECT s.arbor_id, s.start, e.q, sx, sy, sz FROM starts s JOIN edges e ON e.arbor_id = s.arbor_id AND e.p = s.start
+  UNION SELECT f.arbor_id, f.start, e.q, sx, sy, sz FROM flood f JOIN edges e ON e.arbor_id = f.arbor_id AND e.p = f.nid JOIN nodes n ON n.arbor_id = e.arbor_id AND n.nid = e.q WHERE {near})"""
+
+
+def flooded(name: str, near: str, f) -> None:
+    # the start's neighbours belong to it; what is beyond must be near
+    QUERIES[name] = lambda spark, sf: tidy(f(b(spark, sf)))
+    first = flood_sql(near).replace("  UNION SELECT s.arbor_id", "  UNION ALL SELECT s.arbor_id", 1)
+    recursive = first.split("flood AS (")[0] + "seeds AS (SELECT arbor_id, start, start AS nid, sx, sy, sz FROM starts UNION SELECT s.arbor_id, s.start, e.q, sx, sy, sz FROM starts s JOIN edges e ON e.arbor_id = s.arbor_id AND e.p = s.start),\n"
+    recursive += f"flood AS (SELECT * FROM seeds UNION SELECT f.arbor_id, f.start, e.q, sx, sy, sz FROM flood f JOIN edges e ON e.arbor_id = f.arbor_id AND e.p = f.nid JOIN nodes n ON n.arbor_id = e.arbor_id AND n.nid = e.q WHERE {near})"
+    ORACLES[name] = sql("arbor_id start nid", "SELECT DISTINCT arbor_id, start, nid FROM flood", B, recursive)
+
+
+flooded("radius", "(n.x-sx)*(n.x-sx) + (n.y-sy)*(n.y-sy) + (n.z-sz)*(n.z-sz) < 2500", lambda n: spatial.radius(n, n.where("nid = 20"), 50.0))
+flooded("radius_per_axis", "abs(n.x-sx) <= 60 AND abs(n.y-sy) <= 30 AND abs(n.z-sz) <= 5", lambda n: spatial.radius(n, n.where("nid = 20"), (60.0, 30.0, 5.0)))
+flooded("constrained_radius", "trunc(abs(n.x-sx)) <= 40 AND trunc(abs(n.y-sy)) <= 20 AND trunc(abs(n.z-sz)) <= 5", lambda n: spatial.constrained_radius(n, n.where("nid = 20"), 40, 20, 5))
+
+
+@query("radius_around_group", sql("arbor_id nid", "SELECT DISTINCT n.arbor_id, n.nid FROM nodes n JOIN nodes g ON g.arbor_id = n.arbor_id AND g.nid IN (4, 30) WHERE abs(n.x-g.x) < 35 AND abs(n.y-g.y) < 35 AND abs(n.z-g.z) < 35", B))
+def _(spark, sf):
+    nodes = b(spark, sf)
+    return spatial.around(nodes, nodes.where("nid in (4, 30)"), 35.0)
+
+
+@query("closest_node", sql("arbor_id nid d:distance", "SELECT arbor_id, nid, sqrt(d2) AS distance FROM (SELECT arbor_id, nid, d2, row_number() OVER (PARTITION BY arbor_id ORDER BY d2, nid) AS r FROM (SELECT arbor_id, nid, (x-200)*(x-200) + (y-40)*(y-40) + (z-3)*(z-3) AS d2 FROM nodes)) WHERE r = 1", A))
+def _(spark, sf):
+    nodes = a(spark, sf)
+    spots = nodes.select("arbor_id").distinct().select("arbor_id", *[F.lit(float(v)).alias("p" + c) for c, v in zip("xyz", (200, 40, 3), strict=True)])
+    return spatial.closest(nodes, spots).select("arbor_id", "nid", "distance")
+
+
+@query("edge_angles", sql("arbor_id nid d:angle d:length", "SELECT c.arbor_id, c.nid, acos(greatest(-1, least(1, ((c.x-p.x)*(p.x-g.x) + (c.y-p.y)*(p.y-g.y) + (c.z-p.z)*(p.z-g.z)) / (sqrt((c.x-p.x)*(c.x-p.x) + (c.y-p.y)*(c.y-p.y) + (c.z-p.z)*(c.z-p.z)) * sqrt((p.x-g.x)*(p.x-g.x) + (p.y-g.y)*(p.y-g.y) + (p.z-g.z)*(p.z-g.z)))))) AS angle, sqrt((c.x-p.x)*(c.x-p.x) + (c.y-p.y)*(c.y-p.y) + (c.z-p.z)*(c.z-p.z)) AS length FROM nodes c JOIN nodes p ON p.arbor_id = c.arbor_id AND p.nid = c.pid JOIN nodes g ON g.arbor_id = p.arbor_id AND g.nid = p.pid", B))
+def _(spark, sf):
+    nodes = b(spark, sf)
+    up = lambda m, k: nodes.select("arbor_id", F.col("nid").alias(k), F.col("pid").alias(m + "pid"), *[F.col(c).alias(m + c) for c in "xyz"])
+    e = nodes.where("pid is not null").join(up("p", "pid"), ["arbor_id", "pid"]).where("ppid is not null").join(up("g", "ppid"), ["arbor_id", "ppid"])
+    one, two = [F.col(c) - F.col("p" + c) for c in "xyz"], [F.col("p" + c) - F.col("g" + c) for c in "xyz"]
+    return e.select("arbor_id", "nid", spatial.angle(one, two).alias("angle"), spatial.distance([F.col(c) for c in "xyz"], [F.col("p" + c) for c in "xyz"]).alias("length"))
+
+
+# ------------------------------------------------------------------ volumes
+
+
+@query("fill_mask", sql("arbor_id nid i j k v", "SELECT arbor_id, nid, i // 2 AS i, j // 2 AS j, k AS k, CASE WHEN 255 * sum(v) > 127 * 4 THEN 1 ELSE 0 END AS v FROM masks GROUP BY arbor_id, nid, i // 2, j // 2, k", COMPACT, OFFSETS, MASKS))
+def _(spark, sf):
+    return volume.downsampled(masks_of(compact(spark, sf)), (2, 2, 1))
+
+
+@query("sphere", sql("i j k b:inside d:distance", "SELECT i, j, k, 4 * ((i-2)*(i-2)*16 + (j-2)*(j-2)*16 + (k-1)*(k-1)*100) <= 400 AS inside, sqrt((i-2)*(i-2)*16 + (j-2)*(j-2)*16 + (k-1)*(k-1)*100) / sqrt(228.0) AS distance FROM offsets WHERE k < 3", OFFSETS))
+def _(spark, sf):
+    view = volume.View((4, 4, 10), (5, 5, 3))
+    d = [F.col("d" + c) for c in "ijk"]
+    return volume.offsets(spark.range(1), view).select("i", "j", "k", view.in_sphere(*d).alias("inside"), view.distance(*d).alias("distance"))
+
+
+@query("voxel_accumulate", sql("arbor_id vx vy vz seg_count view_count d:distance", "SELECT * FROM voxels", *VOLUME))
+def _(spark, sf):
+    return voxels_of(compact(spark, sf))
+
+
+@query("voxel_interpolate", sql("arbor_id vx vy vz d:distance", """SELECT arbor_id, vx, vy, vz, min(CASE WHEN 4 * d2 <= 25 THEN sqrt(d2) / sqrt(12.0) END) AS distance FROM (
+  SELECT arbor_id, vx, vy, vz, d2 FROM fields UNION ALL
+  SELECT arbor_id, floor((c.x * s + c.px * (3 - s)) / 3) + i - 2, floor((c.y * s + c.py * (3 - s)) / 3) + j - 2, floor((c.z * s + c.pz * (3 - s)) / 3) + k - 2, (i-2)*(i-2) + (j-2)*(j-2) + (k-2)*(k-2)
+  FROM (SELECT n.arbor_id, n.x, n.y, n.z, p.x AS px, p.y AS py, p.z AS pz FROM nodes n JOIN nodes p ON p.arbor_id = n.arbor_id AND p.nid = n.pid) c, (SELECT unnest([1, 2]) AS s) q, offsets) GROUP BY ALL""", COMPACT, OFFSETS, FIELDS))
+def _(spark, sf):
+    import dataclasses
+
+    nodes = compact(spark, sf)
+    return volume.accumulate(nodes, masks_of(nodes), dataclasses.replace(VIEW, interpolate=2)).select("arbor_id", "vx", "vy", "vz", "distance")
+
+
+for _name, _kind in (("boolean", "b"), ("dist", "d"), ("viewed", "d"), ("dist_view", "d")):
+    _public = {"boolean": "boolean_mask", "dist": "dist_weighted_mask", "viewed": "view_weighted_mask", "dist_view": "dist_view_weighted_mask"}[_name]
+
+    @query(_public, sql(f"arbor_id nid i j k {_kind}:{_name}", f"SELECT arbor_id, nid, i, j, k, {_name} FROM weighted WHERE nid % 4 = 1", *VOLUME, WEIGHTED))
+    def _(spark, sf, name=_name):
+        nodes = compact(spark, sf)
+        return volume.weighted(nodes.where("nid % 4 = 1"), voxels_of(nodes), VIEW).select("arbor_id", "nid", "i", "j", "k", name)
+
+
+@query("regions", sql("arbor_id nid d:lo_x d:hi_x d:lo_z d:hi_z", "SELECT arbor_id, nid, floor(x / 4) * 4 - 8 AS lo_x, floor(x / 4) * 4 + 12 AS hi_x, floor(z / 10) * 10 - 10 AS lo_z, floor(z / 10) * 10 + 20 AS hi_z FROM nodes", A))
+def _(spark, sf):
+    return volume.region_of(a(spark, sf), volume.View((4, 4, 10), (5, 5, 3))).select("arbor_id", "nid", "lo_x", "hi_x", "lo_z", "hi_z")
+
+
+@query("voxel_bounds", sql("arbor_id nid lo_x hi_x lo_z hi_z", "SELECT arbor_id, nid, floor(x / 4) - 2 AS lo_x, floor(x / 4) + 3 AS hi_x, floor(z / 10) - 1 AS lo_z, floor(z / 10) + 2 AS hi_z FROM nodes", A))
+def _(spark, sf):
+    view = volume.View((4, 4, 10), (5, 5, 3))
+    return volume.to_voxels(volume.region_of(a(spark, sf), view), view.voxel).select("arbor_id", "nid", "lo_x", "hi_x", "lo_z", "hi_z")
+
+
+# ------------------------------------------------------------------ block volumes
+
+
+def block_table(spark, sf):
+    return blocks.from_voxels(voxels_of(compact(spark, sf)).where("seg_count > 0"), LEAF, "seg_count")
+
+
+LIVE = "live AS (SELECT arbor_id, vx, vy, vz, seg_count AS value FROM voxels WHERE seg_count > 0)"
+BLOCKS = "blocks AS (SELECT arbor_id, floor(vx / 8) AS bx, floor(vy / 8) AS by_, floor(vz / 8) AS bz, sum(value) AS total, count(*) AS n FROM live GROUP BY ALL)"
+
+
+@query("blocks", sql("arbor_id bx by bz d:total cells", "SELECT arbor_id, bx, by_ AS \"by\", bz, total, 512 AS cells FROM blocks", *VOLUME, LIVE, BLOCKS))
+def _(spark, sf):
+    total = F.aggregate("data", F.lit(0.0), lambda s, v: s + v)
+    return block_table(spark, sf).select("arbor_id", "bx", "by", "bz", total.alias("total"), F.size("data").alias("cells"))
+
+
+@query("region_read", sql("arbor_id vx vy vz d:value", "SELECT * FROM live WHERE vx >= 2 AND vx < 9 AND vy >= 1 AND vy < 5 AND vz >= 0 AND vz < 8", *VOLUME, LIVE))
+def _(spark, sf):
+    return blocks.get_region(block_table(spark, sf), LEAF, ((2, 9), (1, 5), (0, 8))).where("value <> 0")
+
+
+@query("region_write", sql("arbor_id d:total", "SELECT a.arbor_id, 9.0 * 10 * 8 * 9 + coalesce((SELECT sum(value) FROM live l WHERE l.arbor_id = a.arbor_id AND NOT (vx >= 0 AND vx < 10 AND vy >= 0 AND vy < 8 AND vz >= -1 AND vz < 8)), 0) AS total FROM (SELECT DISTINCT arbor_id FROM nodes) a", *VOLUME, LIVE))
+def _(spark, sf):
+    nodes = compact(spark, sf)
+    new = blocks.set_region(block_table(spark, sf), LEAF, ((0, 10), (0, 8), (-1, 8)), 9.0, nodes)
+    total = F.coalesce(F.col("uniform") * 512, F.aggregate("data", F.lit(0.0), lambda s, v: s + v))
+    return new.groupBy("arbor_id").agg(F.sum(total).alias("total"))
+
+
+@query("leaf_order", sql("arbor_id bx by bz rank", "SELECT arbor_id, bx, by_ AS \"by\", bz, row_number() OVER (PARTITION BY arbor_id ORDER BY " + " + ".join(f"((CAST(b{c} AS BIGINT) + 524288) >> {s} & 1) * {1 << 3 * s + 2 - d}" for s in range(20) for d, c in enumerate(("x", "y_", "z"))) + ") AS rank FROM blocks", *VOLUME, LIVE, BLOCKS))
+def _(spark, sf):
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy("arbor_id").orderBy("z"))
+    return blocks.leaves(block_table(spark, sf)).select("arbor_id", "bx", "by", "bz", rank.alias("rank"))
+
+
+@query("leaf_bounds", sql("arbor_id lo_x hi_x lo_z hi_z", "SELECT arbor_id, greatest(min(bx) * 8, 0) AS lo_x, least(max(bx) * 8 + 8, 15) AS hi_x, greatest(min(bz) * 8, 0) AS lo_z, least(max(bz) * 8 + 8, 15) AS hi_z FROM blocks GROUP BY arbor_id", *VOLUME, LIVE, BLOCKS))
+def _(spark, sf):
+    return blocks.leaf_bounds(block_table(spark, sf), LEAF, ((0, 15),) * 3).select("arbor_id", "lo_x", "hi_x", "lo_z", "hi_z")
+
+
+@query("fullness", sql("arbor_id d:fullness", "SELECT arbor_id, count(*) / 125.0 AS fullness FROM blocks GROUP BY arbor_id", *VOLUME, LIVE, BLOCKS))
+def _(spark, sf):
+    return blocks.fullness(block_table(spark, sf), LEAF, ((0, 40),) * 3)
+
+
+@query("map_blocks", sql("arbor_id vx vy vz d:value", "SELECT arbor_id, vx, vy, vz, value * 2 + 1 AS value FROM live WHERE value > 1", *VOLUME, LIVE))
+def _(spark, sf):
+    return blocks.to_voxels(blocks.mapped(block_table(spark, sf), lambda v: v * 2 + 1), LEAF).where("value > 3")
+
+
+@query("confidence", sql("arbor_id vx vy vz value", "SELECT arbor_id, vx, vy, vz, floor(255 * (seg_count / (view_count + 1.0))) AS value FROM voxels WHERE distance IS NOT NULL", *VOLUME))
+def _(spark, sf):
+    return blocks.confidence_bytes(voxels_of(compact(spark, sf)), 1.0)
+
+
+# ------------------------------------------------------------------ scores
+
+
+@query("branch_score", sql("arbor_id nid di dj dk d:score", "SELECT * FROM scores", *SCORED))
+def _(spark, sf):
+    nodes = compact(spark, sf)
+    return scores.branch_scores(nodes, voxels_of(nodes), VIEW)
+
+
+SMOOTH = """near AS (SELECT arbor_id, nid, nid AS other FROM nodes UNION ALL SELECT arbor_id, nid, pid FROM nodes WHERE pid IS NOT NULL UNION ALL SELECT arbor_id, pid, nid FROM nodes WHERE pid IS NOT NULL),
+means AS (SELECT n.arbor_id, n.nid, avg(di) AS mi, avg(dj) AS mj, avg(dk) AS mk FROM near n JOIN scores s ON s.arbor_id = n.arbor_id AND s.nid = n.other GROUP BY ALL),
+smooth AS (SELECT s.arbor_id, s.nid, di, dj, dk, score * CASE WHEN di = 0 AND dj = 0 AND dk = 0 THEN 0 ELSE greatest(1 - sqrt((di-mi)*(di-mi) + (dj-mj)*(dj-mj) + (dk-mk)*(dk-mk)) / sqrt(di*di + dj*dj + dk*dk), 0) END AS score FROM scores s JOIN means USING (arbor_id, nid))"""
+
+
+@query("branch_score_smoothed", sql("arbor_id nid di dj dk d:score", "SELECT * FROM smooth", *SCORED, SMOOTH))
+def _(spark, sf):
+    nodes = compact(spark, sf)
+    return scores.branch_scores(nodes, voxels_of(nodes), VIEW, consensus=True)
+
+
+@query("edge_connectivity", sql("arbor_id nid pid d:connectivity", "SELECT * FROM connect", COMPACT, OFFSETS, MASKS, CONNECT))
+def _(spark, sf):
+    nodes = compact(spark, sf)
+    return scores.connectivity(nodes, masks_of(nodes), VIEW)
+
+
+@query("ranking", sql("arbor_id nid pid d:connectivity d:branch_score d:dx d:dy d:dz", "SELECT n.arbor_id, n.nid, n.pid, c.connectivity, s.score AS branch_score, di AS dx, dj AS dy, dk AS dz FROM nodes n JOIN scores s USING (arbor_id, nid) LEFT JOIN connect c ON c.arbor_id = n.arbor_id AND c.nid = n.nid", *SCORED, CONNECT))
+def _(spark, sf):
+    nodes = compact(spark, sf)
+    return scores.ranking(nodes, masks_of(nodes), voxels_of(nodes), VIEW)
+
+
+MASS = "mass AS (SELECT arbor_id, nid, sum(v * (i / 2.0 - 1)) AS si, sum(v * (j / 2.0 - 1)) AS sj, sum(v * (k / 2.0 - 1)) AS sk FROM masks GROUP BY ALL), unit AS (SELECT *, sqrt(si*si + sj*sj + sk*sk) AS size FROM mass), centre AS (SELECT arbor_id, nid, CASE WHEN size < 1e-9 THEN 0 ELSE si / size END AS ux, CASE WHEN size < 1e-9 THEN 0 ELSE sj / size END AS uy, CASE WHEN size < 1e-9 THEN 0 ELSE sk / size END AS uz, size / 31.25 AS magnitude FROM unit)"
+
+
+@query("center_of_mass", sql("arbor_id nid d:ux d:uy d:uz d:magnitude", "SELECT * FROM centre", COMPACT, OFFSETS, MASKS, MASS))
+def _(spark, sf):
+    return scores.center_of_mass(masks_of(compact(spark, sf)), VIEW)
+
+
+@query("center_of_mass_relative", sql("arbor_id nid d:ux d:magnitude", "SELECT arbor_id, nid, ux, magnitude / max(magnitude) OVER (PARTITION BY arbor_id) AS magnitude FROM centre", COMPACT, OFFSETS, MASKS, MASS))
+def _(spark, sf):
+    return scores.relative_mass(scores.center_of_mass(masks_of(compact(spark, sf)), VIEW)).select("arbor_id", "nid", "ux", "magnitude")
+
+
+@query("center_of_mass_series", sql("arbor_id leaf_no pos nid d:x d:magnitude b:special", "SELECT w.arbor_id, w.leaf_no, w.pos, w.nid, k.x, c.magnitude, k.n_children <> 1 AS special FROM (SELECT arbor_id, row_number() OVER (PARTITION BY arbor_id ORDER BY path) - 1 AS leaf_no, unnest(range(len(path))) AS pos, unnest(path) AS nid FROM (SELECT p.* FROM paths p JOIN kids k USING (arbor_id, nid) WHERE k.n_children = 0)) w JOIN kids k ON k.arbor_id = w.arbor_id AND k.nid = w.nid LEFT JOIN centre c ON c.arbor_id = w.arbor_id AND c.nid = w.nid", COMPACT, OFFSETS, MASKS, MASS, PATHS, KIDS))
+def _(spark, sf):
+    nodes = compact(spark, sf)
+    trees = topology.index(nodes)
+    out = scores.center_of_mass_series(topology.root_leaf_paths(trees), trees, scores.center_of_mass(masks_of(nodes), VIEW))
+    return out.select("arbor_id", "leaf_no", "pos", "nid", "x", "magnitude", "special")
+
+
+@query("scores_after_cut", sql("arbor_id nid di dj dk d:score", "SELECT s.arbor_id, s.nid, CASE WHEN s.nid IN (2, 4) THEN di ELSE 0 END AS di, CASE WHEN s.nid IN (2, 4) THEN dj ELSE 0 END AS dj, CASE WHEN s.nid IN (2, 4) THEN dk ELSE 0 END AS dk, CASE WHEN s.nid IN (2, 4) THEN score ELSE s.nid / 100.0 END AS score FROM scores s JOIN paths p USING (arbor_id, nid) WHERE NOT list_contains(path, 3)", *SCORED, PATHS))
+def _(spark, sf):
+    nodes = compact(spark, sf)
+    trees = topology.index(nodes)
+    kept = topology.pruned(trees, trees.where("nid = 3"))
+    zero = F.lit(0).cast("bigint")
+    old = nodes.select("arbor_id", "nid", zero.alias("di"), zero.alias("dj"), zero.alias("dk"), (F.col("nid") / 100).alias("score"))
+    return scores.scores_after_cut(kept, kept.where("nid in (2, 4)"), voxels_of(nodes), old, VIEW)
+
+
+@query("connectivity_path")
+def _(spark, sf):
+    nodes = compact(spark, sf)
+    return scores.best_path(volume.weighted(nodes.where("nid % 7 = 1"), voxels_of(nodes), VIEW))
+
+
+# ------------------------------------------------------------------ graphs and segmentation
+
+
+@query("connected_components", sql("node component", "SELECT nodes.node, coalesce(min(r.reach), nodes.node) AS component FROM (SELECT u AS node FROM edges UNION SELECT v FROM edges) nodes LEFT JOIN reach r ON r.node = nodes.node GROUP BY nodes.node", EDGES, "ways AS (SELECT u, v FROM edges WHERE score <= 0.3 UNION SELECT v, u FROM edges WHERE score <= 0.3)", "reach AS (SELECT u AS node, u AS reach FROM ways UNION SELECT w.v, r.reach FROM reach r JOIN ways w ON w.u = r.node)"))
+def _(spark, sf):
+    e = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_orderkey % 40 = 1")
+    return graph.connected_components(e.select(F.col("l_partkey").alias("u"), (F.col("l_suppkey") + 1000000).alias("v"), (F.col("l_discount") * 10).alias("score")), 0.3)
+
+
+def fragments(spark, sf):
+    nodes = compact(spark, sf).where("arbor_id % 20 = 1")
+    ball = volume.fields(nodes, VIEW).where("di * di + dj * dj + dk * dk <= 4")
+    frags = ball.groupBy(F.col("vx").alias("x"), F.col("vy").alias("y"), F.col("vz").alias("z")).agg(F.min(F.col("arbor_id") * 100 + F.col("nid")).alias("frag_id"))
+    rag = nodes.where("pid is not null").select((F.col("arbor_id") * 100 + F.col("nid")).alias("u"), (F.col("arbor_id") * 100 + F.col("pid")).alias("v"), (F.col("nid") % 4 / 10).alias("score"))
+    return nodes, frags, rag
+
+
+LOCAL = (
+    COMPACT, OFFSETS, FRAGS, RAG,
+    "inside AS (SELECT arbor_id, nid, f.x, f.y, f.z, frag_id, f.x - n.x + 2 AS i, f.y - n.y + 2 AS j, f.z - n.z + 2 AS k FROM nodes n JOIN frags f ON abs(f.x - n.x) <= 2 AND abs(f.y - n.y) <= 2 AND abs(f.z - n.z) <= 2 WHERE n.arbor_id % 60 = 1)",
+    "here AS (SELECT DISTINCT arbor_id, nid, frag_id FROM inside)",
+    "near AS (SELECT a.arbor_id, a.nid, r.u, r.v FROM rag r JOIN here a ON a.frag_id = r.u JOIN here b ON b.arbor_id = a.arbor_id AND b.nid = a.nid AND b.frag_id = r.v WHERE score <= 0.2)",
+    "way AS (SELECT * FROM near UNION SELECT arbor_id, nid, v, u FROM near)",
+    "reach AS (SELECT arbor_id, nid, frag_id, frag_id AS label FROM here UNION SELECT w.arbor_id, w.nid, w.v, r.label FROM reach r JOIN way w ON w.arbor_id = r.arbor_id AND w.nid = r.nid AND w.u = r.frag_id)",
+    "labels AS (SELECT arbor_id, nid, frag_id, min(label) AS label FROM reach GROUP BY ALL)",
+)
+
+
+@query("local_segmentation", sql("roi_id x y z label", "SELECT arbor_id * 1000 + nid AS roi_id, x, y, z, label FROM inside JOIN labels USING (arbor_id, nid, frag_id)", *LOCAL))
+def _(spark, sf):
+    nodes, frags, rag = fragments(spark, sf)
+    boxes = volume.to_voxels(volume.region_of(nodes.where("arbor_id % 60 = 1"), VIEW), VIEW.voxel).withColumn("roi_id", F.col("arbor_id") * 1000 + F.col("nid"))
+    return graph.local_segmentation(boxes.drop("arbor_id", "nid"), frags, rag, 0.2)
+
+
+@query("segment_nodes", sql("arbor_id nid i j k v", "SELECT i.arbor_id, i.nid, i.i, i.j, i.k, CASE WHEN l.label = c.label THEN 1 ELSE 0 END AS v FROM inside i JOIN labels l USING (arbor_id, nid, frag_id) JOIN (SELECT i.arbor_id, i.nid, l.label FROM inside i JOIN labels l USING (arbor_id, nid, frag_id) WHERE i.i = 2 AND i.j = 2 AND i.k = 2) c ON c.arbor_id = i.arbor_id AND c.nid = i.nid", *LOCAL))
+def _(spark, sf):
+    nodes, frags, rag = fragments(spark, sf)
+    return segment.FragmentSegmenter(frags, rag, VIEW, 0.2).segment(nodes.where("arbor_id % 60 = 1"))
+
+
+@query("segment_by_model", sql("arbor_id nid i j k v", "SELECT arbor_id, nid, 2 AS i, 2 AS j, 2 AS k, 1 AS v FROM nodes WHERE nid % 2 = 0", A))
+def _(spark, sf):
+    def load():
+        return lambda f: f.assign(i=2, j=2, k=2 - (f.nid % 2), v=1)[["arbor_id", "nid", "i", "j", "k", "v"]]
+
+    return segment.ModelSegmenter(load, VIEW).segment(a(spark, sf))
+
+
+# ------------------------------------------------------------------ meshes and resampling
+
+CELLS = """corners AS (SELECT arbor_id, vx - di.range AS vx, vy - dj.range AS vy, vz - dk.range AS vz, value FROM live, range(2) di, range(2) dj, range(2) dk),
+cells AS (SELECT arbor_id, vx, vy, vz FROM corners GROUP BY ALL HAVING count(*) < 8)"""
+
+
+def surface_voxels(spark, sf):
+    return voxels_of(compact(spark, sf)).where("seg_count > 0").select("arbor_id", "vx", "vy", "vz", F.col("seg_count").alias("value"))
+
+
+@query("edge_voxels", sql("arbor_id vx vy vz", "SELECT * FROM cells", *VOLUME, LIVE, CELLS))
+def _(spark, sf):
+    return mesh.edge_cells(surface_voxels(spark, sf), 0.5).drop("w")
+
+
+@query("mesh_vertices", sql("arbor_id d:x d:y d:z d:scalar", "SELECT c.arbor_id, c.x * 4 AS x, c.y * 4 AS y, c.z * 10 AS z, coalesce(l.value, 0) AS scalar FROM (SELECT DISTINCT arbor_id, vx + di.range AS x, vy + dj.range AS y, vz + dk.range AS z FROM cells, range(2) di, range(2) dj, range(2) dk) c LEFT JOIN live l ON l.arbor_id = c.arbor_id AND l.vx = c.x AND l.vy = c.y AND l.vz = c.z", *VOLUME, LIVE, CELLS))
+def _(spark, sf):
+    return mesh.corners(mesh.edge_cells(surface_voxels(spark, sf), 0.5), (4, 4, 10)).drop("vid")
+
+
+@query("mesh_cells", sql("arbor_id cid last corners", "SELECT arbor_id, (CAST(vx + 1048576 AS BIGINT) << 42) + (CAST(vy + 1048576 AS BIGINT) << 21) + CAST(vz + 1048576 AS BIGINT) AS cid, (CAST(vx + 1048577 AS BIGINT) << 42) + (CAST(vy + 1048577 AS BIGINT) << 21) + CAST(vz + 1048577 AS BIGINT) AS last, 8 AS corners FROM cells", *VOLUME, LIVE, CELLS))
+def _(spark, sf):
+    h = mesh.hexahedra(mesh.edge_cells(surface_voxels(spark, sf), 0.5))
+    return h.select("arbor_id", "cid", F.element_at("vids", -1).alias("last"), F.size("vids").alias("corners"))
+
+
+@query("surface")
+def _(spark, sf):
+    return mesh.surface(surface_voxels(spark, sf).where("arbor_id % 10 = 1"), 0.5, (4, 4, 10))
+
+
+@query("surface_decimated")
+def _(spark, sf):
+    return mesh.surface(surface_voxels(spark, sf).where("arbor_id % 10 = 1"), 0.5, (1, 1, 1), 2.0)
+
+
+@query("resample")
+def _(spark, sf):
+    return resample.resampled(index_b(spark, sf), 15.0)
+
+
+@query("resample_gaussian")
+def _(spark, sf):
+    return resample.resampled(index_b(spark, sf), 15.0, 0.05, "gaussian")
