@@ -43,7 +43,7 @@ def connected_components(edges: DataFrame, threshold: float | None = None, round
     return nodes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def local_segmentation(regions: DataFrame, fragments: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
+def local_segmentation(regions: DataFrame, fragments: DataFrame, edges: DataFrame, threshold: float, cell: int = 16) -> DataFrame:
     """Fragments of every region relabelled by components: ``roi_id, x, y, z, label``.
 
     ``regions`` has ``roi_id`` and half-open voxel boxes ``lo_x .. hi_z``; ``fragments`` ``x, y, z, frag_id``;
@@ -51,7 +51,7 @@ def local_segmentation(regions: DataFrame, fragments: DataFrame, edges: DataFram
     are the least fragment id of the component, so fragments outside the graph keep their own and
     cannot clash with another's.
     """
-    inside = in_regions(regions, fragments)
+    inside = cut(in_regions(regions, fragments, cell))
     here = inside.select("roi_id", "frag_id").distinct()
     ends = here.join(edges.where(F.col("score") <= threshold).select(F.col("u").alias("frag_id"), "v"), "frag_id")
     ends = ends.join(here.select("roi_id", F.col("frag_id").alias("v")), ["roi_id", "v"])
@@ -62,8 +62,11 @@ def local_segmentation(regions: DataFrame, fragments: DataFrame, edges: DataFram
     return inside.join(labels, ["roi_id", "frag_id"], "left").select("roi_id", "x", "y", "z", F.coalesce("label", "frag_id").alias("label"))
 
 
-def in_regions(regions: DataFrame, points: DataFrame, cell: int = 64) -> DataFrame:
-    """``points`` joined to the boxes that hold them, by the cells of side ``cell`` that a box touches."""
+def in_regions(regions: DataFrame, points: DataFrame, cell: int = 16) -> DataFrame:
+    """``points`` joined to the boxes that hold them, by the cells of side ``cell`` that a box touches.
+
+    Cells about as large as the boxes serve best.
+    """
     r = regions
     for a in "xyz":
         lo, hi = F.floor(F.col(f"lo_{a}") / cell), F.floor((F.col(f"hi_{a}") - 1) / cell)
@@ -76,12 +79,12 @@ def in_regions(regions: DataFrame, points: DataFrame, cell: int = 64) -> DataFra
     return p.join(r, ["cx", "cy", "cz"]).where(fit).drop(*drop)
 
 
-def center_object(regions: DataFrame, fragments: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
+def center_object(regions: DataFrame, fragments: DataFrame, edges: DataFrame, threshold: float, cell: int = 16) -> DataFrame:
     """``roi_id, i, j, k, v``: 1 where a voxel of the region is of the component of the region's middle.
 
     Regions whose middle has no fragment yield nothing.
     """
-    labels = local_segmentation(regions, fragments, edges, threshold)
+    labels = cut(local_segmentation(regions, fragments, edges, threshold, cell))
     middle = regions.select("roi_id", *[(F.col(f"lo_{a}") + F.floor((F.col(f"hi_{a}") - F.col(f"lo_{a}")) / 2)).cast("bigint").alias(a) for a in "xyz"])
     core = labels.join(middle, ["roi_id", "x", "y", "z"]).select("roi_id", F.col("label").alias("core"))
     low = regions.select("roi_id", *[f"lo_{a}" for a in "xyz"])

@@ -37,7 +37,7 @@ class FragmentSegmenter:
 
     def segment(self, nodes: DataFrame) -> DataFrame:
         r = self.regions(nodes)
-        found = graph.center_object(r.drop("arbor_id", "nid"), self.fragments, self.edges, self.threshold)
+        found = graph.center_object(r.drop("arbor_id", "nid"), self.fragments, self.edges, self.threshold, max(4, max(self.view.fov)))
         return found.join(r.select("roi_id", "arbor_id", "nid"), "roi_id").select("arbor_id", "nid", "i", "j", "k", "v")
 
 

@@ -122,9 +122,9 @@ CONNECT = """connect AS (
   ON b.arbor_id = e.arbor_id AND b.nid = e.nid)"""
 VOLUME = (COMPACT, OFFSETS, MASKS, FIELDS, VOXELS)
 SCORED = (*VOLUME, WEIGHTED, SCORES)
-EDGES = "edges AS (SELECT l_partkey AS u, 1000000 + l_suppkey AS v, l_discount * 10 AS score FROM lineitem WHERE l_orderkey % 40 = 1)"
-FRAGS = "frags AS (SELECT vx AS x, vy AS y, vz AS z, min(arbor_id * 100 + nid) AS frag_id FROM (SELECT arbor_id, nid, x + i - 2 AS vx, y + j - 2 AS vy, z + k - 2 AS vz FROM nodes, offsets WHERE arbor_id % 20 = 1 AND (i-2)*(i-2) + (j-2)*(j-2) + (k-2)*(k-2) <= 4) GROUP BY ALL)"
-RAG = "rag AS (SELECT arbor_id * 100 + nid AS u, arbor_id * 100 + pid AS v, (nid % 4) / 10.0 AS score FROM nodes WHERE pid IS NOT NULL AND arbor_id % 20 = 1)"
+EDGES = "edges AS (SELECT arbor_id * 100000 + nid AS u, arbor_id * 100000 + pid AS v, (y % 10) / 10.0 AS score FROM nodes WHERE pid IS NOT NULL)"
+FRAGS = "frags AS (SELECT vx AS x, vy AS y, vz AS z, min(arbor_id * 100 + nid) AS frag_id FROM (SELECT arbor_id, nid, x + i - 2 AS vx, y + j - 2 AS vy, z + k - 2 AS vz FROM nodes, offsets WHERE (i-2)*(i-2) + (j-2)*(j-2) + (k-2)*(k-2) <= 4) GROUP BY ALL)"
+RAG = "rag AS (SELECT arbor_id * 100 + nid AS u, arbor_id * 100 + pid AS v, (nid % 4) / 10.0 AS score FROM nodes WHERE pid IS NOT NULL)"
 
 
 def a(spark, sf):
@@ -307,10 +307,10 @@ def _(spark, sf):
     return topology.subtree(nodes, nodes.where("nid in (2, 3)"))
 
 
-@query("ancestors", sql("arbor_id nid anc dist", "SELECT * FROM closure WHERE nid % 3 = 1", A, PATHS, CLOSURE))
+@query("ancestors", sql("arbor_id nid anc dist", "SELECT * FROM closure", A, PATHS, CLOSURE))
 def _(spark, sf):
     nodes = index_a(spark, sf)
-    return topology.ancestors(nodes, nodes.where("nid % 3 = 1"))
+    return topology.ancestors(nodes, nodes)
 
 
 @query("segments", sql("arbor_id seg_id pos nid", "SELECT * FROM segs", B, PATHS, KIDS, SEGS))
@@ -486,13 +486,13 @@ def _(spark, sf):
     return volume.accumulate(nodes, masks_of(nodes), dataclasses.replace(VIEW, interpolate=2)).select("arbor_id", "vx", "vy", "vz", "distance")
 
 
-for _name, _kind in (("boolean", "b"), ("dist", "d"), ("viewed", "d"), ("dist_view", "d")):
-    _public = {"boolean": "boolean_mask", "dist": "dist_weighted_mask", "viewed": "view_weighted_mask", "dist_view": "dist_view_weighted_mask"}[_name]
+for _name, _public in (("boolean", "boolean_mask"), ("dist", "dist_weighted_mask"), ("viewed", "view_weighted_mask"), ("dist_view", "dist_view_weighted_mask")):
 
-    @query(_public, sql(f"arbor_id nid i j k {_kind}:{_name}", f"SELECT arbor_id, nid, i, j, k, {_name} FROM weighted WHERE nid % 4 = 1", *VOLUME, WEIGHTED))
+    @query(_public, sql("arbor_id nid voxels lit d:total d:most", f"SELECT arbor_id, nid, count(*) AS voxels, count(*) FILTER (WHERE v > 0) AS lit, sum(v) AS total, max(v) AS most FROM (SELECT arbor_id, nid, CAST({_name} AS DOUBLE) AS v FROM weighted) GROUP BY ALL", *VOLUME, WEIGHTED))
     def _(spark, sf, name=_name):
         nodes = compact(spark, sf)
-        return volume.weighted(nodes.where("nid % 4 = 1"), voxels_of(nodes), VIEW).select("arbor_id", "nid", "i", "j", "k", name)
+        w = volume.weighted(nodes, voxels_of(nodes), VIEW).withColumn("v", F.col(name).cast("double"))
+        return w.groupBy("arbor_id", "nid").agg(F.count(F.lit(1)).alias("voxels"), F.count_if(F.col("v") > 0).alias("lit"), F.sum("v").alias("total"), F.max("v").alias("most"))
 
 
 @query("regions", sql("arbor_id nid d:lo_x d:hi_x d:lo_z d:hi_z", "SELECT arbor_id, nid, floor(x / 4) * 4 - 8 AS lo_x, floor(x / 4) * 4 + 12 AS hi_x, floor(z / 10) * 10 - 10 AS lo_z, floor(z / 10) * 10 + 20 AS hi_z FROM nodes", A))
@@ -630,20 +630,21 @@ def _(spark, sf):
 @query("connectivity_path")
 def _(spark, sf):
     nodes = compact(spark, sf)
-    return scores.best_path(volume.weighted(nodes.where("nid % 7 = 1"), voxels_of(nodes), VIEW))
+    return scores.best_path(volume.weighted(nodes, voxels_of(nodes), VIEW))
 
 
 # ------------------------------------------------------------------ graphs and segmentation
 
 
-@query("connected_components", sql("node component", "SELECT nodes.node, coalesce(min(r.reach), nodes.node) AS component FROM (SELECT u AS node FROM edges UNION SELECT v FROM edges) nodes LEFT JOIN reach r ON r.node = nodes.node GROUP BY nodes.node", EDGES, "ways AS (SELECT u, v FROM edges WHERE score <= 0.3 UNION SELECT v, u FROM edges WHERE score <= 0.3)", "reach AS (SELECT u AS node, u AS reach FROM ways UNION SELECT w.v, r.reach FROM reach r JOIN ways w ON w.u = r.node)"))
+@query("connected_components", sql("node component", "SELECT nodes.node, coalesce(min(r.reach), nodes.node) AS component FROM (SELECT u AS node FROM edges UNION SELECT v FROM edges) nodes LEFT JOIN reach r ON r.node = nodes.node GROUP BY nodes.node", B, EDGES, "ways AS (SELECT u, v FROM edges WHERE score <= 0.7 UNION SELECT v, u FROM edges WHERE score <= 0.7)", "reach AS (SELECT u AS node, u AS reach FROM ways UNION SELECT w.v, r.reach FROM reach r JOIN ways w ON w.u = r.node)"))
 def _(spark, sf):
-    e = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_orderkey % 40 = 1")
-    return graph.connected_components(e.select(F.col("l_partkey").alias("u"), (F.col("l_suppkey") + 1000000).alias("v"), (F.col("l_discount") * 10).alias("score")), 0.3)
+    e = b(spark, sf).where("pid is not null")
+    end = lambda c: (F.col("arbor_id") * 100000 + F.col(c))
+    return graph.connected_components(e.select(end("nid").alias("u"), end("pid").alias("v"), (F.col("y") % 10 / 10).alias("score")), 0.7)
 
 
 def fragments(spark, sf):
-    nodes = compact(spark, sf).where("arbor_id % 20 = 1")
+    nodes = compact(spark, sf)
     ball = volume.fields(nodes, VIEW).where("di * di + dj * dj + dk * dk <= 4")
     frags = ball.groupBy(F.col("vx").alias("x"), F.col("vy").alias("y"), F.col("vz").alias("z")).agg(F.min(F.col("arbor_id") * 100 + F.col("nid")).alias("frag_id"))
     rag = nodes.where("pid is not null").select((F.col("arbor_id") * 100 + F.col("nid")).alias("u"), (F.col("arbor_id") * 100 + F.col("pid")).alias("v"), (F.col("nid") % 4 / 10).alias("score"))
@@ -652,7 +653,7 @@ def fragments(spark, sf):
 
 LOCAL = (
     COMPACT, OFFSETS, FRAGS, RAG,
-    "inside AS (SELECT arbor_id, nid, f.x, f.y, f.z, frag_id, f.x - n.x + 2 AS i, f.y - n.y + 2 AS j, f.z - n.z + 2 AS k FROM nodes n JOIN frags f ON abs(f.x - n.x) <= 2 AND abs(f.y - n.y) <= 2 AND abs(f.z - n.z) <= 2 WHERE n.arbor_id % 60 = 1)",
+    "inside AS (SELECT arbor_id, nid, f.x, f.y, f.z, frag_id, f.x - n.x + 2 AS i, f.y - n.y + 2 AS j, f.z - n.z + 2 AS k FROM nodes n JOIN frags f ON abs(f.x - n.x) <= 2 AND abs(f.y - n.y) <= 2 AND abs(f.z - n.z) <= 2)",
     "here AS (SELECT DISTINCT arbor_id, nid, frag_id FROM inside)",
     "near AS (SELECT a.arbor_id, a.nid, r.u, r.v FROM rag r JOIN here a ON a.frag_id = r.u JOIN here b ON b.arbor_id = a.arbor_id AND b.nid = a.nid AND b.frag_id = r.v WHERE score <= 0.2)",
     "way AS (SELECT * FROM near UNION SELECT arbor_id, nid, v, u FROM near)",
@@ -661,17 +662,19 @@ LOCAL = (
 )
 
 
-@query("local_segmentation", sql("roi_id x y z label", "SELECT arbor_id * 1000 + nid AS roi_id, x, y, z, label FROM inside JOIN labels USING (arbor_id, nid, frag_id)", *LOCAL))
+@query("local_segmentation", sql("roi_id voxels labels least total", "SELECT arbor_id * 1000 + nid AS roi_id, count(*) AS voxels, count(DISTINCT label) AS labels, min(label) AS least, sum(label) AS total FROM inside JOIN labels USING (arbor_id, nid, frag_id) GROUP BY ALL", *LOCAL))
 def _(spark, sf):
     nodes, frags, rag = fragments(spark, sf)
-    boxes = volume.to_voxels(volume.region_of(nodes.where("arbor_id % 60 = 1"), VIEW), VIEW.voxel).withColumn("roi_id", F.col("arbor_id") * 1000 + F.col("nid"))
-    return graph.local_segmentation(boxes.drop("arbor_id", "nid"), frags, rag, 0.2)
+    boxes = volume.to_voxels(volume.region_of(nodes, VIEW), VIEW.voxel).withColumn("roi_id", F.col("arbor_id") * 1000 + F.col("nid"))
+    out = graph.local_segmentation(boxes.drop("arbor_id", "nid"), frags, rag, 0.2, cell=4)
+    return out.groupBy("roi_id").agg(F.count(F.lit(1)).alias("voxels"), F.countDistinct("label").alias("labels"), F.min("label").alias("least"), F.sum("label").alias("total"))
 
 
-@query("segment_nodes", sql("arbor_id nid i j k v", "SELECT i.arbor_id, i.nid, i.i, i.j, i.k, CASE WHEN l.label = c.label THEN 1 ELSE 0 END AS v FROM inside i JOIN labels l USING (arbor_id, nid, frag_id) JOIN (SELECT i.arbor_id, i.nid, l.label FROM inside i JOIN labels l USING (arbor_id, nid, frag_id) WHERE i.i = 2 AND i.j = 2 AND i.k = 2) c ON c.arbor_id = i.arbor_id AND c.nid = i.nid", *LOCAL))
+@query("segment_nodes", sql("arbor_id nid voxels own", "SELECT i.arbor_id, i.nid, count(*) AS voxels, sum(CASE WHEN l.label = c.label THEN 1 ELSE 0 END) AS own FROM inside i JOIN labels l USING (arbor_id, nid, frag_id) JOIN (SELECT i.arbor_id, i.nid, l.label FROM inside i JOIN labels l USING (arbor_id, nid, frag_id) WHERE i.i = 2 AND i.j = 2 AND i.k = 2) c ON c.arbor_id = i.arbor_id AND c.nid = i.nid GROUP BY ALL", *LOCAL))
 def _(spark, sf):
     nodes, frags, rag = fragments(spark, sf)
-    return segment.FragmentSegmenter(frags, rag, VIEW, 0.2).segment(nodes.where("arbor_id % 60 = 1"))
+    out = segment.FragmentSegmenter(frags, rag, VIEW, 0.2).segment(nodes)
+    return out.groupBy("arbor_id", "nid").agg(F.count(F.lit(1)).alias("voxels"), F.sum("v").alias("own"))
 
 
 @query("segment_by_model", sql("arbor_id nid i j k v", "SELECT arbor_id, nid, 2 AS i, 2 AS j, 2 AS k, 1 AS v FROM nodes WHERE nid % 2 = 0", A))
@@ -708,14 +711,23 @@ def _(spark, sf):
     return h.select("arbor_id", "cid", F.element_at("vids", -1).alias("last"), F.size("vids").alias("corners"))
 
 
+def measured(triangles: DataFrame) -> DataFrame:
+    """Per arbor: triangles, area, and the volume they enclose."""
+    p, q, r = ([F.col(m + c) for c in "xyz"] for m in "abc")
+    cross = lambda u, v: [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+    n = cross([y - x for x, y in zip(p, q, strict=True)], [y - x for x, y in zip(p, r, strict=True)])
+    six = sum(x * y for x, y in zip(p, cross(q, r), strict=True))
+    return triangles.groupBy("arbor_id").agg(F.count(F.lit(1)).alias("triangles"), (F.sum(F.sqrt(sum(c * c for c in n))) / 2).alias("area"), (F.sum(six) / 6).alias("volume"))
+
+
 @query("surface")
 def _(spark, sf):
-    return mesh.surface(surface_voxels(spark, sf).where("arbor_id % 10 = 1"), 0.5, (4, 4, 10))
+    return measured(mesh.surface(surface_voxels(spark, sf), 0.5, (4, 4, 10)))
 
 
 @query("surface_decimated")
 def _(spark, sf):
-    return mesh.surface(surface_voxels(spark, sf).where("arbor_id % 10 = 1"), 0.5, (1, 1, 1), 2.0)
+    return measured(mesh.surface(surface_voxels(spark, sf), 0.5, (1, 1, 1), 2.0))
 
 
 @query("resample")
