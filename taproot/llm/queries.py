@@ -108,3 +108,35 @@ SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, b32
        CASE WHEN first <> page_id THEN first END AS refers_to
 FROM q
 """
+
+_REACH = """ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a AS node, a AS root FROM ways UNION SELECT w.b, r.root FROM reach r JOIN ways w ON w.a = r.node),
+comps AS (SELECT node, min(root) AS component FROM reach GROUP BY node)"""
+
+ORACLES["op4_caps"] = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.93),
+{_REACH}
+SELECT e.vec_id, CAST(count(w.b) AS BIGINT) AS n_links, coalesce(any_value(c.component), e.vec_id) AS component_id,
+       coalesce(any_value(c.component), e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN ways w ON w.a = e.vec_id LEFT JOIN comps c ON c.node = e.vec_id GROUP BY e.vec_id
+"""
+
+ORACLES["op10_minhash"] = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) END AS sh FROM w),
+e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM e x JOIN e y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * c >= 80 * (len(x.sh) + len(y.sh) - c)),
+{_REACH}
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, coalesce(component, s.doc_id) AS component_id, coalesce(component, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN comps ON node = s.doc_id
+"""
