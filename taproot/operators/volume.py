@@ -105,6 +105,14 @@ def downsampled(masks: DataFrame, factor: Triple) -> DataFrame:
     return grouped.select("arbor_id", "nid", "i", "j", "k", (255 * F.col("n") > 127 * block).cast("tinyint").alias("v"))
 
 
+def filled(masks: DataFrame, new: DataFrame) -> DataFrame:
+    """``masks`` with those of ``new`` nodes; a node that has a mask already raises."""
+    twice = new.join(masks.select("arbor_id", "nid").distinct().withColumn("old_", F.lit(True)), ["arbor_id", "nid"], "left")
+    kept = F.when(F.col("old_").isNull(), F.col("v")).otherwise(F.raise_error(F.format_string("node %d has a mask", F.col("nid"))).cast("tinyint"))
+    cols = ["arbor_id", "nid", "i", "j", "k"]
+    return masks.select(*cols, "v").union(twice.select(*cols, kept.cast("tinyint").alias("v")))
+
+
 def is_filled(nodes: DataFrame, masks: DataFrame) -> DataFrame:
     return nodes.join(masks.select("arbor_id", "nid"), ["arbor_id", "nid"], "left_semi")
 

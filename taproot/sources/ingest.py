@@ -59,6 +59,13 @@ def last_wins(nodes: DataFrame, ordinal: str) -> DataFrame:
     return best.select("arbor_id", "nid", *[F.col("row_")[c].alias(c) for c in rest if c != ordinal])
 
 
+def with_centers(nodes: DataFrame, centers: DataFrame) -> DataFrame:
+    """Nodes whose missing centres are filled in from ``centers(arbor_id, nid, x, y, z)``; set ones stay."""
+    new = centers.select("arbor_id", "nid", *[F.col(c).alias("new_" + c) for c in "xyz"])
+    both = nodes.join(new, ["arbor_id", "nid"], "left")
+    return both.withColumns({c: F.coalesce(c, "new_" + c) for c in "xyz"}).drop("new_x", "new_y", "new_z")
+
+
 def build_tree(nodes: DataFrame) -> DataFrame:
     """The largest tree of each arbor, indexed; see ``topology.index``."""
     return topology.index(nodes)
