@@ -106,14 +106,14 @@ class FragmentSource:
         object.__setattr__(self, "shift", _triple(self.shift))
 
 
-SECTIONS = {"segmentations": Segmentation, "skeleton": Skeletons, "cached_lsd": FragmentSource}
+SECTIONS = {"segmentations": Segmentation, "skeleton": Skeletons, "fragments": FragmentSource}
 
 
 @dataclass(frozen=True)
 class Config:
     segmentations: Segmentation = field(default_factory=Segmentation)
     skeleton: Skeletons = field(default_factory=Skeletons)
-    cached_lsd: FragmentSource = field(default_factory=FragmentSource)
+    fragments: FragmentSource = field(default_factory=FragmentSource)
 
     @staticmethod
     def of(settings: dict[str, Any] | None = None) -> Config:

@@ -105,9 +105,9 @@ def center_of_mass_series(paths: DataFrame, nodes: DataFrame, mass: DataFrame) -
 
 
 def relative_mass(mass: DataFrame) -> DataFrame:
-    """Magnitudes as shares of the arbor's greatest."""
+    """Magnitudes as shares of the arbor's greatest; 0 where all are 0."""
     top = mass.groupBy("arbor_id").agg(F.max("magnitude").alias("top"))
-    return mass.join(top, "arbor_id").select("arbor_id", "nid", "ux", "uy", "uz", (F.col("magnitude") / F.nullif("top", F.lit(0.0))).alias("magnitude"))
+    return mass.join(top, "arbor_id").select("arbor_id", "nid", "ux", "uy", "uz", F.when(F.col("top") == 0, 0.0).otherwise(F.col("magnitude") / F.nullif("top", F.lit(0.0))).alias("magnitude"))
 
 
 def rescored(old: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -604,7 +604,7 @@ def _(spark, sf):
     return scores.center_of_mass(masks_of(compact(spark, sf)), VIEW)
 
 
-@query("center_of_mass_relative", sql("arbor_id nid d:ux d:magnitude", "SELECT arbor_id, nid, ux, magnitude / max(magnitude) OVER (PARTITION BY arbor_id) AS magnitude FROM centre", COMPACT, OFFSETS, MASKS, MASS))
+@query("center_of_mass_relative", sql("arbor_id nid d:ux d:magnitude", "SELECT arbor_id, nid, ux, CASE WHEN max(magnitude) OVER (PARTITION BY arbor_id) = 0 THEN 0 ELSE magnitude / max(magnitude) OVER (PARTITION BY arbor_id) END AS magnitude FROM centre", COMPACT, OFFSETS, MASKS, MASS))
 def _(spark, sf):
     return scores.relative_mass(scores.center_of_mass(masks_of(compact(spark, sf)), VIEW)).select("arbor_id", "nid", "ux", "magnitude")
 

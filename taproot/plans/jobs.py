@@ -41,7 +41,7 @@ def from_fragments(spark: SparkSession, config: Config, fragments: str, edges: s
     nodes = ingest.read_csv(spark, csv or config.skeleton.csv)
     trees = prepared(nodes, config)
     view = volume.View.of(config.segmentations)
-    source = FragmentSegmenter(spark.read.parquet(fragments), spark.read.parquet(edges), view, config.cached_lsd.threshold, config.cached_lsd.shift)
+    source = FragmentSegmenter(spark.read.parquet(fragments), spark.read.parquet(edges), view, config.fragments.threshold, config.fragments.shift)
     tables = ranked(trees, source, config)
     if out or config.skeleton.output_file_base:
         artefacts.save(out or config.skeleton.output_file_base, config, **tables)

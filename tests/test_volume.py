@@ -251,7 +251,7 @@ def test_config_round_trip(tmp_path):
 
 def test_jobs_save_load_cli_stream(spark, tmp_path):
     (tmp_path / "n.csv").write_text("".join(f"{n},{'null' if n == p else p},{4 * x},{4 * y},{4 * z}\n" for n, p, x, y, z in TOY))
-    text = "[segmentations]\nresolution_phys=[1,1,1]\ndownsample_factor=[1,1,1]\nfov_shape=[5,5,5]\nleaf_shape_voxels=[8,8,8]\n[skeleton]\nresample_delta=4\n[cached_lsd]\nshift=[0,0,0]\n"
+    text = "[segmentations]\nresolution_phys=[1,1,1]\ndownsample_factor=[1,1,1]\nfov_shape=[5,5,5]\nleaf_shape_voxels=[8,8,8]\n[skeleton]\nresample_delta=4\n[fragments]\nshift=[0,0,0]\n"
     (tmp_path / "c.toml").write_text(text)
     frag = spark.createDataFrame([(x, y, z, 1 + (x > 8)) for x in range(-4, 26) for y in range(-4, 18) for z in range(-3, 4)], "x long, y long, z long, frag_id long")
     frag.write.parquet(f"{tmp_path}/frag")
