@@ -83,6 +83,15 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple,
         yield name, pa.Table.from_batches(held)
 
 
+def vectors_of(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of an Arrow column as arrays over its own buffers, without a Python object per number."""
+    out: list[np.ndarray] = []
+    for chunk in column.chunks:
+        cuts, values = chunk.offsets.to_numpy(), chunk.values.to_numpy()
+        out += [values[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    return out
+
+
 def loosened(df: DataFrame, key: str) -> DataFrame:
     """``df`` dealt evenly, but not by the aggregation key ``key`` itself.
 
@@ -138,4 +147,4 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return stars.select(F.col("u").alias("node"), "component").union(roots)
 
 
-__all__ = ["DataFrame", "F", "SparkSession", "Window", "blocked", "components", "hash_sample", "loosened", "runs", "shared_dir", "table", "written"]
+__all__ = ["DataFrame", "F", "SparkSession", "Window", "blocked", "components", "hash_sample", "loosened", "runs", "shared_dir", "table", "vectors_of", "written"]

@@ -10,13 +10,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from taproot.llm.common import F, hash_sample
+from taproot.llm.common import F, hash_sample, vectors_of
 
-LETTER = re.compile(r"[^\W\d_]").search
+_WORDLIKE = re.compile(r"[^\W\d_]").finditer
 UNKNOWN = "und"
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
+def has_letter(text: str) -> bool:
+    """Superscripts and fractions are word characters to ``re``, but no letters."""
+    return any(m[0].isalpha() for m in _WORDLIKE(text))
+
+
 def ngram_counts(text: str, bits: int = 15) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the 1- to 3-grams of the whole lower-case text, and how often each occurs.
 
@@ -55,7 +60,7 @@ class Model:
         return self.tfidf(found, counts) @ self.weights[self.rows[found]] + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages or not LETTER(text):
+        if not text or not self.languages or not has_letter(text):
             return UNKNOWN, 0.0
         p = softmax(self.logits(*ngram_counts(text, self.bits)).astype(float) / self.temperature)
         k = int(p.argmax())
@@ -133,23 +138,23 @@ def train(labelled: DataFrame, *, max_rows: int = 3000, bits: int = 15, text: st
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [(h, g, *ngram_counts(t, bits)) for h, t, g in zip(*(c.to_pylist() for c in batch.columns), strict=True) if LETTER(t)]
+            got = [(h, g, *ngram_counts(t, bits)) for h, t, g in zip(*(c.to_pylist() for c in batch.columns), strict=True) if has_letter(t)]
             cols = [
                 pa.array([x[0] for x in got], pa.int64()),
                 pa.array([x[1] for x in got], pa.string()),
                 pa.array([x[2] for x in got], pa.list_(pa.int32())),
-                pa.array([x[3] for x in got], pa.list_(pa.int64())),
+                pa.array([x[3] for x in got], pa.list_(pa.int32())),
             ]
             yield pa.RecordBatch.from_arrays(cols, names=["h", "lang", "found", "counts"])
 
     picked = (
         hash_sample(rows, "h", max_rows)
         .select("h", F.col(text), F.col(lang).cast("string"))
-        .mapInArrow(count, "h bigint, lang string, found array<int>, counts array<bigint>")
+        .mapInArrow(count, "h bigint, lang string, found array<int>, counts array<int>")
         .toArrow()
     )
     sample = sorted(
-        ((h, g, np.array(f, np.int32), np.array(c)) for h, g, f, c in zip(*(picked.column(k).to_pylist() for k in range(4)), strict=True)),
+        zip(picked.column(0).to_pylist(), picked.column(1).to_pylist(), vectors_of(picked.column(2)), vectors_of(picked.column(3)), strict=True),
         key=lambda r: (r[0], r[1], len(r[2]), int(r[3].sum())),
     )
     languages = sorted({r[1] for r in sample})

@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from taproot.llm.common import F, hash_sample, written
+from taproot.llm.common import F, hash_sample, vectors_of, written
 from taproot.llm.langid import calibrate, fit_ftrl, softmax
 
 BITS = 15
@@ -25,7 +25,7 @@ class Buckets(dict):
     """Word -> two buckets, of its bare lower-case letters and of its shape, in one number."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         bare = word.translate(None, _OTHER).lower()
         shape = _REPEATS(rb"\1+", word.translate(_SHAPE))
@@ -75,9 +75,12 @@ def train(docs: DataFrame, labelled: DataFrame, *, max_rows: int = 4000, key: st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int32()))], names=["h", "d", "f"])
 
     picked = rows.select(F.xxhash64("k_").alias("h"), "t_", "d_").mapInArrow(look, "h bigint, d string, f array<int>").toArrow()
-    sample = sorted(zip(*(picked.column(k).to_pylist() for k in range(3)), strict=True), key=lambda r: (r[0], r[1], r[2]))
+    sample = sorted(
+        zip(picked.column(0).to_pylist(), picked.column(1).to_pylist(), vectors_of(picked.column(2)), strict=True),
+        key=lambda r: (r[0], r[1], len(r[2]), int(r[2].sum(dtype=np.int64))),
+    )
     names = sorted({r[1] for r in sample})
-    x = [(np.array(r[2], np.int32), np.full(len(r[2]), 0.25)) for r in sample]
+    x = [(r[2], np.full(len(r[2]), 0.25, np.float32)) for r in sample]
     y = [names.index(r[1]) for r in sample]
     held = [i for i, r in enumerate(sample) if (r[0] >> 40) % 5 == 0] if len(sample) >= 50 else []
     rest = sorted(set(range(len(sample))) - set(held))
@@ -106,15 +109,16 @@ def memberships(docs: DataFrame, model: Domains, key: str = "doc_id", text: str
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, p array<double>")
 
 
-def stepped(steps: list[tuple[np.ndarray, float]], scale: float, cap: float, held: int | None = None):
-    """``rate`` and ``ahead`` after the given steps from 1, as one expression over ``n_tokens, p``.
+def stepped(steps: list[tuple[np.ndarray, float]], scale: float, cap: float, held: int | None = None, start=None):
+    """``rate`` and ``ahead`` after the given steps from ``start`` (from 1), as one expression over ``n_tokens, p``.
 
     A step ``(u, push)`` moves from the point ahead against the gradient, clips to [0, cap], and
     looks ahead by ``push`` times the change made.  Documents that more likely than not are of domain
     ``held`` don't go below 1.
     """
     floor = F.lit(0.0) if held is None else F.when(F.col("p")[held] >= 0.5, 1.0).otherwise(0.0)
-    start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead"))
+    if start is None:
+        start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead"))
     if not steps:
         return start
     table = F.array(*[F.array(*[F.lit(float(v)) for v in (*u, push)]) for u, push in steps])
@@ -128,55 +132,89 @@ def stepped(steps: list[tuple[np.ndarray, float]], scale: float, cap: float, hel
     return F.aggregate(table, start, step)
 
 
+@dataclass
+class Fit:
+    """Steps from rate 1 on, and a table that has taken all but the last ``tail`` of them."""
+
+    members: DataFrame
+    steps: list[tuple[np.ndarray, float]]
+    tail: list[tuple[np.ndarray, float]]
+    scale: float
+    cap: float
+    held: int | None
+
+    def rates(self):
+        """The fitted state as an expression over ``members``."""
+        start = F.col("state_") if "state_" in self.members.columns else None
+        return stepped(self.tail, self.scale, self.cap, self.held, start)
+
+
+#: Steps that are taken by one expression before the state is written; each pass repeats them.
+STRIDE = 6
+
+
 def fit_rates(
     members: DataFrame, names: list[str], targets: dict[str, float], *, total: float | None = None, hold: str | None = None,
-    cap: float = 8.0, rounds: int = 40, tolerance: float = 1e-4,
-) -> tuple[list[tuple[np.ndarray, float]], float]:
-    """Steps of projected gradient for rates r in [0, cap] with sum(n_tokens * p * r) = total * targets.
+    cap: float = 8.0, rounds: int = 40, tolerance: float = 1e-3,
+) -> Fit:
+    """Projected gradient for rates r in [0, cap] with sum(n_tokens * p * r) = total * targets.
 
     ``members`` should be a written table.  Every round is one pass that returns a sum per domain;
-    rates follow from the list of steps, so that nothing else is kept.  Gradients are scaled by the
-    inverse Gram matrix of the domains over all documents, which makes a unit step exact as long as
-    no rate meets a bound; steps are accelerated by Nesterov's rule.  The best prefix of the steps
-    is returned, so that targets which can't be reached are approached.  ``total`` defaults to the tokens there are,
-    or, with ``hold``, to what keeps that domain's own total; its likely members keep rate 1 at least.
+    rates follow from the list of steps, and every ``STRIDE`` steps the state is written beside the
+    posteriors.  Gradients are scaled by the inverse Gram matrix of the domains over all documents,
+    which makes a unit step exact as long as no rate meets a bound; steps are accelerated by Nesterov's
+    rule.  It ends within ``tolerance`` of the largest target, after ``rounds``, or when eight rounds
+    have won less than a hundredth, as with targets that can't be reached.  ``total`` defaults to the
+    tokens there are, or, with ``hold``, to what keeps that domain's own total; its likely members keep
+    rate 1 at least.
     """
     K = len(names)
+    held = names.index(hold) if hold in names else None
     want = np.array([max(0.0, float(targets.get(x, 0.0))) for x in names])
     exact = lambda c: F.sum(c.cast("decimal(38,6)"))
-    first = members.agg(F.sum("n_tokens").alias("n"), *[exact(F.col("n_tokens") * F.col("p")[k]).alias(f"s{k}") for k in range(K)]).first()
+    fit = Fit(members, [], [], 1.0, cap, held)
+    weight = lambda: F.col("n_tokens").cast("double")
+    pairs = [(i, j) for i in range(K) for j in range(i, K)]
+    first = members.agg(
+        F.sum("n_tokens").alias("n"),
+        *[exact(F.col("n_tokens") * F.col("p")[k]).alias(f"s{k}") for k in range(K)],
+        *[F.sum(weight() * weight() * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i, j in pairs],
+    ).first()
     scale = float(first.n or 0)
     if not K or not scale or not want.sum():
-        return [], 1.0
+        return fit
+    fit.scale = scale
     want /= want.sum()
     sums = np.array([float(first[f"s{k}"]) for k in range(K)]) / scale
     if total is None:
-        total = sums[names.index(hold)] / want[names.index(hold)] * scale if hold in names and want[names.index(hold)] else scale
+        total = sums[held] / want[held] * scale if held is not None and want[held] else scale
     goal = want * total / scale
-    weight = F.col("n_tokens").cast("double") / scale
-    pairs = [(i, j) for i in range(K) for j in range(i, K)]
-    row = members.agg(*[F.sum(weight * weight * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i, j in pairs]).first()
     gram = np.zeros((K, K))
     for i, j in pairs:
-        gram[i, j] = gram[j, i] = float(f"{row[f'g{i}_{j}']:.9g}")
+        gram[i, j] = gram[j, i] = float(f"{first[f'g{i}_{j}'] / scale**2:.9g}")
     whiten = np.linalg.pinv(gram + np.eye(K) * np.trace(gram) * 1e-9)
-    steps: list[tuple[np.ndarray, float]] = []
-    at = ahead = sums
-    best, kept, t = float(np.abs(at - goal).max()), 0, 1.0
-    while len(steps) < rounds and best > tolerance * goal.max():
+    ahead, t = sums, 1.0
+    sizes = [float(np.abs(sums - goal).max())]
+    while len(fit.steps) < rounds and sizes[-1] > tolerance * goal.max():
+        if len(sizes) > 8 and sizes[-1] > 0.99 * sizes[-9]:
+            break
         after = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        steps.append((whiten @ (ahead - goal), (t - 1) / after))
+        step = (whiten @ (ahead - goal), (t - 1) / after)
         t = after
+        fit.steps.append(step)
+        fit.tail.append(step)
+        if len(fit.tail) > STRIDE:
+            done, fit.tail = fit.tail, []
+            start = F.col("state_") if "state_" in fit.members.columns else None
+            fit.members = written(fit.members.withColumn("state_", stepped(done, scale, cap, held, start)))
         row = (
-            members.select("n_tokens", "p", stepped(steps, scale, cap, names.index(hold) if hold in names else None).alias("r"))
+            fit.members.withColumn("r", fit.rates())
             .agg(*[exact(F.col("n_tokens") * F.col("p")[k] * F.col("r")[x]).alias(f"{x}{k}") for k in range(K) for x in ("rate", "ahead")])
             .first()
         )
         at, ahead = (np.array([float(row[f"{x}{k}"]) for k in range(K)]) / scale for x in ("rate", "ahead"))
-        if (size := float(np.abs(at - goal).max())) < best:
-            best, kept = size, len(steps)
-    steps = steps[:kept]
-    return steps, scale
+        sizes.append(float(np.abs(at - goal).max()))
+    return fit
 
 
 def labelled_domains(labels: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -203,10 +241,9 @@ def rated(
     """
     model = train(docs, labelled, max_rows=max_rows, key=key, text=text)
     members = written(memberships(docs, model, key, text))
-    steps, scale = fit_rates(members, model.names, targets, total=total, hold=hold, cap=cap)
-    held = model.names.index(hold) if hold in model.names else None
-    out = members.select(
-        key, "n_tokens", *[F.col("p")[k].alias(f"p_{x}") for k, x in enumerate(model.names)], F.round(stepped(steps, scale, cap, held)["rate"], 9).alias("rate")
+    fit = fit_rates(members, model.names, targets, total=total, hold=hold, cap=cap)
+    out = fit.members.select(
+        key, "n_tokens", *[F.col("p")[k].alias(f"p_{x}") for k, x in enumerate(model.names)], F.round(fit.rates()["rate"], 9).alias("rate")
     )
     return out.withColumn("copies", copies(key))
 

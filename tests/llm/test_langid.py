@@ -15,7 +15,7 @@ def words(lang, n, r):
 def corpus(spark, n=400):
     r = random.Random(5)
     rows = [(i, words(g := r.choice(list(SYLLABLES)), r.randint(3, 80), r), g, "x", 1) for i in range(n)]
-    rows += [(n, None, "aa", "x", 1), (n + 1, "", "bb", "x", 1), (n + 2, "123 .. !", "cc", "x", 1), (n + 3, "the and of", None, None, None)]
+    rows += [(n, None, "aa", "x", 1), (n + 1, "", "bb", "x", 1), (n + 2, "123 .. ! ½ ²", "cc", "x", 1), (n + 3, "the and of", None, None, None)]
     rows += [(n + 4, words("bb", 60000, r), "bb", "x", 1), rows[0], rows[0]]
     return rows, spark.createDataFrame(rows, "doc_id long, text string, lang string, score string, held_out int")
 
