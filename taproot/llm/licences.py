@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import re
 from dataclasses import dataclass, field
@@ -76,13 +77,27 @@ DECOYS = [
     "This file is part of the library of the university and must be included.",
 ]
 UNKNOWN = "unknown"
-STOP = set("a an and any are as at be by can for from in is it no not of on or that the this to was were will with you your".split())
+STOP = set(
+    "a above all along an and any are as at be been being below but by can could do does each either even for from had has have how if in into is it "
+    "may more most must no not of on or other shall should some such than that the then there these this those to under was were what when where "
+    "which who whose will with would you your".split()
+)
+#: What parts words: all but Latin letters and digits.
+BETWEEN = "[^a-z0-9\u00df-\u024f]+"
+
+
+def content(word: str) -> bool:
+    return len(word) > 1 and word not in STOP
 
 
 def grams(text: str) -> list[str]:
-    """Words that are no stop words, and pairs of neighbouring words, lower-case, each once."""
-    w = [x for x in re.sub(r"[^a-z0-9.]+", " ", text.lower()).split(" ") if x]
-    return list(dict.fromkeys([x for x in w if x not in STOP] + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]))
+    """Content words, and pairs of neighbouring words of which one is such, lower-case, each once.
+
+    Stop words and single characters are no content words.
+    """
+    w = [x for x in re.sub(BETWEEN, " ", text.lower()).split(" ") if x]
+    pairs = [f"{a} {b}" for a, b in zip(w, w[1:], strict=False) if content(a) or content(b)]
+    return list(dict.fromkeys([x for x in w if content(x)] + pairs))
 
 
 @dataclass
@@ -126,6 +141,7 @@ def examples(others: list[str], seed: int) -> list[tuple[str, str]]:
 def train(docs: DataFrame | None = None, *, max_rows: int = 400, key: str = "doc_id", text: str = "text", false_rate: float = 1e-3, seed: int = 5) -> Model:
     """Fits the classifier on the driver, from the templates and paragraphs of about ``max_rows`` documents.
 
+    Features are the templates' own grams, so that words which merely stood near one carry no weight.
     The documents, chosen by a hash of ``key``, show what text without a licence looks like; paragraphs
     that speak of licences or share a third of their word pairs with the templates are not shown.  That sample bounds training alone.  A third of the examples
     sets the temperature, and the threshold of the unknown class: the least confidence at which a
@@ -141,7 +157,7 @@ def train(docs: DataFrame | None = None, *, max_rows: int = 400, key: str = "doc
         others = [p for p in others if 3 * sum(g in shelf for g in grams(p)) <= sum(" " in g for g in grams(p))]
     families = [*TEMPLATES, UNKNOWN]
     rows = examples(others, seed)
-    known = sorted({g for f, t in rows if f != UNKNOWN for g in grams(t)})
+    known = sorted({g for texts in TEMPLATES.values() for t in texts for g in grams(t)})
     index = {g: i for i, g in enumerate(known)}
     x = [np.array([index[g] for g in grams(t) if g in index], int) for _, t in rows]
     y = [families.index(f) for f, _ in rows]
@@ -160,24 +176,46 @@ def train(docs: DataFrame | None = None, *, max_rows: int = 400, key: str = "doc
     return Model(families, weights, [round(float(b), 6) for b in bias], float(temperature), min(threshold, 0.995), templates)
 
 
-def gate(model: Model) -> str:
-    """A pattern without which no licence can win: a gram that speaks more for a family than for none."""
-    base = np.array(model.bias[:-1]) - model.bias[-1]
-    if base.max() > 0:
-        return "(?s).*"
-    for_family = {g.split(" ")[0] for g, w in model.weights.items() if max(np.array(w[:-1]) - w[-1]) > 0}
-    return r"(?i)(?<![a-z0-9.])(" + "|".join(sorted(re.escape(x) for x in for_family)) + r")(?![a-z0-9.])"
+def telling(model: Model) -> list[str]:
+    """Words without all of which no licence can win.
+
+    A paragraph without a gram that speaks more for a family than for none is unknown, and each such
+    gram has a content word.  Empty if the bias alone would name a family.
+    """
+    if (np.array(model.bias[:-1]) - model.bias[-1]).max() > 0:
+        return []
+    return sorted({x for g, w in model.weights.items() if max(np.array(w[:-1]) - w[-1]) > 0 for x in g.split(" ") if content(x)})
+
+
+def column_words(p: Column) -> Column:
+    return F.split(F.regexp_replace(F.lower(p), BETWEEN, " "), " ")
 
 
 def column_grams(p: Column) -> Column:
     """``grams`` as a column."""
-    w = F.filter(F.split(F.regexp_replace(F.lower(p), r"[^a-z0-9.]+", " "), " "), lambda x: x != "")
-    pairs = F.when(F.size(w) > 1, F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(F.filter(w, lambda x: ~x.isin(*STOP)), pairs))
+    said = lambda x: (F.length(x) > 1) & ~x.isin(*sorted(STOP))
+    w = F.filter(column_words(p), lambda x: x != "")
+    pairs = F.when(F.size(w) > 1, F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.when(said(a) | said(b), F.concat_ws(" ", a, b)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.filter(w, said), F.filter(pairs, lambda x: x.isNotNull())))
+
+
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def literal(values: list) -> Column:
-    return F.array(*[literal(v) if isinstance(v, list) else F.lit(v) for v in values])
+    return F.array(*[F.lit(v) for v in values])
+
+
+def lookup(table: dict, kind: str) -> Column:
+    """A constant map, given as one text that Spark folds once; thousands of literals would burden the planner."""
+    rows = [{"key": k, "value": table[k]} for k in sorted(table)]
+    return F.map_from_entries(constant(rows, f"array<struct<key:string,value:{kind}>>"))
+
+
+def constant(values: list, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(values)), kind)
 
 
 def scan(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", confirm: float = 0.5) -> DataFrame:
@@ -189,18 +227,25 @@ def scan(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "tex
     and empty texts give no row.  Row by row, without a shuffle.
     """
     kinds = len(model.families)
-    names = sorted(model.weights)
-    features, table = literal(names), F.create_map(*[c for g in names for c in (F.lit(g), literal(model.weights[g]))])
-    parts = docs.select(key, F.posexplode(F.filter(F.transform(F.split(text, r"\r\n|[\r\n]"), lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda s: s["p"].rlike(gate(model)))).alias("j_", "s_"))
+    table = lookup(model.weights, "array<double>")
+    features = F.map_keys(table)
+    words = telling(model)
+    has = lambda p: F.arrays_overlap(column_words(p), constant(words, "array<string>")) if words else F.lit(True)
+    lines = F.transform(F.split(text, r"\r\n|[\r\n]"), lambda p, i: F.struct(i.alias("i"), p.alias("p")))
+    parts = docs.where(F.col(text).isNotNull() & has(F.col(text))).select(key, F.explode(F.filter(lines, lambda s: has(s["p"]))).alias("s_"))
     parts = parts.select(key, F.col("s_.i").alias("paragraph"), column_grams(F.col("s_.p")).alias("g_"))
-    hits = F.transform(F.array_intersect("g_", features), lambda g: table[g])
+    hits = F.transform(F.array_intersect(features, F.col("g_")), lambda g: table[g])
     total = F.aggregate(hits, literal(model.bias), lambda a, w: F.zip_with(a, w, lambda x, y: x + y))
-    parts = parts.withColumn("z_", total).withColumn("z_", F.transform("z_", lambda v: F.exp((v - F.array_max("z_")) / model.temperature)))
-    parts = parts.withColumn("z_", F.transform("z_", lambda v: v / F.aggregate("z_", F.lit(0.0), lambda a, b: a + b)))
-    best = F.array_max(F.slice("z_", 1, kinds - 1))
-    parts = parts.withColumn("score", best).where(F.col("score") >= model.threshold)
-    parts = parts.withColumn("family", F.get(literal(model.families), F.array_position(F.slice("z_", 1, kinds - 1), F.col("score")).cast("int") - 1))
-    shelf = F.create_map(*[c for f, ts in model.templates.items() for c in (F.lit(f), literal(ts))])
+
+    def chosen(e: Column) -> Column:
+        """The likeliest family's share of ``e`` and its place."""
+        some = F.slice(e, 1, kinds - 1)
+        return let(F.array_max(some), lambda top: F.struct((top / F.aggregate(e, F.lit(0.0), lambda x, y: x + y)).alias("score"), F.array_position(some, top).cast("int").alias("place")))
+
+    best = let(total, lambda z: let(F.array_max(z), lambda top: chosen(F.transform(z, lambda v: F.exp((v - top) / model.temperature)))))
+    parts = parts.withColumn("r_", best).where(F.col("r_.score") >= model.threshold)
+    parts = parts.withColumn("score", F.col("r_.score")).withColumn("family", F.get(literal(model.families), F.col("r_.place") - 1))
+    shelf = lookup(model.templates, "array<array<string>>")
     like = F.array_max(F.transform(shelf[F.col("family")], lambda t: F.size(F.array_intersect(t, "g_")) / F.least(F.size(t), F.size("g_"))))
     parts = parts.withColumn("likeness", like)
     return parts.select(key, "paragraph", "family", F.round("score", 6).alias("score"), F.round("likeness", 6).alias("likeness"), (F.col("likeness") >= confirm).alias("confirmed"))
