@@ -131,13 +131,12 @@ def loosest(threshold: float, hashes: int, sigmas: float = 5.0) -> float:
     return threshold - sigmas * (p * (1 - p) / hashes) ** 0.5 / (1 - chance)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Of ``pairs(a, b)`` those with 100 * intersection >= percent * union of whole shingle sets.
 
-    Each pair meets both whole texts by two joins, whose skewed sides Spark can split; the left
+    ``texts`` has ``id, t``.  Each pair meets both whole texts by two joins, whose skewed sides Spark can split; the left
     texts arrive sorted, so the set of a common left end is made once in a row.
     """
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
     both = both.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").select("a", "b", "ta", "tb")
 
@@ -298,7 +297,11 @@ def near_duplicates(
         .where(estimate(F.col("sa"), F.col("sb"), hashes) >= low)
         .select("a", "b")
     )
-    links = written(confirmed(near, docs, n, percent, key, text))
+    near = written(near)
+    # whole texts cross the network once; only those of candidates are joined to pairs
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
+    ends = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    links = written(confirmed(near, written(texts.join(ends, "id", "left_semi")), n, percent))
     comps = written(components(links))
     named = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(
         "bucket", F.col("rep").alias("id"), F.coalesce("component", "rep").alias("component")
@@ -307,7 +310,7 @@ def near_duplicates(
     rest = named.join(loosened(open_.select("bucket"), "bucket"), "bucket").join(marks.withColumnRenamed("rep", "id"), "id")
     rest = written(rest)
     ones = rest.join(involved(rest, low, hashes), ["bucket", "id"], "left_semi")
-    ones = ones.join(docs.select(F.col(key).alias("id"), F.col(text).alias("t")), "id")
+    ones = ones.join(texts, "id")
     extra = written(joining(ones.select("bucket", "id", "component", "n_shingles", "sig", "t"), low, hashes, n, percent))
     if not extra.isEmpty():
         comps = written(components(links.union(extra)))
