@@ -155,7 +155,7 @@ STRIDE = 6
 
 def fit_rates(
     members: DataFrame, names: list[str], targets: dict[str, float], *, total: float | None = None, hold: str | None = None,
-    cap: float = 8.0, rounds: int = 40, tolerance: float = 1e-3,
+    cap: float = 8.0, rounds: int = 40, tolerance: float = 1e-4,
 ) -> Fit:
     """Projected gradient for rates r in [0, cap] with sum(n_tokens * p * r) = total * targets.
 
@@ -163,10 +163,10 @@ def fit_rates(
     rates follow from the list of steps, and every ``STRIDE`` steps the state is written beside the
     posteriors.  Gradients are scaled by the inverse Gram matrix of the domains over all documents,
     which makes a unit step exact as long as no rate meets a bound; steps are accelerated by Nesterov's
-    rule.  It ends within ``tolerance`` of the largest target, after ``rounds``, or when eight rounds
-    have won less than a hundredth, as with targets that can't be reached.  ``total`` defaults to the
-    tokens there are, or, with ``hold``, to what keeps that domain's own total; its likely members keep
-    rate 1 at least.
+    rule.  It ends when every domain is within ``tolerance`` of its own target (of the largest, where
+    its own is 0), or after ``rounds``.  The best prefix of the steps is returned, so that targets which
+    can't be reached are approached.  ``total`` defaults to the tokens there are, or, with ``hold``, to
+    what keeps that domain's own total; its likely members keep rate 1 at least.
     """
     K = len(names)
     held = names.index(hold) if hold in names else None
@@ -194,10 +194,9 @@ def fit_rates(
         gram[i, j] = gram[j, i] = float(f"{first[f'g{i}_{j}'] / scale**2:.9g}")
     whiten = np.linalg.pinv(gram + np.eye(K) * np.trace(gram) * 1e-9)
     ahead, t = sums, 1.0
-    sizes = [float(np.abs(sums - goal).max())]
-    while len(fit.steps) < rounds and sizes[-1] > tolerance * goal.max():
-        if len(sizes) > 8 and sizes[-1] > 0.99 * sizes[-9]:
-            break
+    unit = np.where(goal > 0, goal, goal.max())
+    sizes = [float((np.abs(sums - goal) / unit).max())]
+    while len(fit.steps) < rounds and sizes[-1] > tolerance:
         after = (1 + math.sqrt(1 + 4 * t * t)) / 2
         step = (whiten @ (ahead - goal), (t - 1) / after)
         t = after
@@ -213,7 +212,11 @@ def fit_rates(
             .first()
         )
         at, ahead = (np.array([float(row[f"{x}{k}"]) for k in range(K)]) / scale for x in ("rate", "ahead"))
-        sizes.append(float(np.abs(at - goal).max()))
+        sizes.append(float((np.abs(at - goal) / unit).max()))
+    best = int(np.argmin(sizes))
+    if best < len(fit.steps):
+        fit.steps = fit.steps[:best]
+        fit.members, fit.tail = members, list(fit.steps)
     return fit
 
 

@@ -51,10 +51,21 @@ def test_against_dense_projected_gradient(spark):
         new = np.clip(ahead - A @ u, 0, 8)
         rate, ahead = new, new + push * (new - rate)
     got = [x.r for x in fit.members.select(fit.rates()["rate"].alias("r")).collect()]
-    assert np.allclose(sorted(got), sorted(rate)) and np.abs(A.T @ rate - [0.15, 0.25, 0.6]).max() < 1e-3
+    assert np.allclose(sorted(got), sorted(rate)) and np.abs(A.T @ rate - [0.15, 0.25, 0.6]).max() < 1e-4
     assert (rate == 0).any() and mixing.STRIDE < len(fit.steps) < 30
 
 
+def test_every_domain_is_within_tolerance_of_its_own_target(spark):
+    r = np.random.default_rng(1)
+    n, p = r.integers(1, 50, 300), r.dirichlet([6, 3, 1], 300)
+    members = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "n_tokens long, p array<double>")
+    goal = np.array([0.65, 0.28, 0.07])
+    fit = mixing.fit_rates(members, ["a", "b", "c"], dict(zip("abc", goal.tolist(), strict=True)))
+    got = fit.members.select("n_tokens", "p", fit.rates()["rate"].alias("r")).toPandas()
+    totals = (got.n_tokens.to_numpy()[:, None] * np.stack(got.p) * got.r.to_numpy()[:, None]).sum(axis=0) / n.sum()
+    assert (np.abs(totals - goal) <= 1.01e-4 * goal).all()
+
+
 def test_held_domain_keeps_its_documents(spark):
     rows, docs, tags = corpus(spark)
     got = mixing.rated(docs.where("doc_id < 600"), tags, TARGETS, hold="clean").toPandas()
