@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 import re
+import warnings
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -134,7 +135,10 @@ def stepped(steps: list[tuple[np.ndarray, float]], scale: float, cap: float, hel
 
 @dataclass
 class Fit:
-    """Steps from rate 1 on, and a table that has taken all but the last ``tail`` of them."""
+    """Steps from rate 1 on, and a table that has taken all but the last ``tail`` of them.
+
+    ``residual`` has the tokens of each domain above its target, ``met`` whether all are within tolerance.
+    """
 
     members: DataFrame
     steps: list[tuple[np.ndarray, float]]
@@ -142,6 +146,8 @@ class Fit:
     scale: float
     cap: float
     held: int | None
+    residual: dict[str, float] = field(default_factory=dict)
+    met: bool = True
 
     def rates(self):
         """The fitted state as an expression over ``members``."""
@@ -152,21 +158,108 @@ class Fit:
 #: Steps that are taken by one expression before the state is written; each pass repeats them.
 STRIDE = 6
 
+#: Damping of Newton steps that are tried in one pass, in units of the Gram matrix.  At 1 the step never overshoots.
+DAMPING = (1e-9, 1e-6, 1e-4, 1e-2, 0.1, 1.0)
+
+#: Weight on the rates' distance where no rates meet the targets, in the same units.
+CLOSEST = 1e-7
+
+
+@dataclass
+class Trial:
+    """What the rates clip(start - p * n_tokens / scale * u) give: sums over all documents."""
+
+    u: np.ndarray
+    totals: np.ndarray  # per domain, over scale
+    gram: np.ndarray  # of the documents whose rate is on no bound
+    height: float  # half the squared distance of the rates from the start, plus u times totals
+    least: float  # the least that u times totals can be with rates in their bounds
+
+
+def tried(at: DataFrame, us: list[np.ndarray], scale: float, cap: float, held: int | None) -> list[Trial]:
+    """One pass over ``at(n_tokens, p, start)`` for several ``us``.  Totals are sums of whole millionths,
+    so that they don't depend on how rows are dealt."""
+    K, J = len(us[0]), len(us)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals, gram, height, least = [0] * (J * K), np.zeros((J, K, K)), np.zeros(J), np.zeros(J)
+        for batch in batches:
+            n = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
+            p = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(n), K)
+            start = batch.column(2).to_numpy(zero_copy_only=False)
+            low = np.zeros(len(n)) if held is None else np.minimum(p[:, held] >= 0.5, cap)
+            a = p * n[:, None] / scale
+            for j, u in enumerate(us):
+                move = a @ u
+                raw = start - move
+                r = np.clip(raw, low, cap)
+                whole = np.rint(p * (n * r)[:, None] * 1e6).astype(np.int64).sum(axis=0).tolist()
+                totals[j * K : j * K + K] = [x + y for x, y in zip(totals[j * K : j * K + K], whole, strict=True)]
+                free = a[(raw > low) & (raw < cap)]
+                gram[j] += free.T @ free
+                height[j] += 0.5 * ((r - start) ** 2).sum() + (r * move).sum()
+                least[j] += (np.where(move > 0, low, cap) * move).sum()
+        floats = np.concatenate([gram.ravel(), height, least]).tolist()
+        yield pa.RecordBatch.from_arrays([pa.array([[str(x) for x in totals]]), pa.array([floats])], names=["t", "f"])
+
+    rows = at.select("n_tokens", "p", "start").mapInArrow(run, "t array<string>, f array<double>").collect()
+    totals = np.array([sum(int(r.t[k]) for r in rows) / 1e6 / scale for k in range(J * K)]).reshape(J, K)
+    floats = np.array([math.fsum(r.f[k] for r in rows) for k in range(J * K * K + 2 * J)])
+    gram, height, least = floats[: J * K * K].reshape(J, K, K), floats[J * K * K : -J], floats[-J:]
+    short = np.vectorize(lambda x: float(f"{x:.9g}"))
+    return [Trial(u, totals[j], short(gram[j]), float(height[j]), float(least[j])) for j, u in enumerate(us)]
+
+
+def projected(
+    at: DataFrame, goal: np.ndarray, gram: np.ndarray, allowed: np.ndarray, scale: float, cap: float, held: int | None, most: int = 1000
+) -> tuple[Trial, bool]:
+    """The step ``u`` from ``start`` to the nearest rates in bounds whose totals are ``goal``, and whether
+    there are any within ``allowed``.
+
+    Newton steps on the dual, a concave function of one multiplier per domain.  Each pass tries one step
+    per damping; that of damping 1 always ascends, as no Gram matrix of free documents exceeds ``gram``.
+    A ``u`` for which even the least ``u`` times totals is above all that ``allowed`` leaves proves that
+    the targets can't be met; then the nearest totals in units of ``gram`` are sought.
+    """
+    near, met = 0.0, True
+    here = tried(at, [np.zeros(len(goal))], scale, cap, held)[0]
+    slope = lambda x: x.totals - goal - near * (gram @ x.u)
+    height = lambda x: x.height - float(x.u @ goal) - near / 2 * float(x.u @ gram @ x.u)
+    for _ in range(most):
+        if (np.abs(slope(here)) <= allowed).all():
+            return here, met
+        us = [here.u + np.linalg.solve(here.gram + (near + d) * gram, slope(here)) for d in DAMPING]
+        trials = tried(at, us, scale, cap, held)
+        for x in trials:
+            if (np.abs(x.totals - goal) <= allowed).all():
+                return x, True
+        if met and any(x.least - float(x.u @ goal) > float(np.abs(x.u) @ allowed) for x in trials):
+            near, met = CLOSEST, False
+            continue
+        best = max(trials, key=height)
+        if height(best) <= height(here):
+            return here, False
+        here = best
+    raise RuntimeError("rates did not settle")
+
 
 def fit_rates(
     members: DataFrame, names: list[str], targets: dict[str, float], *, total: float | None = None, hold: str | None = None,
     cap: float = 8.0, rounds: int = 40, tolerance: float = 1e-4,
 ) -> Fit:
-    """Projected gradient for rates r in [0, cap] with sum(n_tokens * p * r) = total * targets.
-
-    ``members`` should be a written table.  Every round is one pass that returns a sum per domain;
-    rates follow from the list of steps, and every ``STRIDE`` steps the state is written beside the
-    posteriors.  Gradients are scaled by the inverse Gram matrix of the domains over all documents,
-    which makes a unit step exact as long as no rate meets a bound; steps are accelerated by Nesterov's
-    rule.  It ends when every domain is within ``tolerance`` of its own target (of the largest, where
-    its own is 0), or after ``rounds``.  The best prefix of the steps is returned, so that targets which
-    can't be reached are approached.  ``total`` defaults to the tokens there are, or, with ``hold``, to
-    what keeps that domain's own total; its likely members keep rate 1 at least.
+    """Rates r in [0, cap] with sum(n_tokens * p * r) = total * targets.
+
+    ``members`` should be a written table.  Projected gradient comes first: every round is one pass that
+    returns a sum per domain; rates follow from the list of steps, and every ``STRIDE`` steps the state is
+    written beside the posteriors.  Gradients are scaled by the inverse Gram matrix of the domains over
+    all documents, which makes a unit step exact as long as no rate meets a bound; steps are accelerated
+    by Nesterov's rule.  When ``STRIDE`` rounds have not brought the residual to a tenth, or after
+    ``rounds``, one last step is solved for exactly (``projected``), in as many passes as it takes.
+
+    It ends when every domain is within ``tolerance`` of its own target (of the largest, where its own is
+    0); ``residual`` has the distances, and ``met`` is false where no rates in bounds come so near (or where
+    rounding ends the ascent first).  Those returned are then the nearest found.  ``total`` defaults to the tokens there are, or, with
+    ``hold``, to what keeps that domain's own total; its likely members keep rate 1 at least.
     """
     K = len(names)
     held = names.index(hold) if hold in names else None
@@ -192,11 +285,19 @@ def fit_rates(
     gram = np.zeros((K, K))
     for i, j in pairs:
         gram[i, j] = gram[j, i] = float(f"{first[f'g{i}_{j}'] / scale**2:.9g}")
-    whiten = np.linalg.pinv(gram + np.eye(K) * np.trace(gram) * 1e-9)
+    gram += np.eye(K) * np.trace(gram) * 1e-9
+    whiten = np.linalg.pinv(gram)
     ahead, t = sums, 1.0
     unit = np.where(goal > 0, goal, goal.max())
-    sizes = [float((np.abs(sums - goal) / unit).max())]
-    while len(fit.steps) < rounds and sizes[-1] > tolerance:
+    off = [sums - goal]
+    size = lambda x: float((np.abs(x) / unit).max())
+
+    def state():
+        return F.col("state_") if "state_" in fit.members.columns else None
+
+    while len(fit.steps) < rounds and size(off[-1]) > tolerance:
+        if len(off) > STRIDE and size(off[-1]) > 0.1 * size(off[-1 - STRIDE]):
+            break
         after = (1 + math.sqrt(1 + 4 * t * t)) / 2
         step = (whiten @ (ahead - goal), (t - 1) / after)
         t = after
@@ -204,19 +305,28 @@ def fit_rates(
         fit.tail.append(step)
         if len(fit.tail) > STRIDE:
             done, fit.tail = fit.tail, []
-            start = F.col("state_") if "state_" in fit.members.columns else None
-            fit.members = written(fit.members.withColumn("state_", stepped(done, scale, cap, held, start)))
+            fit.members = written(fit.members.withColumn("state_", stepped(done, scale, cap, held, state())))
         row = (
             fit.members.withColumn("r", fit.rates())
             .agg(*[exact(F.col("n_tokens") * F.col("p")[k] * F.col("r")[x]).alias(f"{x}{k}") for k in range(K) for x in ("rate", "ahead")])
             .first()
         )
         at, ahead = (np.array([float(row[f"{x}{k}"]) for k in range(K)]) / scale for x in ("rate", "ahead"))
-        sizes.append(float((np.abs(at - goal) / unit).max()))
-    best = int(np.argmin(sizes))
+        off.append(at - goal)
+    if size(off[-1]) > tolerance:
+        if fit.tail:
+            done, fit.tail = fit.tail, []
+            fit.members = written(fit.members.withColumn("state_", stepped(done, scale, cap, held, state())))
+        start = F.col("state_.ahead") if fit.steps else F.lit(1.0)
+        last, fit.met = projected(fit.members.withColumn("start", start), goal, gram, tolerance * unit, scale, cap, held)
+        fit.steps.append((last.u, 0.0))
+        fit.tail.append((last.u, 0.0))
+        off.append(last.totals - goal)
+    best = min(range(len(off)), key=lambda x: size(off[x]))
     if best < len(fit.steps):
         fit.steps = fit.steps[:best]
         fit.members, fit.tail = members, list(fit.steps)
+    fit.residual = dict(zip(names, (off[best] * scale).tolist(), strict=True))
     return fit
 
 
@@ -240,11 +350,14 @@ def rated(
 
     ``labelled`` has ``key, domain``.  Null and empty texts have no tokens and keep rate 1.  Without
     labelled rows or tokens all rates are 1.  Rows that repeat are rated alike.  Targets of domains
-    that were never seen are left out and the rest is scaled up.
+    that were never seen are left out and the rest is scaled up.  Where no rates in bounds meet the
+    targets, a warning gives each domain's tokens above its target.
     """
     model = train(docs, labelled, max_rows=max_rows, key=key, text=text)
     members = written(memberships(docs, model, key, text))
     fit = fit_rates(members, model.names, targets, total=total, hold=hold, cap=cap)
+    if not fit.met:
+        warnings.warn(f"no rates in bounds meet the targets; tokens above them: {fit.residual}", stacklevel=2)
     out = fit.members.select(
         key, "n_tokens", *[F.col("p")[k].alias(f"p_{x}") for k, x in enumerate(model.names)], F.round(fit.rates()["rate"], 9).alias("rate")
     )

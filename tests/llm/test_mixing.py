@@ -66,6 +66,41 @@ def test_every_domain_is_within_tolerance_of_its_own_target(spark):
     assert (np.abs(totals - goal) <= 1.01e-4 * goal).all()
 
 
+def hard(spark, seed):
+    """Soft posteriors and a few very long documents, so that many rates sit on a bound."""
+    r = np.random.default_rng(seed)
+    n = np.maximum(1, np.minimum(r.pareto(1.0, 3000) * 20, 50000)).astype(int)
+    p = r.dirichlet([1.2, 0.6, 0.25], 3000)
+    return n, p, spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "n_tokens long, p array<double>")
+
+
+def test_targets_are_met_where_rates_sit_on_bounds(spark):
+    for seed in range(3):
+        n, p, members = hard(spark, seed)
+        low = (p[:, 0] >= 0.5).astype(float)
+        totals = (n[:, None] * p * np.where(p[:, 0] >= 0.5, 1.0, np.where(p[:, 0] > p[:, 2] * 4, 1.5, 0.0))[:, None]).sum(axis=0)
+        fit = mixing.fit_rates(members, ["a", "b", "c"], dict(zip("abc", totals.tolist(), strict=True)), total=float(totals.sum()), hold="a")
+        got = fit.members.select("n_tokens", "p", fit.rates()["rate"].alias("r")).toPandas()
+        q = np.stack(got.p)
+        reached = (got.n_tokens.to_numpy()[:, None] * q * got.r.to_numpy()[:, None]).sum(axis=0)
+        assert (np.abs(reached - totals) <= 1.01e-4 * totals).all() and fit.met
+        assert (got.r >= (q[:, 0] >= 0.5)).all() and (got.r <= 8).all() and ((got.r == 0) | (got.r == 8) | (got.r == 1)).sum() > low.sum() / 4
+
+
+def test_residual_is_told_and_least_where_targets_cannot_be_met(spark):
+    n, p, members = hard(spark, 9)
+    goal = np.array([0.9, 0.08, 0.02]) * (n * p[:, 0]).sum() / 0.9
+    fit = mixing.fit_rates(members, ["a", "b", "c"], {"a": 0.9, "b": 0.08, "c": 0.02}, hold="a")
+    got = fit.members.select("n_tokens", "p", fit.rates()["rate"].alias("r")).toPandas()
+    off = (got.n_tokens.to_numpy()[:, None] * np.stack(got.p) * got.r.to_numpy()[:, None]).sum(axis=0) - goal
+    assert not fit.met and np.allclose([fit.residual[k] for k in "abc"], off, atol=1e-3)
+    q = np.stack(got.p)
+    A = got.n_tokens.to_numpy()[:, None] * q
+    pull = A @ np.linalg.solve(A.T @ A, off)
+    gap = (pull * got.r).sum() - (pull * np.where(pull > 0, (q[:, 0] >= 0.5).astype(float), 8.0)).sum()
+    assert gap <= 0.01 * off @ np.linalg.solve(A.T @ A, off)  # within a hundredth of the least distance
+
+
 def test_held_domain_keeps_its_documents(spark):
     rows, docs, tags = corpus(spark)
     got = mixing.rated(docs.where("doc_id < 600"), tags, TARGETS, hold="clean").toPandas()
