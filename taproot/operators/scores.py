@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taproot.operators.spatial import around
 from taproot.operators.topology import neighbours
-from taproot.operators.volume import AXES, View, voxel_of, weighted
+from taproot.operators.volume import AXES, View, accumulate, fields, voxel_of, weighted
 
 NEAR_ZERO = 1e-8
 
@@ -119,12 +120,47 @@ def rescored(old: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def scores_after_cut(kept: DataFrame, close: DataFrame, voxels: DataFrame, old: DataFrame, view: View) -> DataFrame:
-    """What-if scores of the nodes ``kept`` by an edit: recomputed for those in ``close``, else reused."""
+    """Scores of the nodes ``kept`` by an edit: from ``voxels`` as given for those in ``close``, else reused.
+
+    Nothing is accumulated again: ``voxels`` must be those of the edited forest (see ``what_if_scores``).
+    """
     near = kept.join(close.select("arbor_id", "nid"), ["arbor_id", "nid"], "left_semi")
     fresh = branch_scores(near, voxels, view)
     return rescored(old.join(kept.select("arbor_id", "nid"), ["arbor_id", "nid"], "left_semi"), fresh)
 
 
+def what_if_scores(kept: DataFrame, close: DataFrame, masks: DataFrame, old: DataFrame, view: View, smooth: bool = True) -> DataFrame:
+    """Scores of the nodes ``kept`` by an edit, those in ``close`` as they would be without the other nodes.
+
+    The volume is accumulated again from the kept nodes within a field of view of the close ones; no
+    other node reaches a voxel that those see.  (Interpolated points lie anywhere along an edge, so with
+    them all kept nodes count.)  The other nodes reuse ``old``; then all are smoothed.
+    """
+    reach = float(max(n * v for n, v in zip(view.fov, view.voxel, strict=True)))
+    part = kept if view.interpolate else kept.join(around(kept, close, reach), ["arbor_id", "nid"], "left_semi")
+    out = scores_after_cut(kept, close, accumulate(part, masks, view), old, view)
+    return smoothed(out, kept) if smooth else out
+
+
+def changed_nodes(nodes: DataFrame, before: DataFrame, after: DataFrame, view: View) -> DataFrame:
+    """``arbor_id, nid`` of the nodes whose field of view holds a voxel that differs between two volumes."""
+    key, values = ["arbor_id", "vx", "vy", "vz"], ["seg_count", "view_count", "distance"]
+    both = before.join(after.select(*key, *[F.col(c).alias("new_" + c) for c in values]), key, "full")
+    same = F.lit(True)
+    for c in values:
+        same &= F.col(c).eqNullSafe(F.col("new_" + c))
+    return fields(nodes, view).join(both.where(~same).select(*key), key, "left_semi").select("arbor_id", "nid").distinct()
+
+
+def scores_where_changed(kept: DataFrame, before: DataFrame, masks: DataFrame, old: DataFrame, view: View, smooth: bool = True) -> DataFrame:
+    """Scores of the nodes ``kept`` by an edit: recomputed where the volume about a node is no longer that
+    of ``before``, or where ``old`` has none, else reused; then smoothed."""
+    after = accumulate(kept, masks, view)
+    new = kept.join(old.select("arbor_id", "nid"), ["arbor_id", "nid"], "left_anti").select("arbor_id", "nid")
+    out = scores_after_cut(kept, changed_nodes(kept, before, after, view).union(new).distinct(), after, old, view)
+    return smoothed(out, kept) if smooth else out
+
+
 def best_path(cells: DataFrame, value: str = "viewed") -> DataFrame:
     """Bottleneck connectivity: the greatest least value over monotone lattice paths of each edge's cells.
 

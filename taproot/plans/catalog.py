@@ -627,6 +627,36 @@ def _(spark, sf):
     return scores.scores_after_cut(kept, kept.where("nid in (2, 4)"), voxels_of(nodes), old, VIEW)
 
 
+# the forest without the subtrees of node 3, and scores from its own volume
+CUT_FOREST = (
+    COMPACT.replace("nodes AS", "uncut AS"), PATHS.replace("nodes", "uncut"),
+    "nodes AS (SELECT arbor_id, nid, pid, x, y, z FROM paths WHERE NOT list_contains(path, 3))",
+    OFFSETS, MASKS, FIELDS, VOXELS, WEIGHTED, SCORES.replace("scores AS", "fresh AS"),
+)
+REUSED = "scores AS (SELECT arbor_id, nid, CASE WHEN nid IN (2, 4) THEN di ELSE 1 END AS di, CASE WHEN nid IN (2, 4) THEN dj ELSE 0 END AS dj, CASE WHEN nid IN (2, 4) THEN dk ELSE 0 END AS dk, CASE WHEN nid IN (2, 4) THEN score ELSE nid / 100.0 END AS score FROM fresh)"
+
+
+def cut_forest(nodes: DataFrame) -> DataFrame:
+    trees = topology.index(nodes)
+    return topology.pruned(trees, trees.where("nid = 3"))
+
+
+@query("what_if_scores", sql("arbor_id nid di dj dk d:score", "SELECT * FROM smooth", *CUT_FOREST, REUSED, SMOOTH))
+def _(spark, sf):
+    nodes = compact(spark, sf)
+    kept = cut_forest(nodes)
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    old = nodes.select("arbor_id", "nid", one.alias("di"), zero.alias("dj"), zero.alias("dk"), (F.col("nid") / 100).alias("score"))
+    return scores.what_if_scores(kept, kept.where("nid in (2, 4)"), masks_of(nodes), old, VIEW)
+
+
+@query("scores_where_changed", sql("arbor_id nid di dj dk d:score", "SELECT * FROM smooth", *CUT_FOREST, SCORES, SMOOTH))
+def _(spark, sf):
+    nodes = compact(spark, sf)
+    voxels = voxels_of(nodes)
+    return scores.scores_where_changed(cut_forest(nodes), voxels, masks_of(nodes), scores.branch_scores(nodes, voxels, VIEW), VIEW)
+
+
 @query("connectivity_path")
 def _(spark, sf):
     nodes = compact(spark, sf)

@@ -3,6 +3,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_topology import TOY
 
 from taproot import cli
@@ -121,6 +122,31 @@ def test_what_if_and_mass(spark, data):
     assert grid.min() <= scores.best_path(cells).first().strength <= min(grid[0, 0, 0], grid[-1, -1, -1])
 
 
+def test_what_if_rebuilds_the_volume_of_the_kept_nodes(spark, data):
+    centres, _, _, nodes, masks, _ = data
+    nodes = nodes.withColumns({"x": F.floor(F.col("x") / 3).cast("double"), "y": F.floor(F.col("y") / 3).cast("double")})
+    voxels = volume.accumulate(nodes, masks, VIEW).cache()
+    kept = topology.pruned(nodes, nodes.where("nid = 3"))
+    left = {r.nid for r in kept.select("nid").collect()}
+    old = scores.branch_scores(nodes, voxels, VIEW).cache()
+    before = {r.nid: tuple(r) for r in old.collect()}
+    cut = volume.accumulate(kept, masks, VIEW)
+    want = {r.nid: tuple(r) for r in scores.branch_scores(kept, cut, VIEW).collect()}
+    moved = {n for n in left if want[n] != before[n]}
+    assert moved and moved != left != centres.keys()
+    for n in moved:
+        close = spark.createDataFrame([(0, n)], "arbor_id long, nid long")
+        got = {r.nid: tuple(r) for r in scores.what_if_scores(kept, close, masks, old, VIEW, smooth=False).collect()}
+        assert got == {m: want[m] if m == n else before[m] for m in left}
+    changed = {r.nid for r in scores.changed_nodes(kept, voxels, cut, VIEW).collect()}
+    assert moved <= changed <= left
+    wide = topology.pruned(data[3], data[3].where("nid = 3"))
+    some = {r.nid for r in scores.changed_nodes(wide, data[5], volume.accumulate(wide, masks, VIEW), VIEW).collect()}
+    assert some and some < left
+    soft = sorted(tuple(r) for r in scores.scores_where_changed(kept, voxels, masks, old, VIEW).collect())
+    assert soft == sorted(tuple(r) for r in scores.branch_scores(kept, cut, VIEW, consensus=True).collect())
+
+
 def test_fill_and_boxes(spark, data):
     full = spark.createDataFrame([(0, 1, i, j, 0, 1) for i in range(4) for j in range(4) if i < 2 or (i == 2 and j < 2)], "arbor_id long, nid long, i int, j int, k int, v int")
     got = {(r.i, r.j): r.v for r in volume.downsampled(full, (2, 2, 1)).collect()}
