@@ -48,12 +48,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs, labels, MIXTURE, hold="clean")
 
 
-def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens of every row, digests of the ids and of the decoded bytes."""
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str, ids: bool = False) -> DataFrame:
+    """Tokens of every row, digests of the ids and of the decoded bytes and, if asked for, the ids."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.encode(docs, path, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source"))
+    return bpe.encode(docs, path, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source"), ids=ids)
 
 
 STAGES = [
@@ -70,8 +70,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole ``documents`` table."""
+    """All stages over the whole ``documents`` table; the rows hold the token ids."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return STAGES[-1][1](spark, docs, sf_dir, ids=True)

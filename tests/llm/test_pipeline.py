@@ -69,3 +69,8 @@ def test_hard_rows_and_empty_table(spark):
 
 def test_run(spark, steps):
     assert cp.run(spark, SF).count() == steps[-1].count()
+
+
+def test_run_yields_the_token_ids(spark, steps):
+    got = cp.run(spark, SF).selectExpr("n_tokens", "ids").collect()
+    assert len(got) == steps[-1].count() and all(r.ids is not None and len(r.ids) == r.n_tokens for r in got) and any(r.ids for r in got)
