@@ -178,7 +178,7 @@ def _(spark, sf):
 
 @query("id_pairs", sql("arbor_id nid pid d:x", "SELECT arbor_id, nid, pid, CAST(NULL AS DOUBLE) AS x FROM nodes", B))
 def _(spark, sf):
-    return b(spark, sf).select("arbor_id", "nid", "pid", F.lit(None).cast("double").alias("x"))
+    return ingest.from_id_pairs(spark, b(spark, sf).select("arbor_id", "nid", "pid")).select("arbor_id", "nid", "pid", "x")
 
 
 @query("last_row_wins", sql("arbor_id nid pid d:x", "SELECT arbor_id, nid % 5 AS nid, pid, x FROM (SELECT *, row_number() OVER (PARTITION BY arbor_id, nid % 5 ORDER BY nid DESC) AS r FROM nodes) WHERE r = 1", A))

@@ -41,8 +41,11 @@ def parse_csv(lines: DataFrame, column: str = "line") -> DataFrame:
     return normalised(lines.withColumn("row_", row).select(*[c for c in lines.columns if c != column], "row_.*"))
 
 
-def from_id_pairs(spark: SparkSession, pairs: Iterable[tuple[int, int | None]], arbor_id: int = 0) -> DataFrame:
-    """Topology alone; centres are null."""
+def from_id_pairs(spark: SparkSession, pairs: DataFrame | Iterable[tuple[int, int | None]], arbor_id: int = 0) -> DataFrame:
+    """Topology alone; centres are null.  ``pairs`` is a table ``arbor_id, nid, pid``, or rows of one arbor."""
+    if isinstance(pairs, DataFrame):
+        ids = [F.col(c).cast("bigint").alias(c) for c in ("arbor_id", "nid", "pid")]
+        return pairs.select(*ids, *[F.lit(None).cast("double").alias(c) for c in "xyz"])
     return from_rows(spark, [(n, p, None, None, None) for n, p in pairs], arbor_id)
 
 
