@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,31 +18,72 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset a temporary one, on a local master only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = getattr(spark, "_taproot_scratch", None)
         if base is None:
+            master = spark.sparkContext.master
+            if not re.match(r"local($|\[)", master):
+                raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on master {master}")
             base = spark._taproot_scratch = "file://" + tempfile.mkdtemp(prefix="taproot-")
     return base.rstrip("/")
 
 
+#: Settings of a write: the shuffle files go as soon as it has ended, and Arrow batches of long texts
+#: stay small, so that what Python and the JVM hold of them does not grow with the texts.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder: computed once, lineage cut, safe against lost executors."""
+    """``df`` as a table in the shared folder: computed once, lineage cut, safe against lost executors.
+
+    The shuffle files behind it go with the end of the write, instead of some later garbage collection
+    on the driver.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/taproot/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = {k: spark.conf.get(k, None) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
+    try:
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._taproot_path = path
+    return out
+
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes ``written`` tables that nothing reads any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df._taproot_path)
+        path.getFileSystem(conf).delete(path, True)
 
-def hash_sample(df: DataFrame, key: str, most: int) -> DataFrame:
-    """About ``most`` rows of ``df``, never over twice as many, those whose hashed ``key`` is least.
 
-    The share is set from a count, so no partition sends more than its part of the sample.
+def hash_sample(df: DataFrame, columns: list[str], most: int, by: str | None = None) -> DataFrame:
+    """About ``most`` rows of ``df``, those whose hash of ``columns`` is least, each once however often it repeats.
+
+    With ``by``, as many of each of its values, all rows of a value that has fewer.  The share is set
+    from counts and a hot value is thinned by the other columns, so neither the sample nor any
+    partition's part of it grows with the table.  The same rows give the same sample.
     """
-    spread, n = 1 << 40, df.count()
-    share = min(spread, -(-spread * most // n)) if n else spread
-    return df.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(spread)) < share).limit(2 * most)
+    spread = 1 << 40
+    place = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in columns]), F.lit(spread))
+    if by is None:
+        n = df.count()
+        chosen = df.where(place < (min(spread, -(-spread * most // n)) if n else spread))
+    else:
+        sizes = {r[by]: r["n"] for r in df.where(F.col(by).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}
+        if not sizes:
+            return df.limit(0)
+        each = -(-most // len(sizes))
+        shares = F.create_map(*[F.lit(x) for v, n in sorted(sizes.items()) for x in (v, min(spread, -(-spread * each // n)))])
+        chosen = df.where(place < shares[F.col(by)])
+    return chosen.withColumn("place_", F.xxhash64(*df.columns)).dropDuplicates(["place_"]).drop("place_")
 
 
 def blocked(df: DataFrame, key: str, by: str, most: int, weight: str | None = None, heaviest: int = 0) -> DataFrame:
@@ -105,8 +147,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(node, component)``; a component's name is its least node.
 
     Alternates large-star and small-star rewriting, which halves path lengths, until the edge set
-    is unchanged.  Every round is a shuffle over the edges and is written to the shared folder; only
-    a count and a checksum come back to the driver.  Self-loops and repeated edges are ignored.
+    is unchanged.  Every round is a shuffle over the edges and is written to the shared folder, where it
+    replaces the round before; only a count and a checksum come back to the driver.  Self-loops and
+    repeated edges are ignored.
     """
     e = written(
         edges.where(F.col("a") != F.col("b"))
@@ -135,7 +178,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        e = written(small)
+        e, old = written(small), e
+        discard(old)
         now = mark(e)
         if now == seen:
             break
@@ -147,4 +191,4 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return stars.select(F.col("u").alias("node"), "component").union(roots)
 
 
-__all__ = ["DataFrame", "F", "SparkSession", "Window", "blocked", "components", "hash_sample", "loosened", "runs", "shared_dir", "table", "vectors_of", "written"]
+__all__ = ["DataFrame", "F", "SparkSession", "Window", "blocked", "components", "discard", "hash_sample", "loosened", "runs", "shared_dir", "table", "vectors_of", "written"]

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from taproot.llm.common import F, blocked, components, loosened, runs, written
+from taproot.llm.common import F, blocked, components, discard, loosened, runs, written
 
 BITS = 2  # kept of each minimum
 PER_LONG = 64 // BITS
@@ -21,7 +21,7 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -81,17 +81,17 @@ class Sketcher:
         return keys, packed.view(np.int64)
 
 
-def sketches(docs: DataFrame, n: int, sketcher: Sketcher, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id, class, n_shingles, bands, sig`` of each row; ``class`` names the word sequence.
+def sketches(docs: DataFrame, n: int, sketcher: Sketcher, key: str = "doc_id", text: str = "text", tag=None) -> DataFrame:
+    """``id, tag, class, n_shingles, bands, sig`` of each row; ``class`` names the word sequence.
 
-    A row without a word has no class, no band and no signature.
+    ``tag`` is a column that goes along.  A row without a word has no class, no band and no signature.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
             cls, size, bands, sig = [], [], [], []
-            for x in batch.column(1):
+            for x in batch.column(2):
                 words = words_of(x.as_py())
                 sh = shingles(words, known, n)
                 size.append(len(sh))
@@ -105,12 +105,13 @@ def sketches(docs: DataFrame, n: int, sketcher: Sketcher, key: str = "doc_id", t
                 bands.append(k)
                 sig.append(s)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(cls, pa.binary()), pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.list_(pa.int64()))],
-                names=["id", "class", "n_shingles", "bands", "sig"],
+                [*batch.columns[:2], pa.array(cls, pa.binary()), pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.list_(pa.int64()))],
+                names=["id", "tag", "class", "n_shingles", "bands", "sig"],
             )
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("id"), text).mapInArrow(run, f"id {kind}, class binary, n_shingles bigint, bands array<bigint>, sig array<bigint>")
+    whole = docs.select(F.col(key).alias("id"), (F.lit(None).cast("boolean") if tag is None else tag).alias("tag"), F.col(text))
+    kinds = [whole.schema[c].dataType.simpleString() for c in ("id", "tag")]
+    return whole.mapInArrow(run, f"id {kinds[0]}, tag {kinds[1]}, class binary, n_shingles bigint, bands array<bigint>, sig array<bigint>")
 
 
 def estimate(a, b, hashes: int):
@@ -160,7 +161,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return both.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
-BLOCK, WEIGHT = 1024, 1 << 20  # rows and shingles of a block
+BLOCK, WEIGHT = 512, 1 << 20  # rows and shingles of a block
 
 
 def likely(p: int, q: int, own, ids, comp, size, sig, low: float, hashes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -261,9 +262,9 @@ def joining(members: DataFrame, low: float, hashes: int, n: int, percent: int) -
 
 
 def near_duplicates(
-    docs: DataFrame, *, n: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, *, n: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, key: str = "doc_id", text: str = "text", tag=None
 ) -> DataFrame:
-    """``key, n_shingles, component_id, kept``: one row per document.
+    """``key, n_shingles, component_id, kept``: one row per document, and the column ``tag`` if one is given.
 
     Documents are linked when 100 * intersection >= ``percent`` * union of their sets of distinct
     ``n``-word shingles; fewer words are one shingle.  A document without a word links with nothing.
@@ -274,12 +275,15 @@ def near_duplicates(
     every such pair is confirmed there unless its components are joined already, so that no candidate
     pair that matters is left out and no list of pairs is made.  A pair at a similarity of 0.8 misses all bands with probability 3e-6.
 
+    Whole texts are shuffled once, when those of bucket members are set apart; what follows reads these
+    alone.  Scratch tables go as soon as their successors are written.
+
     Ids must be whole numbers.  A null id is kept and has no component but null.  Rows that repeat an
     id and text fall in one class.  Other columns are not read.
     """
-    spark, hashes = docs.sparkSession, bands * rows
+    hashes = bands * rows
     low = loosest(percent / 100, hashes)
-    sk = written(sketches(docs, n, Sketcher(bands, rows), key, text))
+    sk = written(sketches(docs, n, Sketcher(bands, rows), key, text, tag))
     classes = written(
         sk.where("class is not null and id is not null")
         .groupBy("class")
@@ -298,10 +302,11 @@ def near_duplicates(
         .select("a", "b")
     )
     near = written(near)
-    # whole texts cross the network once; only those of candidates are joined to pairs
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
+    inside = members.select(F.col("rep").alias("id")).distinct()
+    texts = written(docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(inside, "id", "left_semi"))
     ends = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    links = written(confirmed(near, written(texts.join(ends, "id", "left_semi")), n, percent))
+    links = written(confirmed(near, texts.join(ends, "id", "left_semi"), n, percent))
+    discard(near)
     comps = written(components(links))
     named = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(
         "bucket", F.col("rep").alias("id"), F.coalesce("component", "rep").alias("component")
@@ -309,15 +314,21 @@ def near_duplicates(
     open_ = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     rest = named.join(loosened(open_.select("bucket"), "bucket"), "bucket").join(marks.withColumnRenamed("rep", "id"), "id")
     rest = written(rest)
-    ones = rest.join(involved(rest, low, hashes), ["bucket", "id"], "left_semi")
-    ones = ones.join(texts, "id")
+    discard(members)
+    hit = written(involved(rest, low, hashes))
+    ones = rest.join(hit, ["bucket", "id"], "left_semi").join(texts, "id")
     extra = written(joining(ones.select("bucket", "id", "component", "n_shingles", "sig", "t"), low, hashes, n, percent))
+    discard(rest, hit, texts)
     if not extra.isEmpty():
-        comps = written(components(links.union(extra)))
+        old, comps = comps, written(components(links.union(extra)))
+        discard(old)
+    discard(links, extra)
     names = classes.select("class", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     names = written(names.select("class", F.coalesce("component", "rep").alias("component")))
-    found = sk.select("id", "class", "n_shingles").join(names, "class", "left")
+    discard(classes, comps)
+    found = sk.select("id", "tag", "class", "n_shingles").join(names, "class", "left")
     whole = F.coalesce(F.col("component"), F.col("id"))
+    carried = [] if tag is None else ["tag"]
     return found.select(
-        F.col("id").alias(key), "n_shingles", whole.alias("component_id"), F.col("id").eqNullSafe(whole).alias("kept")
+        F.col("id").alias(key), "n_shingles", whole.alias("component_id"), F.col("id").eqNullSafe(whole).alias("kept"), *carried
     )
