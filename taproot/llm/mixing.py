@@ -66,8 +66,9 @@ def train(docs: DataFrame, labelled: DataFrame, *, max_rows: int = 4000, key: st
     input; a fifth of the rows calibrates the temperature.  Rows of null domain teach nothing.
     """
     tags = labelled.where(F.col(domain).isNotNull()).select(F.col(key).alias("k_"), F.col(domain).cast("string").alias("d_"))
-    tags = hash_sample(tags, "k_", max_rows)
-    rows = docs.select(F.col(key).alias("k_"), F.col(text).alias("t_")).join(tags, "k_")
+    tags = hash_sample(tags, ["k_"], max_rows)
+    # the sample is bounded by max_rows, so the documents stay where they are
+    rows = docs.select(F.col(key).alias("k_"), F.col(text).alias("t_")).join(F.broadcast(tags), "k_")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Buckets()
@@ -148,6 +149,7 @@ class Fit:
     held: int | None
     residual: dict[str, float] = field(default_factory=dict)
     met: bool = True
+    total: float = 0.0
 
     def rates(self):
         """The fitted state as an expression over ``members``."""
@@ -210,8 +212,38 @@ def tried(at: DataFrame, us: list[np.ndarray], scale: float, cap: float, held: i
     return [Trial(u, totals[j], short(gram[j]), float(height[j]), float(least[j])) for j, u in enumerate(us)]
 
 
+def shared_out(
+    at: DataFrame, want: np.ndarray, gram: np.ndarray, tolerance: float, scale: float, cap: float, held: int | None, most: int = 1000
+) -> Trial | None:
+    """The step from ``start`` to the nearest rates in bounds whose totals stand to one another as ``want``,
+    whatever their sum; None where there are none, or rounding ends the ascent.
+
+    ``projected`` with one condition less: the multipliers are those that are square to ``want``.
+    """
+    K = len(want)
+    square = np.linalg.svd(want[None, :])[2][1:].T  # K by K - 1
+    unit = np.where(want > 0, want, want.max())
+    ready = lambda x: (np.abs(x.totals - want * x.totals.sum()) <= tolerance * unit * x.totals.sum()).all()
+    here = tried(at, [np.zeros(K)], scale, cap, held)[0]
+    for _ in range(most):
+        if ready(here):
+            return here
+        us = [here.u + square @ np.linalg.solve(square.T @ (here.gram + d * gram) @ square, square.T @ here.totals) for d in DAMPING]
+        trials = tried(at, us, scale, cap, held)
+        for x in trials:
+            if ready(x):
+                return x
+        if any(x.least > tolerance * float(np.abs(x.u) @ unit) * cap for x in trials):
+            return None
+        best = max(trials, key=lambda x: x.height)
+        if best.height <= here.height:
+            return None
+        here = best
+    raise RuntimeError("rates did not settle")
+
+
 def projected(
-    at: DataFrame, goal: np.ndarray, gram: np.ndarray, allowed: np.ndarray, scale: float, cap: float, held: int | None, most: int = 1000
+    at: DataFrame, goal: np.ndarray, gram: np.ndarray, allowed: np.ndarray, scale: float, cap: float, held: int | None, most: int = 1000, nearest: bool = True
 ) -> tuple[Trial, bool]:
     """The step ``u`` from ``start`` to the nearest rates in bounds whose totals are ``goal``, and whether
     there are any within ``allowed``.
@@ -219,7 +251,7 @@ def projected(
     Newton steps on the dual, a concave function of one multiplier per domain.  Each pass tries one step
     per damping; that of damping 1 always ascends, as no Gram matrix of free documents exceeds ``gram``.
     A ``u`` for which even the least ``u`` times totals is above all that ``allowed`` leaves proves that
-    the targets can't be met; then the nearest totals in units of ``gram`` are sought.
+    the targets can't be met; then the nearest totals in units of ``gram`` are sought, if ``nearest``.
     """
     near, met = 0.0, True
     here = tried(at, [np.zeros(len(goal))], scale, cap, held)[0]
@@ -234,6 +266,8 @@ def projected(
             if (np.abs(x.totals - goal) <= allowed).all():
                 return x, True
         if met and any(x.least - float(x.u @ goal) > float(np.abs(x.u) @ allowed) for x in trials):
+            if not nearest:
+                return here, False
             near, met = CLOSEST, False
             continue
         best = max(trials, key=height)
@@ -245,7 +279,7 @@ def projected(
 
 def fit_rates(
     members: DataFrame, names: list[str], targets: dict[str, float], *, total: float | None = None, hold: str | None = None,
-    cap: float = 8.0, rounds: int = 40, tolerance: float = 1e-4,
+    cap: float = 8.0, rounds: int = 40, tolerance: float = 1e-4, stretch: bool = False,
 ) -> Fit:
     """Rates r in [0, cap] with sum(n_tokens * p * r) = total * targets.
 
@@ -258,7 +292,10 @@ def fit_rates(
 
     It ends when every domain is within ``tolerance`` of its own target (of the largest, where its own is
     0); ``residual`` has the distances, and ``met`` is false where no rates in bounds come so near (or where
-    rounding ends the ascent first).  Those returned are then the nearest found.  ``total`` defaults to the tokens there are, or, with
+    rounding ends the ascent first).  Those returned are then the nearest found.  With ``stretch`` the total
+    gives way first: the nearest rates to 1 are taken whose totals stand to one another as the targets do
+    (``shared_out``), so that a held domain whose own documents carry too much of another one is repeated
+    where it carries least; ``total`` of the fit tells what came of it.  ``total`` defaults to the tokens there are, or, with
     ``hold``, to what keeps that domain's own total; its likely members keep rate 1 at least.
     """
     K = len(names)
@@ -276,12 +313,12 @@ def fit_rates(
     scale = float(first.n or 0)
     if not K or not scale or not want.sum():
         return fit
-    fit.scale = scale
+    fit.scale = fit.total = scale
     want /= want.sum()
     sums = np.array([float(first[f"s{k}"]) for k in range(K)]) / scale
     if total is None:
         total = sums[held] / want[held] * scale if held is not None and want[held] else scale
-    goal = want * total / scale
+    goal, fit.total = want * total / scale, float(total)
     gram = np.zeros((K, K))
     for i, j in pairs:
         gram[i, j] = gram[j, i] = float(f"{first[f'g{i}_{j}'] / scale**2:.9g}")
@@ -318,7 +355,16 @@ def fit_rates(
             done, fit.tail = fit.tail, []
             fit.members = written(fit.members.withColumn("state_", stepped(done, scale, cap, held, state())))
         start = F.col("state_.ahead") if fit.steps else F.lit(1.0)
-        last, fit.met = projected(fit.members.withColumn("start", start), goal, gram, tolerance * unit, scale, cap, held)
+        last, fit.met = projected(fit.members.withColumn("start", start), goal, gram, tolerance * unit, scale, cap, held, nearest=not stretch)
+        if stretch and not fit.met:
+            free = shared_out(members.withColumn("start", F.lit(1.0)), want, gram, tolerance, scale, cap, held)
+            if free is not None:
+                fit.members, fit.steps, fit.met = members, [(free.u, 0.0)], True
+                fit.tail = list(fit.steps)
+                fit.total = float(free.totals.sum() * scale)
+                fit.residual = dict(zip(names, ((free.totals - want * free.totals.sum()) * scale).tolist(), strict=True))
+                return fit
+            last, fit.met = projected(fit.members.withColumn("start", start), goal, gram, tolerance * unit, scale, cap, held)
         fit.steps.append((last.u, 0.0))
         fit.tail.append((last.u, 0.0))
         off.append(last.totals - goal)
@@ -344,18 +390,19 @@ def copies(key: str = "doc_id"):
 
 def rated(
     docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, hold: str | None = None, total: float | None = None,
-    cap: float = 8.0, max_rows: int = 4000, key: str = "doc_id", text: str = "text",
+    cap: float = 8.0, max_rows: int = 4000, key: str = "doc_id", text: str = "text", stretch: bool = False,
 ) -> DataFrame:
     """``key, n_tokens, p_<domain>.., rate, copies`` of every document; one row per row.
 
     ``labelled`` has ``key, domain``.  Null and empty texts have no tokens and keep rate 1.  Without
     labelled rows or tokens all rates are 1.  Rows that repeat are rated alike.  Targets of domains
-    that were never seen are left out and the rest is scaled up.  Where no rates in bounds meet the
-    targets, a warning gives each domain's tokens above its target.
+    that were never seen are left out and the rest is scaled up.  With ``stretch`` the total gives way
+    where the targets can't be met at it.  Where no rates in bounds meet the targets, a warning gives each
+    domain's tokens above its target.
     """
     model = train(docs, labelled, max_rows=max_rows, key=key, text=text)
     members = written(memberships(docs, model, key, text))
-    fit = fit_rates(members, model.names, targets, total=total, hold=hold, cap=cap)
+    fit = fit_rates(members, model.names, targets, total=total, hold=hold, cap=cap, stretch=stretch)
     if not fit.met:
         warnings.warn(f"no rates in bounds meet the targets; tokens above them: {fit.residual}", stacklevel=2)
     out = fit.members.select(
@@ -370,6 +417,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, ke
     Rows that share an id share its rate.  A row whose id is null stays once.
     """
     rates = rated(docs, labelled, targets, key=key, **more).where(F.col(key).isNotNull())
-    n = rates.groupBy(F.col(key).alias("k_")).agg(F.max("copies").alias("n_"))
-    found = docs.join(n, docs[key] == n["k_"], "left").withColumn("n_", F.coalesce("n_", F.lit(1)))
-    return found.where("n_ > 0").withColumn("c_", F.explode(F.sequence(F.lit(1), F.col("n_")))).select(*[docs[c] for c in docs.columns])
+    n = rates.groupBy(F.col(key).alias("key")).agg(F.max("copies").alias("n"))
+    found = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("key")).join(n, "key", "left")
+    again = F.explode(F.sequence(F.lit(1), F.coalesce("n", F.lit(1))))
+    return found.where("n is null or n > 0").select("row", again.alias("copy")).select("row.*")

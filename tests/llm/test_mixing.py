@@ -132,3 +132,35 @@ def test_mixed_rows_and_edges(spark):
     none = docs.limit(0)
     assert mixing.mixed(none, tags, TARGETS).count() == 0
     assert {r.rate for r in mixing.rated(docs, tags.limit(0), TARGETS).collect()} == {1.0}
+
+
+def independent(n, p, low, want, cap):
+    """The nearest rates to 1 of given shares, by cyclic projections with Dykstra's corrections."""
+    A = n[:, None] * p / n.sum()
+    C = A - A.sum(axis=1, keepdims=True) * want
+    back = np.linalg.pinv(C.T @ C)
+    r, box, line = np.ones(len(n)), np.zeros(len(n)), np.zeros(len(n))
+    for _ in range(20000):
+        y = r + line
+        x = y - C @ (back @ (C.T @ y))
+        line = y - x
+        r = np.clip(x + box, low, cap)
+        box = x + box - r
+    return r
+
+
+def test_stretched_rates_against_an_independent_solver(spark):
+    r = np.random.default_rng(11)
+    n, p = r.integers(5, 60, 300), r.dirichlet([8, 1, 0.6], 300)
+    members = spark.createDataFrame([(i, int(a), [float(x) for x in b]) for i, (a, b) in enumerate(zip(n, p, strict=True))], "doc_id long, n_tokens long, p array<double>")
+    want = np.array([0.9, 0.07, 0.03])
+    plain = mixing.fit_rates(members, list("abc"), dict(zip("abc", want.tolist(), strict=True)), hold="a")
+    fit = mixing.fit_rates(members, list("abc"), dict(zip("abc", want.tolist(), strict=True)), hold="a", stretch=True)
+    got = fit.members.select("doc_id", fit.rates()["rate"].alias("r")).toPandas().sort_values("doc_id").r.to_numpy()
+    totals = (n[:, None] * p * got[:, None]).sum(axis=0)
+    low = (p[:, 0] >= 0.5).astype(float)
+    assert not plain.met and fit.met and (got >= low).all() and (got <= 8).all()
+    assert (np.abs(totals / totals.sum() - want) <= 1.01e-4 * want).all() and abs(fit.total - totals.sum()) < 1e-3 * fit.total
+    assert np.abs(got - independent(n, p, low, want, 8.0)).max() < 0.02
+    hopeless = mixing.fit_rates(members, list("abc"), {"c": 1.0}, hold="a", stretch=True)
+    assert not hopeless.met and hopeless.residual["a"] > 0
