@@ -108,32 +108,66 @@ def fit_ftrl(
 
 
 def calibrate(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature of least log loss on rows that were not trained on, by golden section."""
+    """The temperature of least log loss on rows that were not trained on, by golden section.
+
+    Targets are smoothed by Laplace's rule of succession: of ``n`` rows of ``k`` kinds the right one
+    counts ``(n + 1) / (n + k)``, the others share the rest.  So rows that are all told apart don't drive
+    the temperature to nought: ``n`` right answers are no proof of more certainty than that.
+    """
     if not len(labels):
         return 1.0
+    n, k = logits.shape
+    rest = (k - 1) / (n + k)
 
     def loss(t: float) -> float:
         z = logits / np.exp(t)
         z = z - z.max(axis=1, keepdims=True)
-        return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(labels)), labels]).mean())
+        right = z[np.arange(n), labels]
+        others = (z.sum(axis=1) - right) / max(k - 1, 1)
+        return float((np.log(np.exp(z).sum(axis=1)) - (1 - rest) * right - rest * others).mean())
 
-    a, b, ratio = -3.0, 3.0, (5**0.5 - 1) / 2
-    for _ in range(40):
+    a, b, ratio = -5.0, 5.0, (5**0.5 - 1) / 2
+    for _ in range(50):
         c, d = b - ratio * (b - a), a + ratio * (b - a)
         a, b = (a, d) if loss(c) < loss(d) else (c, b)
     return float(np.exp((a + b) / 2))
 
 
+def document_counts(docs: DataFrame, bits: int, text: str = "text") -> tuple[int, np.ndarray]:
+    """How many rows of ``docs`` have a letter, and how many of them have each bucket; one pass over whole texts.
+
+    A task sends a row per bucket, and only their sums, ``2**bits`` at most, come to the driver.
+    """
+    width = 1 << bits
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(width + 1, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                t = x.as_py()
+                if t and has_letter(t):
+                    seen[ngram_counts(t, bits)[0]] += 1
+                    seen[width] += 1
+        found = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(seen[found])], names=["bucket", "n"])
+
+    sums = docs.select(text).mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(width + 1, np.int64)
+    out[sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
+    return int(out[width]), out[:width]
+
+
 def train(labelled: DataFrame, *, max_rows: int = 3000, bits: int = 15, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
-    """Fits a model on about ``max_rows`` rows of ``labelled``, chosen by a hash of ``key``.
+    """Fits a model on about ``max_rows`` rows of ``labelled``, as many of each language, chosen by a hash of ``key`` and text.
 
-    The sample is a documented bound on training alone.  N-grams are counted where the rows are;
-    only buckets and counts come to the driver, at most ``2**bits`` a row.  A fifth of the sample
-    is kept from the fit and sets the temperature.  Null texts and labels, and texts without a
-    letter, teach nothing; without any row the model answers ``und``.
+    The sample is a documented bound on the fit and the temperature alone: document frequencies are
+    counted over all rows, and every language there is takes part, however rare.  Only buckets and counts
+    come to the driver, at most ``2**bits`` a row.  A fifth of the sample is kept from the fit and sets the
+    temperature.  Null texts and labels, and texts without a letter, teach nothing; without any row the
+    model answers ``und``.
     """
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
-        F.xxhash64(F.col(key).cast("string")).alias("h"), text, lang
+        F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("h"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")
     )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,8 +182,7 @@ def train(labelled: DataFrame, *, max_rows: int = 3000, bits: int = 15, text: st
             yield pa.RecordBatch.from_arrays(cols, names=["h", "lang", "found", "counts"])
 
     picked = (
-        hash_sample(rows, "h", max_rows)
-        .select("h", F.col(text), F.col(lang).cast("string"))
+        hash_sample(rows, ["h"], max_rows, "lang")
         .mapInArrow(count, "h bigint, lang string, found array<int>, counts array<int>")
         .toArrow()
     )
@@ -159,10 +192,8 @@ def train(labelled: DataFrame, *, max_rows: int = 3000, bits: int = 15, text: st
     )
     languages = sorted({r[1] for r in sample})
     width = 1 << bits
-    seen = np.zeros(width)
-    for _, _, f, _ in sample:
-        seen[f] += 1
-    idf = (np.log((1 + len(sample)) / (1 + seen)) + 1).astype(np.float32)
+    n, seen = document_counts(rows, bits) if sample else (0, np.zeros(width))
+    idf = (np.log((1 + n) / (1 + seen)) + 1).astype(np.float32)
     x = [(r[2], scaled(r[2], r[3], idf)) for r in sample]
     y = [languages.index(r[1]) for r in sample]
     held = [i for i, r in enumerate(sample) if (r[0] >> 40) % 5 == 0] if len(sample) >= 50 else []

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 
@@ -54,3 +55,68 @@ def test_temperature_recovers_scale():
     z = r.normal(size=(4000, 3)) * 2
     y = np.array([r.choice(3, p=langid.softmax(v)) for v in z])
     assert abs(langid.calibrate(z * 4, y) - 4) < 0.5
+
+
+def test_rare_language_is_learned(spark):
+    r = random.Random(9)
+    rows = [(i, words("cc" if i % 250 == 3 else "aa", 60, r), "cc" if i % 250 == 3 else "aa") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, max_rows=60)
+    assert model.languages == ["aa", "cc"] and all(model.predict(t)[0] == g for _, t, g in rows)
+
+
+def test_document_counts_cover_all_rows(spark):
+    rows, docs = corpus(spark, 90)
+    n, seen = langid.document_counts(docs, 15)
+    want = np.zeros(1 << 15, int)
+    texts = [x[1] for x in rows if x[1] and langid.has_letter(x[1])]
+    for t in texts:
+        want[langid.ngram_counts(t)[0]] += 1
+    assert n == len(texts) and (seen == want).all()
+
+
+def test_scores_are_calibrated(spark):
+    r = random.Random(17)
+    blend = lambda a, b, n: " ".join(words(r.choices([a, b], [3, 2])[0], 1, r) for _ in range(n))
+    rows = []
+    for i in range(2400):
+        a, b = r.sample(list(SYLLABLES), 2)
+        rows.append((i, blend(a, b, r.randint(1, 12)), a))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [g for g in langid.identify(docs).collect() if g.held_out]
+    p, hit = np.array([g.score for g in got]), np.array([g.lang_pred == rows[g.doc_id][2] for g in got])
+    gaps = [abs(p[m].mean() - hit[m].mean()) * m.mean() for lo in np.arange(0, 1, 0.1) if (m := (p > lo) & (p <= lo + 0.1)).any()]
+    assert len(got) > 400 and 0.5 < hit.mean() < 0.9 and sum(gaps) < 0.08
+
+
+def test_temperature_stays_off_its_bounds_where_all_is_told_apart():
+    z = np.eye(3)[np.arange(600) % 3] * 0.5
+    t = langid.calibrate(z, np.arange(600) % 3)
+    p = langid.softmax(z[0] / t).max()
+    assert np.exp(-4.9) < t and 0.99 < p < 0.9985
+
+
+def test_prediction_against_brute_force(spark):
+    rows, docs = corpus(spark, 80)
+    model = langid.train(docs)
+    got = langid.predict(docs, model).collect()
+    for g, (_, text, *_) in zip(got, rows):
+        if not text or not any(c.isalpha() for c in text):
+            assert (g.lang_pred, g.score) == ("und", 0.0)
+            continue
+        spaced = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+        s = re.sub(" +", " ", spaced)
+        counts = {}
+        for n in (1, 2, 3):
+            for k in range(len(s) - n + 1):
+                h = 0
+                for c, mix in zip(s[k : k + n], (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)):
+                    h = ((h ^ ord(c)) * mix) % 2**32
+                    h ^= h >> 15
+                b = (h * 0x9E3779B1 % 2**32) >> 17
+                counts[b] = counts.get(b, 0) + 1
+        x = {b: np.log1p(c) * float(model.idf[b]) for b, c in counts.items()}
+        size = sum(v * v for v in x.values()) ** 0.5
+        z = model.bias.astype(float) + sum((model.weights[model.rows[b]].astype(float) * v / size for b, v in x.items()), np.zeros(len(model.bias)))
+        p = langid.softmax(z / model.temperature)
+        assert g.lang_pred == model.languages[int(p.argmax())] and abs(g.score - p.max()) < 1e-4
