@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from taproot.llm.secrets import findings
 
-    return findings(table(spark, sf_dir, "documents"))
+    return findings(table(spark, sf_dir, "documents"), switches=True)
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from taproot.llm.mixing import labelled_domains, rated
 
     docs = table(spark, sf_dir, "documents")
-    return rated(docs, labelled_domains(table(spark, sf_dir, "labels")), MIXTURE, hold="clean")
+    return rated(docs, labelled_domains(table(spark, sf_dir, "labels")), MIXTURE, hold="clean", stretch=True)
 
 
 QUERIES: dict[str, Query] = {

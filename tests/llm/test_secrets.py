@@ -41,12 +41,12 @@ def battery(token):
     return n, min(1, 3 * min(ps)), tail(-(chi - t_mean) / math.sqrt(t_var))
 
 
-def brute(text):
+def brute(text, battery=battery, token=f"({secrets.TOKEN})"):
     t = text or ""
     base = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(t) if len(m[2]) >= 12]
     base += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
     base += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
-    more = [(m, b) for m in re.finditer(secrets.TOKEN, t) if (b := battery(m[0]))]
+    more = [(m, b) for m in re.finditer(token, t) if m[1] and (b := battery(m[0]))]
     if more:
         mean = sum(b[0] for _, b in more) / len(more)
         q = [b[2] * mean / b[0] for _, b in more]
@@ -99,3 +99,83 @@ def test_redaction(spark):
                 want += t[at:a] + "[SECRET]"
             at = max(at, b)
         assert g.text == (None if t is None else want + t[at:])
+
+
+def test_many_tokens_take_linear_time(spark):
+    import time
+
+    r = random.Random(8)
+    tokens = lambda n: " ".join(r.randbytes(18).hex()[: r.randint(24, 36)] if k % 2 else base64.b64encode(r.randbytes(18)).decode() for k in range(n))
+    times = []
+    for n in (2500, 10000):
+        docs = spark.createDataFrame([(1, tokens(n), "a")], "doc_id long, text string, found string").cache()
+        docs.count()
+        secrets.findings(docs).collect()
+        at = time.time()
+        got = secrets.findings(docs).collect()[0]
+        out = secrets.redacted(docs).collect()[0]
+        times.append(time.time() - at)
+        print(n, times[-1])
+        assert got.n_random > 0.7 * n and out.text.count("[SECRET]") >= got.n_random and out.found == "a"
+    assert times[1] < 8 and times[1] < 8 * times[0] + 1
+
+
+def with_switches(token):
+    """``battery`` with the class changes beside the chi-squared statistic of ordinary text."""
+    found = battery(token)
+    if found is None:
+        return None
+    x = re.sub("=+$", "", token)
+    if re.fullmatch("[0-9a-f]+|[0-9A-F]+", x):
+        kind, x = "hex", re.sub("[a-fA-F]", "a", x)
+    elif re.fullmatch("[A-Z2-7]+", x):
+        kind = "base32"
+    else:
+        kind, x = "base64", re.sub("[^A-Za-z0-9]", "", x)
+    marks = re.sub("[0-9]", "9", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", x)))
+    pairs = [a + b for a, b in zip(marks, marks[1:])]
+    switches = sum(p[0] != p[1] and p != "Aa" for p in pairs)
+    rate = secrets.SWITCH[kind]
+    z = (switches - rate * len(pairs)) / math.sqrt(len(pairs) * rate * (1 - rate) * secrets.SPREAD) if pairs else 0
+    n, random_, text = found
+    low, high = -40.0, 40.0
+    for _ in range(100):  # the deviate of the p-value
+        mid = (low + high) / 2
+        low, high = (mid, high) if tail(mid) > text else (low, mid)
+    return n, random_, tail((low + z) / math.sqrt(2))
+
+
+ORDINARY = [
+    "someCamelCaseIdentifierNames", "AbstractSingletonProxyFactoryBean", "/usr/local/share/some/longer/path/to/file", "snake_case_name_of_some_function",
+    "THE_CONSTANT_NAME_OF_A_SETTING", "2024-01-01-release-notes-final", "internationalisation", "kebab-case-class-name-of-a-page", "WORDSWITHOUTANYBLANKINBETWEENTHEM",
+    "cafebabe" * 4, "a/b/c/d/e/f/g/h/i/j/k/l/m/n/o", "================================", "+++++++++++++++++++++++++",
+    "/home/user/projects/reports/2023/summary", "getElementsByTagNameFromTheDocument", "version_2_of_the_file_from_2019",
+]
+
+
+def test_switches_against_brute_force(spark):
+    rows = list(enumerate([*texts(), *ORDINARY, "in /var/log/" + random.Random(1).randbytes(16).hex(), *(f"{t} and {o}" for t, o in zip([x for x in texts() if x], ORDINARY))]))
+    got = secrets.findings(spark.createDataFrame(rows, "doc_id long, text string"), switches=True).collect()
+    assert len(got) == len(rows)
+    for g in got:
+        assert tuple(g)[1:] == brute(rows[g.doc_id][1], with_switches, secrets.PATHED), rows[g.doc_id]
+    assert not [t for t in ORDINARY if brute(t, with_switches, secrets.PATHED)[3]]
+
+
+def test_recall_by_encoding_and_length(spark):
+    r = random.Random(12)
+    draw = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    kinds = {**secrets.ALPHABETS, "base62": secrets.ALPHABETS["base64"][:62]}
+    rows, truth, i = [], {}, 0
+    for kind, letters in kinds.items():
+        for n in (20, 24, 32, 40, 64):
+            for _ in range(150):
+                before = r.choice(["some words stand before ", "in /home/user/", "key: "])
+                rows.append((i, f"{before}{draw(letters, n)} and some after it"))
+                truth[i] = (kind, n)
+                i += 1
+    found = {g.doc_id: g.n_random for g in secrets.findings(spark.createDataFrame(rows, "doc_id long, text string"), switches=True).collect()}
+    recall = {k: sum(found[j] > 0 for j, t in truth.items() if t == k) / 150 for k in set(truth.values())}
+    print(sorted(recall.items()))
+    assert all(v >= 0.9 for (_, n), v in recall.items() if n >= 32)
+    assert all(v >= 0.7 for v in recall.values())
