@@ -78,45 +78,44 @@ def packbits_decode(data: bytes, size: int) -> bytes:
     return bytes(out[:size])
 
 
+#: Codes between two clear codes, which bring the table to 4094 entries, and the width of each, grown one code early.
+LZW_RUN = 3836
+LZW_WIDTHS = np.maximum(9, np.frexp(np.arange(258, 258 + LZW_RUN + 2))[1])
+
+
 def lzw_encode(raw: bytes) -> bytes:
     """Codes from the high bit down; the width grows one code early, as the format has it."""
-    bits, filled, out = 0, 0, bytearray()
-    width, free, known = 9, 258, {bytes([i]): i for i in range(256)}
-
-    def put(code: int) -> None:
-        nonlocal bits, filled
-        bits = (bits << width) | code
-        filled += width
-        while filled >= 8:
-            filled -= 8
-            out.append(bits >> filled & 255)
-        bits &= (1 << filled) - 1
-
-    put(256)
-    word = b""
-    for i in range(len(raw)):
-        more = word + raw[i : i + 1]
-        if more in known:
-            word = more
+    codes, widths = [256], [np.array([9])]
+    known: dict[int, int] = {}
+    find, put = known.get, codes.append
+    begun, free, word = 1, 258, -1
+    for byte in raw:
+        if word < 0:
+            word = byte
+            continue
+        key = word << 8 | byte
+        code = find(key)
+        if code is not None:
+            word = code
             continue
-        put(known[word])
-        known[more] = free
+        put(word)
+        known[key] = free
         free += 1
+        word = byte
         if free == 4094:
             put(256)
-            width, free, known = 9, 258, {bytes([i]): i for i in range(256)}
-        elif free + 1 > 1 << width:
-            width += 1
-        word = raw[i : i + 1]
-    if word:
-        put(known[word])
-        free += 1
-        if free + 1 > 1 << width and width < 12:
-            width += 1
+            widths.append(np.append(LZW_WIDTHS[:LZW_RUN], 12))
+            known.clear()
+            begun, free = len(codes), 258
+    if word >= 0:
+        put(word)
+    n = len(codes) - begun
     put(257)
-    if filled:
-        out.append(bits << (8 - filled) & 255)
-    return bytes(out)
+    widths.append(np.minimum(LZW_WIDTHS[: n + 1], 12))
+    wide = np.concatenate(widths)
+    spots = np.arange(11, -1, -1)
+    bits = (np.array(codes)[:, None] >> spots) & 1
+    return np.packbits(bits[spots < wide[:, None]].astype(np.uint8)).tobytes()
 
 
 def lzw_decode(data: bytes, size: int) -> bytes:
@@ -245,20 +244,28 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
         (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
 
 
-def read_pages(data: bytes) -> Iterator[Page]:
+def read_pages(data: bytes, most_bytes: int = 1 << 30) -> Iterator[Page]:
+    """The pages in chain order.  A page of over ``most_bytes`` of samples is refused, so that a few
+    hostile bytes can't claim all memory."""
     for index, (order, f) in enumerate(directories(data)):
-        one = lambda tag, default=None, f=f: f.get(tag, (default,))[0]
+        one = lambda tag, default=None, f=f: (f.get(tag) or (default,))[0]
         width, height, samples = one(256), one(257), one(277, 1)
         bits, how, predictor, planar = one(258, 1), one(259, 1), one(317, 1), one(284, 1)
         if not width or not height or not samples:
             raise BadTiff("a page has no size")
         if bits not in (8, 16, 32):
             raise BadTiff(f"{bits} bits a sample")
+        if predictor not in (1, 2, 3) or predictor == 3 and bits != 32:
+            raise BadTiff(f"predictor {predictor} of {bits} bits")
+        if min(width, height, samples) < 0 or width * height * samples * bits // 8 > most_bytes:
+            raise BadTiff("a page is too large")
         tiled = 322 in f
         bw, bh = (one(322), one(323)) if tiled else (width, min(one(278, height), height))
         where, sizes = (f.get(324), f.get(325)) if tiled else (f.get(273), f.get(279))
         if not where or not sizes or not bw or not bh or len(where) != len(sizes):
             raise BadTiff("a page has no strips or tiles")
+        if min(bw, bh) < 0 or bw * bh * samples * bits // 8 > most_bytes:
+            raise BadTiff("a strip or tile is too large")
         across, down = -(-width // bw), -(-height // bh)
         planes, each = (samples, 1) if planar == 2 else (1, samples)
         if len(where) < across * down * planes:
@@ -319,15 +326,19 @@ def write_tiff(pages: list[tuple[np.ndarray, int, int, tuple[int, int] | int]],
     return bytes(out)
 
 
-#: How page k of a stored payload is laid out: compression, predictor, tile size or rows per strip.
-LAYOUTS = ((DEFLATE, 1, 64), (LZW, 2, (64, 64)), (PACKBITS, 1, 32))
+#: How the thirds of a stored payload are laid out: compression, predictor, tile size or rows per strip.
+LAYOUTS = ((DEFLATE, 1, 64), (LZW, 2, (64, 16)), (PACKBITS, 1, 32))
 
 
-def store(payload: bytes, width: int = 192, page_rows: int = 256) -> bytes:
-    """A payload whose length is a multiple of ``width`` as pages of at most ``page_rows`` rows."""
-    pixels = np.frombuffer(payload, np.uint8).reshape(-1, width)
-    cuts = range(0, len(pixels), page_rows)
-    return write_tiff([(pixels[y : y + page_rows], *LAYOUTS[k % len(LAYOUTS)]) for k, y in enumerate(cuts)])
+def store(payload: bytes, width: int = 64, page_rows: int = 512) -> bytes:
+    """A payload whose length is a multiple of three times ``width``, as three runs of pages of at most ``page_rows`` rows.
+
+    Each third of the bytes has a layout of its own, so every payload, however short, is a file of strips
+    and tiles, of deflate, LZW and PackBits, with and without a predictor.
+    """
+    pixels = np.frombuffer(payload, np.uint8).reshape(len(LAYOUTS), -1, width)
+    cuts = range(0, pixels.shape[1], page_rows)
+    return write_tiff([(part[y : y + page_rows], *how) for part, how in zip(pixels, LAYOUTS, strict=True) for y in cuts])
 
 
 def feature(pages: list[np.ndarray]) -> str:
@@ -360,7 +371,7 @@ def stored_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", width
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 raws = [(x.as_py() or "").encode("utf-8") for x in part.column(1)]
-                forms = [store(r + b" " * ((-len(r) % width) or width * (not r)), width) for r in raws]
+                forms = [store(r + b" " * ((-len(r) % width) or width * (not r)), width // len(LAYOUTS)) for r in raws]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(map(len, raws), pa.int64()), pa.array(forms, pa.binary())],
                     names=[key, "n_bytes", "tiff"],
@@ -370,53 +381,96 @@ def stored_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_bytes bigint, tiff binary")
 
 
-def pages(media: DataFrame, key: str, column: str = "tiff") -> DataFrame:
-    """One row per page: key, place, shape, encoding and samples (C order, native byte order).
+def pages(media: DataFrame, key: str, column: str = "tiff", keep: tuple[str, ...] = (), most_bytes: int = 1 << 30) -> DataFrame:
+    """One row per page: key, ``keep``, place, shape, encoding and samples (C order, native byte order).
 
-    A file that is null or can't be decoded yields one row with ``page`` -1 and its ``error``.
+    Rows of a file come one after another, in chain order.  A file that is null, can't be decoded or
+    has a page of over ``most_bytes`` gives, after the pages before the fault, one row with ``page`` -1
+    and its ``error``; a file without a page gives such a row too.
     """
-    names = [key, "page", "width", "height", "samples", "bits", "compression", "predictor", "tiled", "pixels", "error"]
-    kind = media.schema[key].dataType.simpleString()
+    names = [key, *keep, "page", "width", "height", "samples", "bits", "compression", "predictor", "tiled", "pixels", "error"]
+    kinds = [media.schema[c].dataType.simpleString() for c in (key, *keep)]
     shape = "page int, width int, height int, samples int, bits int, compression int, predictor int, tiled boolean"
     types = [pa.int32()] * 7 + [pa.bool_(), pa.binary(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                rows = []
+            rows, owner, size = [], [], 0
+
+            def made() -> pa.RecordBatch:
+                at = pa.array(owner, pa.int64())
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                return pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(1 + len(keep))), *cols], names=names)
+
+            for i, x in enumerate(batch.column(1 + len(keep))):
+                fault, n = None, 0
                 try:
-                    data = batch.column(1)[i].as_py()
+                    data = x.as_py()
                     if data is None:
                         raise BadTiff("null")
-                    for p in read_pages(data):
-                        head = (p.index, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.tiled)
-                        rows.append((*head, p.pixels.tobytes(), None))
-                except (BadTiff, struct.error) as bad:
-                    rows = [(-1, *[None] * 8, str(bad))]
-                keys = batch.column(0).slice(i, 1).take(pa.array([0] * len(rows), pa.int64()))
-                made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([keys, *made], names=names)
-
-    return media.select(key, column).mapInArrow(run, f"`{key}` {kind}, {shape}, pixels binary, error string")
+                    for p in read_pages(data, most_bytes):
+                        raw = p.pixels.tobytes()
+                        rows.append((p.index, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.tiled, raw, None))
+                        owner.append(i)
+                        n, size = n + 1, size + len(raw)
+                        if size > 16 << 20:
+                            yield made()
+                            rows, owner, size = [], [], 0
+                    if not n:
+                        raise BadTiff("no page")
+                except (BadTiff, struct.error, ValueError, IndexError, OverflowError, MemoryError) as bad:
+                    fault = f"{type(bad).__name__}: {bad}"
+                if fault:
+                    rows.append((-1, *[None] * 8, fault))
+                    owner.append(i)
+            if rows:
+                yield made()
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in zip((key, *keep), kinds, strict=True))
+    return media.select(key, *keep, column).mapInArrow(run, f"{schema}, {shape}, pixels binary, error string")
 
 
 def digests(media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Reads each stored payload back page by page and describes it; one row per file."""
+    """Reads each stored payload back page by page (``pages``) and describes it; one row per file.
+
+    The pages of a file follow one another in the task that decoded them, so nothing is shuffled.  A file
+    that can't be decoded raises ``BadTiff``: a payload must not vanish.
+    """
+    from taproot.llm.common import F
+
     kind = media.schema[key].dataType.simpleString()
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for x in batch.column(2):
-                data = x.as_py()
-                read = [p.pixels for p in read_pages(data)]
-                raw = b"".join(p.tobytes() for p in read)
-                sha, media_sha = hashlib.sha256(raw).hexdigest(), hashlib.sha256(data).hexdigest()
-                rows.append((len(raw), sha, zlib.crc32(raw[-16:]), len(data), media_sha, feature(read)))
-            made = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=[key, "n_bytes", *names])
+        held: list[tuple] = []  # key, n_bytes, media_bytes, media_sha256 of the file at hand, as slices of one row
+        read: list[bytes] = []
+
+        def done() -> pa.RecordBatch:
+            raw = b"".join(read)
+            described = [pa.array([len(raw)]), pa.array([hashlib.sha256(raw).hexdigest()]), pa.array([zlib.crc32(raw[-16:])], pa.int64())]
+            own, n_bytes, media_bytes, media_sha = held
+            feats = pa.array([feature([np.frombuffer(p, np.uint8) for p in read])])
+            return pa.RecordBatch.from_arrays([own, n_bytes, *described, media_bytes, media_sha, feats], names=names)
 
+        def together(ready: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if ready:
+                yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
+
+        for batch in batches:
+            ready = []
+            for i, (page, raw, error) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5), batch.column(6).to_pylist(), strict=True)):
+                if error is not None:
+                    raise BadTiff(error)
+                if page == 0:
+                    if held:
+                        ready.append(done())
+                    held, read = [batch.column(k).slice(i, 1) for k in range(4)], []
+                read.append(raw.as_py())
+            yield from together(ready)
+        if held:
+            yield done()
+
+    files = media.select(key, "n_bytes", F.octet_length("tiff").cast("bigint").alias("media_bytes"), F.sha2("tiff", 256).alias("media_sha256"), "tiff")
+    rows = pages(files, key, "tiff", ("n_bytes", "media_bytes", "media_sha256")).select(key, "n_bytes", "media_bytes", "media_sha256", "page", "pixels", "error")
     shape = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string"
-    return media.select(key, "n_bytes", "tiff").mapInArrow(run, f"`{key}` {kind}, n_bytes bigint, {shape}, feature string")
+    return rows.mapInArrow(run, f"`{key}` {kind}, n_bytes bigint, {shape}, feature string")

@@ -75,3 +75,68 @@ def test_operator(spark):
     bad = spark.createDataFrame([(1, None), (2, b"no")], "doc_id long, tiff binary")
     assert [r.page for r in tiff.pages(bad, "doc_id").collect()] == [-1, -1]
     assert tiff.digests(tiff.stored_texts(docs.limit(0))).count() == 0
+
+
+def test_every_payload_uses_every_codec(spark):
+    texts = ["", "a", "b" * 193, "long " * 40000]
+    media = tiff.stored_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    rows = tiff.pages(media, "doc_id").collect()
+    for i in range(len(texts)):
+        assert {(r.compression, r.predictor, r.tiled) for r in rows if r.doc_id == i} == {(tiff.DEFLATE, 1, False), (tiff.LZW, 2, True), (tiff.PACKBITS, 1, False)}
+
+
+def test_codecs_against_vectors_made_by_hand():
+    # the PackBits sample of the format's note
+    packed = bytes.fromhex("FE AA 02 80 00 2A FD AA 03 80 00 2A 22 F7 AA".replace(" ", ""))
+    plain = bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22" + "AA" * 10)
+    assert tiff.packbits_decode(packed, len(plain)) == plain
+    # the LZW sample of the format: 7 7 7 8 8 7 7 6 6 gives clear 7 258 8 8 258 6 6 end, nine bits each
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]
+    bits = "".join(f"{c:09b}" for c in codes)
+    data = bytes(int(bits[k : k + 8].ljust(8, "0"), 2) for k in range(0, len(bits), 8))
+    raw = bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    assert tiff.lzw_decode(data, 9) == raw and tiff.lzw_encode(raw) == data
+    # a big-endian page of two rows of two samples, uncompressed, the directory laid out by hand
+    fields = [(256, 3, 2), (257, 3, 2), (258, 3, 8), (259, 3, 1), (262, 3, 1), (273, 4, 8), (277, 3, 1), (278, 3, 2), (279, 4, 4)]
+    ifd = struct.pack(">H", len(fields)) + b"".join(struct.pack(">HHI", t, k, 1) + (struct.pack(">HH", v, 0) if k == 3 else struct.pack(">I", v)) for t, k, v in fields)
+    data = b"MM\0*" + struct.pack(">I", 12) + bytes([1, 2, 3, 4]) + ifd + struct.pack(">I", 0)
+    (page,) = tiff.read_pages(data)
+    assert page.pixels[:, :, 0].tolist() == [[1, 2], [3, 4]] and not page.tiled
+    # horizontal differences of one row, 16 bits
+    got = tiff.undo_predictor(struct.pack("<4H", 10, 5, 65535, 0), 2, 1, 4, 1, 16, "<")
+    assert got[0, :, 0].tolist() == [10, 15, 14, 14]
+
+
+def test_fuzzed_files_give_error_rows(spark):
+    r = random.Random(4)
+    good, files = tiff.store(noise(192 * 3, 5, 20)), []
+    for i in range(1500):
+        bad = bytearray(good)
+        for _ in range(r.randint(1, 6)):
+            bad[r.randrange(len(bad)) if r.random() < 0.5 else -r.randint(1, 500)] = r.choice([0, 255, r.randrange(256)])
+        files.append((i, bytes(bad[: r.choice([len(bad), len(bad), r.randrange(len(bad))])])))
+    rows = tiff.pages(spark.createDataFrame(files, "doc_id long, tiff binary"), "doc_id", most_bytes=1 << 24).collect()
+    assert {r.doc_id for r in rows} == set(range(1500))
+    failed = {r.doc_id for r in rows if r.page == -1}
+    assert 500 < len(failed) < 1500 and all(r.error for r in rows if r.page == -1)
+    media = spark.createDataFrame([(1, 5, b"no")], "doc_id long, n_bytes long, tiff binary")
+    with pytest.raises(Exception, match="BadTiff"):
+        tiff.digests(media).collect()
+
+
+def test_feature_against_brute_force(spark):
+    texts = ["", "abc", "é" * 500, "x" * 192, " ".join(str(k) for k in range(3000))]
+    for g in tiff.digests(tiff.stored_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect():
+        raw = texts[g.doc_id].encode()
+        raw += b" " * (-len(raw) % 192 or (0 if raw else 192))
+        n = len(raw)
+        mean = sum(raw) / n
+        dev = (sum(b * b for b in raw) / n - mean * mean) ** 0.5
+        entropy = -sum(raw.count(b) / n * np.log2(raw.count(b) / n) for b in set(raw))
+        cuts = [n * k // 64 for k in range(65)]
+        mark = sum(1 << k for k in range(64) if sum(raw[cuts[k] : cuts[k + 1]]) > mean * (cuts[k + 1] - cuts[k]))
+        parts = dict(x.split("=") for x in g.feature.split(";"))
+        assert parts["hash"] == f"{mark:016x}" and int(parts["pages"]) == 3 * -(-n // 192 // 512)
+        assert abs(float(parts["mean"]) - mean) < 1e-5 and abs(float(parts["dev"]) - dev) < 1e-4 and abs(float(parts["entropy"]) - entropy) < 1e-5
+        data = tiff.store(raw)
+        assert (g.media_bytes, g.media_sha256) == (len(data), hashlib.sha256(data).hexdigest())
