@@ -52,61 +52,79 @@ class CapCode:
             codes.append(c / np.linalg.norm(c, axis=1, keepdims=True) / math.sqrt(self.blocks))
         return rotation, codes, r.normal(size=(self.dim, 128))
 
-    def passed(self, v: np.ndarray, ready: tuple) -> np.ndarray:
+    def passed(self, x: np.ndarray, ready: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of ``x`` and the filters that they pass, as two arrays."""
         rotation, words, _ = ready
-        x, at, scores = v @ rotation, 0, []
+        y, at, scores = x @ rotation, 0, []
         for c in words:
-            scores.append(c @ x[at : at + c.shape[1]])
+            scores.append(y[:, at : at + c.shape[1]] @ c.T)
             at += c.shape[1]
-        return self.decode(scores)
+        return self.decoded(scores)
 
-    def decode(self, scores: list[np.ndarray]) -> np.ndarray:
-        """All filters whose block scores sum to ``alpha`` or more.
+    def decoded(self, scores: list[np.ndarray], most: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+        """All filters whose block scores sum to ``alpha`` or more, for each row of the scores.
 
         Blocks are taken one by one; a partial choice is kept only while the best that the blocks
-        left can add would still lift it over ``alpha``.
+        left can add would still lift it over ``alpha``.  At most ``most`` sums are looked at at once.
         """
-        best = [0.0]
-        for s in reversed(scores):
-            best.append(best[-1] + float(s.max()))
-        best = best[::-1][1:]
-        ids, sums = np.zeros(1, np.int64), np.zeros(1)
-        for s, left in zip(scores, best, strict=True):
-            order = np.flatnonzero(s + sums.max() + left >= self.alpha)
-            total = sums[:, None] + s[order][None, :]
-            i, j = np.nonzero(total + left >= self.alpha)
-            ids, sums = ids[i] * self.words + order[j], total[i, j]
-            if not len(ids):
-                break
-        return ids
-
-
-def fitting(dim: int, rows: int, cosine: float, miss: float = 1e-5, shared: float = 8.0) -> list[CapCode]:
+        n = len(scores[0])
+        left = [np.zeros(n)]
+        for s in reversed(scores[1:]):
+            left.append(left[-1] + s.max(axis=1))
+        rows, ids, sums = np.arange(n), np.zeros(n, np.int64), np.zeros(n)
+        for s, more in zip(scores, left[::-1], strict=True):
+            parts = []
+            step = max(1, most // s.shape[1])
+            for at in range(0, len(rows), step):
+                here = slice(at, at + step)
+                total = sums[here, None] + s[rows[here]]
+                i, j = np.nonzero(total + more[rows[here], None] >= self.alpha)
+                parts.append((rows[here][i], ids[here][i] * self.words + j, total[i, j]))
+            rows, ids, sums = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (rows, ids, sums)
+        return rows, ids
+
+    def decode(self, scores: list[np.ndarray]) -> np.ndarray:
+        """``decoded`` for one vector."""
+        return self.decoded([s[None, :] for s in scores])[1]
+
+
+def fitting(dim: int, rows: int, cosine: float, miss: float = 1e-5, most_words: int = 1 << 16) -> list[CapCode]:
     """Independent product codes for ``rows`` vectors of length ``dim``.
 
-    A cap passes about 8 vectors.  A pair at ``cosine`` is expected to share some ``shared`` filters
-    of one code, but filters of a product code go together, so the chance that it shares none is
-    measured on random pairs, and as many codes are taken as bring it under ``miss``.
+    A cap passes about 8 vectors, however many there are.  Filters of a product code go together, so the
+    chance that a pair at ``cosine`` shares none of one code is measured on random pairs, and as many
+    codes are taken as bring it under ``miss``.  How many filters of a code such a pair shares on average
+    is chosen so that a vector passes the fewest filters in all.
     """
-    share = min(1e-2, max(1e-6, 8 / max(rows, 1)))
-    lo, hi = 0.0, 6.0
+    share = min(1e-2, 8 / max(rows, 1))
+    lo, hi = 0.0, 12.0
     for _ in range(60):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if normal_tail(mid) > share else (lo, mid)
     cosine = min(cosine, 0.999)
-    filters = shared / both_tails(lo, cosine) / share
-    blocks = 2 if dim >= 4 else 1
-    one = CapCode(dim, blocks, max(2, math.ceil(filters ** (1 / blocks))), lo / math.sqrt(dim))
-    ready, r, trials = one.parts(), np.random.default_rng(29), 1000
+    r, trials = np.random.default_rng(29), 1000
     x, g = r.normal(size=(2, trials, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     if dim > 1:
         g -= (g * x).sum(axis=1, keepdims=True) * x
         g /= np.linalg.norm(g, axis=1, keepdims=True)
     y = cosine * x + math.sqrt(1 - cosine * cosine) * g
-    none = sum(not np.intersect1d(one.passed(a, ready), one.passed(b, ready)).size for a, b in zip(x, y, strict=True))
-    codes = max(1, math.ceil(math.log(miss) / math.log(min(0.95, (none + 2 * math.sqrt(none) + 3) / trials))))
-    return [CapCode(dim, blocks, one.words, one.alpha, one.seed + k) for k in range(codes)]
+    best: tuple[float, list[CapCode]] | None = None
+    for shared in (0.25, 0.5, 1.0, 2.0, 4.0, 8.0):
+        filters = shared / both_tails(lo, cosine) / share
+        blocks = 1 if dim < 4 else max(2, math.ceil(math.log(max(filters, 2)) / math.log(most_words)))
+        one = CapCode(dim, min(blocks, dim), max(2, math.ceil(filters ** (1 / blocks))), lo / math.sqrt(dim))
+        ready = one.parts()
+        mine, theirs = (set(zip(*(c.tolist() for c in one.passed(z, ready)), strict=True)) for z in (x, y))
+        none = trials - len({k for k, _ in mine & theirs})
+        if none > 0.95 * trials:
+            continue
+        codes = max(1, math.ceil(math.log(miss) / math.log(min(0.99, (none + 2 * math.sqrt(none) + 3) / trials))))
+        # a filter costs a row; a code word costs a product, which is some 500 times cheaper
+        cost = codes * (one.words**one.blocks * share + one.words * one.blocks / 500)
+        if best is None or cost < best[0]:
+            best = cost, [CapCode(dim, one.blocks, one.words, one.alpha, one.seed + k) for k in range(codes)]
+    return best[1]
 
 
 def vectors(table: DataFrame, key: str = "vec_id", column: str = "embedding", label: str = "label") -> DataFrame:
@@ -145,23 +163,29 @@ def filtered(reps: DataFrame, codes: dict[int, list[CapCode]]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = {d: [(c, c.parts()) for c in some] for d, some in codes.items()}
+        tags: dict[tuple, int] = {}
+
+        def tag_of(label, d: int) -> int:
+            if (label, d) not in tags:
+                tags[label, d] = int.from_bytes(hashlib.blake2b(f"{label}|{d}".encode(), digest_size=8).digest(), "little")
+            return tags[label, d]
+
         for batch in batches:
-            bucket, rep, sketch = [], [], []
-            for i in range(batch.num_rows):
-                v = np.array(batch.column(2)[i].values)
-                lists = [code.passed(v, parts) * len(ready[len(v)]) + k for k, (code, parts) in enumerate(ready[len(v)])]
-                found = np.concatenate(lists)
-                bucket.append(found)
-                rep.append(np.full(len(found), batch.column(0)[i].as_py()))
-                bits = np.packbits((v @ ready[len(v)][0][1][2]) > 0).view(np.int64)
-                sketch.append(np.broadcast_to(bits, (len(found), 2)))
-                tag = hashlib.blake2b(f"{batch.column(1)[i].as_py()}|{len(v)}".encode(), digest_size=8).digest()
-                mixed = (bucket[-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.frombuffer(tag, np.uint64)
-                bucket[-1] = mixed.view(np.int64)
-            if bucket:
-                s = np.concatenate(sketch)
-                cols = [np.concatenate(bucket), np.concatenate(rep).astype(np.int64), s[:, 0], s[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["bucket", "rep", "s0", "s1"])
+            rep, label, v = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist(), batch.column(2)
+            sizes = v.value_lengths().to_numpy(zero_copy_only=False)
+            for d in np.unique(sizes).tolist():
+                for at in range(0, batch.num_rows, 1024):
+                    some = np.flatnonzero(sizes[at : at + 1024] == d) + at
+                    if not len(some):
+                        continue
+                    x = v.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+                    own = np.array([tag_of(label[k], d) for k in some.tolist()], np.uint64)
+                    signs = np.packbits((x @ ready[d][0][1][2]) > 0, axis=1).view(np.int64)
+                    for k, (code, parts) in enumerate(ready[d]):
+                        rows, ids = code.passed(x, parts)
+                        bucket = ((ids * len(ready[d]) + k).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ own[rows]
+                        cols = [bucket.view(np.int64), rep[some][rows], signs[rows, 0], signs[rows, 1]]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["bucket", "rep", "s0", "s1"])
 
     return reps.select("rep", "label", "v").mapInArrow(run, "bucket bigint, rep bigint, s0 bigint, s1 bigint")
 
@@ -197,11 +221,13 @@ def confirmed(pairs: DataFrame, reps: DataFrame, cosine: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for i in range(batch.num_rows):
-                x, y = np.array(batch.column(2)[i].values), np.array(batch.column(3)[i].values)
-                if float(x @ y) / math.sqrt(float(x @ x) * float(y @ y)) >= cosine:
-                    keep.append(i)
+            sizes, near = batch.column(2).value_lengths().to_numpy(zero_copy_only=False), np.zeros(batch.num_rows, bool)
+            for d in np.unique(sizes).tolist():
+                some = np.flatnonzero(sizes == d)
+                x, y = (batch.column(k).take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).reshape(-1, d) for k in (2, 3))
+                dot = lambda u, v: (u * v).sum(axis=1)
+                near[some] = dot(x, y) / np.sqrt(dot(x, x) * dot(y, y)) >= cosine
+            keep = np.flatnonzero(near)
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
