@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from taproot.llm.common import F, hash_sample, written
+from taproot.llm.common import F, hash_sample, loosened, written
 
 DICT_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
 VERSION = b"WARC/1.1"
@@ -81,13 +81,18 @@ def frames(archive: bytes, most: int = 1 << 31) -> Iterator[bytes]:
         if 8 + size > n:
             raise BadWarc("the dictionary is cut off")
         body, at = bytes(data[8 : 8 + size]), 8 + size
-        if size >= 4 and struct.unpack_from("<I", body)[0] == FRAME_MAGIC:
-            body = zstandard.ZstdDecompressor().decompress(body, max_output_size=most)
-        known = zstandard.ZstdCompressionDict(body) if body else None
+        try:
+            if size >= 4 and struct.unpack_from("<I", body)[0] == FRAME_MAGIC:
+                body = zstandard.ZstdDecompressor().decompress(body, max_output_size=most)
+            known = zstandard.ZstdCompressionDict(body) if body else None
+        except zstandard.ZstdError as bad:
+            raise BadWarc(str(bad)) from bad
     reader = zstandard.ZstdDecompressor(dict_data=known)
     while at < n:
         if at + 8 <= n and struct.unpack_from("<I", data, at)[0] & 0xFFFFFFF0 == 0x184D2A50:
             at += 8 + struct.unpack_from("<I", data, at + 4)[0]
+            if at > n:
+                raise BadWarc("a skippable frame is cut off")
             continue
         size = frame_size(data, at)
         frame = data[at : at + size]
@@ -107,46 +112,90 @@ def frames(archive: bytes, most: int = 1 << 31) -> Iterator[bytes]:
 # ------------------------------------------------------------------ records
 
 
+class Headers(dict):
+    """Header values by name, whatever the case of its letters."""
+
+    def __setitem__(self, name: str, value: str) -> None:
+        super().__setitem__(name.lower(), value)
+
+    def __getitem__(self, name: str) -> str:
+        return super().__getitem__(name.lower())
+
+    def __contains__(self, name: object) -> bool:
+        return super().__contains__(str(name).lower())
+
+    def get(self, name: str, default=None):
+        return super().get(name.lower(), default)
+
+
 @dataclass
 class Record:
-    headers: dict[str, str]
+    headers: Headers
     block: bytes
 
     @property
     def kind(self) -> str:
-        return self.headers["WARC-Type"]
+        return self.headers["WARC-Type"].lower()
 
     def payload(self) -> bytes:
-        """What follows the HTTP head of a response; a revisit has none."""
+        """What follows the HTTP head of a response or request; a revisit has none, other records are payload throughout."""
         if self.kind == "revisit":
             return b""
+        if self.kind not in ("response", "request") or not self.headers.get("Content-Type", "application/http").lower().startswith("application/http"):
+            return self.block
         head, cut, body = self.block.partition(CRLF * 2)
+        if self.kind == "request":
+            return body
         if not cut or not head.startswith(b"HTTP/"):
             raise BadWarc("a response has no HTTP head")
         for line in head.split(CRLF)[1:]:
             name, _, value = line.partition(b":")
-            if name.lower() == b"content-length" and int(value) != len(body):
+            if name.strip().lower() == b"content-length" and value.strip().isdigit() and int(value) != len(body) and "WARC-Truncated" not in self.headers:
                 raise BadWarc("HTTP length and payload differ")
         return body
 
 
+def as_text(raw: bytes) -> str:
+    """UTF-8, as the standard has it, or else the bytes one by one."""
+    try:
+        return raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return raw.decode("latin-1")
+
+
+def matches(stated: str, raw: bytes) -> bool:
+    """Whether a ``name:value`` digest is that of ``raw``, in hex or base32; of an algorithm not known here, nothing is said."""
+    name, _, value = stated.strip().partition(":")
+    name = name.lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha256", "sha384", "sha512"):
+        return True
+    own = hashlib.new(name, raw).digest()
+    return value.lower() == own.hex() or value.upper().rstrip("=") == base64.b32encode(own).decode().rstrip("=")
+
+
 def render(headers: list[tuple[str, str]], block: bytes) -> bytes:
     lines = [VERSION, *(f"{k}: {v}".encode() for k, v in headers), f"Content-Length: {len(block)}".encode()]
     return CRLF.join(lines) + CRLF * 2 + block + CRLF * 2
 
 
 def parse(raw: bytes) -> Record:
-    """One record, checked: version, mandatory headers, block length, ending and digests."""
+    """One record of any type, checked: version, mandatory headers, block length, ending and digests.
+
+    Names are read in any case, and a line that begins with a blank goes on with the one before.
+    """
     head, cut, rest = raw.partition(CRLF * 2)
     lines = head.split(CRLF)
     if not cut or lines[0] not in (b"WARC/1.0", VERSION):
         raise BadWarc("no WARC version line")
-    headers: dict[str, str] = {}
+    headers, last = Headers(), None
     for line in lines[1:]:
-        name, colon, value = line.decode("utf-8").partition(":")
-        if not colon or not name.strip():
+        if line[:1] in (b" ", b"\t") and last is not None:
+            headers[last] = f"{headers[last]} {as_text(line).strip()}"
+            continue
+        last, colon, value = as_text(line).partition(":")
+        if not colon or not last.strip():
             raise BadWarc("a header line has no colon")
-        headers[name.strip()] = value.strip()
+        headers[last := last.strip()] = value.strip()
     if gone := [x for x in MANDATORY if x not in headers]:
         raise BadWarc(f"no {', '.join(gone)}")
     if not headers["Content-Length"].isdigit():
@@ -155,33 +204,43 @@ def parse(raw: bytes) -> Record:
     if len(rest) != size + 4 or rest[size:] != CRLF * 2:
         raise BadWarc("Content-Length and block differ")
     record = Record(headers, rest[:size])
-    stated = headers.get("WARC-Block-Digest")
-    if stated and stated != "sha1:" + digest(record.block):
+    if "WARC-Block-Digest" in headers and not matches(headers["WARC-Block-Digest"], record.block):
         raise BadWarc("block digest differs")
-    if record.kind == "response" and headers.get("WARC-Payload-Digest", "") != "sha1:" + digest(record.payload()):
+    if record.kind != "revisit" and "WARC-Payload-Digest" in headers and not matches(headers["WARC-Payload-Digest"], record.payload()):
         raise BadWarc("payload digest differs")
-    if record.kind == "revisit" and "WARC-Refers-To" not in headers:
+    if record.kind == "revisit" and not any(x in headers for x in ("WARC-Refers-To", "WARC-Refers-To-Target-URI")):
         raise BadWarc("a revisit refers to nothing")
     return record
 
 
-def page_record(page_id, url: str | None, payload: bytes, refers_to) -> bytes:
-    """The record of a page: a response, or a revisit of the page ``refers_to`` without payload."""
+def info_record(software: str) -> bytes:
+    """A warcinfo record for the beginning of an archive."""
+    block = f"software: {software}\r\nformat: WARC File Format 1.1\r\n".encode()
+    return render([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(f"info/{software}")), ("WARC-Date", STAMP), ("Content-Type", "application/warc-fields")], block)
+
+
+def page_record(page_id, url: str | None, payload: bytes, refers_to, name: str | None = None, refers_name: str | None = None, size: int | None = None, sha1: str | None = None) -> bytes:
+    """The record of a page: a response, or a revisit of the page ``refers_to`` without payload.
+
+    ``name`` makes the record's id, ``refers_name`` that of the record referred to; both follow from the
+    page ids where they are not given.  A revisit can do with the payload's ``size`` and ``sha1`` alone.
+    """
     uri = url or f"urn:page:{page_id}"
+    size = len(payload) if size is None else size
     common = [
-        ("WARC-Record-ID", record_id(f"page/{page_id}")),
+        ("WARC-Record-ID", record_id(name or f"page/{page_id}")),
         ("WARC-Date", STAMP),
         ("WARC-Target-URI", uri.replace("\r", "%0D").replace("\n", "%0A")),
-        ("WARC-Payload-Digest", "sha1:" + digest(payload)),
+        ("WARC-Payload-Digest", "sha1:" + (sha1 or digest(payload))),
         ("X-Page-Id", str(page_id)),
-        ("X-Payload-Length", str(len(payload))),
+        ("X-Payload-Length", str(size)),
         ("Content-Type", "application/http; msgtype=response"),
     ]
-    head = HTTP % len(payload)
+    head = HTTP % size
     if refers_to is None:
         block = head + payload
         return render([("WARC-Type", "response"), *common, ("WARC-Block-Digest", "sha1:" + digest(block))], block)
-    more = [("WARC-Profile", REVISIT), ("WARC-Refers-To", record_id(f"page/{refers_to}")), ("X-Refers-To-Page", str(refers_to))]
+    more = [("WARC-Profile", REVISIT), ("WARC-Refers-To", record_id(refers_name or f"page/{refers_to}")), ("X-Refers-To-Page", str(refers_to))]
     return render([("WARC-Type", "revisit"), *common, *more, ("WARC-Block-Digest", "sha1:" + digest(head))], head)
 
 
@@ -195,7 +254,7 @@ def train_dictionary(pages: DataFrame, *, samples: int = 400, size: int = 16_384
     """
     import zstandard
 
-    some = hash_sample(pages.where(F.length("html") > 0), "page_id", samples).select(F.substring("html", 1, 8192).alias("html"))
+    some = hash_sample(pages.where(F.length("html") > 0).select("page_id", "html"), ["page_id", "html"], samples).select("html")
     rows = sorted(some.collect())
     if len(rows) < 8:
         return b""
@@ -205,35 +264,66 @@ def train_dictionary(pages: DataFrame, *, samples: int = 400, size: int = 16_384
         return b"".join(r.html.encode() for r in rows)[:size]
 
 
-def with_revisits(pages: DataFrame, least_bytes: int = 0, salts: int = 32) -> DataFrame:
-    """``page_id, url, html, refers_to``: of equal payloads the least ``page_id`` is referred to.
+#: Copies of one row that one task turns into records.
+COPIES = 4096
+
 
-    Only digests are grouped, with map-side combining.  The list of repeated digests is spread over
-    ``salts`` keys for the join, so a payload that a third of all pages share is dealt evenly.
+def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """A row per row: ``page_id, url, html, refers_to`` and what the record needs besides.
+
+    Of equal payloads the least ``page_id`` is referred to; of rows that repeat that id, the one of the
+    least ``row`` digest, and of rows that repeat wholly, the first copy.  ``html`` is null in revisits,
+    which have only ``n_bytes`` and ``sha``.  ``row`` and ``copy`` tell records apart, ``to_row`` names the
+    row referred to.
+
+    Digests alone are grouped by payload.  Whole rows are dealt once, by a digest of the row, with
+    repeated ones combined in the tasks that read them; copies beyond ``COPIES`` are dealt out again
+    without their payload.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
-    keyed = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("sha"))
+    named = F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.coalesce(F.sha1(F.col("url").cast("binary")), F.lit("-")), "sha")
+    keyed = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("sha")).withColumn("row", F.sha1(named.cast("binary")))
+    rows = keyed.groupBy("row").agg(F.first("page_id").alias("page_id"), F.first("sha").alias("sha"), F.first(F.octet_length("html")).cast("bigint").alias("n_bytes"), F.count(F.lit(1)).alias("copies"))
     firsts = (
-        keyed.where(F.octet_length("html") >= least_bytes)
+        rows.where(F.col("n_bytes") >= least_bytes)
         .groupBy("sha")
-        .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .select("sha", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        .agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))).alias("first"), F.sum("copies").alias("n"))
+        .where("n > 1 and first is not null")
+        .select("sha", F.col("first.page_id").alias("to_page"), F.col("first.row").alias("to_row"))
     )
-    dealt = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
-    refers = F.when(F.col("page_id") != F.col("first"), F.col("first"))
-    return dealt.join(firsts, ["sha", "salt"], "left").select("page_id", "url", "html", refers.alias("refers_to"))
-
-
-def archives(records: DataFrame, dictionary: bytes = b"", most_bytes: int = 4 << 20, level: int = 3) -> DataFrame:
-    """Rows ``archive binary, records long``: whole .warc.zst files of about ``most_bytes`` before packing."""
+    marked = rows.join(loosened(firsts, "sha"), "sha", "left").select("row", "n_bytes", "copies", "to_page", "to_row")
+    whole = keyed.select("row", F.struct("page_id", "url", "html", "sha").alias("page")).dropDuplicates(["row"])
+    dealt = whole.join(marked, "row")
+
+    def records(some: DataFrame, copy) -> DataFrame:
+        again = F.col("to_row").isNotNull() & ((F.col("row") != F.col("to_row")) | (F.col("copy") > 0))
+        return some.withColumn("copy", F.explode(copy)).select(
+            "page.page_id", "page.url", F.when(~again, F.col("page.html")).alias("html"), F.when(again, F.col("to_page")).alias("refers_to"),
+            "n_bytes", "page.sha", "row", "copy", F.when(again, F.col("to_row")).alias("to_row"),
+        )
+
+    most = F.lit(COPIES).cast("bigint")
+    few = records(dealt, F.sequence(F.lit(0).cast("bigint"), F.least("copies", most) - 1))
+    many = dealt.where(F.col("copies") > COPIES).withColumn("at", F.explode(F.sequence(most, F.col("copies") - 1, most)))
+    spare = F.when(F.col("to_row").isNull(), F.col("page.html"))  # without a page to refer to, all copies are responses
+    slim = many.select("row", F.struct("page.page_id", "page.url", spare.alias("html"), "page.sha").alias("page"), "n_bytes", "copies", "to_page", "to_row", "at")
+    slim = slim.repartition(F.xxhash64("row", "at"))
+    return few.union(records(slim, F.sequence(F.col("at"), F.least(F.col("at") + most, "copies") - 1)))
+
+
+def archives(records: DataFrame, dictionary: bytes = b"", most_bytes: int = 4 << 20, level: int = 3, software: str | None = None) -> DataFrame:
+    """Rows ``archive binary, records long``: whole .warc.zst files of about ``most_bytes`` before packing.
+
+    With ``software`` each begins with a warcinfo record, which ``records`` counts too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         packer = zstandard.ZstdCompressor(level=level, dict_data=known, write_checksum=True, write_content_size=True)
-        parts, raw_size, n = [dictionary_frame(dictionary)], 0, 0
+        start = [dictionary_frame(dictionary)] + ([packer.compress(info_record(software))] if software else [])
+        parts, raw_size, n = list(start), 0, len(start) - 1
 
         def done() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
@@ -242,55 +332,69 @@ def archives(records: DataFrame, dictionary: bytes = b"", most_bytes: int = 4 <<
 
         for batch in batches:
             for i in range(batch.num_rows):
-                page_id, url, html, refers_to = (c[i].as_py() for c in batch.columns)
-                raw = page_record(page_id, url, (html or "").encode("utf-8"), refers_to)
+                page_id, url, html, refers_to, n_bytes, sha, row, copy, to_row = (c[i].as_py() for c in batch.columns)
+                name = f"page/{page_id}/{row}/{copy}"
+                to = None if to_row is None else f"page/{refers_to}/{to_row}/0"
+                raw = page_record(page_id, url, (html or "").encode("utf-8"), refers_to, name, to, n_bytes, base64.b32encode(bytes.fromhex(sha)).decode())
                 parts.append(packer.compress(raw))
                 raw_size, n = raw_size + len(raw), n + 1
                 if raw_size >= most_bytes:
                     yield done()
-                    parts, raw_size, n = [dictionary_frame(dictionary)], 0, 0
-        if n:
+                    parts, raw_size, n = list(start), 0, len(start) - 1
+        if raw_size:
             yield done()
 
-    return records.select("page_id", "url", "html", "refers_to").mapInArrow(run, "archive binary, records bigint")
+    columns = ["page_id", "url", "html", "refers_to", "n_bytes", "sha", "row", "copy", "to_row"]
+    return records.select(*columns).mapInArrow(run, "archive binary, records bigint")
 
 
-def read_archives(files: DataFrame, payloads: bool = False) -> DataFrame:
-    """One row per record of the ``archive`` column, every record validated.
+def read_archives(files: DataFrame, payloads: bool = False, kinds: tuple[str, ...] = ("response", "revisit")) -> DataFrame:
+    """One row per record of the ``archive`` column that is one of ``kinds`` (of all, if empty); every record is validated.
 
-    ``page_id, payload_bytes, payload_digest, record_type, refers_to`` and, if asked for, ``uri`` and
-    ``payload``.  Length and digest of a revisit are those of the payload it stands for.  A faulty
-    archive raises ``BadWarc``: a record must not vanish.
+    ``page_id, payload_bytes, payload_digest, record_type, refers_to`` and, if asked for, ``uri``,
+    ``record_id`` and ``payload``.  Length and digest of a revisit are those of the payload it stands for.
+    Archives from elsewhere (``spark.read.format("binaryFile")``, whose ``content`` is the archive) have
+    no page ids, and where they state no digest or length of a payload, it is worked out, or null in a
+    revisit.  A faulty archive raises ``BadWarc``: a record must not vanish.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["uri", "payload"] * payloads
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()] + [pa.string(), pa.binary()] * payloads
+        names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["uri", "payload", "record_id"] * payloads
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()] + [pa.string(), pa.binary(), pa.string()] * payloads
+
+        def number(text: str | None) -> int | None:
+            return int(text) if text and text.lstrip("-").isdigit() else None
+
         for batch in batches:
             for x in batch.column(0):
                 rows = []
                 for raw in frames(x.as_py()):
                     r = parse(raw)
+                    if kinds and r.kind not in kinds:
+                        continue
                     h, body = r.headers, r.payload()
-                    stated, page = int(h["X-Payload-Length"]), h["X-Page-Id"]
-                    if r.kind == "response" and stated != len(body):
+                    again = r.kind == "revisit"
+                    stated = number(h.get("X-Payload-Length"))
+                    if not again and stated is not None and stated != len(body):
                         raise BadWarc("payload length differs")
-                    row = [None if page == "None" else int(page), stated, h["WARC-Payload-Digest"].removeprefix("sha1:"), r.kind]
-                    row.append(int(h["X-Refers-To-Page"]) if r.kind == "revisit" else None)
-                    rows.append([*row, h["WARC-Target-URI"], body] if payloads else row)
+                    name, _, value = h.get("WARC-Payload-Digest", "").partition(":")
+                    sha = (value if name.lower() == "sha1" and len(value) == 32 else None) if again else digest(body)
+                    row = [number(h.get("X-Page-Id")), stated if again else len(body), sha, r.kind, number(h.get("X-Refers-To-Page")) if again else None]
+                    rows.append([*row, h.get("WARC-Target-URI"), body, h["WARC-Record-ID"]] if payloads else row)
                 made = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
                 yield pa.RecordBatch.from_arrays(made, names=names)
 
     shape = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
-    return files.select("archive").mapInArrow(run, shape + ", uri string, payload binary" * payloads)
+    return files.select("archive").mapInArrow(run, shape + ", uri string, payload binary, record_id string" * payloads)
 
 
 def archived_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Writes a record per page, keeps the archives in the shared folder, and reads them back.
 
-    A null html is an empty payload.  A null ``page_id`` is kept as null; it is never referred to
-    when another page has the payload.  Rows that repeat a page whole each give a record.  An empty
-    table gives no archive and no row.  Further columns are not read.
+    A null html is an empty payload.  A null ``page_id`` is kept as null; it is never referred to, so
+    that payloads which only such rows have are responses throughout.  Of rows that repeat a page whole
+    or its id, one is the response and the others revisit it.  An empty table gives no archive and no
+    row.  Further columns are not read.
     """
     dictionary = train_dictionary(pages)
     return read_archives(written(archives(with_revisits(pages, least_bytes), dictionary)))
