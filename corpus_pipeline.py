@@ -30,22 +30,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least id of each component of five-word-shingle similarity 0.8.
 
-    Rows that repeat id and text count once; a row of null id stays.
+    Rows that repeat id and text count once; a row of null id stays.  Whole rows are dealt once, by a
+    digest of id and text: repeated rows meet inside the tasks that read them, and the join with the
+    digests of what is kept needs no further shuffle of texts.
     """
-    kept = minhash.near_duplicates(docs, n=5, percent=80).where("kept").select(F.col("doc_id").alias("k_"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["k_"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    own = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.concat(F.lit("+"), "text"), F.lit("-")))
+    digest = F.unhex(F.sha2(own, 256))
+    kept = minhash.near_duplicates(docs, n=5, percent=80, tag=digest).where("kept").select(F.col("tag").alias("digest")).distinct()
+    once = docs.select(digest.alias("digest"), F.struct(*docs.columns).alias("row")).dropDuplicates(["digest"])
+    return once.join(kept, "digest", "left_semi").select("row.*")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret by a mark; keeps all rows."""
-    out = secrets.redacted(docs)
+    out = secrets.redacted(docs, switches=True)
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars"))).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats and drops rows so that domain tokens match ``MIXTURE``; clean documents all stay."""
     labels = mixing.labelled_domains(table(spark, sf_dir, "labels"))
-    return mixing.mixed(docs, labels, MIXTURE, hold="clean")
+    return mixing.mixed(docs, labels, MIXTURE, hold="clean", stretch=True)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str, ids: bool = False) -> DataFrame:
