@@ -187,12 +187,13 @@ def _(spark, sf):
     return ingest.last_wins(rows, "at").select("arbor_id", "nid", "pid", "x")
 
 
-BROKEN = f"nodes AS (SELECT arbor_id, nid, CASE WHEN pid % {CUT} = 7 THEN NULL ELSE pid END AS pid, x, y, z FROM ({EVENTS}) AS whole WHERE nid % {CUT} <> 7)"
+BROKEN = f"nodes AS (SELECT arbor_id, nid, CASE WHEN nid % {CUT} = 7 THEN NULL ELSE pid END AS pid, x, y, z FROM ({EVENTS}) AS whole)"
 LARGEST = "sizes AS (SELECT arbor_id, path[1] AS root, count(*) AS n FROM paths GROUP BY ALL), best AS (SELECT arbor_id, root FROM (SELECT *, row_number() OVER (PARTITION BY arbor_id ORDER BY n DESC, root) AS r FROM sizes) WHERE r = 1)"
 
 
 def broken(spark, sf):
-    return b(spark, sf).where(f"nid % {CUT} <> 7")
+    """All nodes; the parents of some are ids that do not exist, which breaks their trees up."""
+    return b(spark, sf).withColumn("pid", F.expr(f"CASE WHEN nid % {CUT} = 7 THEN -1 - nid ELSE pid END"))
 
 
 @query("build_tree", sql("arbor_id nid pid depth root_nid", "SELECT p.arbor_id, p.nid, p.pid, p.depth, path[1] AS root_nid FROM paths p JOIN best b ON b.arbor_id = p.arbor_id AND b.root = p.path[1]", BROKEN, PATHS, LARGEST))
