@@ -31,10 +31,11 @@ def from_voxels(voxels: DataFrame, leaf: Triple, value: str = "value", fill: flo
     n = cells(leaf)
     spots = voxels.select("arbor_id", *[F.floor(F.col("v" + a) / m).cast("bigint").alias("b" + a) for a, m in zip(AXES, leaf, strict=True)], place(leaf).alias("p"), F.col(value).cast("double").alias("w"))
     g = spots.groupBy("arbor_id", "bx", "by", "bz").agg(F.array_sort(F.collect_list(F.struct("p", "w"))).alias("s"), F.min("w").alias("lo"), F.max("w").alias("hi"), F.count(F.lit(1)).alias("m"))
-    # runs of the fill value between the sorted voxels; linear in the block
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<double>").alias("out"))
-    step = lambda acc, x: F.struct((x["p"] + 1).alias("at"), F.concat(acc["out"], F.array_repeat(F.lit(float(fill)), x["p"] - acc["at"]), F.array(x["w"])).alias("out"))
-    dense = F.aggregate("s", none, step, lambda acc: F.concat(acc["out"], F.array_repeat(F.lit(float(fill)), F.lit(n) - acc["at"])))
+    # each voxel brings the run of the fill value before it; linear in the block
+    blank = lambda k: F.array_repeat(F.lit(float(fill)), k)
+    before = lambda i: F.when(i > 0, F.get(F.col("s"), i - 1)["p"]).otherwise(-1)
+    runs = F.transform("s", lambda x, i: F.concat(blank(x["p"] - before(i) - 1), F.array(x["w"])))
+    dense = F.concat(F.flatten(runs), blank(F.lit(n - 1) - F.element_at("s", -1)["p"]))
     same = (F.col("lo") == F.col("hi")) & (F.col("m") == n)
     return g.select("arbor_id", "bx", "by", "bz", F.when(same, F.col("lo")).alias("uniform"), F.when(~same, dense).alias("data"))
 
@@ -126,8 +127,9 @@ def populated(blocks: DataFrame, keys: DataFrame, populate: Callable[[Column, Co
 
 
 def z_order(bits: int = 20, shift: int = 1 << 19) -> Column:
-    """Octant order of blocks: interleaved bits, x highest."""
-    at = [F.col("b" + a) + shift for a in AXES]
+    """Octant order of blocks: interleaved bits, x highest.  A block beyond ``bits`` an axis is an error."""
+    inside = lambda c: F.when((c >= 0) & (c < 1 << bits), c).otherwise(F.raise_error(F.lit("a block is too far out for octant order")).cast("bigint"))
+    at = [inside(F.col("b" + a) + shift) for a in AXES]
     out = F.lit(0).cast("bigint")
     for b in range(bits):
         for d, c in enumerate(at):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -10,10 +11,14 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """``df`` checkpointed in the shared folder of ``spark.checkpoint.dir``.
 
-    Where that is unset, as in tests, a temporary folder is set.
+    Where that is unset, as in tests, a temporary folder is set, on a local master only.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="taproot-")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.match(r"local($|\[)", context.master):
+                raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on master {context.master}")
+            folder = "file://" + tempfile.mkdtemp(prefix="taproot-")
         context.setCheckpointDir(folder)
     return df.checkpoint()

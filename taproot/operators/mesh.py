@@ -28,7 +28,9 @@ def edge_cells(voxels: DataFrame, cutoff: float = 0.5, value: str = "value") ->
 
 
 def vertex_id(x: Column, y: Column, z: Column) -> Column:
-    """One number for a corner: 21 bits an axis.  It needs no global numbering pass."""
+    """One number for a corner: 21 bits an axis, beyond which it is an error.  It needs no global numbering pass."""
+    far = F.raise_error(F.lit("a voxel is too far out for a vertex id")).cast("bigint")
+    x, y, z = (F.when((c >= -SHIFT) & (c < SHIFT), c).otherwise(far) for c in (x, y, z))
     return (F.shiftleft((x + SHIFT).cast("bigint"), 42) + F.shiftleft((y + SHIFT).cast("bigint"), 21) + (z + SHIFT)).cast("bigint")
 
 

@@ -149,14 +149,18 @@ def pruned(indexed: DataFrame, ignore: DataFrame) -> DataFrame:
 
 def depth_first(indexed: DataFrame, ignore: DataFrame | None = None) -> DataFrame:
     """``arbor_id, nid, rank`` in pre-order; an ignored node takes its whole subtree along."""
-    left = indexed if ignore is None else pruned(indexed, ignore)
+    if ignore is None:  # the index has it already
+        return indexed.select("arbor_id", "nid", F.col("dfs").cast("bigint").alias("rank"))
+    left = pruned(indexed, ignore)
     rank = F.row_number().over(Window.partitionBy("arbor_id").orderBy("dfs")) - 1
     return left.select("arbor_id", "nid", rank.cast("bigint").alias("rank"))
 
 
 def breadth_first(indexed: DataFrame, ignore: DataFrame | None = None) -> DataFrame:
     """``arbor_id, nid, rank`` by levels, siblings descending."""
-    left = indexed if ignore is None else pruned(indexed, ignore)
+    if ignore is None:
+        return indexed.select("arbor_id", "nid", F.col("bfs").cast("bigint").alias("rank"))
+    left = pruned(indexed, ignore)
     rank = F.row_number().over(Window.partitionBy("arbor_id").orderBy("depth", F.desc("dfs"))) - 1
     return left.select("arbor_id", "nid", rank.cast("bigint").alias("rank"))
 
