@@ -139,12 +139,33 @@ def is_regular() -> Column:
 # ------------------------------------------------------------------ traversal
 
 
+def within(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """``points(arbor_id, dfs, ..)`` with the columns of every one of ``spans(arbor_id, lo, hi, ..)`` that
+    holds ``dfs``: lo <= dfs < hi.
+
+    Spans are cut into aligned runs of 2**k places, at most two for each k, and a place looks up one run
+    for each k that the spans of its arbor need.  So the join is on equal runs, not places x spans of an
+    arbor, and each pair meets in one run alone.
+    """
+    k = lambda width: F.floor(F.log2(width.cast("double"))).cast("int")
+    width = F.col("hi") - F.col("lo")
+    full = spans.where("hi > lo")
+    deep = full.groupBy("arbor_id").agg(k(F.max(width)).alias("deep_"))
+    first, end = F.expr("(lo + shiftleft(1L, k_) - 1) div shiftleft(1L, k_)"), F.expr("hi div shiftleft(1L, k_)")
+    runs = full.withColumn("k_", F.explode(F.sequence(F.lit(0), k(width)))).withColumns({"first_": first, "end_": end}).where("first_ < end_")
+    ends = F.filter(F.array(F.when(F.col("first_") % 2 == 1, F.col("first_")), F.when(F.col("end_") % 2 == 1, F.col("end_") - 1)), lambda r: r.isNotNull())
+    runs = runs.withColumn("run_", F.explode(ends)).drop("first_", "end_")
+    places = points.join(deep, "arbor_id").withColumn("k_", F.explode(F.sequence(F.lit(0), F.col("deep_"))))
+    places = places.withColumn("run_", F.expr("dfs div shiftleft(1L, k_)")).drop("deep_")
+    return places.join(runs, ["arbor_id", "k_", "run_"]).drop("k_", "run_")
+
+
 def pruned(indexed: DataFrame, ignore: DataFrame) -> DataFrame:
     """Without the subtrees of ``ignore(arbor_id, nid)``."""
     cut = indexed.join(ignore.select("arbor_id", "nid"), ["arbor_id", "nid"], "left_semi")
-    lo = cut.select("arbor_id", F.col("dfs").alias("lo"), (F.col("dfs") + F.col("size")).alias("hi"))
-    inside = (F.col("i.arbor_id") == F.col("c.arbor_id")) & (F.col("i.dfs") >= F.col("c.lo")) & (F.col("i.dfs") < F.col("c.hi"))
-    return indexed.alias("i").join(lo.alias("c"), inside, "left_anti")
+    spans = cut.select("arbor_id", F.col("dfs").alias("lo"), (F.col("dfs") + F.col("size")).alias("hi"))
+    gone = within(indexed.select("arbor_id", "nid", "dfs"), spans).select("arbor_id", "nid")
+    return indexed.join(gone, ["arbor_id", "nid"], "left_anti")
 
 
 def depth_first(indexed: DataFrame, ignore: DataFrame | None = None) -> DataFrame:
@@ -173,7 +194,7 @@ def subtree(indexed: DataFrame, starts: DataFrame) -> DataFrame:
     """``arbor_id, start, nid, rank`` of the subtree of each of ``starts(arbor_id, nid)``, in pre-order."""
     s = starts.select("arbor_id", "nid").join(indexed.select("arbor_id", "nid", "dfs", "size"), ["arbor_id", "nid"])
     s = s.select("arbor_id", F.col("nid").alias("start"), F.col("dfs").alias("lo"), (F.col("dfs") + F.col("size")).alias("hi"))
-    both = indexed.join(s, "arbor_id").where("dfs >= lo and dfs < hi")
+    both = within(indexed.select("arbor_id", "nid", "dfs"), s)
     return both.select("arbor_id", "start", "nid", (F.col("dfs") - F.col("lo")).alias("rank"))
 
 
@@ -181,7 +202,7 @@ def ancestors(indexed: DataFrame, nodes: DataFrame) -> DataFrame:
     """``arbor_id, nid, anc, dist`` for each of ``nodes(arbor_id, nid)``; a node is its own at 0."""
     low = nodes.select("arbor_id", "nid").join(indexed.select("arbor_id", "nid", "dfs", "depth"), ["arbor_id", "nid"])
     up = indexed.select("arbor_id", F.col("nid").alias("anc"), F.col("dfs").alias("lo"), (F.col("dfs") + F.col("size")).alias("hi"), F.col("depth").alias("up"))
-    both = low.join(up, "arbor_id").where("dfs >= lo and dfs < hi")
+    both = within(low, up)
     return both.select("arbor_id", "nid", "anc", (F.col("depth") - F.col("up")).cast("int").alias("dist"))
 
 

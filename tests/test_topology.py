@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from taproot.operators import spatial, topology
@@ -122,3 +123,23 @@ def test_filters_and_orders_from(spark, toy):
     same = {r.nid: r.order_no for r in topology.order_from(toy, toy).collect()}
     assert same == {r.nid: r.order_no for r in toy.collect()}
     assert topology.regularness(toy).first().edges == 10
+
+
+def test_within_meets_every_pair_once(spark):
+    """Places and spans of several arbors against all pairs; empty spans hold nothing, equal ones count each."""
+    rng = np.random.default_rng(7)
+    points = [(int(a), int(p)) for a in range(3) for p in rng.integers(0, 300, 60)]
+    spans = [(int(a), int(lo), int(lo + w), n) for n, (a, lo, w) in enumerate(zip(rng.integers(0, 4, 80), rng.integers(0, 250, 80), rng.integers(0, 60, 80)))]
+    spans.append((0, 5, 5, 100))
+    spans.append((*spans[0][:3], 101))
+    got = topology.within(spark.createDataFrame(points, "arbor_id bigint, dfs bigint"), spark.createDataFrame(spans, "arbor_id bigint, lo bigint, hi bigint, n int"))
+    want = sorted((a, p, n) for a, p in points for b, lo, hi, n in spans if a == b and lo <= p < hi)
+    assert sorted((r.arbor_id, r.dfs, r.n) for r in got.collect()) == want
+
+
+def test_paths_of_one_large_tree(spark):
+    """A tree of 2**17 - 1 nodes in one arbor: as many steps as the leaves are deep, without all pairs."""
+    n = 2**17 - 1
+    nodes = spark.range(1, n + 1).selectExpr("0L arbor_id", "id nid", "nullif(id div 2, 0) pid", "0D x", "0D y", "0D z")
+    paths = topology.root_leaf_paths(topology.index(nodes))
+    assert tuple(paths.selectExpr("count(*)", "count(distinct leaf)", "max(pos)").first()) == (17 * 2**16, 2**16, 16)
