@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from taproot.operators.lineage import cut
 from taproot.operators.topology import neighbours
 
 AXES = ("x", "y", "z")
+PARTS = 64  # rounds of a flood whose rows are written together
 
 
 def squared(a: str, b: str) -> Column:
@@ -68,22 +71,24 @@ def closest(nodes: DataFrame, places: DataFrame) -> DataFrame:
 def _flood(nodes: DataFrame, starts: DataFrame, near: Column, rounds: int) -> DataFrame:
     """Connected nodes about each start for which ``near`` holds; the start's neighbours always are.
 
-    A step over one edge per round, along nodes reached within reach; it ends when none is new.
+    A step over one edge per round, along nodes reached within reach; it ends when none is new.  In a
+    tree a walk that never turns back comes to each node once, so a round reads its front alone.
     """
     at = nodes.select("arbor_id", "nid", *[F.col(c).alias("n" + c) for c in AXES])
-    edges = neighbours(nodes).join(at.withColumnRenamed("nid", "other"), ["arbor_id", "other"])
+    edges = neighbours(nodes).where("nid <> other").join(at.withColumnRenamed("nid", "other"), ["arbor_id", "other"])
     here = [F.col("n" + c).alias("s" + c) for c in AXES]
+    step = ["arbor_id", "start", F.col("nid").alias("prev"), F.col("other").alias("nid"), *["s" + c for c in AXES]]
     origin = starts.select("arbor_id", F.col("nid").alias("start")).distinct()
     origin = origin.join(at.withColumnRenamed("nid", "start"), ["arbor_id", "start"]).select("arbor_id", "start", F.col("start").alias("nid"), *here)
-    front = origin.join(edges, ["arbor_id", "nid"]).select("arbor_id", "start", F.col("other").alias("nid"), *["s" + c for c in AXES])
-    front = cut(front)
-    seen = origin.drop(*["s" + c for c in AXES]).union(front.select("arbor_id", "start", "nid"))
+    front = cut(origin.join(edges, ["arbor_id", "nid"]).select(*step))
+    seen = [d.select("arbor_id", "start", "nid") for d in (origin, front)]
     for _ in range(rounds):
-        front = front.join(edges, ["arbor_id", "nid"]).where(near).select("arbor_id", "start", F.col("other").alias("nid"), *["s" + c for c in AXES]).distinct()
-        front = cut(front.join(seen, ["arbor_id", "start", "nid"], "left_anti"))
+        front = cut(front.join(edges, ["arbor_id", "nid"]).where(near & (F.col("other") != F.col("prev"))).select(*step))
         if front.isEmpty():
-            return seen
-        seen = cut(seen.union(front.select("arbor_id", "start", "nid")))
+            return reduce(DataFrame.union, seen)
+        seen.append(front.select("arbor_id", "start", "nid"))
+        if len(seen) > PARTS:
+            seen = [cut(reduce(DataFrame.union, seen))]
     raise RuntimeError("the radius reaches farther than the rounds allowed")
 
 
