@@ -46,7 +46,7 @@ def connected_components(edges: DataFrame, threshold: float | None = None, round
 def local_segmentation(regions: DataFrame, fragments: DataFrame, edges: DataFrame, threshold: float, cell: int = 16) -> DataFrame:
     """Fragments of every region relabelled by components: ``roi_id, x, y, z, label``.
 
-    ``regions`` has ``roi_id`` and half-open voxel boxes ``lo_x .. hi_z``; ``fragments`` ``x, y, z, frag_id``;
+    ``regions`` has ``roi_id`` (a number, or text without a colon) and half-open voxel boxes ``lo_x .. hi_z``; ``fragments`` ``x, y, z, frag_id``;
     ``edges`` ``u, v, score``.  Only edges both of whose fragments lie in the region count there.  Labels
     are the least fragment id of the component, so fragments outside the graph keep their own and
     cannot clash with another's.
@@ -58,7 +58,7 @@ def local_segmentation(regions: DataFrame, fragments: DataFrame, edges: DataFram
     pair = lambda c: F.concat_ws(":", F.col("roi_id").cast("string"), F.format_string("%020d", F.col(c)))
     comps = connected_components(ends.select(pair("frag_id").alias("u"), pair("v").alias("v")))
     part = F.split("node", ":")
-    labels = comps.select(part[0].cast("bigint").alias("roi_id"), part[1].cast("bigint").alias("frag_id"), F.split("component", ":")[1].cast("bigint").alias("label"))
+    labels = comps.select(part[0].cast(regions.schema["roi_id"].dataType).alias("roi_id"), part[1].cast("bigint").alias("frag_id"), F.split("component", ":")[1].cast("bigint").alias("label"))
     return inside.join(labels, ["roi_id", "frag_id"], "left").select("roi_id", "x", "y", "z", F.coalesce("label", "frag_id").alias("label"))
 
 

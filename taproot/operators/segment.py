@@ -33,7 +33,7 @@ class FragmentSegmenter:
     def regions(self, nodes: DataFrame) -> DataFrame:
         boxes = to_voxels(region_of(nodes, self.view), self.view.voxel)
         moved = {f"{m}_{a}": F.col(f"{m}_{a}") + s for m in ("lo", "hi") for a, s in zip("xyz", self.shift, strict=True)}
-        return boxes.withColumns(moved).withColumn("roi_id", F.xxhash64("arbor_id", "nid"))
+        return boxes.withColumns(moved).withColumn("roi_id", F.concat_ws("/", F.col("arbor_id").cast("string"), F.col("nid").cast("string")))
 
     def segment(self, nodes: DataFrame) -> DataFrame:
         r = self.regions(nodes)
