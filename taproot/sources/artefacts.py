@@ -46,7 +46,9 @@ def load(spark: SparkSession, base: str) -> dict[str, DataFrame | Config | None]
     for name in (*TABLES, "config"):
         try:
             out[name] = spark.read.parquet(f"{base}/{name}")
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             log.warning("%s has no %s", base, name)
             out[name] = None
     if out["config"] is not None:
