@@ -79,6 +79,14 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated(docs, labelled_domains(table(spark, sf_dir, "labels")), MIXTURE, hold="clean", stretch=True)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from taproot.llm.alignment import alignments
+
+    return alignments(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secrets": op1_secrets,
     "op2_byte_bpe": op2_byte_bpe,
@@ -90,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op8_warc": op8_warc,
     "op9_sharding": op9_sharding,
     "op10_minhash": op10_minhash,
+    "op11_alignment": op11_alignment,
 }
 
 #: DuckDB SQL for those queries that SQL can express.
