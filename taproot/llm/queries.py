@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from taproot.llm.common import table
 
@@ -87,6 +88,14 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignments(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from taproot.llm.negatives import hard_negatives, quantised
+
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(quantised(rows.withColumn("label", moved)), F.col("id") % 50 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_secrets": op1_secrets,
     "op2_byte_bpe": op2_byte_bpe,
@@ -99,6 +108,7 @@ QUERIES: dict[str, Query] = {
     "op9_sharding": op9_sharding,
     "op10_minhash": op10_minhash,
     "op11_alignment": op11_alignment,
+    "op13_negatives": op13_negatives,
 }
 
 #: DuckDB SQL for those queries that SQL can express.
@@ -149,3 +159,23 @@ links AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b W
 SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, coalesce(component, s.doc_id) AS component_id, coalesce(component, s.doc_id) = s.doc_id AS kept
 FROM s LEFT JOIN comps ON node = s.doc_id
 """
+
+ORACLES["op13_negatives"] = """
+WITH v AS (
+  SELECT vec_id AS id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.id AS anchor, b.id AS other, a.label = b.label AS same, CAST(coalesce(list_dot_product(a.e, b.e), 0) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.id % 50 = 0 AND a.id <> b.id AND len(a.e) = len(b.e)),
+p AS (
+  SELECT anchor, other AS positive, score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5),
+n AS (
+  SELECT p.anchor, positive, other, p.score AS positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor, positive ORDER BY s.score DESC, other) AS rank
+  FROM p JOIN s ON s.anchor = p.anchor AND NOT same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor AS anchor_id, positive AS positive_id, CAST(rank AS INTEGER) AS rank, other AS negative_id, positive_score, negative_score
+FROM n WHERE rank <= 3
+"""
