@@ -88,6 +88,15 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignments(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from taproot.llm.scoring import scored
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return scored(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
 def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from taproot.llm.negatives import hard_negatives, quantised
 
@@ -108,6 +117,7 @@ QUERIES: dict[str, Query] = {
     "op9_sharding": op9_sharding,
     "op10_minhash": op10_minhash,
     "op11_alignment": op11_alignment,
+    "op12_scoring": op12_scoring,
     "op13_negatives": op13_negatives,
 }
 
