@@ -7,7 +7,7 @@ import json
 import re
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 from urllib.parse import urlparse
 
@@ -23,7 +23,7 @@ from taproot.llm.common import discard, shared_dir, written
 #: A's id in the high half of a pair's key, B's in the low one.
 HIGH = 32
 #: Texts are aligned together up to so many characters; what is kept of words grows with a batch, not with a table.
-BATCH = 8 << 20
+BATCH = 3 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -41,17 +41,15 @@ class Aligner:
     aligned once and its links are counted as often as it occurs.
     """
 
-    KEEP = 120_000
+    KEEP = 50_000
 
     def __init__(self, byte_path: str, piece_path: str):
         import sentencepiece
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(byte_path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.library = Tokenizer.from_file(byte_path)
-        self.library.encode_special_tokens = True
+        self.byte_path = byte_path
         special = {t["content"] for t in spec["added_tokens"]}
         alphabet = byte_alphabet()
         ranks = {bytes(map(alphabet.__getitem__, k)): v for k, v in spec["model"]["vocab"].items() if k not in special}
@@ -78,6 +76,15 @@ class Aligner:
         self.new: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
 
+    @cached_property
+    def library(self):
+        """A's own library, which most texts don't need."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.byte_path)
+        out.encode_special_tokens = True
+        return out
+
     def words(self, text: str) -> list[str]:
         """``text`` cut at the spaces that begin a word; each word stands without that space."""
         if not self.words_part:
@@ -92,6 +99,8 @@ class Aligner:
             return [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
         ids = [None if self.rare(t) else self.quick.encode_ordinary(t) for t in texts]
         odd = [i for i, x in enumerate(ids) if x is None]
+        if not odd:
+            return ids
         for i, e in zip(odd, self.library.encode_batch([texts[i] for i in odd], add_special_tokens=False), strict=True):
             ids[i] = e.ids
         return ids
