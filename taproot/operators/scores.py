@@ -19,7 +19,12 @@ def max_vector(masks: DataFrame, view: View, value: str = "dist_view") -> DataFr
     """
     n1, n2 = view.fov[1], view.fov[2]
     place = (F.col("i") * n1 + F.col("j")) * n2 + F.col("k")
-    best = masks.groupBy("arbor_id", "nid").agg(F.max(F.struct(F.col(value).alias("v"), (-place).alias("at"))).alias("b"))
+    return vectors(masks.groupBy("arbor_id", "nid").agg(F.max(F.struct(F.col(value).alias("v"), (-place).alias("at"))).alias("b")), view)
+
+
+def vectors(best: DataFrame, view: View) -> DataFrame:
+    """Offsets from the middle for the greatest voxels ``b.v`` at the places ``-b.at`` in C order."""
+    n1, n2 = view.fov[1], view.fov[2]
     at, zero = -F.col("b.at"), F.col("b.v") <= NEAR_ZERO
     cells = (F.floor(at / (n1 * n2)), F.pmod(F.floor(at / n2), F.lit(n1)), F.pmod(at, F.lit(n2)))
     moves = [F.when(zero, 0).otherwise(c - h).cast("bigint").alias("d" + x) for c, h, x in zip(cells, view.half, "ijk", strict=True)]
@@ -79,8 +84,12 @@ def connectivity(nodes: DataFrame, masks: DataFrame, view: View) -> DataFrame:
 
 def ranking(nodes: DataFrame, masks: DataFrame, voxels: DataFrame, view: View, consensus: bool = False) -> DataFrame:
     """``arbor_id, nid, pid, connectivity, branch_score, dx, dy, dz``; vectors are physical, a root's connectivity null."""
-    edges = connectivity(nodes, masks, view).drop("pid")
-    found = branch_scores(nodes, voxels, view, consensus)
+    return listed(nodes, connectivity(nodes, masks, view), branch_scores(nodes, voxels, view, consensus), view)
+
+
+def listed(nodes: DataFrame, edges: DataFrame, found: DataFrame, view: View) -> DataFrame:
+    """Connectivity of edges and scores of nodes side by side, with physical vectors."""
+    edges = edges.drop("pid")
     rows = nodes.select("arbor_id", "nid", "pid").join(edges, ["arbor_id", "nid"], "left").join(found, ["arbor_id", "nid"])
     moves = [(F.col("d" + c) * float(v)).alias("d" + a) for c, v, a in zip("ijk", view.voxel, AXES, strict=True)]
     return rows.select("arbor_id", "nid", "pid", "connectivity", F.col("score").alias("branch_score"), *moves)

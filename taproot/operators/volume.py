@@ -149,9 +149,10 @@ def accumulate(nodes: DataFrame, masks: DataFrame, view: View) -> DataFrame:
 
 
 def confidence(incr_denom: float) -> Column:
-    """Share of views that hold the voxel; raises above 1."""
-    share = F.col("seg_count") / (F.col("view_count") + F.lit(float(incr_denom)))
-    return F.when(share > 1, F.raise_error(F.lit("confidence above 1")).cast("double")).otherwise(share)
+    """Share of views that hold the voxel, 0 where none counts; raises above 1 and where it is no number."""
+    views = F.col("view_count") + F.lit(float(incr_denom))
+    share = F.when(views == 0, 0.0).otherwise(F.col("seg_count") / F.nullif(views, F.lit(0.0)))
+    return F.when((share > 1) | F.isnan(share), F.raise_error(F.lit("confidence above 1")).cast("double")).otherwise(share)
 
 
 def weighted(nodes: DataFrame, voxels: DataFrame, view: View) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taproot.operators import blocks, graph, mesh, resample, scores, segment, spatial, topology, volume
+from taproot.operators import blocks, dense, graph, mesh, resample, scores, segment, spatial, topology, volume
 from taproot.plans.forests import EVENTS, ORDERS, forest
 from taproot.sources import artefacts, ingest
 
@@ -597,6 +597,21 @@ def _(spark, sf):
     return scores.ranking(nodes, masks_of(nodes), voxels_of(nodes), VIEW)
 
 
+@query("dense_ranking", ORACLES["ranking"])
+def _(spark, sf):
+    nodes = compact(spark, sf)
+    masks = dense.packed(masks_of(nodes), VIEW)
+    return dense.ranking(nodes, masks, dense.accumulate(nodes, masks, VIEW, LEAF), VIEW, LEAF)
+
+
+@query("dense_dist_view_mask", ORACLES["dist_view_weighted_mask"])
+def _(spark, sf):
+    nodes = compact(spark, sf)
+    w = dense.weighted(nodes, dense.accumulate(nodes, dense.packed(masks_of(nodes), VIEW), VIEW, LEAF), VIEW, LEAF)
+    lit = F.size(F.filter("mask", lambda v: v > 0))
+    return w.select("arbor_id", "nid", F.size("mask").alias("voxels"), lit.alias("lit"), F.aggregate("mask", F.lit(0.0), lambda t, v: t + v).alias("total"), F.array_max("mask").alias("most"))
+
+
 MASS = "mass AS (SELECT arbor_id, nid, sum(v * (i / 2.0 - 1)) AS si, sum(v * (j / 2.0 - 1)) AS sj, sum(v * (k / 2.0 - 1)) AS sk FROM masks GROUP BY ALL), unit AS (SELECT *, sqrt(si*si + sj*sj + sk*sk) AS size FROM mass), centre AS (SELECT arbor_id, nid, CASE WHEN size < 1e-9 THEN 0 ELSE si / size END AS ux, CASE WHEN size < 1e-9 THEN 0 ELSE sj / size END AS uy, CASE WHEN size < 1e-9 THEN 0 ELSE sk / size END AS uz, size / 31.25 AS magnitude FROM unit)"
 
 
