@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taproot.operators import blocks, dense, graph, mesh, resample, scores, segment, spatial, topology, volume
+from taproot.operators import blocks, dense, graph, mesh, resample, scores, segment, spatial, topology, tour, volume
 from taproot.plans.forests import EVENTS, ORDERS, forest
 from taproot.sources import artefacts, ingest
 
@@ -398,6 +398,13 @@ def _(spark, sf):
     return topology.merged(one, two, last.withColumn("b_root", F.lit(1000).cast("bigint"))).select("arbor_id", "nid", "pid")
 
 
+for _name, _oracle, _pick in (
+    ("tour_segments", "segments", lambda spark, sf: topology.segments(tour.index(b(spark, sf)))),
+    ("tour_strahler", "strahler", lambda spark, sf: tour.index(a(spark, sf)).select("arbor_id", "nid", F.col("order_no").alias("strahler"))),
+):
+    query(_name, ORACLES[_oracle])(_pick)
+
+
 @query("strahler_from_other", sql("arbor_id nid strahler", "SELECT s.arbor_id, s.nid, s.s AS strahler FROM strahler s WHERE (SELECT count(*) FROM nodes n WHERE n.arbor_id = s.arbor_id) > 1", B, PATHS, STRAHLER_B))
 def _(spark, sf):
     nodes = index_b(spark, sf)
