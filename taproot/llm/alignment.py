@@ -23,7 +23,7 @@ from taproot.llm.common import discard, shared_dir, written
 #: A's id in the high half of a pair's key, B's in the low one.
 HIGH = 32
 #: Texts are aligned together up to so many characters; what is kept of words grows with a batch, not with a table.
-BATCH = 3 << 20
+BATCH = 2 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
