@@ -783,7 +783,35 @@ def _(spark, sf):
     return measured(mesh.surface(surface_voxels(spark, sf), 0.5, (1, 1, 1), 2.0))
 
 
-@query("resample")
+STEPPED = """spots AS (SELECT s.arbor_id, s.seg_id, s.pos, s.nid, n.x, n.y, n.z FROM segs s JOIN nodes n ON n.arbor_id = s.arbor_id AND n.nid = s.nid),
+edges AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(z) OVER w AS z2, last_value(x) OVER v AS ex, last_value(y) OVER v AS ey, last_value(z) OVER v AS ez FROM spots
+  WINDOW w AS (PARTITION BY arbor_id, seg_id ORDER BY pos), v AS (PARTITION BY arbor_id, seg_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+steps AS (
+  SELECT arbor_id, seg_id, 0 AS edge, 0 AS n, x, y, z, (ex-x)*(ex-x) + (ey-y)*(ey-y) + (ez-z)*(ez-z) < 2.25 * 225 AS over FROM edges WHERE pos = 0
+  UNION ALL
+  SELECT arbor_id, seg_id, edge, n, x, y, z, (ex-x)*(ex-x) + (ey-y)*(ey-y) + (ez-z)*(ez-z) < 2.25 * 225 FROM (
+    SELECT arbor_id, seg_id, CASE WHEN inside THEN edge + 1 ELSE edge END AS edge, CASE WHEN inside THEN n ELSE n + 1 END AS n, ex, ey, ez,
+           CASE WHEN inside THEN x ELSE px + u * (x2 - px) END AS x, CASE WHEN inside THEN y ELSE py + u * (y2 - py) END AS y, CASE WHEN inside THEN z ELSE pz + u * (z2 - pz) END AS z
+    FROM (SELECT *, CASE WHEN NOT inside THEN (sqrt(ad * ad - dd * (aa - 225)) - ad) / dd END AS u
+      FROM (SELECT s.arbor_id, s.seg_id, s.edge, s.n, s.x, s.y, s.z, e.x AS px, e.y AS py, e.z AS pz, x2, y2, z2, ex, ey, ez,
+                   (x2-s.x)*(x2-s.x) + (y2-s.y)*(y2-s.y) + (z2-s.z)*(z2-s.z) < 225 AS inside,
+                   (x2-e.x)*(x2-e.x) + (y2-e.y)*(y2-e.y) + (z2-e.z)*(z2-e.z) AS dd,
+                   (e.x-s.x)*(x2-e.x) + (e.y-s.y)*(y2-e.y) + (e.z-s.z)*(z2-e.z) AS ad,
+                   (e.x-s.x)*(e.x-s.x) + (e.y-s.y)*(e.y-s.y) + (e.z-s.z)*(e.z-s.z) AS aa
+            FROM steps s JOIN edges e ON e.arbor_id = s.arbor_id AND e.seg_id = s.seg_id AND e.pos = s.edge WHERE NOT s.over)))),
+ends AS (SELECT s.arbor_id, s.seg_id, s.n + 1 AS n, e.ex AS x, e.ey AS y, e.ez AS z FROM steps s JOIN edges e ON e.arbor_id = s.arbor_id AND e.seg_id = s.seg_id AND e.pos = 0
+  WHERE s.over AND (ex-s.x)*(ex-s.x) + (ey-s.y)*(ey-s.y) + (ez-s.z)*(ez-s.z) > 1e-12 * (1 + ex*ex + ey*ey + ez*ez)),
+points AS (SELECT DISTINCT arbor_id, seg_id, n, x, y, z FROM steps WHERE n > 0 UNION SELECT * FROM ends),
+named AS (SELECT *, row_number() OVER (PARTITION BY arbor_id ORDER BY seg_id, n) AS nid FROM points),
+near AS (SELECT arbor_id, nid, origin FROM (SELECT p.arbor_id, p.nid, s.nid AS origin, row_number() OVER (PARTITION BY p.arbor_id, p.nid ORDER BY (p.x-s.x)*(p.x-s.x) + (p.y-s.y)*(p.y-s.y) + (p.z-s.z)*(p.z-s.z), s.pos) AS r
+  FROM named p JOIN spots s ON s.arbor_id = p.arbor_id AND s.seg_id = p.seg_id) WHERE r = 1),
+tips AS (SELECT s.arbor_id, s.seg_id, arg_min(s.nid, s.pos) AS head, arg_max(s.nid, s.pos) AS tail, max(p.nid) AS last FROM segs s LEFT JOIN (SELECT arbor_id, seg_id, max(nid) AS nid FROM named GROUP BY ALL) p ON p.arbor_id = s.arbor_id AND p.seg_id = s.seg_id GROUP BY ALL),
+names AS (SELECT arbor_id, nid AS old, CAST(0 AS BIGINT) AS nid FROM nodes WHERE pid IS NULL UNION ALL SELECT t.arbor_id, t.tail, CAST(coalesce(t.last, m.nid) AS BIGINT) FROM names m JOIN tips t ON t.arbor_id = m.arbor_id AND t.head = m.old)"""
+
+
+@query("resample", sql("arbor_id nid pid d:x d:y d:z origin", """SELECT p.arbor_id, p.nid, CASE WHEN p.n = (SELECT min(n) FROM named q WHERE q.arbor_id = p.arbor_id AND q.seg_id = p.seg_id) THEN m.nid ELSE p.nid - 1 END AS pid, p.x, p.y, p.z, o.origin
+  FROM named p JOIN near o ON o.arbor_id = p.arbor_id AND o.nid = p.nid JOIN tips t ON t.arbor_id = p.arbor_id AND t.seg_id = p.seg_id JOIN names m ON m.arbor_id = t.arbor_id AND m.old = t.head
+  UNION ALL SELECT arbor_id, 0, NULL, x, y, z, nid FROM nodes WHERE pid IS NULL""", B, PATHS, KIDS, SEGS, STEPPED))
 def _(spark, sf):
     return resample.resampled(index_b(spark, sf), 15.0)
 
