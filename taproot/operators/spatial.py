@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from taproot.operators.lineage import cut
+from taproot.operators.lineage import stored
 from taproot.operators.topology import neighbours
 
 AXES = ("x", "y", "z")
-PARTS = 64  # rounds of a flood whose rows are written together
+DEPTH = 28  # bits of a coordinate in the pyramid of cells
+LEAF = 64  # nodes of a cell that isn't cut further, unless it is of the last level
 
 
 def squared(a: str, b: str) -> Column:
@@ -57,64 +58,125 @@ def distance(a: list[Column], b: list[Column]) -> Column:
     return F.sqrt(sum((p - q) * (p - q) for p, q in zip(a, b, strict=True)))
 
 
-def closest(nodes: DataFrame, places: DataFrame) -> DataFrame:
-    """For each of ``places(arbor_id, px, py, pz)`` the nearest node, of equally near ones the least id.
+def _key(c: str, level: int) -> Column:
+    """A node's cell of a level: 2 bits an axis and level."""
+    return F.concat(*[F.lpad(F.hex(F.shiftright(c + k, DEPTH - level)), 8, "0") for k in "xyz"])
+
+
+def _pyramid(spots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cells with the boxes of what they hold, and nodes with the cell they are leaves of.
 
-    ``arbor_id, px, py, pz, nid, distance``; combined before the shuffle, so a place costs a row per task.
+    A cell of over ``LEAF`` nodes is cut into 64, level by level, and only its nodes go on.
     """
-    spots = nodes.select("arbor_id", "nid", *[F.col(c).alias("n" + c) for c in AXES])
-    both = spots.join(places, "arbor_id").withColumn("d2", squared("n", "p"))
-    best = both.groupBy("arbor_id", "px", "py", "pz").agg(F.min(F.struct("d2", "nid")).alias("b"))
-    return best.select("arbor_id", "px", "py", "pz", F.col("b.nid").alias("nid"), F.sqrt("b.d2").alias("distance"))
+    box = [f("n" + c).alias(m + c) for m, f in (("lo", F.min), ("hi", F.max)) for c in AXES]
+    size = F.greatest(*[F.col("hi" + c) - F.col("lo" + c) for c in AXES])
+    scaled = [F.floor(F.least(F.lit(float(2**DEPTH - 1)), (F.col("n" + c) - F.col("lo" + c)) / F.col("size") * 2.0**DEPTH)).cast("bigint").alias("g" + c) for c in AXES]
+    whole = spots.groupBy("arbor_id").agg(*box).select("*", F.nullif(size, F.lit(0.0)).alias("size"))
+    left = spots.join(whole, "arbor_id").select(*spots.columns, *[F.coalesce(c, F.lit(0)).alias("g" + k) for c, k in zip(scaled, AXES, strict=True)])
+    left = left.withColumn("above", F.lit("").cast("string"))
+    cells, leaves = [], []
+    for level in range(0, DEPTH + 1, 2):
+        keyed = left.withColumn("cell", F.concat(F.lit(f"{level:02d}:"), _key("g", level)))
+        held = stored(keyed.groupBy("arbor_id", "above", "cell").agg(F.count(F.lit(1)).alias("n"), *box).withColumn("leaf", (F.col("n") <= LEAF) | F.lit(level == DEPTH)))
+        cells.append(held.drop("n"))
+        sized = stored(keyed.drop("above").join(held.select("arbor_id", "cell", "leaf"), ["arbor_id", "cell"]))
+        leaves.append(sized.where("leaf").select("arbor_id", "cell", *spots.columns[1:]))
+        left = sized.where("not leaf").drop("leaf").withColumnRenamed("cell", "above")
+        if left.isEmpty():
+            break
+    return reduce(DataFrame.union, cells), reduce(DataFrame.union, leaves)
 
 
-def _flood(nodes: DataFrame, starts: DataFrame, near: Column, rounds: int) -> DataFrame:
+def closest(nodes: DataFrame, places: DataFrame) -> DataFrame:
+    """For each of ``places(arbor_id, px, py, pz)`` the nearest node, of equally near ones the least id.
+
+    ``arbor_id, px, py, pz, nid, distance``.  A place descends a pyramid of cells and keeps, level by level, those
+    that may hold its nearest node: none whose box is farther than another's farthest corner.  Only the nodes of
+    the leaves that remain are compared.  Nodes and places that lack a coordinate take no part; a place
+    whose arbor has no node gets no row.
+    """
+    real = lambda m: reduce(lambda a, b: a & b, [F.col(m + c).isNotNull() & ~F.isnan(F.col(m + c).cast("double")) for c in AXES])
+    spots = nodes.where(real("")).groupBy("arbor_id", *[F.col(c).alias("n" + c) for c in AXES]).agg(F.min("nid").alias("nid"))
+    cells, leaves = _pyramid(spots)
+    place = ["arbor_id", "px", "py", "pz"]
+    none = F.lit(0.0)
+    gap = sum(F.pow(F.greatest(F.col("lo" + c) - F.col("p" + c), F.col("p" + c) - F.col("hi" + c), none), 2.0) for c in AXES)
+    far = sum(F.pow(F.greatest(F.abs(F.col("p" + c) - F.col("lo" + c)), F.abs(F.col("hi" + c) - F.col("p" + c))), 2.0) for c in AXES)
+    bound = F.min("far").over(Window.partitionBy(*place))
+    asked = places.where(real("p")).select(*place).distinct()
+    kept, open_ = [], asked.withColumn("above", F.lit("")).withColumn("limit", F.lit(float("inf")))
+    for _ in range(0, DEPTH + 1, 2):
+        met = open_.join(cells, ["arbor_id", "above"]).select(*place, "cell", "leaf", "limit", gap.alias("gap"), far.alias("far"))
+        met = met.withColumn("limit", F.least("limit", bound))
+        met = stored(met.where(F.col("gap") <= F.col("limit") * (1 + 1e-9) + 1e-9).select(*place, "cell", "leaf", "limit", "gap"))
+        kept.append(met.where("leaf").select(*place, "cell", "gap", "limit"))
+        open_ = met.where("not leaf").select(*place, F.col("cell").alias("above"), "limit")
+        if open_.isEmpty():
+            break
+    # a leaf kept early goes if a later level found something nearer
+    last = F.min("limit").over(Window.partitionBy(*place))
+    left = reduce(DataFrame.union, kept).withColumn("limit", last).where(F.col("gap") <= F.col("limit") * (1 + 1e-9) + 1e-9)
+    both = left.select(*place, "cell").join(leaves, ["arbor_id", "cell"]).withColumn("d2", squared("n", "p"))
+    best = both.groupBy(*place).agg(F.min(F.struct("d2", "nid")).alias("b"))
+    return best.select(*place, F.col("b.nid").alias("nid"), F.sqrt("b.d2").alias("distance"))
+
+
+def _flood(nodes: DataFrame, starts: DataFrame, near: Column, sides: tuple[float, ...]) -> DataFrame:
     """Connected nodes about each start for which ``near`` holds; the start's neighbours always are.
 
-    A step over one edge per round, along nodes reached within reach; it ends when none is new.  In a
-    tree a walk that never turns back comes to each node once, so a round reads its front alone.
+    ``near`` never holds beyond ``sides``, so candidates come from cells of that size.  Of a start's candidates those
+    are connected that have the same topmost node, going up through candidates alone; pointers to it are
+    doubled, which takes as many joins as the logarithm of the deepest way.  A cycle of parents raises.
     """
+    own, key = ["arbor_id", "start"], ["arbor_id", "start", "nid"]
     at = nodes.select("arbor_id", "nid", *[F.col(c).alias("n" + c) for c in AXES])
-    edges = neighbours(nodes).where("nid <> other").join(at.withColumnRenamed("nid", "other"), ["arbor_id", "other"])
-    here = [F.col("n" + c).alias("s" + c) for c in AXES]
-    step = ["arbor_id", "start", F.col("nid").alias("prev"), F.col("other").alias("nid"), *["s" + c for c in AXES]]
+    cell = lambda m: [F.floor(F.col(m + c) / (r * (1 + 1e-9) or 1.0)).cast("bigint") for c, r in zip(AXES, sides, strict=True)]
     origin = starts.select("arbor_id", F.col("nid").alias("start")).distinct()
-    origin = origin.join(at.withColumnRenamed("nid", "start"), ["arbor_id", "start"]).select("arbor_id", "start", F.col("start").alias("nid"), *here)
-    front = cut(origin.join(edges, ["arbor_id", "nid"]).select(*step))
-    seen = [d.select("arbor_id", "start", "nid") for d in (origin, front)]
-    for _ in range(rounds):
-        front = cut(front.join(edges, ["arbor_id", "nid"]).where(near & (F.col("other") != F.col("prev"))).select(*step))
-        if front.isEmpty():
-            return reduce(DataFrame.union, seen)
-        seen.append(front.select("arbor_id", "start", "nid"))
-        if len(seen) > PARTS:
-            seen = [cut(reduce(DataFrame.union, seen))]
-    raise RuntimeError("the radius reaches farther than the rounds allowed")
-
-
-def radius(nodes: DataFrame, starts: DataFrame, reach: float | tuple[float, float, float], rounds: int = 10_000) -> DataFrame:
+    here = at.select("arbor_id", F.col("nid").alias("start"), *[F.col("n" + c).alias("s" + c) for c in AXES])
+    origin = stored(origin.join(here, own))
+    spread = origin
+    for c, k in zip(AXES, cell("s"), strict=True):
+        spread = spread.withColumn("c" + c, F.explode(F.array(k - 1, k, k + 1)))
+    placed = at.select("*", *[k.alias("c" + c) for c, k in zip(AXES, cell("n"), strict=True)])
+    within = placed.join(spread, ["arbor_id", *["c" + c for c in AXES]]).where(near).select(*key)
+    beside = neighbours(nodes).where("nid <> other").withColumnRenamed("nid", "start").join(origin.select(*own), own).select(*own, F.col("other").alias("nid"))
+    found = within.union(beside).union(origin.select(*own, F.col("start").alias("nid"))).distinct()
+    up = nodes.where("pid is not null and pid <> nid").select("arbor_id", "nid", "pid")
+    found = stored(found.join(up, ["arbor_id", "nid"], "left").select(*key, "pid"))
+    parent = found.select(*own, F.col("nid").alias("pid"), F.lit(True).alias("there"))
+    state = stored(found.join(parent, [*own, "pid"], "left").select(*key, F.when(F.col("there"), F.col("pid")).alias("up"), F.col("nid").alias("top")))
+    for _ in range(64):
+        if state.where("up is not null").isEmpty():
+            mine = state.where("nid = start").select(*own, "top")
+            return state.join(mine, [*own, "top"]).select(*key)
+        there = state.select(*own, F.col("nid").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"))
+        moved = state.where("up is not null").join(there, [*own, "up"]).select(*key, F.col("up2").alias("up"), F.col("top2").alias("top"))
+        state = stored(moved.union(state.where("up is null")))
+    raise ValueError("parents of the nodes go round in a cycle")
+
+
+def radius(nodes: DataFrame, starts: DataFrame, reach: float | tuple[float, float, float]) -> DataFrame:
     """``arbor_id, start, nid``: what is connected to each start within ``reach`` of it.
 
     One number is a Euclidean radius, strict; three are bounds per axis, inclusive.  Direct
     neighbours of the start always belong to it.
     """
-    if isinstance(reach, (int, float)):
-        near = squared("n", "s") < float(reach) ** 2
-    elif len(reach) == 1:
-        near = squared("n", "s") < float(reach[0]) ** 2
+    sides = (reach,) if isinstance(reach, (int, float)) else tuple(reach)
+    if len(sides) == 1:
+        near = squared("n", "s") < float(sides[0]) ** 2
     else:
         near = F.lit(True)
-        for c, r in zip(AXES, reach, strict=True):
+        for c, r in zip(AXES, sides, strict=True):
             near &= F.abs(F.col("n" + c) - F.col("s" + c)) <= float(r)
-    return _flood(nodes, starts, near, rounds)
+    return _flood(nodes, starts, near, tuple(map(float, sides * 3 if len(sides) == 1 else sides)))
 
 
-def constrained_radius(nodes: DataFrame, starts: DataFrame, dx: int, dy: int, dz: int, rounds: int = 10_000) -> DataFrame:
+def constrained_radius(nodes: DataFrame, starts: DataFrame, dx: int, dy: int, dz: int) -> DataFrame:
     """As ``radius`` with three bounds, offsets truncated to whole numbers first."""
     near = F.lit(True)
     for c, r in zip(AXES, (dx, dy, dz), strict=True):
         near &= F.abs((F.col("n" + c) - F.col("s" + c)).cast("bigint")) <= int(r)
-    return _flood(nodes, starts, near, rounds)
+    return _flood(nodes, starts, near, (float(dx) + 1, float(dy) + 1, float(dz) + 1))
 
 
 def around(nodes: DataFrame, group: DataFrame, reach: float) -> DataFrame:
