@@ -6,8 +6,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,6 +120,80 @@ def set_region(blocks: DataFrame, leaf: Triple, region: tuple[Range, Range, Rang
     return both.select(*name, uniform.alias("uniform"), data.alias("data"))
 
 
+def _pieces(arrays: DataFrame, leaf: Triple) -> DataFrame:
+    """``arrays`` cut along blocks: of each the part that lies in the block, with its beginning and shape there."""
+    e = arrays.where("sx > 0 and sy > 0 and sz > 0")
+    right = F.size("values") == F.col("sx") * F.col("sy") * F.col("sz")
+    e = e.withColumn("values", F.when(right, F.col("values")).otherwise(F.raise_error(F.lit("an array has other than sx * sy * sz values")).cast("array<double>")))
+    for a, n in zip(AXES, leaf, strict=True):
+        first, last = F.floor(F.col("o" + a) / n), F.floor((F.col("o" + a) + F.col("s" + a) - 1) / n)
+        e = e.withColumn("b" + a, F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))))
+        e = e.withColumn("from_" + a, F.greatest(F.col("o" + a), F.col("b" + a) * n)).withColumn("to_" + a, F.least(F.col("o" + a) + F.col("s" + a), (F.col("b" + a) + 1) * n))
+    at = {a: F.sequence((F.col("from_" + a) - F.col("o" + a)).cast("int"), (F.col("to_" + a) - F.col("o" + a) - 1).cast("int")) for a in AXES}
+    size = {a: (F.col("to_" + a) - F.col("from_" + a)).cast("int") for a in AXES}
+    line = lambda i, j: F.slice("values", ((i * F.col("sy") + j) * F.col("sz") + F.col("from_z") - F.col("oz") + 1).cast("int"), size["z"])
+    piece = F.flatten(F.transform(at["x"], lambda i: F.flatten(F.transform(at["y"], lambda j: line(i, j)))))
+    begin = [F.pmod("from_" + a, F.lit(n)).cast("int").alias("p" + a) for a, n in zip(AXES, leaf, strict=True)]
+    return e.select("arbor_id", "bx", "by", "bz", F.col("seq").cast("bigint").alias("seq"), *begin, *[size[a].alias("n" + a) for a in AXES], piece.alias("piece"))
+
+
+def set_arrays(blocks: DataFrame, leaf: Triple, arrays: DataFrame, fill: float = 0.0, salts: int = 16) -> DataFrame:
+    """The volume with ``arrays(arbor_id, ox, oy, oz, sx, sy, sz, values, seq)`` written at their offsets.
+
+    ``values`` are in C order.  Where arrays overlap the greatest ``seq`` stands, of equal ones the greater value;
+    null values count as ``fill``, an array of another length raises, one without a voxel writes nothing.
+    Blocks that no array meets stay as they are; missing ones are filled first.
+
+    Arrays are cut along blocks before they are shuffled.  A block's pieces are laid over each other in ``salts`` tasks
+    as they stream by, and then the layers; so no block's pieces are ever held together.
+    """
+    n, name = cells(leaf), ["arbor_id", "bx", "by", "bz"]
+    layer = "arbor_id bigint, bx bigint, by bigint, bz bigint, salt int, seqs array<bigint>, vals array<double>"
+
+    def overlaid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seqs = vals = key = None
+        never = np.iinfo(np.int64).min
+
+        def done() -> pa.RecordBatch:
+            some = [pa.array([v], pa.int32() if c == "salt" else pa.int64()) for c, v in zip([*name, "salt"], key, strict=True)]
+            gaps = pa.array([[None if s == never else int(s) for s in seqs.reshape(-1)]], pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([*some, gaps, pa.array([vals.reshape(-1)], pa.list_(pa.float64()))], names=[*name, "salt", "seqs", "vals"])
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                get = lambda c: batch.column(c)[row].as_py()  # noqa: B023, E731
+                here = tuple(get(c) for c in (*name, "salt"))
+                if here != key:
+                    if key is not None:
+                        yield done()
+                    key, seqs, vals = here, np.full(leaf, never), np.full(leaf, float(fill))
+                size = [get("n" + a) for a in AXES]
+                spot = tuple(slice(get("p" + a), get("p" + a) + m) for a, m in zip(AXES, size, strict=True))
+                new = batch.column("piece")[row].values.fill_null(float(fill)).to_numpy(zero_copy_only=False).reshape(size)
+                over = (get("seq") > seqs[spot]) | ((get("seq") == seqs[spot]) & (new > vals[spot]))
+                seqs[spot] = np.where(over, get("seq"), seqs[spot])
+                vals[spot] = np.where(over, new, vals[spot])
+        if key is not None:
+            yield done()
+
+    pieces = _pieces(arrays, leaf).withColumn("salt", F.pmod(F.xxhash64("seq", "px", "py", "pz", "piece"), F.lit(salts)).cast("int"))
+    layers = pieces.repartition(*name, "salt").sortWithinPartitions(*name, "salt").mapInArrow(overlaid, layer)
+    # a cell's latest layer; there are at most ``salts`` of a block
+    cell = F.zip_with("seqs", "vals", lambda s, v: F.struct(s.alias("s"), v.alias("v")))
+    above = lambda x, y: F.when(x["s"].isNull() | (y["s"] > x["s"]) | ((y["s"] == x["s"]) & (y["v"] > x["v"])), y).otherwise(x)
+    laid = layers.groupBy(*name).agg(F.collect_list(cell).alias("layers"))
+    top = F.aggregate(F.slice("layers", 2, salts), F.get("layers", F.lit(0)), lambda acc, one: F.zip_with(acc, one, above))
+    laid = laid.select(*name, top.alias("top"))
+    both = blocks.select(*name, "uniform", "data").join(laid, name, "full")
+    old = F.coalesce(F.col("data"), F.array_repeat(F.coalesce(F.col("uniform"), F.lit(float(fill))), n))
+    new = F.zip_with("top", old, lambda t, v: F.when(t["s"].isNull(), v).otherwise(t["v"]))
+    both = both.withColumn("new", F.when(F.col("top").isNotNull(), new))
+    same = F.array_min("new") == F.array_max("new")
+    uniform = F.when(F.col("new").isNull(), F.col("uniform")).when(same, F.get("new", F.lit(0)))
+    data = F.when(F.col("new").isNull(), F.col("data")).when(~same, F.col("new"))
+    return both.select(*name, uniform.alias("uniform"), data.alias("data"))
+
+
 def populated(blocks: DataFrame, keys: DataFrame, populate: Callable[[Column, Column, Column], Column]) -> DataFrame:
     """Blocks for all of ``keys(arbor_id, bx, by, bz)``; missing ones are uniform by ``populate(bx, by, bz)``."""
     name = ["arbor_id", "bx", "by", "bz"]

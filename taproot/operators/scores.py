@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taproot.operators.arrow import by_arbor
 from taproot.operators.spatial import around
 from taproot.operators.topology import neighbours
 from taproot.operators.volume import AXES, View, accumulate, fields, voxel_of, weighted
@@ -174,21 +179,43 @@ def best_path(cells: DataFrame, value: str = "viewed") -> DataFrame:
     """Bottleneck connectivity: the greatest least value over monotone lattice paths of each edge's cells.
 
     ``cells`` has ``arbor_id, nid, i, j, k`` from 0 at one end, the far corner being the other end, and
-    ``value``.  A lattice is a group of its own and is walked in one pass.
+    ``value``; absent cells hold 0.  All lattices of a batch that have one shape are swept together, a wavefront of
+    equal ``i + j + k`` at a time; memory is bounded by a batch and one lattice.
     """
-    import numpy as np
-    import pandas as pd
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        shape = tuple(pdf[c].max() + 1 for c in "ijk")
-        grid = np.zeros(shape)
-        grid[pdf.i, pdf.j, pdf.k] = pdf[value]
-        best = np.full(tuple(n + 1 for n in shape), -np.inf)
-        for i in range(shape[0]):
-            for j in range(shape[1]):
-                for k in range(shape[2]):
-                    before = np.inf if i == j == k == 0 else max(best[i, j + 1, k + 1], best[i + 1, j, k + 1], best[i + 1, j + 1, k], best[i, j, k + 1], best[i, j + 1, k], best[i + 1, j, k], best[i, j, k])
-                    best[i + 1, j + 1, k + 1] = min(grid[i, j, k], before)
-        return pd.DataFrame({"arbor_id": [pdf.arbor_id.iloc[0]], "nid": [pdf.nid.iloc[0]], "strength": [best[-1, -1, -1]]})
-
-    return cells.groupBy("arbor_id", "nid").applyInPandas(walk, "arbor_id bigint, nid bigint, strength double")
+
+    def swept(grid: np.ndarray) -> np.ndarray:
+        """The far corners' values of ``grid`` (lattice, i, j, k)."""
+        best = np.full((len(grid), *[n + 1 for n in grid.shape[1:]]), -np.inf)
+        best[:, 1, 1, 1] = grid[:, 0, 0, 0]
+        i, j, k = np.indices(grid.shape[1:]).reshape(3, -1)
+        front = np.argsort(i + j + k, kind="stable")
+        for at in np.split(front, np.cumsum(np.bincount(i + j + k))[:-1])[1:]:
+            p, q, r = i[at], j[at], k[at]
+            before = np.full((len(grid), len(at)), -np.inf)
+            for d, e, f in itertools.product((0, 1), repeat=3):
+                if (d, e, f) != (1, 1, 1):
+                    np.maximum(before, best[:, p + d, q + e, r + f], out=before)
+            best[:, p + 1, q + 1, r + 1] = np.minimum(grid[:, p, q, r], before)
+        return best[:, -1, -1, -1]
+
+    def run(t: pa.Table) -> pa.Table:
+        arbor, nid, i, j, k = (t.column(c).to_numpy() for c in ("arbor_id", "nid", "i", "j", "k"))
+        begin = np.r_[0, np.flatnonzero((arbor[1:] != arbor[:-1]) | (nid[1:] != nid[:-1])) + 1]
+        shape = np.stack([np.maximum.reduceat(x, begin) + 1 for x in (i, j, k)], axis=1)
+        lattice = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(nid)]))
+        values, out = t.column("value").to_numpy(), np.empty(len(begin))
+        kinds, kind = np.unique(shape, axis=0, return_inverse=True)
+        for n, size in enumerate(kinds):
+            mine = np.flatnonzero(kind.reshape(-1) == n)
+            number = np.full(len(begin), -1)
+            number[mine] = np.arange(len(mine))
+            rows = np.flatnonzero(number[lattice] >= 0)
+            grid = np.zeros((len(mine), *size))
+            grid[number[lattice[rows]], i[rows], j[rows], k[rows]] = values[rows]
+            out[mine] = swept(grid)
+        return pa.table({"arbor_id": pa.array(arbor[begin], pa.int64()), "nid": pa.array(nid[begin], pa.int64()), "strength": pa.array(out)})
+
+    whole = [F.col(c).cast("bigint").alias(c) for c in ("arbor_id", "nid", "i", "j", "k")]
+    # lattices that share a hash come one after another in one call
+    keyed = cells.select(F.xxhash64("arbor_id", "nid").alias("spot"), *whole, F.col(value).cast("double").alias("value"))
+    return by_arbor(keyed, run, "arbor_id bigint, nid bigint, strength double", key="spot", order=("arbor_id", "nid"))

@@ -544,6 +544,18 @@ def _(spark, sf):
     return new.groupBy("arbor_id").agg(F.sum(total).alias("total"))
 
 
+ARRAYS = """arrays AS (SELECT arbor_id, nid, x + i - 2 AS vx, y + j - 2 AS vy, z + k - 2 AS vz, nid * 1000 + i * 25 + j * 5 + k AS value FROM nodes, offsets WHERE nid % 3 = 0),
+tops AS (SELECT arbor_id, vx, vy, vz, arg_max(value, nid) AS value FROM arrays GROUP BY ALL)"""
+
+
+@query("region_write_array", sql("arbor_id vx vy vz d:value", "SELECT coalesce(t.arbor_id, l.arbor_id) AS arbor_id, coalesce(t.vx, l.vx) AS vx, coalesce(t.vy, l.vy) AS vy, coalesce(t.vz, l.vz) AS vz, coalesce(t.value, l.value) AS value FROM tops t FULL JOIN live l ON l.arbor_id = t.arbor_id AND l.vx = t.vx AND l.vy = t.vy AND l.vz = t.vz WHERE coalesce(t.value, l.value) <> 0", *VOLUME, LIVE, ARRAYS))
+def _(spark, sf):
+    nodes = compact(spark, sf).where("nid % 3 = 0")
+    values = F.transform(F.sequence(F.lit(0), F.lit(124)), lambda p: (F.col("nid") * 1000 + p).cast("double"))
+    arrays = nodes.select("arbor_id", *[(F.col(c) - 2).cast("bigint").alias("o" + c) for c in "xyz"], *[F.lit(5).alias("s" + c) for c in "xyz"], values.alias("values"), F.col("nid").alias("seq"))
+    return blocks.to_voxels(blocks.set_arrays(block_table(spark, sf), LEAF, arrays), LEAF).where("value <> 0")
+
+
 @query("leaf_order", sql("arbor_id bx by bz rank", "SELECT arbor_id, bx, by_ AS \"by\", bz, row_number() OVER (PARTITION BY arbor_id ORDER BY " + " + ".join(f"((CAST(b{c} AS BIGINT) + 524288) >> {s} & 1) * {1 << 3 * s + 2 - d}" for s in range(20) for d, c in enumerate(("x", "y_", "z"))) + ") AS rank FROM blocks", *VOLUME, LIVE, BLOCKS))
 def _(spark, sf):
     from pyspark.sql import Window
@@ -680,7 +692,14 @@ def _(spark, sf):
     return scores.scores_where_changed(cut_forest(nodes), voxels, masks_of(nodes), scores.branch_scores(nodes, voxels, VIEW), VIEW)
 
 
-@query("connectivity_path")
+# a diagonal's cells are reached from the three diagonals before it
+DIAGONALS = ["lattice AS MATERIALIZED (SELECT arbor_id, nid, i, j, k, viewed FROM weighted)", "d0 AS MATERIALIZED (SELECT arbor_id, nid, i, j, k, viewed AS best FROM lattice WHERE i + j + k = 0)"]
+for _s in range(1, 13):
+    _from = " UNION ALL ".join(f"SELECT * FROM d{p}" for p in range(max(0, _s - 3), _s))
+    DIAGONALS.append(f"d{_s} AS MATERIALIZED (SELECT w.arbor_id, w.nid, w.i, w.j, w.k, least(w.viewed, max(p.best)) AS best FROM lattice w JOIN ({_from}) p ON p.arbor_id = w.arbor_id AND p.nid = w.nid AND w.i - p.i IN (0, 1) AND w.j - p.j IN (0, 1) AND w.k - p.k IN (0, 1) WHERE w.i + w.j + w.k = {_s} GROUP BY w.arbor_id, w.nid, w.i, w.j, w.k, w.viewed)")
+
+
+@query("connectivity_path", sql("arbor_id nid d:strength", "SELECT arbor_id, nid, best AS strength FROM d12", *VOLUME, WEIGHTED, *DIAGONALS))
 def _(spark, sf):
     nodes = compact(spark, sf)
     return scores.best_path(volume.weighted(nodes, voxels_of(nodes), VIEW))
