@@ -57,18 +57,18 @@ def by_value(c: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(c.cast("string"), F.lit(""))), F.lit(1 << bits)).cast("int")
 
 
-def placed(rows: DataFrame, curve: Column, key: str, shards: int) -> DataFrame:
+def placed(rows: DataFrame, curve: Column, key: str, shards: int, ties: tuple[str, ...] = ()) -> DataFrame:
     """``rows`` with ``h, shard, slot``: sorted by curve index and cut into runs of equal counts.
 
-    Rows of one index are ordered by a hash of ``key`` and ``key`` itself, so that a cell with a
-    third of all rows is split by the range partitioner as any other.  The sorted rows are written
+    Rows of one index are ordered by a hash of ``key``, ``key`` itself and ``ties``, so that a cell with a
+    third of all rows is split by the range partitioner as any other, and places do not depend on the read.  The sorted rows are written
     with their partition's number; positions are the partition's offset plus the rank inside it.
     Only a count per partition is gathered.  Shard counts differ by one at most.
     """
     spark = rows.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     keyed = rows.withColumn("h", curve).withColumn("tie_", F.xxhash64(F.col(key)))
-    order = [F.col("h"), F.col("tie_"), F.col(key)]
+    order = [F.col("h"), F.col("tie_"), F.col(key), *[F.col(c) for c in ties]]
     ranged = keyed.repartitionByRange(n, *order).withColumn("part_", F.spark_partition_id())
     fixed = written(ranged)
     sizes = fixed.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"))
@@ -87,13 +87,14 @@ def hilbert_shards(docs: DataFrame, *, shards: int = 8, bits: int = 5, key: str
 
     The curve runs over text size, language and source.  ``size`` is the text's UTF-8 bytes plus one,
     a null text has none.  ``slot`` counts from 0 without gaps in each shard.  Null languages, sources
-    and ids are values like others.  Repeated rows are placed one after another.
+    and ids are values like others.  Rows that repeat an id are ordered by size, text_crc32 and a digest of
+    the text; wholly equal rows are placed one after another.
     """
     x = F.coalesce(F.col(text), F.lit(""))
     size = (F.octet_length(x) + 1).cast("bigint")
     curve = hilbert([by_size(F.col("size"), bits), by_value(F.col("lang_"), bits), by_value(F.col("source_"), bits)], bits)
-    rows = docs.select(key, size.alias("size"), F.crc32(x.cast("binary")).alias("text_crc32"), F.col("lang").alias("lang_"), F.col("source").alias("source_"))
-    out = placed(rows, curve, key, shards)
+    rows = docs.select(key, size.alias("size"), F.crc32(x.cast("binary")).alias("text_crc32"), F.xxhash64(x).alias("digest_"), F.col("lang").alias("lang_"), F.col("source").alias("source_"))
+    out = placed(rows, curve, key, shards, ("size", "text_crc32", "digest_"))
     return out.select(key, "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -60,3 +60,9 @@ def test_files_prune(spark, tmp_path):
     sharding.write_shards(df, sharding.hilbert_shards(df), f"{tmp_path}/out")
     back = spark.read.parquet(f"{tmp_path}/out")
     assert back.count() == 103 and set(back.columns) == {"doc_id", "text", "lang", "source", "shard"}
+
+
+def test_repeated_ids_do_not_depend_on_the_read(spark):
+    df = spark.createDataFrame([(5, f"text {i:03d}", "en", "s", 1, "a") for i in range(200)], SCHEMA)
+    at = lambda d: {r.text_crc32: (r.shard, r.slot) for r in sharding.hilbert_shards(d).collect()}
+    assert at(df.repartition(3)) == at(df.orderBy(F.desc("text")).repartition(5))
