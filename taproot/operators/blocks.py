@@ -151,30 +151,38 @@ def set_arrays(blocks: DataFrame, leaf: Triple, arrays: DataFrame, fill: float =
     layer = "arbor_id bigint, bx bigint, by bigint, bz bigint, salt int, seqs array<bigint>, vals array<double>"
 
     def overlaid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seqs = vals = key = None
-        never = np.iinfo(np.int64).min
-
-        def done() -> pa.RecordBatch:
-            some = [pa.array([v], pa.int32() if c == "salt" else pa.int64()) for c, v in zip([*name, "salt"], key, strict=True)]
-            gaps = pa.array([[None if s == never else int(s) for s in seqs.reshape(-1)]], pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([*some, gaps, pa.array([vals.reshape(-1)], pa.list_(pa.float64()))], names=[*name, "salt", "seqs", "vals"])
+        keys = [*name, "salt"]
+        never, key, open_, ready = np.iinfo(np.int64).min, None, None, []
+
+        def packed() -> pa.RecordBatch:
+            some = [pa.array([k[c] for k, _, _ in ready], pa.int32() if keys[c] == "salt" else pa.int64()) for c in range(len(keys))]
+            seqs = np.concatenate([x.reshape(-1) for _, x, _ in ready])
+            vals = np.concatenate([x.reshape(-1) for _, _, x in ready])
+            begin = pa.array(np.arange(len(ready) + 1) * n, pa.int32())
+            lists = [pa.ListArray.from_arrays(begin, pa.array(seqs, mask=seqs == never)), pa.ListArray.from_arrays(begin, pa.array(vals))]
+            ready.clear()
+            return pa.RecordBatch.from_arrays([*some, *lists], names=[*keys, "seqs", "vals"])
 
         for batch in batches:
-            for row in range(batch.num_rows):
-                get = lambda c: batch.column(c)[row].as_py()  # noqa: B023, E731
-                here = tuple(get(c) for c in (*name, "salt"))
+            ids = list(zip(*[batch.column(c).to_pylist() for c in keys], strict=True))
+            spots = np.stack([batch.column("p" + a).to_numpy() for a in AXES], axis=1)
+            sizes = np.stack([batch.column("n" + a).to_numpy() for a in AXES], axis=1)
+            seq, ends = batch.column("seq").to_numpy(), np.r_[0, np.cumsum(sizes.prod(axis=1))]
+            flat = batch.column("piece").flatten().fill_null(float(fill)).to_numpy(zero_copy_only=False)
+            for row, here in enumerate(ids):
                 if here != key:
                     if key is not None:
-                        yield done()
-                    key, seqs, vals = here, np.full(leaf, never), np.full(leaf, float(fill))
-                size = [get("n" + a) for a in AXES]
-                spot = tuple(slice(get("p" + a), get("p" + a) + m) for a, m in zip(AXES, size, strict=True))
-                new = batch.column("piece")[row].values.fill_null(float(fill)).to_numpy(zero_copy_only=False).reshape(size)
-                over = (get("seq") > seqs[spot]) | ((get("seq") == seqs[spot]) & (new > vals[spot]))
-                seqs[spot] = np.where(over, get("seq"), seqs[spot])
-                vals[spot] = np.where(over, new, vals[spot])
+                        ready.append((key, *open_))
+                    if len(ready) * n >= 1 << 20:
+                        yield packed()
+                    key, open_ = here, (np.full(leaf, never), np.full(leaf, float(fill)))
+                seqs, vals = (x[tuple(slice(p, p + m) for p, m in zip(spots[row], sizes[row], strict=True))] for x in open_)
+                new = flat[ends[row] : ends[row + 1]].reshape(sizes[row])
+                over = (seq[row] > seqs) | ((seq[row] == seqs) & (new > vals))
+                seqs[over], vals[over] = seq[row], new[over]
         if key is not None:
-            yield done()
+            ready.append((key, *open_))
+            yield packed()
 
     pieces = _pieces(arrays, leaf).withColumn("salt", F.pmod(F.xxhash64("seq", "px", "py", "pz", "piece"), F.lit(salts)).cast("int"))
     layers = pieces.repartition(*name, "salt").sortWithinPartitions(*name, "salt").mapInArrow(overlaid, layer)
