@@ -6,7 +6,7 @@ import math
 import re
 import warnings
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -150,6 +150,15 @@ class Fit:
     residual: dict[str, float] = field(default_factory=dict)
     met: bool = True
     total: float = 0.0
+    asked: float = 0.0
+
+    def take(self, u: np.ndarray, push: float = 0.0) -> None:
+        """One step more; every ``STRIDE`` steps the state is written beside the posteriors."""
+        self.steps.append((u, push))
+        self.tail.append((u, push))
+        if len(self.tail) > STRIDE:
+            state = self.rates()
+            self.members, self.tail = written(self.members.withColumn("state_", state)), []
 
     def rates(self):
         """The fitted state as an expression over ``members``."""
@@ -212,6 +221,54 @@ def tried(at: DataFrame, us: list[np.ndarray], scale: float, cap: float, held: i
     return [Trial(u, totals[j], short(gram[j]), float(height[j]), float(least[j])) for j, u in enumerate(us)]
 
 
+def descended(
+    fit: Fit, goal: np.ndarray, gram: np.ndarray, tolerance: float, *, total_free: bool = False, most: int = 1000
+) -> tuple[np.ndarray, bool]:
+    """Projected gradient steps from the state of ``fit`` on, until the targets are met or no rates in
+    bounds come nearer; the totals then, over scale, and whether they are met.
+
+    The misfit is what the totals lack to ``goal`` or, with ``total_free``, to its nearest multiple, and is
+    measured by the inverse Gram matrix of all documents.  A step goes against its gradient and is clipped.
+    One pass tries the gradient as it is, which always lowers the misfit, and scaled by the Gram matrix of
+    the documents on no bound, more or less damped; the lowest is taken.  The gap between the misfit's
+    linear model and its least value in bounds limits what is left to gain: with a hundredth of a per cent of
+    the misfit left, the rates are the least squares solution.
+    """
+    unit = np.where(goal > 0, goal, goal.max())
+    inverse = np.linalg.inv(gram)
+
+    def misfit(totals: np.ndarray, metric: np.ndarray = inverse) -> np.ndarray:
+        return totals - goal * ((goal @ metric @ totals) / (goal @ metric @ goal) if total_free else 1.0)
+
+    def met(totals: np.ndarray) -> bool:
+        share = totals.sum() / goal.sum() if total_free else 1.0
+        return bool((np.abs(totals - goal * share) <= tolerance * unit * share).all())
+
+    def trials(us: list[np.ndarray]) -> list[Trial]:
+        at = fit.members.withColumn("start", fit.rates()["rate"])
+        return tried(at, us, fit.scale, fit.cap, fit.held)
+
+    size = lambda totals: float(misfit(totals) @ inverse @ misfit(totals))
+    here = trials([np.zeros(len(goal))])[0]
+    for _ in range(most):
+        if met(here.totals):
+            return here.totals, True
+        us = [inverse @ misfit(here.totals)]
+        for d in DAMPING:
+            metric = np.linalg.inv(here.gram + d * gram)
+            us.append(metric @ misfit(here.totals, metric))
+        found = trials(us)
+        gap = float(us[0] @ here.totals) - found[0].least
+        if gap <= 1e-4 * size(here.totals):
+            return here.totals, False
+        best = min(found, key=lambda x: (not met(x.totals), size(x.totals)))
+        if not met(best.totals) and size(best.totals) >= size(here.totals):
+            return here.totals, False
+        fit.take(best.u)
+        here = best
+    raise RuntimeError("rates did not settle")
+
+
 def shared_out(
     at: DataFrame, want: np.ndarray, gram: np.ndarray, tolerance: float, scale: float, cap: float, held: int | None, most: int = 1000
 ) -> Trial | None:
@@ -279,7 +336,7 @@ def projected(
 
 def fit_rates(
     members: DataFrame, names: list[str], targets: dict[str, float], *, total: float | None = None, hold: str | None = None,
-    cap: float = 8.0, rounds: int = 40, tolerance: float = 1e-4, stretch: bool = False,
+    cap: float = 8.0, rounds: int = 40, tolerance: float = 1e-4, stretch: bool = False, nearest: bool = True,
 ) -> Fit:
     """Rates r in [0, cap] with sum(n_tokens * p * r) = total * targets.
 
@@ -288,7 +345,9 @@ def fit_rates(
     written beside the posteriors.  Gradients are scaled by the inverse Gram matrix of the domains over
     all documents, which makes a unit step exact as long as no rate meets a bound; steps are accelerated
     by Nesterov's rule.  When ``STRIDE`` rounds have not brought the residual to a tenth, or after
-    ``rounds``, one last step is solved for exactly (``projected``), in as many passes as it takes.
+    ``rounds``, momentum ends and gradients are scaled by the documents that are on no bound
+    (``descended``).  With ``nearest`` the multipliers of one last step are solved for instead
+    (``projected``), so that the rates are the nearest to those before it.
 
     It ends when every domain is within ``tolerance`` of its own target (of the largest, where its own is
     0); ``residual`` has the distances, and ``met`` is false where no rates in bounds come so near (or where
@@ -319,6 +378,7 @@ def fit_rates(
     if total is None:
         total = sums[held] / want[held] * scale if held is not None and want[held] else scale
     goal, fit.total = want * total / scale, float(total)
+    fit.asked = fit.total
     gram = np.zeros((K, K))
     for i, j in pairs:
         gram[i, j] = gram[j, i] = float(f"{first[f'g{i}_{j}'] / scale**2:.9g}")
@@ -329,20 +389,12 @@ def fit_rates(
     off = [sums - goal]
     size = lambda x: float((np.abs(x) / unit).max())
 
-    def state():
-        return F.col("state_") if "state_" in fit.members.columns else None
-
     while len(fit.steps) < rounds and size(off[-1]) > tolerance:
         if len(off) > STRIDE and size(off[-1]) > 0.1 * size(off[-1 - STRIDE]):
             break
         after = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        step = (whiten @ (ahead - goal), (t - 1) / after)
+        fit.take(whiten @ (ahead - goal), (t - 1) / after)
         t = after
-        fit.steps.append(step)
-        fit.tail.append(step)
-        if len(fit.tail) > STRIDE:
-            done, fit.tail = fit.tail, []
-            fit.members = written(fit.members.withColumn("state_", stepped(done, scale, cap, held, state())))
         row = (
             fit.members.withColumn("r", fit.rates())
             .agg(*[exact(F.col("n_tokens") * F.col("p")[k] * F.col("r")[x]).alias(f"{x}{k}") for k in range(K) for x in ("rate", "ahead")])
@@ -350,10 +402,21 @@ def fit_rates(
         )
         at, ahead = (np.array([float(row[f"{x}{k}"]) for k in range(K)]) / scale for x in ("rate", "ahead"))
         off.append(at - goal)
+    if size(off[-1]) > tolerance and not nearest:
+        fit.take(np.zeros(K))  # momentum ends, and the point ahead comes back into bounds
+        totals, fit.met = descended(fit, goal, gram, tolerance)
+        if stretch and not fit.met:
+            other = replace(fit, steps=list(fit.steps), tail=list(fit.tail))
+            freed, other.met = descended(other, goal, gram, tolerance, total_free=True)
+            if other.met:
+                fit, totals = other, freed
+                fit.total = float(totals.sum() * scale)
+        fit.residual = dict(zip(names, (totals * scale - want * fit.total).tolist(), strict=True))
+        return fit
     if size(off[-1]) > tolerance:
         if fit.tail:
-            done, fit.tail = fit.tail, []
-            fit.members = written(fit.members.withColumn("state_", stepped(done, scale, cap, held, state())))
+            state = fit.rates()
+            fit.members, fit.tail = written(fit.members.withColumn("state_", state)), []
         start = F.col("state_.ahead") if fit.steps else F.lit(1.0)
         last, fit.met = projected(fit.members.withColumn("start", start), goal, gram, tolerance * unit, scale, cap, held, nearest=not stretch)
         if stretch and not fit.met:
@@ -390,23 +453,28 @@ def copies(key: str = "doc_id"):
 
 def rated(
     docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, hold: str | None = None, total: float | None = None,
-    cap: float = 8.0, max_rows: int = 4000, key: str = "doc_id", text: str = "text", stretch: bool = False,
+    cap: float = 8.0, max_rows: int = 4000, key: str = "doc_id", text: str = "text", stretch: bool = False, nearest: bool = False,
 ) -> DataFrame:
-    """``key, n_tokens, p_<domain>.., rate, copies`` of every document; one row per row.
+    """``key, n_tokens, p_<domain>.., rate, asked, total, copies`` of every document; one row per row.
 
     ``labelled`` has ``key, domain``.  Null and empty texts have no tokens and keep rate 1.  Without
     labelled rows or tokens all rates are 1.  Rows that repeat are rated alike.  Targets of domains
     that were never seen are left out and the rest is scaled up.  With ``stretch`` the total gives way
-    where the targets can't be met at it.  Where no rates in bounds meet the targets, a warning gives each
-    domain's tokens above its target.
+    where the targets can't be met at it.  ``asked`` is the total that was set and ``total`` the one that the
+    targets are shares of in the end; a warning tells when they differ.  Where no rates in bounds meet the
+    targets, a warning gives each domain's tokens above its target.  Rates come from the gradient iteration;
+    with ``nearest`` its last step is solved for (``fit_rates``).
     """
     model = train(docs, labelled, max_rows=max_rows, key=key, text=text)
     members = written(memberships(docs, model, key, text))
-    fit = fit_rates(members, model.names, targets, total=total, hold=hold, cap=cap, stretch=stretch)
+    fit = fit_rates(members, model.names, targets, total=total, hold=hold, cap=cap, stretch=stretch, nearest=nearest)
+    if fit.total != fit.asked:
+        warnings.warn(f"targets can't be met at {fit.asked:.0f} tokens; they are at {fit.total:.0f}", stacklevel=2)
     if not fit.met:
         warnings.warn(f"no rates in bounds meet the targets; tokens above them: {fit.residual}", stacklevel=2)
     out = fit.members.select(
-        key, "n_tokens", *[F.col("p")[k].alias(f"p_{x}") for k, x in enumerate(model.names)], F.round(fit.rates()["rate"], 9).alias("rate")
+        key, "n_tokens", *[F.col("p")[k].alias(f"p_{x}") for k, x in enumerate(model.names)], F.round(fit.rates()["rate"], 9).alias("rate"),
+        F.lit(float(fit.asked)).alias("asked"), F.lit(float(fit.total)).alias("total"),
     )
     return out.withColumn("copies", copies(key))
 

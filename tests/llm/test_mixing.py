@@ -164,3 +164,46 @@ def test_stretched_rates_against_an_independent_solver(spark):
     assert np.abs(got - independent(n, p, low, want, 8.0)).max() < 0.02
     hopeless = mixing.fit_rates(members, list("abc"), {"c": 1.0}, hold="a", stretch=True)
     assert not hopeless.met and hopeless.residual["a"] > 0
+
+
+def test_gradient_steps_alone_meet_targets_where_rates_sit_on_bounds(spark):
+    for seed in (1, 2):
+        n, p, members = hard(spark, seed)
+        low = (p[:, 0] >= 0.5).astype(float)
+        totals = (n[:, None] * p * np.where(low > 0, 1.0, np.where(p[:, 0] > p[:, 2] * 4, 1.5, 0.0))[:, None]).sum(axis=0)
+        fit = mixing.fit_rates(members, ["a", "b", "c"], dict(zip("abc", totals.tolist(), strict=True)), total=float(totals.sum()), hold="a", nearest=False)
+        A = n[:, None] * p / n.sum()
+        rate = ahead = np.ones(len(n))
+        for u, push in fit.steps:
+            new = np.clip(ahead - A @ u, low, 8)
+            rate, ahead = new, new + push * (new - rate)
+        assert fit.met and fit.total == fit.asked and (np.abs(A.T @ rate * n.sum() - totals) <= 1.01e-4 * totals).all()
+        got = [x.r for x in fit.members.select(fit.rates()["rate"].alias("r")).collect()]
+        assert np.allclose(sorted(got), sorted(rate))
+
+
+def test_gradient_steps_reach_least_squares_and_shares(spark):
+    n, p, members = hard(spark, 9)
+    names, shares = ["a", "b", "c"], np.array([0.9, 0.08, 0.02])
+    low = (p[:, 0] >= 0.5).astype(float)
+    A = n[:, None] * p
+    goal = shares * A[:, 0].sum() / 0.9
+    fit = mixing.fit_rates(members, names, dict(zip(names, shares.tolist(), strict=True)), hold="a", nearest=False)
+    got = fit.members.select("n_tokens", "p", fit.rates()["rate"].alias("r")).toPandas()
+    B, rate = got.n_tokens.to_numpy()[:, None] * np.stack(got.p), got.r.to_numpy()
+    off = B.T @ rate - goal
+    assert not fit.met and np.allclose([fit.residual[k] for k in names], off, atol=1e-2)
+    pull = B @ np.linalg.solve(B.T @ B, off)
+    floor = (np.stack(got.p)[:, 0] >= 0.5).astype(float)
+    assert (pull * rate).sum() - (pull * np.where(pull > 0, floor, 8.0)).sum() <= 1e-3 * off @ np.linalg.solve(B.T @ B, off)
+    r = np.random.default_rng(11)
+    n, p = r.integers(5, 60, 300), r.dirichlet([8, 1, 0.6], 300)
+    members = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "n_tokens long, p array<double>")
+    want = np.array([0.9, 0.07, 0.03])
+    fit = mixing.fit_rates(members, names, dict(zip(names, want.tolist(), strict=True)), hold="a", stretch=True, nearest=False)
+    got = fit.members.select("n_tokens", "p", fit.rates()["rate"].alias("r")).toPandas()
+    totals = (got.n_tokens.to_numpy()[:, None] * np.stack(got.p) * got.r.to_numpy()[:, None]).sum(axis=0)
+    assert fit.met and fit.total > fit.asked and abs(fit.total - totals.sum()) < 1e-6 * fit.total
+    assert (np.abs(totals / totals.sum() - want) <= 1.01e-4 * want).all()
+    hopeless = mixing.fit_rates(members, names, {"c": 1.0}, hold="a", stretch=True, nearest=False)
+    assert not hopeless.met and hopeless.residual["a"] > 0
