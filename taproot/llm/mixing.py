@@ -172,6 +172,9 @@ STRIDE = 6
 #: Damping of Newton steps that are tried in one pass, in units of the Gram matrix.  At 1 the step never overshoots.
 DAMPING = (1e-9, 1e-6, 1e-4, 1e-2, 0.1, 1.0)
 
+#: Damping of scaled gradients that are tried in one pass, in the same units.
+DECADES = tuple(10.0**k for k in range(-9, 2))
+
 #: Weight on the rates' distance where no rates meet the targets, in the same units.
 CLOSEST = 1e-7
 
@@ -222,7 +225,7 @@ def tried(at: DataFrame, us: list[np.ndarray], scale: float, cap: float, held: i
 
 
 def descended(
-    fit: Fit, goal: np.ndarray, gram: np.ndarray, tolerance: float, *, total_free: bool = False, most: int = 1000
+    fit: Fit, goal: np.ndarray, gram: np.ndarray, tolerance: float, *, total_free: bool = False, prove: bool = False, most: int = 1000
 ) -> tuple[np.ndarray, bool]:
     """Projected gradient steps from the state of ``fit`` on, until the targets are met or no rates in
     bounds come nearer; the totals then, over scale, and whether they are met.
@@ -232,7 +235,8 @@ def descended(
     One pass tries the gradient as it is, which always lowers the misfit, and scaled by the Gram matrix of
     the documents on no bound, more or less damped; the lowest is taken.  The gap between the misfit's
     linear model and its least value in bounds limits what is left to gain: with a hundredth of a per cent of
-    the misfit left, the rates are the least squares solution.
+    the misfit left, the rates are the least squares solution.  With ``prove`` it ends as soon as that gap proves
+    that no rates in bounds meet the targets.
     """
     unit = np.where(goal > 0, goal, goal.max())
     inverse = np.linalg.inv(gram)
@@ -254,12 +258,13 @@ def descended(
         if met(here.totals):
             return here.totals, True
         us = [inverse @ misfit(here.totals)]
-        for d in DAMPING:
+        for d in DECADES:
             metric = np.linalg.inv(here.gram + d * gram)
             us.append(metric @ misfit(here.totals, metric))
         found = trials(us)
         gap = float(us[0] @ here.totals) - found[0].least
-        if gap <= 1e-4 * size(here.totals):
+        proof = found[0].least - float(us[0] @ goal) > tolerance * float(np.abs(us[0]) @ unit)
+        if gap <= 1e-4 * size(here.totals) or prove and proof and not total_free:
             return here.totals, False
         best = min(found, key=lambda x: (not met(x.totals), size(x.totals)))
         if not met(best.totals) and size(best.totals) >= size(here.totals):
@@ -404,13 +409,15 @@ def fit_rates(
         off.append(at - goal)
     if size(off[-1]) > tolerance and not nearest:
         fit.take(np.zeros(K))  # momentum ends, and the point ahead comes back into bounds
-        totals, fit.met = descended(fit, goal, gram, tolerance)
+        totals, fit.met = descended(fit, goal, gram, tolerance, prove=stretch)
         if stretch and not fit.met:
             other = replace(fit, steps=list(fit.steps), tail=list(fit.tail))
             freed, other.met = descended(other, goal, gram, tolerance, total_free=True)
             if other.met:
                 fit, totals = other, freed
                 fit.total = float(totals.sum() * scale)
+            else:
+                totals, fit.met = descended(fit, goal, gram, tolerance)
         fit.residual = dict(zip(names, (totals * scale - want * fit.total).tolist(), strict=True))
         return fit
     if size(off[-1]) > tolerance:
