@@ -13,18 +13,52 @@ CORNERS = [(i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1)]
 SHIFT = 1 << 20
 
 
+#: Side of the blocks that cells are found in; a voxel is sent (9/8)^3 = 1.4 times on average.
+SIDE = 8
+
+#: Blocks that are tested at once, as dense arrays.
+AT_ONCE = 512
+
+
 def edge_cells(voxels: DataFrame, cutoff: float = 0.5, value: str = "value") -> DataFrame:
     """``arbor_id, vx, vy, vz, w``: cells of 2 x 2 x 2 voxels whose values lie on both sides of ``cutoff``.
 
-    A cell is named by its lowest voxel and has its eight values in C order.  Voxels without a row are
-    0, on all sides, so no surface is lost at a block's face.  Each voxel goes to its eight cells.
+    A cell is named by its lowest voxel and has its eight values in C order.  Voxels without a row, or of
+    null value, are 0, on all sides, so no surface is lost at a block's face; of rows that repeat a voxel the
+    greatest counts, NaN being the greatest of all.  Voxels go to their own block, and those on its low faces
+    to the blocks below as well: a block then holds all of its cells and is tested as one array.
     """
-    corner = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), *[F.lit(d).alias("d" + a) for a, d in zip("xyz", c, strict=True)]) for n, c in enumerate(CORNERS)])).alias("c")
-    e = voxels.select("arbor_id", "vx", "vy", "vz", F.col(value).cast("double").alias("w"), corner)
-    e = e.select("arbor_id", *[(F.col("v" + a) - F.col("c.d" + a)).alias("v" + a) for a in "xyz"], "w", F.col("c.n").alias("n"))
-    eight = [F.coalesce(F.max(F.when(F.col("n") == n, F.col("w"))), F.lit(0.0)) for n in range(8)]
-    g = e.groupBy("arbor_id", "vx", "vy", "vz").agg(F.array(*eight).alias("w"))
-    return g.where((F.array_min("w") < cutoff) & (F.array_max("w") > cutoff))
+    n, wide = SIDE, SIDE + 1
+    block = {a: F.floor(F.col("v" + a) / n).cast("bigint") for a in "xyz"}
+    v = voxels.where(F.col(value).isNotNull()).select("arbor_id", *[c.alias("b" + a) for a, c in block.items()], *[(F.col("v" + a) - c * n).cast("int").alias("i" + a) for a, c in block.items()], F.col(value).cast("double").alias("w"))
+    for a in "xyz":
+        down = F.when(F.col("i" + a) == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+        v = v.withColumn("d", F.explode(down)).withColumn("b" + a, F.col("b" + a) - F.col("d")).withColumn("i" + a, F.col("i" + a) + F.col("d") * n)
+    spot = ((F.col("ix") * wide + F.col("iy")) * wide + F.col("iz")).cast("int")
+    blocks = v.groupBy("arbor_id", "bx", "by", "bz").agg(F.collect_list(F.struct(spot.alias("p"), "w")).alias("s"))
+    slices = [tuple(slice(d, d + n) for d in c) for c in CORNERS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, AT_ONCE):
+                batch = whole.slice(begin, AT_ONCE)
+                rows, held = batch.num_rows, batch.column(4)
+                spots = held.flatten()
+                at = np.repeat(np.arange(rows), held.value_lengths().to_numpy()) * wide**3 + spots.field("p").to_numpy()
+                grid = np.full(rows * wide**3, -np.inf)
+                set_ = np.zeros(rows * wide**3, bool)
+                np.maximum.at(grid, at, spots.field("w").to_numpy())
+                set_[at] = True
+                grid = np.where(set_, grid, 0.0).reshape(rows, wide, wide, wide)
+                low, high = grid < cutoff, (grid > cutoff) | np.isnan(grid)
+                some = lambda x: np.logical_or.reduce([x[:, i, j, k] for i, j, k in slices])
+                found = np.nonzero(some(low) & some(high))
+                w = np.stack([grid[:, i, j, k][found] for i, j, k in slices], axis=1)
+                base = [batch.column(1 + d).to_numpy()[found[0]] * n + found[1 + d] for d in range(3)]
+                ends = pa.array(np.arange(len(w) + 1, dtype=np.int32) * 8)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found[0])), *map(pa.array, base), pa.ListArray.from_arrays(ends, pa.array(w.ravel()))], names=["arbor_id", "vx", "vy", "vz", "w"])
+
+    return blocks.mapInArrow(run, "arbor_id bigint, vx bigint, vy bigint, vz bigint, w array<double>")
 
 
 def vertex_id(x: Column, y: Column, z: Column) -> Column:

@@ -216,6 +216,34 @@ def test_mesh(spark, tmp_path):
     assert spark.read.text(f"{tmp_path}/text").where("value = 'endfacet'").count() == n
 
 
+def cells_by_hand(rows, cutoff):
+    """Edge cells of rows ``arbor, x, y, z, w``, cell by cell."""
+    value, near = {}, set()
+    for a, x, y, z, w in rows:
+        if w is not None:
+            value[a, x, y, z] = max(w, value.get((a, x, y, z), w))
+            near |= {(a, x - i, y - j, z - k) for i, j, k in mesh.CORNERS}
+    out = {}
+    for a, x, y, z in near:
+        w = [value.get((a, x + i, y + j, z + k), 0.0) for i, j, k in mesh.CORNERS]
+        if min(w) < cutoff < max(w):
+            out[a, x, y, z] = w
+    return out
+
+
+def test_edge_cells_across_blocks(spark):
+    r = np.random.default_rng(12)
+    rows = [(int(a), *(int(c) for c in p), float(w)) for a, p, w in zip(r.integers(0, 2, 3000), r.integers(-10, 12, (3000, 3)), r.random(3000) - 0.2, strict=True)]
+    rows += rows[:50] + [(a, x, y, z, w + 0.5) for a, x, y, z, w in rows[:50]]
+    rows += [(3, 7, 7, 7, 1.0), (3, -8, 0, 8, 1.0), (4, 0, 0, 0, None), (5, 1 << 19, -(1 << 19), 0, 0.9), (6, 1, 1, 1, -3.0)]
+    voxels = spark.createDataFrame([(*x, "own") for x in rows], "arbor_id long, vx long, vy long, vz long, value double, p string")
+    for cutoff in (0.5, 0.1, -0.1):
+        got = mesh.edge_cells(voxels, cutoff).collect()
+        assert len(got) == len({(c.arbor_id, c.vx, c.vy, c.vz) for c in got})
+        assert {(c.arbor_id, c.vx, c.vy, c.vz): list(c.w) for c in got} == cells_by_hand(rows, cutoff)
+    assert mesh.edge_cells(voxels.limit(0)).count() == 0
+
+
 def test_components_and_regions(spark):
     r = np.random.default_rng(2)
     rows = [(int(a), int(b), float(s)) for a, b, s in zip(r.integers(0, 200, 170), r.integers(0, 200, 170), r.random(170), strict=True)]
