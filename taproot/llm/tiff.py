@@ -1,8 +1,10 @@
 """TIFF media columns: store bytes as grey images, walk directories, decode pages.
 
 The reader takes classic TIFF of either byte order: strips or tiles; no compression, PackBits, LZW
-or deflate; predictor none, horizontal (8, 16 or 32 bits) or floating point; interleaved or planar
-samples.  Anything else raises ``BadTiff``.
+or deflate; samples of 1, 2 or 4 bits without predictor and without sign, whole ones of 8 to 64 bits with or
+without sign, floats of 16 to 64; predictor none, horizontal (whole samples) or floating point; interleaved or
+planar samples.  Samples come as stored: where 0 is white they are not turned over.  Bits may fill bytes from the
+low end where a sample is one bit and not compressed.  Anything else raises ``BadTiff``.
 """
 
 from __future__ import annotations
@@ -196,7 +198,8 @@ class Page:
     compression: int
     predictor: int
     tiled: bool
-    pixels: np.ndarray  # (height, width, samples)
+    sample_format: int  # 1 whole, 2 whole with sign, 3 float
+    pixels: np.ndarray  # (height, width, samples); samples of under 8 bits take a byte each
 
 
 def undo_predictor(raw: bytes, kind: int, rows: int, cols: int, samples: int, bits: int, order: str) -> np.ndarray:
@@ -215,6 +218,30 @@ def undo_predictor(raw: bytes, kind: int, rows: int, cols: int, samples: int, bi
     return block
 
 
+def small_samples(raw: bytes, rows: int, cols: int, samples: int, bits: int, low_first: bool) -> np.ndarray:
+    """Samples of 1, 2 or 4 bits, a byte each; rows begin on whole bytes."""
+    each = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(rows, -1), axis=1, bitorder="little" if low_first else "big")
+    each = each[:, : cols * samples * bits].reshape(rows, cols, samples, bits)
+    weights = 1 << np.arange(bits, dtype=np.uint8)
+    return each @ weights[::-1]
+
+
+def sample_format(fields: dict[int, tuple], bits: int, predictor: int) -> int:
+    """Kind of all samples of a page: 1 whole, 2 whole with sign, 3 float; samples of several kinds are refused."""
+    for tag in (258, 339):
+        if len(set(fields.get(tag, ()))) > 1:
+            raise BadTiff("samples of several kinds")
+    form = (fields.get(339) or (3 if predictor == 3 else 1,))[0]
+    form = 1 if form == 4 else form  # undefined: as stored
+    if form not in (1, 2, 3) or bits not in (1, 2, 4, 8, 16, 32, 64):
+        raise BadTiff(f"{bits} bits a sample of format {form}")
+    if bits < 8 and (form != 1 or predictor != 1) or form == 3 and bits < 16:
+        raise BadTiff(f"{bits} bits a sample of format {form}, predictor {predictor}")
+    if predictor not in (1, 2, 3) or (predictor == 3) != (form == 3) and predictor != 1:
+        raise BadTiff(f"predictor {predictor} of {bits} bits, format {form}")
+    return form
+
+
 def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
     """Byte order and fields of each image directory, in chain order; a loop is an error."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
@@ -253,33 +280,35 @@ def read_pages(data: bytes, most_bytes: int = 1 << 30) -> Iterator[Page]:
         bits, how, predictor, planar = one(258, 1), one(259, 1), one(317, 1), one(284, 1)
         if not width or not height or not samples:
             raise BadTiff("a page has no size")
-        if bits not in (8, 16, 32):
-            raise BadTiff(f"{bits} bits a sample")
-        if predictor not in (1, 2, 3) or predictor == 3 and bits != 32:
-            raise BadTiff(f"predictor {predictor} of {bits} bits")
-        if min(width, height, samples) < 0 or width * height * samples * bits // 8 > most_bytes:
+        form, fill = sample_format(f, bits, predictor), one(266, 1)
+        if fill != 1 and (fill != 2 or bits != 1 or how != NONE):
+            raise BadTiff(f"fill order {fill}")
+        if min(width, height, samples) < 0 or width * height * samples * max(bits, 8) // 8 > most_bytes:
             raise BadTiff("a page is too large")
         tiled = 322 in f
         bw, bh = (one(322), one(323)) if tiled else (width, min(one(278, height), height))
         where, sizes = (f.get(324), f.get(325)) if tiled else (f.get(273), f.get(279))
         if not where or not sizes or not bw or not bh or len(where) != len(sizes):
             raise BadTiff("a page has no strips or tiles")
-        if min(bw, bh) < 0 or bw * bh * samples * bits // 8 > most_bytes:
+        if min(bw, bh) < 0 or bw * bh * samples * max(bits, 8) // 8 > most_bytes:
             raise BadTiff("a strip or tile is too large")
         across, down = -(-width // bw), -(-height // bh)
         planes, each = (samples, 1) if planar == 2 else (1, samples)
         if len(where) < across * down * planes:
             raise BadTiff("strips or tiles are missing")
-        out = np.empty((height, width, samples), f"=f{bits // 8}" if predictor == 3 else f"=u{bits // 8}")
+        out = np.empty((height, width, samples), f"={' uif'[form]}{max(bits, 8) // 8}")
         for k in range(across * down * planes):
             plane, rest = divmod(k, across * down)
             y, x = rest // across * bh, rest % across * bw
             rows = bh if tiled else min(bh, height - y)
-            raw = unpack(data[where[k] : where[k] + sizes[k]], how, rows * bw * each * bits // 8)
-            block = undo_predictor(raw, predictor, rows, bw, each, bits, order)
+            raw = unpack(data[where[k] : where[k] + sizes[k]], how, rows * ((bw * each * bits + 7) // 8))
+            if bits < 8:
+                block = small_samples(raw, rows, bw, each, bits, fill == 2)
+            else:
+                block = undo_predictor(raw, predictor, rows, bw, each, bits, order).view(out.dtype)
             part = block[: height - y, : width - x]
             out[y : y + rows, x : x + bw, plane : plane + each] = part
-        yield Page(index, width, height, samples, bits, how, predictor, tiled, out)
+        yield Page(index, width, height, samples, bits, how, predictor, tiled, form, out)
 
 
 # ------------------------------------------------------------------ writer
@@ -388,10 +417,10 @@ def pages(media: DataFrame, key: str, column: str = "tiff", keep: tuple[str, ...
     has a page of over ``most_bytes`` gives, after the pages before the fault, one row with ``page`` -1
     and its ``error``; a file without a page gives such a row too.
     """
-    names = [key, *keep, "page", "width", "height", "samples", "bits", "compression", "predictor", "tiled", "pixels", "error"]
+    names = [key, *keep, "page", "width", "height", "samples", "bits", "compression", "predictor", "tiled", "sample_format", "pixels", "error"]
     kinds = [media.schema[c].dataType.simpleString() for c in (key, *keep)]
-    shape = "page int, width int, height int, samples int, bits int, compression int, predictor int, tiled boolean"
-    types = [pa.int32()] * 7 + [pa.bool_(), pa.binary(), pa.string()]
+    shape = "page int, width int, height int, samples int, bits int, compression int, predictor int, tiled boolean, sample_format int"
+    types = [pa.int32()] * 7 + [pa.bool_(), pa.int32(), pa.binary(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -410,7 +439,7 @@ def pages(media: DataFrame, key: str, column: str = "tiff", keep: tuple[str, ...
                         raise BadTiff("null")
                     for p in read_pages(data, most_bytes):
                         raw = p.pixels.tobytes()
-                        rows.append((p.index, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.tiled, raw, None))
+                        rows.append((p.index, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.tiled, p.sample_format, raw, None))
                         owner.append(i)
                         n, size = n + 1, size + len(raw)
                         if size > 16 << 20:
@@ -421,7 +450,7 @@ def pages(media: DataFrame, key: str, column: str = "tiff", keep: tuple[str, ...
                 except (BadTiff, struct.error, ValueError, IndexError, OverflowError, MemoryError) as bad:
                     fault = f"{type(bad).__name__}: {bad}"
                 if fault:
-                    rows.append((-1, *[None] * 8, fault))
+                    rows.append((-1, *[None] * 9, fault))
                     owner.append(i)
             if rows:
                 yield made()

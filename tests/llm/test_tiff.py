@@ -140,3 +140,48 @@ def test_feature_against_brute_force(spark):
         assert abs(float(parts["mean"]) - mean) < 1e-5 and abs(float(parts["dev"]) - dev) < 1e-4 and abs(float(parts["entropy"]) - entropy) < 1e-5
         data = tiff.store(raw)
         assert (g.media_bytes, g.media_sha256) == (len(data), hashlib.sha256(data).hexdigest())
+
+
+def by_hand(raw, width, height, bits, order="<", **tags):
+    """One uncompressed or ready compressed strip with the given further tags."""
+    fields = {256: width, 257: height, 258: bits, 259: 1, 262: 1, 273: 8, 277: 1, 278: height, 279: len(raw)} | {int(k[1:]): v for k, v in tags.items()}
+    head = (b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 8 + len(raw) + len(raw) % 2)
+    entries = b"".join(struct.pack(order + "HHII", t, 4, 1, v) for t, v in sorted(fields.items()))
+    return head + raw + b"\0" * (len(raw) % 2) + struct.pack(order + "H", len(fields)) + entries + struct.pack(order + "I", 0)
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_kinds_of_samples(order):
+    for kind, bits, form in (("f4", 32, 3), ("f8", 64, 3), ("f2", 16, 3), ("i1", 8, 2), ("i2", 16, 2), ("i4", 32, 2), ("u4", 32, 1), ("u8", 64, 1)):
+        a = np.array([[1.5, -2, 100], [0, 7, -128]]) if kind[0] != "u" else np.array([[1, 2, 100], [0, 7, 250]])
+        a = a.astype(kind)
+        (page,) = tiff.read_pages(by_hand(a.astype(order + kind).tobytes(), 3, 2, bits, order, t339=form))
+        assert page.sample_format == form and page.pixels.dtype == np.dtype(kind) and (page.pixels[:, :, 0] == a).all()
+    signed = np.array([[-100, 100, -3]], np.int16)
+    steps = np.diff(signed.view(np.uint16), axis=1, prepend=np.zeros((1, 1), np.uint16)).astype(order + "u2").tobytes()
+    (page,) = tiff.read_pages(by_hand(steps, 3, 1, 16, order, t317=2, t339=2))
+    assert (page.pixels[:, :, 0] == signed).all()
+
+
+def test_small_samples():
+    rows = np.array([[1, 0, 1, 1, 0, 0, 0, 1, 1, 1], [0, 0, 0, 0, 0, 0, 0, 1, 0, 1]])
+    packed = bytes([0b10110001, 0b11000000, 0b00000001, 0b01000000])
+    for raw, tags in ((packed, {}), (tiff.packbits_encode(packed), {"t259": tiff.PACKBITS}), (bytes(int(f"{b:08b}"[::-1], 2) for b in packed), {"t266": 2})):
+        (page,) = tiff.read_pages(by_hand(raw, 10, 2, 1, **tags))
+        assert page.bits == 1 and page.pixels.dtype == np.uint8 and (page.pixels[:, :, 0] == rows).all()
+    (page,) = tiff.read_pages(by_hand(bytes([0x1F, 0xA0, 0x07, 0x30]), 3, 2, 4))
+    assert page.pixels[:, :, 0].tolist() == [[1, 15, 10], [0, 7, 3]]
+    (page,) = tiff.read_pages(by_hand(bytes([0b00011011, 0b10000000]), 5, 1, 2))
+    assert page.pixels[:, :, 0].tolist() == [[0, 1, 2, 3, 2]]
+
+
+def test_refused_kinds():
+    for bits, tags in ((1, {"t339": 2}), (8, {"t339": 3}), (32, {"t339": 5}), (8, {"t266": 2}), (4, {"t266": 2}), (12, {}), (4, {"t317": 2}), (32, {"t339": 2, "t317": 3}), (32, {"t339": 3, "t317": 2})):
+        with pytest.raises(tiff.BadTiff):
+            list(tiff.read_pages(by_hand(bytes(64), 4, 2, bits, **tags)))
+
+
+def test_sample_format_is_a_column(spark):
+    data = by_hand(struct.pack("<2f", 1.5, -2.25), 2, 1, 32, t339=3)
+    (row,) = tiff.pages(spark.createDataFrame([(1, data)], "doc_id long, tiff binary"), "doc_id").collect()
+    assert row.sample_format == 3 and struct.unpack("=2f", row.pixels) == (1.5, -2.25)
