@@ -69,8 +69,8 @@ STAGES = [
     ("encoding", encoding),
 ]
 
-#: Trained models, MinHash components and merges can't be said in SQL; tests hold every stage
-#: against a brute-force version.
+#: Trained models, MinHash components and merges can't be said in SQL.  Tests hold near_duplicates and secrets
+#: against brute force as stages, and the other stages' operators against brute force or a library.
 ORACLE_SQL = None
 
 
