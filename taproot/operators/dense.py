@@ -4,7 +4,7 @@ A field of view of millions of voxels can't be a row per voxel.  Here a node's m
 is cut along the blocks it touches before the shuffle, as packed bits, and each block adds its cuts
 up in dense arrays of its own size.  Nodes are then sent to the blocks that they see, not blocks to nodes: a block
 answers for its part of each field of view, and only these answers are put together.  ``volume`` and ``scores``
-give the same figures for small fields.  A block that very many nodes see is shared by several tasks.
+give the same figures for small fields, which are worked on many at once here too.  A block that very many nodes see is shared by several tasks.
 """
 
 from __future__ import annotations
@@ -16,37 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taproot.operators import scores
-from taproot.operators.volume import AXES, View, voxel_of
+from taproot.operators import batched, scores, volume
+from taproot.operators.batched import KEY, MOST, packed  # noqa: F401
+from taproot.operators.volume import AXES, View, crowded, voxel_of
 
-KEY = ("arbor_id", "bx", "by", "bz")
-#: Nodes that one task serves for a block; a block that more nodes see goes to several.
-MOST = 2048
+#: Voxels of a field of view up to which many nodes and blocks are worked on at once (``batched``).
+SMALL = 4096
 Triple = tuple[int, int, int]
 
 
-def packed(masks: DataFrame, view: View) -> DataFrame:
-    """Mask voxels ``arbor_id, nid, i, j, k, v`` as ``arbor_id, nid, bits``: one bit a voxel, C order, padded.
-
-    A mask without a set voxel is a mask still.
-    """
-    n = view.fov
-    place = ((F.col("i") * n[1] + F.col("j")) * n[2] + F.col("k")).cast("bigint")
-    rows = masks.groupBy("arbor_id", "nid").agg(F.collect_list(F.when(F.col("v") != 0, place)).alias("on"))
-    total = n[0] * n[1] * n[2]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for x in b.column(2):
-                a = np.zeros(total, bool)
-                a[np.array(x.values)] = True
-                out.append(np.packbits(a).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["arbor_id", "nid", "bits"])
-
-    return rows.mapInArrow(run, "arbor_id bigint, nid bigint, bits binary")
-
-
 def overlap(center: np.ndarray, view: View, block: np.ndarray, leaf: Triple) -> tuple[tuple[slice, ...], tuple[slice, ...]]:
     """Where a field of view and a block meet, in the coordinates of each."""
     low = center - view.half
@@ -63,16 +41,30 @@ def met(nodes: DataFrame, view: View, leaf: Triple) -> DataFrame:
     return out
 
 
-def crowded(seen: DataFrame, most: int) -> DataFrame:
-    """Blocks that more than ``most`` nodes see, and among how many tasks each is shared: ``KEY, shares``."""
-    sizes = seen.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
-    return sizes.select(*KEY, F.ceil(F.col("n") / most).alias("shares"))
+def _thin(sums: DataFrame) -> DataFrame:
+    """Blocks as rows of ``batched.by_block``: only the cells that a field of view met, so that less is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            seg, seen, far = (b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for c in (4, 5, 6))
+            used = (seen != 0) | (seg != 0)
+            counts, spot = used.sum(axis=1), np.nonzero(used)[1].astype(np.int32)
+            data = (spot, seg[used].astype(np.int32), seen[used].astype(np.int32), np.nan_to_num(far[used].astype(float), nan=0.0))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], *[batched.binaries(x, counts) for x in data]], names=[*KEY, *batched.BLOCK])
+
+    schema = ", ".join([*[f"{k} bigint" for k in KEY], *[f"{v} binary" for v in batched.BLOCK]])
+    return sums.select(*KEY, "seg", "view", "distance").mapInArrow(run, schema)
+
+
+def _small(view: View, leaf: Triple) -> bool:
+    return max(view.fov[0] * view.fov[1] * view.fov[2], leaf[0] * leaf[1] * leaf[2]) <= SMALL
 
 
 def _dealt(rows: DataFrame, shares: DataFrame) -> DataFrame:
     """``rows`` of nodes with ``share``, 0 unless their block is crowded."""
-    dealt = rows.join(shares, list(KEY), "left")
-    return dealt.withColumn("share", F.pmod(F.xxhash64("nid"), F.coalesce("shares", F.lit(1)))).drop("shares")
+    return volume.dealt(rows, shares).drop("shared")
 
 
 def _ball(view: View) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +115,7 @@ def accumulate(nodes: DataFrame, masks: DataFrame, view: View, leaf: Triple = (6
     """
     if view.interpolate:
         raise ValueError("dense accumulation does not interpolate along edges")
-    at = nodes.select("arbor_id", "nid", *[voxel_of(a, v).alias("c" + a) for a, v in zip(AXES, view.voxel, strict=True)])
+    at = volume.centers(nodes, view)
     rows = at.join(masks.select("arbor_id", "nid", "bits"), ["arbor_id", "nid"], "left").select("arbor_id", "nid", "cx", "cy", "cz", "bits")
     total = view.fov[0] * view.fov[1] * view.fov[2]
 
@@ -164,10 +156,23 @@ def accumulate(nodes: DataFrame, masks: DataFrame, view: View, leaf: Triple = (6
         if now is not None:
             yield _block(now[:4], sums)
 
+    def add_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        far, inside = _ball(view)
+        yield from batched.block_sums(batches, (*KEY, "share"), view, leaf, np.where(inside, far, np.inf))
+
+    if _small(view, leaf):
+        pieces = volume.met(rows, view, leaf).withColumn("n", F.lit(1))
+        shares = crowded(met(nodes, view, leaf), most)
+        few = _dealt(pieces, shares).select(*KEY, "share", "cx", "cy", "cz", "bits", "n")
+        return _one(batched.together(few, *KEY, "share").mapInArrow(add_small, SUMS), shares)
     pieces = rows.mapInArrow(cut, "arbor_id bigint, bx bigint, by bigint, bz bigint, nid bigint, cx bigint, cy bigint, cz bigint, part binary")
     shares = crowded(met(nodes, view, leaf), most)
     dealt = _dealt(pieces, shares).select(*KEY, "share", "cx", "cy", "cz", "part")
-    sums = dealt.repartition(*KEY, "share").sortWithinPartitions(*KEY, "share").mapInArrow(add, SUMS)
+    return _one(dealt.repartition(*KEY, "share").sortWithinPartitions(*KEY, "share").mapInArrow(add, SUMS), shares)
+
+
+def _one(sums: DataFrame, shares: DataFrame) -> DataFrame:
+    """The parts of blocks that were shared as one."""
     if shares.isEmpty():
         return sums
     return sums.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(_merged, SUMS)
@@ -224,6 +229,13 @@ _ARROW = {"bigint": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
 def max_vectors(nodes: DataFrame, sums: DataFrame, view: View, leaf: Triple = (64, 64, 64), value: str = "dist_view", most: int = MOST) -> DataFrame:
     """``arbor_id, nid, di, dj, dk, score`` as ``scores.max_vector``: each block gives the greatest value of its part and
     the first place of it in C order, and the greatest of these is the node's."""
+    if _small(view, leaf):
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from batched.greatest(batched.answers(batches, view, leaf, _ball(view)[1], batched.sparse), value)
+
+        few = volume.answered(nodes, _thin(sums), view, leaf, run, "arbor_id bigint, nid bigint, v double, place bigint", most)
+        return scores.vectors(scores.best_of(few), view)
     n1, n2 = view.fov[1], view.fov[2]
 
     def answer(values, inside, mine, theirs):
@@ -233,12 +245,28 @@ def max_vectors(nodes: DataFrame, sums: DataFrame, view: View, leaf: Triple = (6
         return float(part.ravel()[at]), (i * n1 + j) * n2 + k
 
     found = _answers(nodes, sums, view, leaf, most, answer, "arbor_id bigint, nid bigint, v double, place bigint")
-    return scores.vectors(found.groupBy("arbor_id", "nid").agg(F.max(F.struct("v", (-F.col("place")).alias("at"))).alias("b")), view)
+    return scores.vectors(scores.best_of(found), view)
 
 
 def weighted(nodes: DataFrame, sums: DataFrame, view: View, leaf: Triple = (64, 64, 64), value: str = "dist_view", most: int = MOST) -> DataFrame:
     """``arbor_id, nid, mask``: one of the masks ``boolean``, ``dist``, ``viewed``, ``dist_view`` of each node's whole field of view,
     as doubles in C order."""
+    if _small(view, leaf):
+        total = view.fov[0] * view.fov[1] * view.fov[2]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from batched.parts(batched.answers(batches, view, leaf, _ball(view)[1], batched.sparse), value)
+
+        def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t, begin, at, w in batched.laid(batches, ("arbor_id", "nid"), total):
+                grid = np.zeros(len(begin) * total)
+                grid[at] = w
+                ends = pa.array(np.arange(len(begin) + 1, dtype=np.int32) * total)
+                ids = [pa.array(t.column(c).to_numpy()[begin]) for c in ("arbor_id", "nid")]
+                yield pa.RecordBatch.from_arrays([*ids, pa.ListArray.from_arrays(ends, pa.array(grid))], names=["arbor_id", "nid", "mask"])
+
+        few = volume.answered(nodes, _thin(sums), view, leaf, run, "arbor_id bigint, nid bigint, p binary, w binary", most)
+        return batched.together(few, "arbor_id", "nid").mapInArrow(lay, "arbor_id bigint, nid bigint, mask array<double>")
 
     def answer(values, inside, mine, theirs):
         part = values[value][theirs] * inside
