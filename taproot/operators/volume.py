@@ -111,12 +111,24 @@ def to_voxels(boxes: DataFrame, voxel: Triple) -> DataFrame:
 def downsampled(masks: DataFrame, factor: Triple) -> DataFrame:
     """Full-resolution masks as field-of-view masks: a voxel is in when the mean of 255 * v is over 127.
 
-    Absent voxels count as 0, so half a block counts as in.
+    Absent voxels count as 0, so half a block counts as in.  A factor is of at most 2**55 voxels.
     """
     block = factor[0] * factor[1] * factor[2]
-    cells = [F.floor(F.col(c) / f).cast("int").alias(c) for c, f in zip("ijk", factor, strict=True)]
-    grouped = masks.groupBy("arbor_id", "nid", *cells).agg(F.sum(F.col("v").cast("bigint")).alias("n"))
-    return grouped.select("arbor_id", "nid", "i", "j", "k", (255 * F.col("n") > 127 * block).cast("tinyint").alias("v"))
+    # counts of 4 x 4 x 4 cells share the words of one group; a field holds a block of the greatest tinyint
+    bits = block.bit_length() + 7
+    per = 63 // bits
+    cell = [F.floor(F.col(c) / f).cast("bigint") for c, f in zip("ijk", factor, strict=True)]
+    spot = [F.pmod(c, F.lit(4)) for c in cell]
+    rows = masks.select("arbor_id", "nid", *[F.floor(c / 4).cast("int").alias(x + "_") for c, x in zip(cell, "ijk", strict=True)], ((spot[0] * 4 + spot[1]) * 4 + spot[2]).cast("int").alias("c_"), F.coalesce(F.col("v").cast("bigint"), F.lit(0)).alias("v_"))
+    words = [F.sum(F.expr(f"if(c_ div {per} = {w}, shiftleft(v_, c_ % {per} * {bits}), 0L)")).alias(f"w{w}") for w in range(-(-64 // per))]
+    grouped = rows.groupBy("arbor_id", "nid", "i_", "j_", "k_").agg(F.bit_or(F.expr("shiftleft(1L, c_)")).alias("there"), F.sum("v_").alias("all_"), *words)
+    whole = grouped.withColumn("words", F.array(*[f"w{w}" for w in range(len(words))]))
+    whole = whole.withColumn("n_", F.expr(f"transform(sequence(0, 63), c -> shiftright(element_at(words, cast(c div {per} as int) + 1), c % {per} * {bits}) & {(1 << bits) - 1}L)"))
+    held = F.aggregate("n_", F.lit(0).cast("bigint"), lambda s, n: s + n) == F.col("all_")
+    whole = whole.withColumn("n_", F.when(held, F.col("n_")).otherwise(F.raise_error(F.lit("a mask has more in a block than its voxels hold")).cast("array<bigint>")))
+    each = whole.select("arbor_id", "nid", "i_", "j_", "k_", "there", F.posexplode("n_").alias("c", "n")).where(F.expr("shiftright(there, c) & 1L = 1"))
+    at = [(F.col(x + "_") * 4 + F.expr(e)).cast("int").alias(x) for x, e in zip("ijk", ("c div 16", "c div 4 % 4", "c % 4"), strict=True)]
+    return each.select("arbor_id", "nid", *at, (255 * F.col("n") > 127 * block).cast("tinyint").alias("v"))
 
 
 def filled(masks: DataFrame, new: DataFrame) -> DataFrame:

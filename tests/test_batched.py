@@ -69,3 +69,16 @@ def test_corners_with_several_values_stay(spark):
     got = mesh.corners(spark.createDataFrame(rows, "arbor_id long, vx long, vy long, vz long, w array<double>")).select("x", "y", "z", "scalar")
     want = {(x + (n >> 2), n >> 1 & 1, n & 1, float(x + n)) for x in (6, 7, 8) for n in range(8)}
     assert len(want) == 24 and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_downsampling_groups_words_not_cells(spark):
+    view, factor = volume.View((1, 1, 1), (11, 9, 7)), (2, 3, 1)
+    masks = volume.offsets(spark.range(2).selectExpr("id as arbor_id", "id + 5 as nid"), view).selectExpr("arbor_id", "nid", "i", "j", "k", "cast((i * j + k + nid) % 3 > 0 as tinyint) as v").where("i + j + k <> 9")
+    out = volume.downsampled(masks, factor)
+    by = [F.floor(F.col(c) / f).alias(c) for c, f in zip("ijk", factor, strict=True)]
+    want = masks.groupBy("arbor_id", "nid", *by).agg(F.sum("v").alias("n")).selectExpr("arbor_id", "nid", "i", "j", "k", "cast(255 * n > 127 * 6 as tinyint)")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "bit_or" in plan and "i_#" in plan
+    with pytest.raises(Exception, match="more in a block"):
+        volume.downsampled(masks.withColumn("v", F.lit(300)), factor).collect()
