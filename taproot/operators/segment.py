@@ -36,9 +36,8 @@ class FragmentSegmenter:
         return boxes.withColumns(moved).withColumn("roi_id", F.concat_ws("/", F.col("arbor_id").cast("string"), F.col("nid").cast("string")))
 
     def segment(self, nodes: DataFrame) -> DataFrame:
-        r = self.regions(nodes)
-        found = graph.center_object(r.drop("arbor_id", "nid"), self.fragments, self.edges, self.threshold, max(4, max(self.view.fov)))
-        return found.join(r.select("roi_id", "arbor_id", "nid"), "roi_id").select("arbor_id", "nid", "i", "j", "k", "v")
+        found = graph.center_object(self.regions(nodes), self.fragments, self.edges, self.threshold, max(4, max(self.view.fov)))
+        return found.select("arbor_id", "nid", "i", "j", "k", "v")
 
 
 class ModelSegmenter:

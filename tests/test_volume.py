@@ -342,3 +342,37 @@ def test_jobs_save_load_cli_stream(spark, tmp_path):
     one = stream_masks.merged(spark.read.parquet(f"{tmp_path}/partial").drop("batch"))
     filled = volume.is_filled(nodes, masks)
     assert sorted(map(tuple, one.collect()), key=str) == sorted(map(tuple, volume.accumulate(filled, masks, volume.View()).collect()), key=str)
+
+
+def test_regions_of_one_box_are_segmented_once(spark):
+    """Rows equal a brute force; no row for each voxel of each region is shuffled or written."""
+    r = np.random.default_rng(9)
+    voxels = {(int(x), int(y), int(z)): int(f) for x, y, z, f in zip(*r.integers(-6, 7, (3, 900)), r.integers(-9, 30, 900), strict=True)}
+    links = [(int(a), int(b), float(s)) for a, b, s in zip(r.integers(-9, 30, 40), r.integers(-9, 30, 40), r.random(40), strict=True)]
+    low = r.integers(-7, 5, (30, 3))
+    boxes = [(k, *map(int, low[k % 10]), *[int(v + 3 + k % 2) for v in low[k % 10]]) for k in range(30)] + [(99, 50, 50, 50, 55, 55, 55)]
+    want, objects = set(), set()
+    for k, *box in boxes:
+        lo, hi = box[:3], box[3:]
+        mine = {p: f for p, f in voxels.items() if all(a <= c < b for a, c, b in zip(lo, p, hi, strict=True))}
+        label = {f: f for f in mine.values()}
+        for _ in label:
+            for a, b, s in links:
+                if s <= 0.5 and a in label and b in label:
+                    label[a] = label[b] = min(label[a], label[b])
+        want |= {(k, *p, label[f]) for p, f in mine.items()}
+        core = tuple((a + b) // 2 for a, b in zip(lo, hi, strict=True))
+        if core in mine:
+            objects |= {(k, *[c - a for c, a in zip(p, lo, strict=True)], int(label[f] == label[mine[core]])) for p, f in mine.items()}
+    regions = spark.createDataFrame(boxes, "roi_id long, lo_x long, lo_y long, lo_z long, hi_x long, hi_y long, hi_z long").repartition(3)
+    frags = spark.createDataFrame([(*p, f) for p, f in voxels.items()] + [(0, 0, 0, None)], "x long, y long, z long, frag_id long")
+    edges = spark.createDataFrame(links, "u long, v long, score double")
+    for cell in (2, 16):
+        got = [tuple(x) for x in graph.local_segmentation(regions, frags, edges, 0.5, cell).collect()]
+        assert len(got) == len(want) and set(got) == want
+    found = graph.center_object(regions, frags, edges, 0.5)
+    got = [tuple(x) for x in found.collect()]
+    assert found.columns == ["roi_id", "i", "j", "k", "v"] and len(got) == len(objects) and set(got) == objects
+    each = graph.segmented(regions, frags, edges, 0.5)
+    files = [f for f in each.inputFiles() if "/tables/" in f]
+    assert sum(spark.read.parquet(f).count() for f in files) == len({b[1:] for b in boxes if b[0] in {w[0] for w in want}})
