@@ -376,3 +376,12 @@ def test_regions_of_one_box_are_segmented_once(spark):
     each = graph.segmented(regions, frags, edges, 0.5)
     files = [f for f in each.inputFiles() if "/tables/" in f]
     assert sum(spark.read.parquet(f).count() for f in files) == len({b[1:] for b in boxes if b[0] in {w[0] for w in want}})
+
+
+def test_the_segmenter_shuffles_no_voxel(spark):
+    frag = spark.createDataFrame([(x, 0, 0, x // 2) for x in range(20)], "x long, y long, z long, frag_id long")
+    edges = spark.createDataFrame([(0, 1, 0.1)], "u long, v long, score double")
+    nodes = ingest.from_rows(spark, [(n, None, 5, 0, 0) for n in range(4)])
+    found = segment.FragmentSegmenter(frag, edges, volume.View((1, 1, 1), (5, 1, 1))).segment(nodes)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 20 and 0 <= plan.find("arrays_zip(at") < plan.find("Exchange")
