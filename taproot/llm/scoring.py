@@ -23,10 +23,8 @@ from taproot.llm.common import discard, runs, written
 BATCH = 4 << 20
 #: Bytes of text for each bucket of words.
 LINES = 12 << 20
-#: Words of a training window, and one of how many windows of every training document trains the weights.
-SPAN, SHARE = 24, 32
-#: Tokens that one task of a training round goes over, and the rounds.
-LOAD, ROUNDS = 1 << 20, 2
+#: Rounds of training; each takes its share of the windows, so that every window trains in one of them.
+ROUNDS = 2
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -58,8 +56,7 @@ def numbered(docs: DataFrame, held: Column, buckets: int, key: str = "doc_id", t
 
     ``batch, ids, held, sizes, codes``; each document ends in the empty word.  ``parts`` are the batch's distinct
     words by a hash of the word: their ``codes``, how often they are ``seen`` in documents that train, and ``words``,
-    by lines.  ``sample`` holds the words of the training windows: windows of ``SPAN`` words are chosen by document
-    and place, from every part of a document.
+    by lines.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,18 +79,6 @@ def numbered(docs: DataFrame, held: Column, buckets: int, key: str = "doc_id", t
             codes[inside] = raw[there]
             out = rows.column(2).to_numpy()
             seen = np.bincount(codes[np.repeat(~out, sizes)], minlength=len(words))
-            # windows of the documents that train, chosen by a hash of the document's and their own place
-            spans = -(-sizes // SPAN)
-            doc = np.repeat(np.arange(len(sizes)), spans)
-            nth = np.arange(len(doc)) - np.repeat(np.cumsum(spans) - spans, spans)
-            mark = rows.column(3).to_numpy()[doc].astype(np.uint64)
-            mixed = (mark * np.uint64(2654435761) + nth.astype(np.uint64) * np.uint64(40503) + np.uint64(0x9E37)) * np.uint64(0x9E3779B97F4A7C15)
-            chosen = np.flatnonzero((mixed >> np.uint64(40)) % np.uint64(SHARE) == 0)
-            sample = []
-            for i in chosen[~out[doc[chosen]]].tolist():
-                low = cuts[doc[i]] + nth[i] * SPAN
-                window = [words[c] or "\n" for c in codes[low : min(low + SPAN, cuts[doc[i] + 1])].tolist()]
-                sample.append(" ".join(window if nth[i] else ["\n", *window]))
             bucket = (pd.util.hash_array(np.array(words, dtype=object), categorize=False) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             parts = []
@@ -105,12 +90,11 @@ def numbered(docs: DataFrame, held: Column, buckets: int, key: str = "doc_id", t
             cols = [pa.array([task << 32 | n], pa.int64()), ids, one(out, pa.bool_()), pa.array([packed(sizes.astype(np.uint32))], pa.binary()), pa.array([packed(codes)], pa.binary())]
             struct = pa.struct([("bucket", pa.int64()), ("codes", pa.binary()), ("seen", pa.binary()), ("words", pa.string())])
             n += 1
-            yield pa.RecordBatch.from_arrays([*cols, one(parts, struct), one(sample, pa.string())], names=["batch", "ids", "held", "sizes", "codes", "parts", "sample"])
+            yield pa.RecordBatch.from_arrays([*cols, one(parts, struct)], names=["batch", "ids", "held", "sizes", "codes", "parts"])
 
-    mark = F.coalesce(F.crc32(F.col(key).cast("string")), F.lit(0))
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text, held, mark).mapInArrow(
-        run, f"batch bigint, ids array<{kind}>, held array<boolean>, sizes binary, codes binary, parts array<struct<bucket: bigint, codes: binary, seen: binary, words: string>>, sample array<string>"
+    return docs.select(key, text, held).mapInArrow(
+        run, f"batch bigint, ids array<{kind}>, held array<boolean>, sizes binary, codes binary, parts array<struct<bucket: bigint, codes: binary, seen: binary, words: string>>"
     )
 
 
@@ -152,43 +136,69 @@ def counted(batches: DataFrame, buckets: int, path: str, pattern: str) -> DataFr
     return dealt.mapInArrow(run, "batch bigint, codes binary, n binary, sub_sizes binary, sub binary, tokens bigint, kinds bigint, uses array<struct<id: bigint, n: bigint>>")
 
 
-def windows_of(texts: list[str], tool, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Training windows as ids and which of them are there; a long one goes on in the next row."""
-    width, rows, known = attention.WINDOW + 1, [], {"\n": [end]}
-    for t in texts:
-        ids: list[int] = []
-        for w in t.split(" "):
-            if w not in known:
-                known[w] = tool.encode_ordinary(" " + w)
-            ids += known[w]
-        rows += [ids[s : s + width] for s in range(0, max(len(ids) - 1, 1), width - 1)]
-    out, seen = np.full((len(rows), width), end, np.int64), np.zeros((len(rows), width), bool)
-    for r, ids in enumerate(rows):
-        out[r, : len(ids)] = ids
-        seen[r, : len(ids)] = True
+def joined(batches: DataFrame, counts: DataFrame) -> DataFrame:
+    """Each batch and the counts and subword ids of its words, one after the other in one task; the batch comes last."""
+    none = lambda c: F.lit(None).cast(c)
+    kind = batches.schema["ids"].dataType.simpleString()
+    left = counts.where("batch is not null").select("batch", F.lit(0).alias("kind"), "codes", "n", "sub_sizes", "sub", none(kind).alias("ids"), none("array<boolean>").alias("held"), none("binary").alias("sizes"))
+    right = batches.select("batch", F.lit(1), "codes", none("binary"), none("binary"), none("binary"), "ids", "held", "sizes")
+    return left.union(right).repartition(max(1, min(batches.count(), 20_000)), "batch").sortWithinPartitions("batch", "kind")
+
+
+def opened(t: pa.Table) -> tuple[np.ndarray, ...]:
+    """Of a batch of ``joined``: words of each document, each word's count in all that trains and its number of subwords, and the subword ids."""
+    last = t.num_rows - 1
+    read = lambda c, kind: [unpacked(x.as_py(), kind) for x in t.column(c).slice(0, last)]
+    code = np.concatenate(read("codes", np.uint32))
+    n, sub_size, start = (np.zeros(len(code), np.int64) for _ in range(3))
+    n[code] = np.concatenate(read("n", np.int64))
+    lengths = np.concatenate(read("sub_sizes", np.int32))
+    sub_size[code], start[code] = lengths, np.cumsum(lengths) - lengths
+    sub = np.concatenate(read("sub", np.int32))
+    sizes, word = (unpacked(t.column(c)[last].as_py(), np.uint32).astype(np.int64) for c in ("sizes", "codes"))
+    each = sub_size[word]
+    ids = sub[np.arange(each.sum()) + np.repeat(start[word] - np.cumsum(each) + each, each)]
+    return sizes, n[word], each, ids
+
+
+def windows_of(ids: np.ndarray, sizes: np.ndarray, use: np.ndarray, end: int, nth: int = 0, of: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of the documents in ``use``, every ``of``-th from the ``nth`` on, as ids and which of them are there.
+
+    ``sizes`` are the documents' numbers of ``ids``.  A document's windows follow each other without a gap: a row is the id
+    before a window, ``end`` for a document's first, and the window's ids, so that each id is a target once.
+    """
+    starts, windows = np.cumsum(sizes) - sizes, np.where(use, -(-sizes // attention.WINDOW), 0)
+    owner = np.repeat(np.arange(len(sizes)), windows)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+    owner, place = owner[nth::of], place[nth::of]
+    at = place[:, None] * attention.WINDOW + np.arange(-1, attention.WINDOW)
+    seen = at < sizes[owner][:, None]
+    out = np.full(at.shape, end, np.int64)
+    there = seen & (at >= 0)
+    out[there] = ids[(starts[owner][:, None] + at)[there]]
     return out, seen
 
 
-def trained(sample: DataFrame, codes: attention.Codes, path: str, pattern: str, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Weights by averaged local descent: tasks of about ``LOAD`` tokens each go over their share of the
-    windows from common weights, and the mean of what they find, by tokens, is where the next round begins.
+def trained(batches: DataFrame, counts: DataFrame, codes: attention.Codes, end: int, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """Weights by averaged local descent over all windows of all documents that train, each in one of the ``rounds``.
 
-    Means are taken in the tasks, 32 at a time, so that the driver gets 32 sets of weights at most.
+    In a round each batch goes over its share of its windows from common weights, and the mean of what batches find, by
+    tokens, is where the next round begins.  Means are taken in the tasks, 32 at a time, so that the driver gets 32
+    sets of weights at most.
     """
     w = attention.initial(codes)
-    spark = sample.sparkSession
-    chars = sample.agg(F.sum(F.length("text"))).first()[0] or 0
-    tasks = max(1, round(chars / 2.6 / LOAD))
-    share = F.pmod(F.xxhash64("batch", "pos"), F.lit(tasks))
-    dealt = sample.select(share.alias("share"), "text").repartition(tasks, "share").sortWithinPartitions("share", "text")
-    for _ in range(rounds):
+    spark = batches.sparkSession
+    for nth in range(rounds):
         now = spark.sparkContext.broadcast(attention.flat(w))
 
         def fit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tool, end = subwords(path, pattern)
             for _, t in runs(rows, 1):
-                texts = t.column("text").to_pylist()
-                mine, _, n = attention.fitted(attention.shaped(now.value, attention.initial(codes)), codes, *windows_of(texts, tool, end))
+                sizes, _, each, ids = opened(t)
+                use = ~np.array(t.column("held")[t.num_rows - 1].values.to_pylist(), bool)
+                some = windows_of(ids, run_sums(bounds(sizes), each), use, end, nth, rounds)  # noqa: B023
+                if not len(some[0]):
+                    continue
+                mine, _, n = attention.fitted(attention.shaped(now.value, attention.initial(codes)), codes, *some)  # noqa: B023
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(attention.flat(mine).astype(np.float64) * n).tobytes()], pa.binary())], names=["n", "sums"])
 
         def add(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,15 +210,16 @@ def trained(sample: DataFrame, codes: attention.Codes, path: str, pattern: str,
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["n", "sums"])
 
-        found, left = dealt.mapInArrow(fit, "n bigint, sums binary"), tasks
+        found = written(joined(batches, counts).mapInArrow(fit, "n bigint, sums binary"))
+        parts, left = found, max(1, batches.count())
         while left > 32:
             left = -(-left // 32)
-            found = found.repartition(left).mapInArrow(add, "n bigint, sums binary")
-        parts = found.collect()
+            parts = parts.repartition(left).mapInArrow(add, "n bigint, sums binary")
+        parts = parts.collect()
+        discard(found)
         n = sum(r["n"] for r in parts)
-        if not n:
-            break
-        w = attention.shaped((sum(np.frombuffer(r["sums"]) for r in parts) / n).astype(np.float32), w)
+        if n:
+            w = attention.shaped((sum(np.frombuffer(r["sums"]) for r in parts) / n).astype(np.float32), w)
         now.unpersist()
     return w
 
@@ -222,10 +233,9 @@ def scored(docs: DataFrame, path: str, pattern: str, held: Column, *, key: str =
     learned; where it is null they train.  A null text is an empty one, which is its end.  Repeated
     rows stay and count as often; other columns are not read.
 
-    Counts of words and subwords are those of all that train; the attention weights train on one in
-    ``SHARE`` windows of all their texts, a share that grows with the corpus.  Words are numbered batch by
-    batch; a batch's distinct words are dealt by a hash, counted and encoded, and come back to their batch,
-    which is scored there.  No table of words is ever in one place.
+    Counts of words and subwords are those of all that train, and the attention weights train on every window of
+    all their texts, once.  Words are numbered batch by batch; a batch's distinct words are dealt by a hash, counted
+    and encoded, and come back to their batch, which trains and is scored there.  No table of words is ever in one place.
     """
     end = subwords(path, pattern)[1]
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
@@ -238,15 +248,7 @@ def scored(docs: DataFrame, path: str, pattern: str, held: Column, *, key: str =
     for r in counts.select(F.explode("uses").alias("u")).groupBy("u.id").agg(F.sum("u.n").alias("n")).collect():
         uses[r["id"]] = r["n"]
     codes = attention.Codes.of(uses)
-    sample = written(batches.select("batch", F.posexplode("sample").alias("pos", "text")))
-    weights = attention.flat(trained(sample, codes, path, pattern))
-    discard(sample)
-
-    none = lambda c: F.lit(None).cast(c)
-    kind = batches.schema["ids"].dataType.simpleString()
-    left = counts.where("batch is not null").select("batch", F.lit(0).alias("kind"), "codes", "n", "sub_sizes", "sub", none(kind).alias("ids"), none("array<boolean>").alias("held"), none("binary").alias("sizes"))
-    right = batches.select("batch", F.lit(1), "codes", none("binary"), none("binary"), none("binary"), "ids", "held", "sizes")
-    both = left.union(right).repartition(max(1, min(batches.count(), 20_000)), "batch").sortWithinPartitions("batch", "kind")
+    weights = attention.flat(trained(batches, counts, codes, end))
     model = docs.sparkSession.sparkContext.broadcast((weights, codes))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,25 +256,16 @@ def scored(docs: DataFrame, path: str, pattern: str, held: Column, *, key: str =
         w = attention.shaped(values, attention.initial(codes))
         for _, t in runs(rows, 1):
             last = t.num_rows - 1
-            read = lambda c, kind: [unpacked(x.as_py(), kind) for x in t.column(c).slice(0, last)]  # noqa: B023, E731
-            code = np.concatenate(read("codes", np.uint32))
-            n, sub_size, start = (np.zeros(len(code), np.int64) for _ in range(3))
-            n[code] = np.concatenate(read("n", np.int64))
-            lengths = np.concatenate(read("sub_sizes", np.int32))
-            sub_size[code], start[code] = lengths, np.cumsum(lengths) - lengths
-            sub = np.concatenate(read("sub", np.int32))
-            sizes, word = (unpacked(t.column(c)[last].as_py(), np.uint32).astype(np.int64) for c in ("sizes", "codes"))
+            sizes, n, each, ids = opened(t)
             cuts = bounds(sizes)
-            logs = np.concatenate([[0.0], np.cumsum(np.log10(n + 1.0)[word])])
+            logs = np.concatenate([[0.0], np.cumsum(np.log10(n + 1.0))])
             base = logs[cuts[1:]] - logs[cuts[:-1]] - sizes * np.log10(tokens + kinds + 1.0)
-            each = sub_size[word]
-            ids = sub[np.arange(each.sum()) + np.repeat(start[word] - np.cumsum(each) + each, each)]
             sub_sizes = run_sums(cuts, each)
             score = attention.scores(w, codes, ids, sub_sizes, end)
-            cols = [t.column("ids")[last].values, t.column("held")[last].values, pa.array(sizes), pa.array(run_sums(cuts, (n > 0)[word])), pa.array(np.full(len(sizes), tokens)), pa.array(base), pa.array(score), pa.array(sub_sizes)]
+            cols = [t.column("ids")[last].values, t.column("held")[last].values, pa.array(sizes), pa.array(run_sums(cuts, n > 0)), pa.array(np.full(len(sizes), tokens)), pa.array(base), pa.array(score), pa.array(sub_sizes)]
             yield pa.RecordBatch.from_arrays(cols, names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_subwords"])
 
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_subwords bigint"
-    result = written(both.mapInArrow(run, schema))
+    result = written(joined(batches, counts).mapInArrow(run, schema))
     discard(batches, counts)
     return result

@@ -143,3 +143,21 @@ def test_context_helps_on_held_out_documents(spark):
     unigram = sum(math.log10((count[x] + 1) / (n + len(ranks) + 1)) for i in held for x in ids[i])
     assert sum(got[i]["score"] for i in held) > 0.75 * unigram
     assert all(got[i]["n_subwords"] == len(ids[i]) for i in held)
+
+
+def test_every_training_window_trains_once(spark):
+    """Each subword of each document that trains is a target of the descent exactly once; none of a held one is."""
+    ids, sizes = np.arange(200), np.array([1, 48, 49, 100, 2])
+    use = np.array([True, True, False, True, True])
+    got = []
+    for nth in range(2):
+        rows, seen = scoring.windows_of(ids, sizes, use, 999, nth, 2)
+        assert all(r[0] == (999 if r[1] in (0, 1, 98, 198) else r[1] - 1) for r in rows)
+        got += rows[:, 1:][seen[:, 1:]].tolist()
+    assert sorted(got) == [i for i in range(200) if not 49 <= i < 98]
+    docs = spark.createDataFrame([(0, "only these few words")], "doc_id bigint, text string")
+    batches = scoring.written(scoring.numbered(docs, F.lit(False), 1))
+    counts = scoring.written(scoring.counted(batches, 1, PATH, P.PATTERN))
+    end = scoring.subwords(PATH, P.PATTERN)[1]
+    w = scoring.trained(batches, counts, attention.Codes.of(np.ones(end + 1, np.int64)), end)
+    assert w["head_a"].any()
