@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 Kernel = Callable[[pa.Table], pa.Table]
 
 
-def by_arbor(df: DataFrame, kernel: Kernel, schema: str, key: str = "arbor_id", order: tuple[str, ...] = ("nid",), chunk: int = 200_000) -> DataFrame:
+def by_arbor(df: DataFrame, kernel: Kernel, schema: str, key: str = "arbor_id", order: tuple[str, ...] = ("nid",), chunk: int = 50_000) -> DataFrame:
     """Applies ``kernel`` to tables that hold whole arbors, sorted by ``key`` and ``order``.
 
     One shuffle on ``key``.  A table is cut as soon as it has ``chunk`` rows and the arbor ends, so

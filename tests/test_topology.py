@@ -143,3 +143,14 @@ def test_paths_of_one_large_tree(spark):
     nodes = spark.range(1, n + 1).selectExpr("0L arbor_id", "id nid", "nullif(id div 2, 0) pid", "0D x", "0D y", "0D z")
     paths = topology.root_leaf_paths(topology.index(nodes))
     assert tuple(paths.selectExpr("count(*)", "count(distinct leaf)", "max(pos)").first()) == (17 * 2**16, 2**16, 16)
+
+
+def test_kernels_get_bounded_tables(spark):
+    """Tables of small arbors stay small, however many rows a task has."""
+    import pyarrow as pa
+
+    from taproot.operators.arrow import by_arbor
+
+    nodes = spark.range(150_000).selectExpr("id div 5 as arbor_id", "id as nid").coalesce(1)
+    got = by_arbor(nodes, lambda t: pa.table({"n": pa.array([t.num_rows], pa.int64())}), "n bigint").collect()
+    assert sum(r.n for r in got) == 150_000 and max(r.n for r in got) <= 60_000
