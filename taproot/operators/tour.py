@@ -2,18 +2,24 @@
 
 ``index`` gives what ``topology.index`` gives, without ever holding a tree in one place.  Each node is entered and
 left once; these arcs are a linked list, and doubling its pointers gives every arc's rank in about
-log2(2 n) joins.  Places, sizes and depths are differences of ranks.  With places, all else are running sums
+log2(2 n) joins.  Arcs of ``NEAR`` successive ids are followed as far as they go in one task before, so that only ways
+out of them are left to joins.  Places, sizes and depths are differences of ranks.  With places, all else are running sums
 over them: they are taken in stretches of ``STRETCH`` places and then over the stretches' totals.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from taproot.operators.arrow import by_arbor
 from taproot.operators.lineage import stored
 
 STRETCH = 1 << 16
+#: Ids of an arbor whose arcs are followed in one task before pointers are doubled.
+NEAR = 1 << 14
 NODE = ["arbor_id", "nid"]
 
 
@@ -29,6 +35,43 @@ def linked(nodes: DataFrame) -> DataFrame:
     return sib.join(first, NODE, "left").select("arbor_id", "nid", "pid", "first_child", "sibling", F.coalesce("n_children", F.lit(0)).cast("bigint").alias("n_children"))
 
 
+def _followed(t: pa.Table) -> pa.Table:
+    """Both arcs of each node, followed to the first that is of another arbor or part, or to the end."""
+    arbor, part, nid = (t.column(c).to_numpy() for c in ("arbor_id", "part", "nid"))
+    n = len(nid)
+    new = np.r_[True, (arbor[1:] != arbor[:-1]) | (part[1:] != part[:-1])]
+    group = np.cumsum(new) - 1
+    ids = np.unique(nid)
+    codes = group * len(ids) + np.searchsorted(ids, nid)  # ascending, as rows are
+
+    def ref(c: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, whether there is one, and its row in the group or -1."""
+        there = ~np.asarray(t.column(c).is_null())
+        v = t.column(c).combine_chunks().fill_null(0).to_numpy()
+        rank = np.minimum(np.searchsorted(ids, v), len(ids) - 1)
+        at = np.minimum(np.searchsorted(codes, group * len(ids) + rank), n - 1)
+        return v, there, np.where(there & (nid[at] == v) & (group[at] == group), at, -1)
+
+    (child, has_child, child_at), (sib, has_sib, sib_at), (pid, has_pid, pid_at) = map(ref, ("first_child", "sibling", "pid"))
+    # arcs 0 .. n enter, n .. 2 n leave; ``to`` is the next arc's place, -1 where it is not here
+    own = np.arange(n)
+    name = np.r_[np.where(has_child, child, nid), np.where(has_sib, sib, pid)]
+    leaves = np.r_[~has_child, ~has_sib]
+    on = np.r_[np.ones(n, bool), has_sib | has_pid]
+    to = np.r_[np.where(has_child, child_at, own + n), np.where(has_sib, sib_at, np.where(has_pid & (pid_at >= 0), pid_at + n, -1))]
+    steps, deep, last = np.r_[np.ones(n, np.int64), np.zeros(n, np.int64)], np.repeat([1, -1], n).astype(np.int64), np.r_[nid, nid]
+    for _ in range(int(2 * n).bit_length()):
+        go = np.flatnonzero(to >= 0)
+        if not len(go):
+            break
+        then = to[go]
+        steps[go], deep[go] = steps[go] + steps[then], deep[go] + deep[then]
+        name[go], leaves[go], on[go], last[go], to[go] = name[then], leaves[then], on[then], last[then], to[then]
+    whole = pa.StructArray.from_arrays([pa.array(name, pa.int64()), pa.array(leaves)], names=["nid", "out"], mask=pa.array(~on))
+    cols = [np.r_[arbor, arbor], np.r_[nid, nid], np.repeat([False, True], n), whole, steps, deep, last]
+    return pa.Table.from_arrays([pa.array(c) for c in cols], names=["arbor_id", "nid", "out", "next", "n", "d", "last"])
+
+
 def ranked(links: DataFrame) -> DataFrame:
     """``arbor_id, nid, root_nid, dfs, size, depth`` of every node that a root reaches.
 
@@ -36,13 +79,8 @@ def ranked(links: DataFrame) -> DataFrame:
     have a successor with all arcs, adds up and takes the successor's successor; arcs on cycles never come to an
     end and go when the others have.
     """
-    enter, leave = F.lit(False), F.lit(True)
-    arc = lambda nid, out: F.struct(nid.alias("nid"), out.alias("out"))
-    down = F.when(F.col("first_child").isNotNull(), arc(F.col("first_child"), enter)).otherwise(arc(F.col("nid"), leave))
-    on = F.when(F.col("sibling").isNotNull(), arc(F.col("sibling"), enter)).when(F.col("pid").isNotNull(), arc(F.col("pid"), leave))
-    one = F.lit(1).cast("bigint")
-    arcs = links.select("arbor_id", "nid", enter.alias("out"), down.alias("next"), one.alias("n"), one.alias("d"), F.col("nid").alias("last"))
-    arcs = arcs.union(links.select("arbor_id", "nid", leave, on, F.lit(0).cast("bigint"), -one, F.col("nid")))
+    near = links.withColumn("part", F.floor(F.col("nid") / NEAR)).select("arbor_id", "part", "nid", "pid", "first_child", "sibling")
+    arcs = by_arbor(near.withColumn("group", F.xxhash64("arbor_id", "part")), _followed, "arbor_id bigint, nid bigint, out boolean, next struct<nid: bigint, out: boolean>, n bigint, d bigint, last bigint", "group", ("arbor_id", "part", "nid"))
     state, left = stored(arcs), None
     while (open_ := state.where("next is not null").count()) not in (0, left):
         active, left = state.where("next is not null"), open_

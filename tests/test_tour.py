@@ -48,3 +48,19 @@ def test_a_large_tree_over_several_tasks(spark):
     first = got.selectExpr("count(*) n", "count(distinct dfs) d", "max(dfs) m", "max(bfs) b", "sum(size) s", "sum(depth + 1) e", "max(order_no) o").first()
     assert first.n == first.d == 30_000 and first.m == first.b == 29_999
     assert first.s == first.e and first.o > 3
+
+
+def test_ways_inside_a_part_take_no_round(spark, monkeypatch):
+    """Doubling is left the ways between parts of ids; in short parts the rows are the same."""
+    df = spark.createDataFrame([(1, *r) for r in random_tree(40, 5, 3)] + [(2, 4, 5, 0.0, 0.0, 0.0), (2, 5, 4, 0.0, 0.0, 0.0)], "arbor_id bigint, nid bigint, pid bigint, x double, y double, z double")
+    rounds = []
+    real = tour.stored
+    monkeypatch.setattr(tour, "stored", lambda d: rounds.append(d) or real(d))
+    links = real(tour.linked(df.where("arbor_id = 1")))
+    want = sorted(map(tuple, tour.ranked(links).collect()))
+    assert len(rounds) == 2  # arcs, and both arcs of each node
+    for near in (1, 7):
+        monkeypatch.setattr(tour, "NEAR", near)
+        assert sorted(map(tuple, tour.ranked(links).collect())) == want
+        same(spark, df)
+    assert len(rounds) > 6
