@@ -73,28 +73,60 @@ def shaped(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndar
 CLIP = np.float32(60)
 
 
-def hidden(w: dict[str, np.ndarray], rows: np.ndarray, seen: np.ndarray | None, first: int, keep: bool = False) -> tuple:
-    """The layer at positions ``first ..`` of windows of embedding ``rows``; ``seen`` masks padding.
+def projections(w: dict[str, np.ndarray]) -> np.ndarray:
+    """Weights of query, key and value side by side, so that one product gives all three; queries are scaled."""
+    return np.concatenate([w["query"] * np.float32(1 / np.sqrt(DIM)), w["key"], w["value"]], axis=1)
 
-    A position attends to itself and to earlier ones that are there; those of no windows but the ones with
-    ``seen`` are all there.  With ``keep`` also what the gradients need.
+
+def turned(x: np.ndarray) -> np.ndarray:
+    """The last two axes changed, laid out anew, as products of many small arrays are faster so."""
+    return np.ascontiguousarray(x.transpose(0, 2, 1))
+
+
+def attended(q: np.ndarray, k: np.ndarray, seen: np.ndarray | None) -> np.ndarray:
+    """Shares of the positions ``k`` in each of ``q``, the last of them, of each window; ``seen`` masks padding.
+
+    A position attends to itself and to earlier ones that are there.
     """
-    n, width = rows.shape
-    x = w["embed"][rows] + w["place"][:width]
-    q, k, v = x[:, first:] @ (w["query"] * np.float32(1 / np.sqrt(DIM))), x @ w["key"], x @ w["value"]
-    att = q @ k.transpose(0, 2, 1)
+    att = q @ turned(k)
     np.clip(att, -CLIP, CLIP, out=att)
     np.exp(att, out=att)
-    att *= np.arange(width)[None, :] <= np.arange(first, width)[:, None]
+    att *= np.tri(q.shape[1], k.shape[1], k.shape[1] - q.shape[1], dtype=att.dtype)
     if seen is not None:
         att *= seen[:, None, :]
-    # one more column of values counts the weights
-    mix = att @ np.concatenate([v, np.ones((n, width, 1), v.dtype)], axis=2)
-    total = mix[:, :, -1:] + np.float32(1e-30)
-    mix = mix[:, :, :-1] / total
-    mid = x[:, first:] + mix @ w["out"]
-    h = np.tanh(mid.reshape(-1, DIM) @ w["layer"] + w["shift"])
-    return h, (x, q, k, v, att / total, mix, mid) if keep else None
+    return att
+
+
+def totals(att: np.ndarray) -> np.ndarray:
+    """Sums of the last axis, kept, and never zero."""
+    return (att.reshape(-1, att.shape[2]) @ np.ones(att.shape[2], att.dtype)).reshape(*att.shape[:2], 1) + np.float32(1e-30)
+
+
+def by_row(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of every embedding and of every place: itself, query, key and value, the last on its way out.
+
+    All four are linear, so those of a position are the sum of two rows, and no window needs products for them.
+    """
+    some = projections(w)
+    some[:, 2 * DIM :] = some[:, 2 * DIM :] @ w["out"]
+    return tuple(np.concatenate([t, t @ some], axis=1) for t in (w["embed"], w["place"]))
+
+
+def hidden(w: dict[str, np.ndarray], tables: tuple[np.ndarray, np.ndarray], rows: np.ndarray, seen: np.ndarray | None, first: int) -> np.ndarray:
+    """The layer at positions ``first ..`` of windows of embedding ``rows``; ``tables`` are those of ``by_row``.
+
+    Positions of no windows but the ones with ``seen`` are all there.
+    """
+    each = tables[0].take(rows, axis=0)
+    each += tables[1][: rows.shape[1]]
+    x, q, k, v = (each[:, :, i * DIM : (i + 1) * DIM] for i in range(4))
+    att = attended(q[:, first:], k, seen)
+    mid = att @ v
+    mid /= totals(att)
+    mid += x[:, first:]
+    h = mid.reshape(-1, DIM) @ w["layer"]
+    h += w["shift"]
+    return np.tanh(h, out=h)
 
 
 def log_softmax_at(z: np.ndarray, at: np.ndarray, keep: bool = False, small: bool = False) -> np.ndarray | tuple:
@@ -138,61 +170,102 @@ def gradients(w: dict[str, np.ndarray], codes: Codes, ids: np.ndarray, seen: np.
     ``seen`` says which ids are there; a target counts if it is.
     """
     rows, target, on = codes.row[ids[:, :-1]], ids[:, 1:].ravel(), seen[:, 1:].ravel()
-    h, (x, q, k, v, att, mix, mid) = hidden(w, rows, seen[:, :-1], 0, True)
+    many, width = rows.shape
     n = max(int(on.sum()), 1)
     a, b = codes.a[target], codes.b[target]
-    scale = (on / n).astype(np.float32)[:, None]
+    flat_x = w["embed"].take(rows, axis=0)
+    flat_x += w["place"][:width]
+    flat_x = flat_x.reshape(-1, DIM)
+    some = projections(w)
+    q, k, v = (t for t in np.moveaxis((flat_x @ some).reshape(many, width, 3, DIM), 2, 0))
+    # what is not there hides itself where it only follows what is
+    att = attended(q, k, None if (seen[:, 1:] <= seen[:, :-1]).all() else seen[:, :-1])
+    att /= totals(att)
+    mix = (att @ v).reshape(-1, DIM)
+    mid = flat_x + mix @ w["out"]
+    h = np.tanh(mid @ w["layer"] + w["shift"])
     gate = w["gate"][a]
     gated = h * gate
-    left, pa = log_softmax_at(h @ w["head_a"] + w["bias_a"], a, True)
-    right, pb = log_softmax_at(gated @ w["head_b"] + w["bias_b"][a], b, True)
+    small = is_small(w)
+    left, pa = log_softmax_at(h @ w["head_a"] + w["bias_a"], a, True, small)
+    right, pb = log_softmax_at(gated @ w["head_b"] + w["bias_b"][a], b, True, small)
     loss = -float(((left + right + codes.rest[target]) * on).sum())
     every = np.arange(len(a))
     pa[every, a] -= 1
     pb[every, b] -= 1
-    pa *= scale
-    pb *= scale
-    which = np.zeros((len(a), BASE), np.float32)
+    if n < len(on):
+        pa *= on[:, None]
+        pb *= on[:, None]
+    # sums so far; all are divided at the end
+    which = np.zeros((len(a), BASE), pa.dtype)
     which[every, a] = 1
     d_gated = pb @ w["head_b"].T
-    dh = pa @ w["head_a"].T + d_gated * gate
-    g = {"head_a": h.T @ pa, "bias_a": pa.sum(axis=0), "head_b": gated.T @ pb, "bias_b": which.T @ pb, "gate": which.T @ (d_gated * h)}
-    dz = dh * (1 - h * h)
-    flat_mid = mid.reshape(-1, DIM)
-    g |= {"layer": flat_mid.T @ dz, "shift": dz.sum(axis=0)}
-    d_mid = (dz @ w["layer"].T).reshape(mid.shape)
-    g["out"] = mix.reshape(-1, DIM).T @ d_mid.reshape(-1, DIM)
+    g = {"head_a": h.T @ pa, "bias_a": np.ones(len(a), pa.dtype) @ pa, "head_b": gated.T @ pb, "bias_b": which.T @ pb, "gate": which.T @ (d_gated * h)}
+    d_gated *= gate
+    dz = pa @ w["head_a"].T
+    dz += d_gated
+    h *= h
+    np.subtract(1, h, out=h)
+    dz *= h
+    g |= {"layer": mid.T @ dz, "shift": np.ones(len(a), dz.dtype) @ dz}
+    d_mid = dz @ w["layer"].T
+    g["out"] = mix.T @ d_mid
     d_mix = d_mid @ w["out"].T
-    d_att = d_mix @ v.transpose(0, 2, 1)
-    dv = att.transpose(0, 2, 1) @ d_mix
-    ds = att * (d_att - (d_att * att).sum(axis=2, keepdims=True))
-    dq, dk = ds @ k * np.float32(1 / np.sqrt(DIM)), ds.transpose(0, 2, 1) @ q
-    flat_x = x.reshape(-1, DIM)
-    for name, d in (("query", dq), ("key", dk), ("value", dv)):
-        g[name] = flat_x.T @ d.reshape(-1, DIM)
-    dx = d_mid + dq @ w["query"].T + dk @ w["key"].T + dv @ w["value"].T
+    # the sum of a row's shares times their gradients is that of its mix times the mix's
+    own = np.einsum("ij,ij->i", d_mix, mix).reshape(many, width, 1)
+    d_mix = d_mix.reshape(many, width, DIM)
+    ds = d_mix @ turned(v)
+    ds -= own
+    ds *= att
+    d = np.empty((many, width, 3, DIM), ds.dtype)
+    np.matmul(ds, k, out=d[:, :, 0])
+    np.matmul(ds.transpose(0, 2, 1), q, out=d[:, :, 1])
+    np.matmul(att.transpose(0, 2, 1), d_mix, out=d[:, :, 2])
+    d = d.reshape(-1, 3 * DIM)
+    for name, x in zip(("query", "key", "value"), np.split(flat_x.T @ d, 3, axis=1), strict=True):
+        g[name] = x * np.float32(1 / np.sqrt(DIM)) if name == "query" else x
+    dx = d @ some.T
+    dx += d_mid
     g["place"] = np.zeros_like(w["place"])
-    g["place"][: dx.shape[1]] = dx.sum(axis=0)
-    g["embed"] = np.zeros_like(w["embed"])
-    np.add.at(g["embed"], rows.ravel(), dx.reshape(-1, DIM))
+    g["place"][:width] = dx.reshape(many, width, DIM).sum(axis=0)
+    spot = (rows.reshape(-1, 1) * DIM + np.arange(DIM)).ravel()
+    g["embed"] = np.bincount(spot, dx.ravel(), w["embed"].size).astype(dx.dtype).reshape(-1, DIM)
+    for x in g.values():
+        x *= np.float32(1 / n)
     return loss, n, g
 
 
 def fitted(w: dict[str, np.ndarray], codes: Codes, ids: np.ndarray, seen: np.ndarray, rate: float = 0.01, batch: int = 48) -> tuple[dict[str, np.ndarray], float, int]:
-    """One pass of Adam over windows, in a fixed random order; the rate falls to a tenth towards the end."""
-    w = {k: x.copy() for k, x in w.items()}
-    first, second = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
+    """One pass of Adam over windows, in a fixed random order; the rate falls to a tenth towards the end.
+
+    All weights lie in one array, so that a step is a few passes over it.
+    """
+    values = flat(w)
+    w = shaped(values, w)
+    g, first, second, rest = (np.zeros_like(values) for _ in range(4))
+    parts = shaped(g, w)
     order = np.random.default_rng(len(ids)).permutation(len(ids))
     steps, loss, tokens = -(-len(ids) // batch), 0.0, 0
     for t in range(steps):
         some = order[t * batch : (t + 1) * batch]
-        lost, n, g = gradients(w, codes, ids[some], seen[some])
+        lost, n, found = gradients(w, codes, ids[some], seen[some])
         loss, tokens = loss + lost, tokens + n
+        for k, x in found.items():
+            parts[k][...] = x
         now = rate * (1 - 0.9 * t / steps)
-        for k, x in w.items():
-            first[k] += (g[k] - first[k]) * np.float32(0.1)
-            second[k] += (g[k] * g[k] - second[k]) * np.float32(0.02)
-            x -= np.float32(now) * (first[k] / np.float32(1 - 0.9 ** (t + 1))) / (np.sqrt(second[k] / np.float32(1 - 0.98 ** (t + 1))) + np.float32(1e-8))
+        np.subtract(g, first, out=rest)
+        rest *= np.float32(0.1)
+        first += rest
+        g *= g
+        g -= second
+        g *= np.float32(0.02)
+        second += g
+        np.sqrt(second, out=rest)
+        rest *= np.float32(1 / np.sqrt(1 - 0.98 ** (t + 1)))
+        rest += np.float32(1e-8)
+        np.divide(first, rest, out=rest)
+        rest *= np.float32(now / (1 - 0.9 ** (t + 1)))
+        values -= rest
     return w, loss, tokens
 
 
@@ -210,7 +283,7 @@ def scores(w: dict[str, np.ndarray], codes: Codes, ids: np.ndarray, sizes: np.nd
     low = starts[owner] + nth * STRIDE
     high = starts[owner] + sizes[owner]
     context = WINDOW - STRIDE
-    out, small = np.zeros(len(sizes)), is_small(w)
+    out, small, tables = np.zeros(len(sizes)), is_small(w), by_row(w)
     reach = np.arange(WINDOW)
     for s in range(0, len(owner), chunk):
         cut = slice(s, s + chunk)
@@ -220,7 +293,7 @@ def scores(w: dict[str, np.ndarray], codes: Codes, ids: np.ndarray, sizes: np.nd
         inputs = padded[np.clip(at, 0, len(ids) - 1)]
         inputs[at == begin] = end
         # what follows a document is later than all that is scored, so only first windows have anything to hide
-        h, _ = hidden(w, codes.row[inputs], seen if (nth[cut] == 0).any() else None, context)
+        h = hidden(w, tables, codes.row[inputs], seen if (nth[cut] == 0).any() else None, context)
         scored = seen[:, context:].ravel()
         target = ids[np.clip(at[:, context:], 0, len(ids) - 1)].ravel()[scored]
         value = log_probs(w, h if scored.all() else h[scored], codes, target, small)

@@ -107,6 +107,14 @@ def test_overlapping_windows_score_each_id_once(model):
     assert got == pytest.approx([naive(w, codes, d.tolist(), 5999) for d in docs], rel=1e-4)
 
 
+def test_a_position_is_the_sum_of_two_rows(model):
+    w, codes = model
+    tables, rows = attention.by_row(w), codes.row[np.random.default_rng(6).integers(0, 6000, 48)]
+    x = w["embed"][rows] + w["place"]
+    want = np.concatenate([x, x @ w["query"] / attention.DIM**0.5, x @ w["key"], x @ w["value"] @ w["out"]], axis=1)
+    assert np.allclose(tables[0][rows] + tables[1], want, atol=1e-4)
+
+
 def test_gradients_are_those_of_the_loss(model):
     w, codes = model
     w = {k: x.astype(np.float64) for k, x in w.items()}
