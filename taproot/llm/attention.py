@@ -9,6 +9,7 @@ counts, so an untrained model is the corpus' unigram model, and probabilities su
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -18,6 +19,8 @@ DIM, HIDDEN, BASE = 16, 32, 40
 #: Ids beyond this rank share an embedding with others of their residue.
 OWN, SHARED = 4000, 96
 LN10 = float(np.log(10.0))
+#: Where the numbers of an embedding row lie among all.
+SPOTS = np.arange((OWN + SHARED) * DIM).reshape(-1, DIM)
 
 
 @dataclass(frozen=True)
@@ -78,20 +81,22 @@ def projections(w: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([w["query"] * np.float32(1 / np.sqrt(DIM)), w["key"], w["value"]], axis=1)
 
 
-def turned(x: np.ndarray) -> np.ndarray:
-    """The last two axes changed, laid out anew, as products of many small arrays are faster so."""
-    return np.ascontiguousarray(x.transpose(0, 2, 1))
+@lru_cache(maxsize=8)
+def causal(rows: int, columns: int, kind: np.dtype) -> np.ndarray:
+    """One where the column is not later than the row, both counted from their ends."""
+    return np.tri(rows, columns, columns - rows, dtype=kind)
 
 
-def attended(q: np.ndarray, k: np.ndarray, seen: np.ndarray | None) -> np.ndarray:
+def attended(q: np.ndarray, k: np.ndarray, seen: np.ndarray | None, small: bool = False) -> np.ndarray:
     """Shares of the positions ``k`` in each of ``q``, the last of them, of each window; ``seen`` masks padding.
 
-    A position attends to itself and to earlier ones that are there.
+    A position attends to itself and to earlier ones that are there.  ``small`` promises logits within ``CLIP``.
     """
-    att = q @ turned(k)
-    np.clip(att, -CLIP, CLIP, out=att)
+    att = q @ k.transpose(0, 2, 1)
+    if not small:
+        np.clip(att, -CLIP, CLIP, out=att)
     np.exp(att, out=att)
-    att *= np.tri(q.shape[1], k.shape[1], k.shape[1] - q.shape[1], dtype=att.dtype)
+    att *= causal(q.shape[1], k.shape[1], att.dtype)
     if seen is not None:
         att *= seen[:, None, :]
     return att
@@ -112,58 +117,98 @@ def by_row(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate([t, t @ some], axis=1) for t in (w["embed"], w["place"]))
 
 
-def hidden(w: dict[str, np.ndarray], tables: tuple[np.ndarray, np.ndarray], rows: np.ndarray, seen: np.ndarray | None, first: int) -> np.ndarray:
+def hidden(w: dict[str, np.ndarray], tables: tuple[np.ndarray, np.ndarray], rows: np.ndarray, opening: np.ndarray, first: int, small: bool = False) -> np.ndarray:
     """The layer at positions ``first ..`` of windows of embedding ``rows``; ``tables`` are those of ``by_row``.
 
-    Positions of no windows but the ones with ``seen`` are all there.
+    Windows ``opening`` begin a document at ``first``, with nothing before it.  ``small`` promises logits within ``CLIP``.
     """
     each = tables[0].take(rows, axis=0)
     each += tables[1][: rows.shape[1]]
     x, q, k, v = (each[:, :, i * DIM : (i + 1) * DIM] for i in range(4))
-    att = attended(q[:, first:], k, seen)
+    att = attended(q[:, first:], k, None, small)
+    att[opening, :, :first] = 0
     mid = att @ v
     mid /= totals(att)
     mid += x[:, first:]
-    h = mid.reshape(-1, DIM) @ w["layer"]
-    h += w["shift"]
-    return np.tanh(h, out=h)
+    z = mid.reshape(-1, DIM) @ (w["layer"] * np.float32(-2))
+    z -= 2 * w["shift"]
+    return bent(z)
 
 
-def log_softmax_at(z: np.ndarray, at: np.ndarray, keep: bool = False, small: bool = False) -> np.ndarray | tuple:
-    """Log-probability of column ``at`` of each row; ``z`` is overwritten, with ``keep`` by the probabilities.
-
-    ``small`` promises values whose exponentials don't overflow.
-    """
-    if not small:
-        z -= z.max(axis=1, keepdims=True)
-    picked = z[np.arange(len(z)), at]
-    np.exp(z, out=z)
-    total = z @ np.ones(z.shape[1], z.dtype)
-    out = picked.astype(np.float64) - np.log(total.astype(np.float64))
-    if keep:
-        z /= total[:, None]
-        return out, z
-    return out
+def is_near(tables: tuple[np.ndarray, np.ndarray]) -> bool:
+    """Whether no attention logit can pass ``CLIP``: lengths of queries and keys bound their products."""
+    long = lambda i: sum(float(np.sqrt(np.square(t[:, i * DIM : (i + 1) * DIM]).sum(axis=1).max())) for t in tables)
+    return long(1) * long(2) < CLIP
 
 
-def is_small(w: dict[str, np.ndarray]) -> bool:
-    """Whether no logit of either head can be far from its bias, as the layer is within 1."""
-    a = np.abs(w["head_a"]).sum(axis=0).max()
-    b = (np.abs(w["gate"]).max(axis=0) @ np.abs(w["head_b"])).max()
-    near = [w[k].max() < 30 and w[k].max(axis=-1).min() > -30 for k in ("bias_a", "bias_b")]
-    return bool(max(a, b) < 30 and all(near))
+def within(total: np.ndarray) -> bool:
+    """Whether sums of exponentials that were taken without a shift are exact enough, or there are none."""
+    return len(total) == 0 or bool(total.min() > 1e-30 and total.max() < 1e30)
 
 
-def log_probs(w: dict[str, np.ndarray], h: np.ndarray, codes: Codes, target: np.ndarray, small: bool = False) -> np.ndarray:
+@np.errstate(over="ignore")
+def log_probs(w: dict[str, np.ndarray], h: np.ndarray, codes: Codes, target: np.ndarray) -> np.ndarray:
     """Natural log-probability of each target id, given the layer before it."""
     a, b = codes.a[target], codes.b[target]
-    left = h @ w["head_a"]
-    left += w["bias_a"]
-    right = (h * w["gate"][a]) @ w["head_b"]
-    right += w["bias_b"][a]
-    return log_softmax_at(left, a, small=small) + log_softmax_at(right, b, small=small) + codes.rest[target]
+    out = codes.rest[target]
+
+    def logits() -> tuple[np.ndarray, np.ndarray]:
+        left = h @ w["head_a"]
+        left += w["bias_a"]
+        right = w["gate"].take(a, axis=0)
+        right *= h
+        right = right @ w["head_b"]
+        right += w["bias_b"].take(a, axis=0)
+        return left, right
+
+    for i, (z, digit) in enumerate(zip(logits(), (a, b), strict=True)):
+        at = np.arange(0, z.size, BASE) + digit
+        picked = z.reshape(-1).take(at)
+        np.exp(z, out=z)
+        total = z @ np.ones(BASE, z.dtype)
+        if not within(total):
+            z = logits()[i]
+            z -= z.max(axis=1, keepdims=True)
+            picked = z.reshape(-1).take(at)
+            total = np.exp(z) @ np.ones(BASE, z.dtype)
+        out += picked
+        out -= np.log(total)
+    return out
+
 
+def joint(*parts: np.ndarray) -> np.ndarray:
+    """Weights of a layer over its bias, for inputs whose last column is one."""
+    return np.concatenate([x.reshape(-1, parts[0].shape[1]) for x in parts])
 
+
+def bent(z: np.ndarray) -> np.ndarray:
+    """tanh, given -2 times its argument, in place; one exponential is faster than numpy's tanh."""
+    np.exp(z, out=z)
+    z += 1
+    np.divide(2, z, out=z)
+    z -= 1
+    return z
+
+
+def errors(z: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of the mean loss by the logits ``z``, in place, and the share of the target ``at``, a place in all of ``z``, of each row.
+
+    Exponentials are taken without a shift; where that goes too far, ``FloatingPointError`` is raised.
+    """
+    np.exp(z, out=z)
+    total = z @ np.ones(z.shape[1], z.dtype)
+    if not within(total):
+        raise FloatingPointError
+    share = z.reshape(-1).take(at)
+    share /= total
+    one = z.dtype.type(1 / max(len(z), 1))
+    np.divide(one, total, out=total)
+    z *= total[:, None]
+    z.reshape(-1)[at] = (share - 1) * one
+    return z, share
+
+
+@np.errstate(over="ignore")
 def gradients(w: dict[str, np.ndarray], codes: Codes, ids: np.ndarray, seen: np.ndarray) -> tuple[float, int, dict[str, np.ndarray]]:
     """Sum of losses, number of targets and mean gradients over windows of ids; column ``i + 1`` is the target of ``i``.
 
@@ -171,67 +216,94 @@ def gradients(w: dict[str, np.ndarray], codes: Codes, ids: np.ndarray, seen: np.
     """
     rows, target, on = codes.row[ids[:, :-1]], ids[:, 1:].ravel(), seen[:, 1:].ravel()
     many, width = rows.shape
-    n = max(int(on.sum()), 1)
+    kind = w["embed"].dtype
+    n = int(np.count_nonzero(on))
+    # targets that count, those of one first digit together: their gates and biases repeat, their gradients are sums of runs
+    order = np.where(on, codes.a[target], BASE).astype(np.uint8).argsort(kind="stable")[:n]
+    target = target[order]
     a, b = codes.a[target], codes.b[target]
-    flat_x = w["embed"].take(rows, axis=0)
-    flat_x += w["place"][:width]
-    flat_x = flat_x.reshape(-1, DIM)
-    some = projections(w)
-    q, k, v = (t for t in np.moveaxis((flat_x @ some).reshape(many, width, 3, DIM), 2, 0))
+    many_a = np.bincount(a, minlength=BASE)
+    x = w["embed"].take(rows, axis=0)
+    x += w["place"][:width]
+    flat_x = x.reshape(-1, DIM)
+    # queries meet keys and values go out by one product each, so that positions themselves are the keys
+    scale = kind.type(1 / np.sqrt(DIM))
+    some = np.concatenate([w["query"] @ w["key"].T * scale, w["value"] @ w["out"]], axis=1)
+    each = (flat_x @ some).reshape(many, width, 2 * DIM)
+    q, v = each[:, :, :DIM], each[:, :, DIM:]
     # what is not there hides itself where it only follows what is
-    att = attended(q, k, None if (seen[:, 1:] <= seen[:, :-1]).all() else seen[:, :-1])
-    att /= totals(att)
-    mix = (att @ v).reshape(-1, DIM)
-    mid = flat_x + mix @ w["out"]
-    h = np.tanh(mid @ w["layer"] + w["shift"])
-    gate = w["gate"][a]
+    att = attended(q, x, None if (seen[:, 1:] <= seen[:, :-1]).all() else seen[:, :-1])
+    # rows of att aren't divided by their totals, what comes out of them and goes in again is
+    total = totals(att)
+    mix = att @ v
+    mix /= total
+    mix = mix.reshape(-1, DIM)
+    mid = np.ones((many * width, DIM + 1), kind)
+    np.add(mix, flat_x, out=mid[:, :DIM])
+    mid = mid.take(order, axis=0)
+    h = bent(mid @ (joint(w["layer"], w["shift"]) * kind.type(-2)))
+    h_one = np.ones((n, HIDDEN + 1), kind)
+    h_one[:, :HIDDEN] = h
+    gate = w["gate"].repeat(many_a, axis=0)
     gated = h * gate
-    small = is_small(w)
-    left, pa = log_softmax_at(h @ w["head_a"] + w["bias_a"], a, True, small)
-    right, pb = log_softmax_at(gated @ w["head_b"] + w["bias_b"][a], b, True, small)
-    loss = -float(((left + right + codes.rest[target]) * on).sum())
-    every = np.arange(len(a))
-    pa[every, a] -= 1
-    pb[every, b] -= 1
-    if n < len(on):
-        pa *= on[:, None]
-        pb *= on[:, None]
-    # sums so far; all are divided at the end
-    which = np.zeros((len(a), BASE), pa.dtype)
-    which[every, a] = 1
+    z = h_one @ joint(w["head_a"], w["bias_a"])
+    y = gated @ w["head_b"]
+    y += w["bias_b"].repeat(many_a, axis=0)
+    at = np.arange(0, n * BASE, BASE)
+    at_a, at_b = at + a, at + b
+    try:
+        (pa, left), (pb, right) = errors(z, at_a), errors(y, at_b)
+    except FloatingPointError:
+        z, y = h_one @ joint(w["head_a"], w["bias_a"]), gated @ w["head_b"] + w["bias_b"][a]
+        (pa, left), (pb, right) = (errors(x - x.max(axis=1, keepdims=True), i) for x, i in ((z, at_a), (y, at_b)))
+    left *= right
+    loss = -float((np.log(np.maximum(left, np.finfo(kind).tiny)) + codes.rest[target]).sum())
+    both = h_one.T @ pa
+    g = {"head_a": both[:HIDDEN], "bias_a": both[HIDDEN]}
+    # the second digit's gradients all follow from products of the layer and errors, summed for each first digit
+    sums, end = np.zeros((BASE, HIDDEN + 1, BASE), kind), 0
+    for i, some_a in enumerate(many_a.tolist()):
+        if some_a:
+            np.matmul(h_one[end : end + some_a].T, pb[end : end + some_a], out=sums[i])
+            end += some_a
+    g["bias_b"] = sums[:, HIDDEN]
+    g["gate"] = np.einsum("ajk,jk->aj", sums[:, :HIDDEN], w["head_b"])
+    g["head_b"] = np.einsum("aj,ajk->jk", w["gate"], sums[:, :HIDDEN])
     d_gated = pb @ w["head_b"].T
-    g = {"head_a": h.T @ pa, "bias_a": np.ones(len(a), pa.dtype) @ pa, "head_b": gated.T @ pb, "bias_b": which.T @ pb, "gate": which.T @ (d_gated * h)}
     d_gated *= gate
     dz = pa @ w["head_a"].T
     dz += d_gated
-    h *= h
-    np.subtract(1, h, out=h)
-    dz *= h
-    g |= {"layer": mid.T @ dz, "shift": np.ones(len(a), dz.dtype) @ dz}
-    d_mid = dz @ w["layer"].T
-    g["out"] = mix.T @ d_mid
-    d_mix = d_mid @ w["out"].T
+    np.multiply(h, h, out=gated)
+    np.subtract(1, gated, out=gated)
+    dz *= gated
+    both = mid.T @ dz
+    g |= {"layer": both[:DIM], "shift": both[DIM]}
+    found = np.zeros((n + 1, DIM), kind)
+    np.matmul(dz, w["layer"].T, out=found[:n])
+    back = np.full(many * width, n)
+    back[order] = np.arange(n)
+    d_mid = found.take(back, axis=0)
     # the sum of a row's shares times their gradients is that of its mix times the mix's
-    own = np.einsum("ij,ij->i", d_mix, mix).reshape(many, width, 1)
-    d_mix = d_mix.reshape(many, width, DIM)
-    ds = d_mix @ turned(v)
+    own = np.einsum("ij,ij->i", d_mid, mix).reshape(many, width, 1)
+    own /= total
+    d_mix = d_mid.reshape(many, width, DIM) / total
+    ds = d_mix @ v.transpose(0, 2, 1)
     ds -= own
     ds *= att
-    d = np.empty((many, width, 3, DIM), ds.dtype)
-    np.matmul(ds, k, out=d[:, :, 0])
-    np.matmul(ds.transpose(0, 2, 1), q, out=d[:, :, 1])
-    np.matmul(att.transpose(0, 2, 1), d_mix, out=d[:, :, 2])
-    d = d.reshape(-1, 3 * DIM)
-    for name, x in zip(("query", "key", "value"), np.split(flat_x.T @ d, 3, axis=1), strict=True):
-        g[name] = x * np.float32(1 / np.sqrt(DIM)) if name == "query" else x
+    d = np.empty((many, width, 2 * DIM), kind)
+    np.matmul(ds, x, out=d[:, :, :DIM])
+    np.matmul(att.transpose(0, 2, 1), d_mix, out=d[:, :, DIM:])
+    d_mid += (ds.transpose(0, 2, 1) @ q).reshape(-1, DIM)
+    d = d.reshape(-1, 2 * DIM)
+    by_q, by_v = np.split(flat_x.T @ d, 2, axis=1)
+    by_q *= scale
+    g |= {"query": by_q @ w["key"], "key": by_q.T @ w["query"], "value": by_v @ w["out"].T, "out": w["value"].T @ by_v}
     dx = d @ some.T
     dx += d_mid
     g["place"] = np.zeros_like(w["place"])
     g["place"][:width] = dx.reshape(many, width, DIM).sum(axis=0)
-    spot = (rows.reshape(-1, 1) * DIM + np.arange(DIM)).ravel()
-    g["embed"] = np.bincount(spot, dx.ravel(), w["embed"].size).astype(dx.dtype).reshape(-1, DIM)
-    for x in g.values():
-        x *= np.float32(1 / n)
+    g["embed"] = np.zeros_like(w["embed"])
+    np.add.at(g["embed"].reshape(-1), SPOTS.take(rows, axis=0).reshape(-1), dx.reshape(-1))
     return loss, n, g
 
 
@@ -246,30 +318,34 @@ def fitted(w: dict[str, np.ndarray], codes: Codes, ids: np.ndarray, seen: np.nda
     parts = shaped(g, w)
     order = np.random.default_rng(len(ids)).permutation(len(ids))
     steps, loss, tokens = -(-len(ids) // batch), 0.0, 0
+    # pieces that stay in the cache through a step's passes
+    pieces = [tuple(x[i : i + 8192] for x in (values, g, first, second, rest)) for i in range(0, len(values), 8192)]
     for t in range(steps):
         some = order[t * batch : (t + 1) * batch]
         lost, n, found = gradients(w, codes, ids[some], seen[some])
         loss, tokens = loss + lost, tokens + n
         for k, x in found.items():
             parts[k][...] = x
-        now = rate * (1 - 0.9 * t / steps)
-        np.subtract(g, first, out=rest)
-        rest *= np.float32(0.1)
-        first += rest
-        g *= g
-        g -= second
-        g *= np.float32(0.02)
-        second += g
-        np.sqrt(second, out=rest)
-        rest *= np.float32(1 / np.sqrt(1 - 0.98 ** (t + 1)))
-        rest += np.float32(1e-8)
-        np.divide(first, rest, out=rest)
-        rest *= np.float32(now / (1 - 0.9 ** (t + 1)))
-        values -= rest
+        now = np.float32(rate * (1 - 0.9 * t / steps) / (1 - 0.9 ** (t + 1)))
+        long = np.float32(1 / np.sqrt(1 - 0.98 ** (t + 1)))
+        for v, d, m, s, r in pieces:
+            np.subtract(d, m, out=r)
+            r *= np.float32(0.1)
+            m += r
+            d *= d
+            d -= s
+            d *= np.float32(0.02)
+            s += d
+            np.sqrt(s, out=r)
+            r *= long
+            r += np.float32(1e-8)
+            np.divide(m, r, out=r)
+            r *= now
+            v -= r
     return w, loss, tokens
 
 
-def scores(w: dict[str, np.ndarray], codes: Codes, ids: np.ndarray, sizes: np.ndarray, end: int, chunk: int = 32) -> np.ndarray:
+def scores(w: dict[str, np.ndarray], codes: Codes, ids: np.ndarray, sizes: np.ndarray, end: int, chunk: int = 48) -> np.ndarray:
     """Log10 probability of each document; ``ids`` are those of all, ``sizes`` their numbers, each closed by ``end``.
 
     Windows of ``WINDOW`` positions follow each other by ``STRIDE``; each scores its last ``STRIDE`` positions, so that
@@ -279,23 +355,22 @@ def scores(w: dict[str, np.ndarray], codes: Codes, ids: np.ndarray, sizes: np.nd
     windows = -(-sizes // STRIDE)
     owner = np.repeat(np.arange(len(sizes)), windows)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    padded = np.concatenate([[end], ids])  # the input at a position is the id before it
     low = starts[owner] + nth * STRIDE
-    high = starts[owner] + sizes[owner]
+    many = np.minimum(sizes[owner] - nth * STRIDE, STRIDE)  # positions that a window scores; those of all follow each other
     context = WINDOW - STRIDE
-    out, small, tables = np.zeros(len(sizes)), is_small(w), by_row(w)
-    reach = np.arange(WINDOW)
+    # the input at a position is the id before it, a document's first ``end``; what follows a document is later than all that is scored
+    row = np.full(len(ids) + WINDOW, codes.row[end])
+    row[context + 1 : context + len(ids)] = codes.row[ids[:-1]]
+    row[context + starts] = codes.row[end]
+    around = np.lib.stride_tricks.sliding_window_view(row, WINDOW)
+    tables = by_row(w)
+    near = is_near(tables)
+    out, reach = np.empty(len(ids)), np.arange(STRIDE)
     for s in range(0, len(owner), chunk):
         cut = slice(s, s + chunk)
-        at = low[cut, None] - context + reach
-        begin = starts[owner[cut]][:, None]
-        seen = (at >= begin) & (at < high[cut, None])
-        inputs = padded[np.clip(at, 0, len(ids) - 1)]
-        inputs[at == begin] = end
-        # what follows a document is later than all that is scored, so only first windows have anything to hide
-        h = hidden(w, tables, codes.row[inputs], seen if (nth[cut] == 0).any() else None, context)
-        scored = seen[:, context:].ravel()
-        target = ids[np.clip(at[:, context:], 0, len(ids) - 1)].ravel()[scored]
-        value = log_probs(w, h if scored.all() else h[scored], codes, target, small)
-        out += np.bincount(np.repeat(owner[cut], STRIDE)[scored], value, len(sizes))
-    return out / LN10
+        h = hidden(w, tables, around[low[cut]], np.flatnonzero(nth[cut] == 0), context, near)
+        begin, close = low[cut][0], low[cut][-1] + many[cut][-1]
+        if close - begin < len(h):
+            h = h[(reach < many[cut, None]).ravel()]
+        out[begin:close] = log_probs(w, h, codes, ids[begin:close])
+    return np.add.reduceat(out, starts) / LN10 if len(ids) else np.zeros(len(sizes))

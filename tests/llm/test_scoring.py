@@ -169,3 +169,35 @@ def test_every_training_window_trains_once(spark):
     end = scoring.subwords(PATH, P.PATTERN)[1]
     w = scoring.trained(batches, counts, attention.Codes.of(np.ones(end + 1, np.int64)), end)
     assert w["head_a"].any()
+
+
+def test_logits_that_overflow_are_shifted(model):
+    """Heads far from their biases: losses, gradients and log-probabilities are those of double precision."""
+    w, codes = model
+    w = {k: x * 300 if k.startswith("head") else x for k, x in w.items()}
+    double = {k: x.astype(np.float64) for k, x in w.items()}
+    rng = np.random.default_rng(5)
+    ids, seen = rng.integers(0, 6000, (4, 20)), np.ones((4, 20), bool)
+    (_, n, got), (_, _, want) = (attention.gradients(x, codes, ids, seen) for x in (w, double))
+    assert n == 76
+    assert all(np.isfinite(got[k]).all() and np.abs(got[k] - want[k]).max() < 1e-3 * max(1, np.abs(want[k]).max()) for k in w)
+    h = np.tanh(rng.normal(size=(50, attention.HIDDEN)))
+    one, two = (attention.log_probs(x, h.astype(x["embed"].dtype), codes, ids[0].repeat(3)[:50]) for x in (w, double))
+    assert one == pytest.approx(two, rel=1e-3, abs=1e-2)
+
+
+def test_scoring_needs_no_shift_where_nothing_overflows(model, monkeypatch):
+    """Heads that training can reach, though bounds of their logits pass 30, take one product each: no row's greatest is sought."""
+    w, codes = model
+    w = {k: x * 4 if k.startswith("head") else x for k, x in w.items()}
+    h = np.tanh(np.random.default_rng(7).normal(size=(200, attention.HIDDEN))).astype(np.float32)
+
+    class Told(np.ndarray):
+        def max(self, *args, axis=None, **more):
+            assert axis != 1
+            return np.asarray(self).max(*args, axis=axis, **more)
+
+    ids = np.arange(200)
+    got = attention.log_probs(w, h.view(Told), codes, ids)
+    wide = {k: x.astype(np.float64) for k, x in w.items()}
+    assert np.asarray(got) == pytest.approx(attention.log_probs(wide, h.astype(np.float64), codes, ids), rel=1e-4, abs=1e-4)
