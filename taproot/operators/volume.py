@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taproot.operators import batched
+from taproot.operators.joins import shuffled
 
 AXES = ("x", "y", "z")
 Triple = tuple[int, int, int]
@@ -184,7 +185,7 @@ def accumulate(nodes: DataFrame, masks: DataFrame, view: View, most: int = batch
     """
     leaf, key = batched.side(view.fov), ["arbor_id", "vx", "vy", "vz"]
     at = centers(nodes, view)
-    rows = at.join(batched.packed(masks, view), ["arbor_id", "nid"], "left").withColumn("n", F.lit(1))
+    rows = at.join(shuffled(batched.packed(masks, view)), ["arbor_id", "nid"], "left").withColumn("n", F.lit(1))
     if view.interpolate:
         more = centers(between(nodes, view.interpolate), view)
         at, rows = at.union(more), rows.unionByName(more.withColumns({"bits": F.lit(None).cast("binary"), "n": F.lit(0)}))

@@ -52,6 +52,17 @@ def test_no_row_per_voxel_is_shuffled(forest):
         assert "collect_list" not in plan
 
 
+def test_connectivity_in_parts(spark, monkeypatch):
+    """Edges that overlap fully, by one voxel and not at all, and masks that are missing or hold nothing."""
+    at = [(1, None, 0), (2, 1, 4), (3, 1, 5), (4, 1, 0), (5, 4, 0), (6, 1, 0)]
+    nodes = spark.createDataFrame([(0, n, p, float(x), 0.0, 0.0) for n, p, x in at], "arbor_id long, nid long, pid long, x double, y double, z double")
+    masks = volume.offsets(nodes.where("nid <> 5").select("arbor_id", "nid"), VIEW).selectExpr("arbor_id", "nid", "i", "j", "k", "cast(if(nid = 6, 0, 1) as tinyint) as v")
+    want = {2: 1.0, 3: -2.0, 4: 1.0, 5: -1.0, 6: 0.0}
+    for most in (batched.PLACES, 1):
+        monkeypatch.setattr(batched, "PLACES", most)
+        assert {r.nid: r.connectivity for r in scores.connectivity(nodes, masks, VIEW).collect()} == want
+
+
 def test_masks_become_bits(spark):
     for view in (VIEW, volume.View((1, 1, 1), (11, 11, 11))):
         total = int(np.prod(view.fov))
