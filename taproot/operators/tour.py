@@ -4,7 +4,8 @@
 left once; these arcs are a linked list, and doubling its pointers gives every arc's rank in about
 log2(2 n) joins.  Arcs of ``NEAR`` successive ids are followed as far as they go in one task before, so that only ways
 out of them are left to joins.  Places, sizes and depths are differences of ranks.  With places, all else are running sums
-over them: they are taken in stretches of ``STRETCH`` places and then over the stretches' totals.
+over them: they are taken in stretches of ``STRETCH`` places and then over the stretches' totals.  Arcs and nodes pack well,
+so that their written tables look small; joins shuffle both sides, and none passes whole through the driver.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taproot.operators.arrow import by_arbor
+from taproot.operators.joins import shuffled
 from taproot.operators.lineage import stored
 
 STRETCH = 1 << 16
@@ -26,13 +28,13 @@ NODE = ["arbor_id", "nid"]
 def linked(nodes: DataFrame) -> DataFrame:
     """``arbor_id, nid, pid, first_child, sibling``: ``pid`` null for roots, ``sibling`` the next greater one."""
     known = nodes.select("arbor_id", F.col("nid").alias("pid"), F.lit(True).alias("there"))
-    up = nodes.select("arbor_id", "nid", F.when(F.col("pid") != F.col("nid"), F.col("pid")).alias("pid")).join(known, ["arbor_id", "pid"], "left")
+    up = nodes.select("arbor_id", "nid", F.when(F.col("pid") != F.col("nid"), F.col("pid")).alias("pid")).join(shuffled(known), ["arbor_id", "pid"], "left")
     up = up.select("arbor_id", "nid", F.when(F.col("there"), F.col("pid")).alias("pid"))
     first = up.where("pid is not null").groupBy("arbor_id", F.col("pid").alias("nid")).agg(F.min("nid").alias("first_child"), F.count(F.lit(1)).alias("n_children"))
     later = F.when(F.col("pid").isNotNull(), F.lead("nid").over(Window.partitionBy("arbor_id", "pid").orderBy("nid")))
     # roots have no siblings and may be very many, so they pass by the window
     sib = up.where("pid is not null").withColumn("sibling", later).union(up.where("pid is null").withColumn("sibling", F.lit(None).cast("bigint")))
-    return sib.join(first, NODE, "left").select("arbor_id", "nid", "pid", "first_child", "sibling", F.coalesce("n_children", F.lit(0)).cast("bigint").alias("n_children"))
+    return sib.join(shuffled(first), NODE, "left").select("arbor_id", "nid", "pid", "first_child", "sibling", F.coalesce("n_children", F.lit(0)).cast("bigint").alias("n_children"))
 
 
 def _followed(t: pa.Table) -> pa.Table:
@@ -85,18 +87,18 @@ def ranked(links: DataFrame) -> DataFrame:
     while (open_ := state.where("next is not null").count()) not in (0, left):
         active, left = state.where("next is not null"), open_
         there = state.select("arbor_id", F.struct("nid", "out").alias("next"), F.col("next").alias("then"), F.col("n").alias("n2"), F.col("d").alias("d2"), F.col("last").alias("last2"))
-        on = active.join(there, ["arbor_id", "next"])
+        on = active.join(shuffled(there), ["arbor_id", "next"])
         moved = on.select("arbor_id", "nid", "out", F.col("then").alias("next"), (F.col("n") + F.col("n2")).alias("n"), (F.col("d") + F.col("d2")).alias("d"), F.col("last2").alias("last"))
         state = stored(moved.union(state.where("next is null")))
     ranks = state.where("next is null")
     enters = ranks.where("not out").select("arbor_id", "nid", F.col("last").alias("root_nid"), F.col("n").alias("n_in"), (-F.col("d")).alias("depth"))
     leaves = ranks.where("out").select("arbor_id", "nid", F.col("n").alias("n_out"))
-    both = stored(enters.join(leaves, NODE))
+    both = stored(enters.join(shuffled(leaves), NODE))
     whole = both.where("nid = root_nid").select("arbor_id", "root_nid", F.col("n_in").alias("total"))
     # of an arbor's trees the one of most nodes stays, of equal ones that of the least root
     best = whole.groupBy("arbor_id").agg(F.max(F.struct("total", (-F.col("root_nid")).alias("r"))).alias("b"))
     kept = best.select("arbor_id", (-F.col("b.r")).alias("root_nid"), F.col("b.total").alias("total"))
-    return both.join(kept, ["arbor_id", "root_nid"]).select("arbor_id", "nid", "root_nid", (F.col("total") - F.col("n_in")).alias("dfs"), (F.col("n_in") - F.col("n_out")).alias("size"), "depth")
+    return both.join(shuffled(kept), ["arbor_id", "root_nid"]).select("arbor_id", "nid", "root_nid", (F.col("total") - F.col("n_in")).alias("dfs"), (F.col("n_in") - F.col("n_out")).alias("size"), "depth")
 
 
 def running(events: DataFrame, value: Column, latest: bool = False) -> DataFrame:
@@ -110,7 +112,7 @@ def running(events: DataFrame, value: Column, latest: bool = False) -> DataFrame
     totals = e.groupBy("arbor_id", "stretch").agg(gather("value").alias("part"))
     before = gather("part").over(Window.partitionBy("arbor_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))
     totals = totals.select("arbor_id", "stretch", before.alias("before"))
-    both = e.withColumn("here", inside).join(totals, ["arbor_id", "stretch"])
+    both = e.withColumn("here", inside).join(shuffled(totals), ["arbor_id", "stretch"])
     joined = F.greatest("here", "before") if latest else F.col("here") + F.coalesce("before", F.lit(0))
     return both.select(*events.columns, joined.alias("sum"))
 
@@ -135,7 +137,7 @@ def numbered(df: DataFrame, group: str, *keys: Column) -> DataFrame:
         return df.withColumn("number", F.lit(0).cast("bigint"))
     spot = dealt.withColumn("spot", F.create_map(*pairs)[part] + within)
     first = spot.groupBy(group).agg(F.min("spot").alias("first"))
-    return spot.join(first, group).select(*df.columns, (F.col("spot") - F.col("first")).alias("number"))
+    return spot.join(shuffled(first), group).select(*df.columns, (F.col("spot") - F.col("first")).alias("number"))
 
 
 def strahler(tree: DataFrame) -> DataFrame:
@@ -149,9 +151,9 @@ def strahler(tree: DataFrame) -> DataFrame:
     alive, found, k = at.select(*NODE, "pid"), at.select(*NODE, F.lit(1).alias("order_no")), 1
     while True:
         forks = alive.where("pid is not null").groupBy("arbor_id", F.col("pid").alias("nid")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(*NODE, F.lit(1).alias("fork"))
-        sums = stored(running(at.join(forks, NODE, "left"), F.coalesce("fork", F.lit(0))))
+        sums = stored(running(at.join(shuffled(forks), NODE, "left"), F.coalesce("fork", F.lit(0))))
         last = sums.select("arbor_id", (F.col("place") + 1).alias("end"), F.col("sum").alias("upto"))
-        spans = sums.withColumn("end", F.col("place") + F.col("size")).join(last, ["arbor_id", "end"])
+        spans = sums.withColumn("end", F.col("place") + F.col("size")).join(shuffled(last), ["arbor_id", "end"])
         # forks up to the end of the span, less those before it
         alive = stored(spans.where(F.col("upto") - F.col("sum") + F.coalesce("fork", F.lit(0)) > 0).select(*NODE, "pid"))
         if alive.isEmpty():
@@ -167,22 +169,22 @@ def index(nodes: DataFrame) -> DataFrame:
     Ids of nodes are unique in an arbor.  Rounds are written to the shared folder, so a lost executor costs the round at hand.
     """
     links = stored(linked(nodes))
-    tree = links.join(ranked(links), NODE)
+    tree = links.join(shuffled(ranked(links)), NODE)
     up = tree.select("arbor_id", F.col("nid").alias("pid"), F.col("depth").alias("up_depth"), F.col("n_children").alias("up_children"))
-    tree = tree.join(up, ["arbor_id", "pid"], "left")
+    tree = tree.join(shuffled(up), ["arbor_id", "pid"], "left")
     new = F.col("pid").isNotNull() & ((F.col("up_depth") == 0) | (F.col("up_children") > 1))
     tree = stored(tree.select("arbor_id", "nid", "pid", "root_nid", "dfs", "size", "depth", "n_children", new.alias("new")))
 
     begins = tree.where("new").select("arbor_id", F.col("dfs").alias("place"), F.lit(1).alias("w"))
     ends = tree.where("new").select("arbor_id", (F.col("dfs") + F.col("size")).alias("place"), F.lit(-1).alias("w"))
     steps = begins.union(ends).groupBy("arbor_id", "place").agg(F.sum("w").alias("w"))
-    placed = tree.withColumn("place", F.col("dfs")).join(steps, ["arbor_id", "place"], "left")
+    placed = tree.withColumn("place", F.col("dfs")).join(shuffled(steps), ["arbor_id", "place"], "left")
     nested = running(placed, F.coalesce("w", F.lit(0))).withColumnRenamed("sum", "open").drop("w")
     headed = stored(running(nested, F.when(F.col("new"), F.col("place")), latest=True).withColumnRenamed("sum", "head_at"))
     heads = headed.where("new").select("arbor_id", "place", F.col("nid").alias("seg_head"), F.col("depth").alias("head_depth"), (F.col("open") - 1).alias("seg_depth"))
     named = numbered(heads, "arbor_id", F.col("seg_depth"), F.col("place")).withColumnRenamed("number", "seg_id").withColumnRenamed("place", "head_at")
-    whole = headed.withColumn("head_at", F.when(F.col("pid").isNotNull(), F.col("head_at"))).join(named, ["arbor_id", "head_at"], "left")
-    whole = whole.join(strahler(tree), NODE).join(nodes.select(*NODE, "x", "y", "z"), NODE)
+    whole = headed.withColumn("head_at", F.when(F.col("pid").isNotNull(), F.col("head_at"))).join(shuffled(named), ["arbor_id", "head_at"], "left")
+    whole = whole.join(shuffled(strahler(tree)), NODE).join(shuffled(nodes.select(*NODE, "x", "y", "z")), NODE)
     out = numbered(whole, "arbor_id", F.col("depth"), -F.col("dfs"))
     return out.select(
         "arbor_id", "nid", "pid", "x", "y", "z", "depth", "dfs", "size", F.col("number").alias("bfs"), "n_children", F.col("order_no").cast("int").alias("order_no"),

@@ -64,3 +64,21 @@ def test_ways_inside_a_part_take_no_round(spark, monkeypatch):
         assert sorted(map(tuple, tour.ranked(links).collect())) == want
         same(spark, df)
     assert len(rounds) > 6
+
+
+def test_no_table_of_nodes_is_broadcast(spark, monkeypatch):
+    """Written tables of arcs and nodes are small as files and pass through the driver all the same."""
+    plans = []
+    real = tour.stored
+
+    def stored(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(tour, "stored", stored)
+    monkeypatch.setattr(tour, "NEAR", 4)
+    rows = [(1, *r) for r in random_tree(40, 5, 3)]
+    out = tour.index(spark.createDataFrame(rows, "arbor_id bigint, nid bigint, pid bigint, x double, y double, z double"))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 8 and any("SortMergeJoin" in p for p in plans)
+    assert not any("Broadcast" in p for p in plans)
