@@ -183,7 +183,49 @@ def accumulate(nodes: DataFrame, masks: DataFrame, view: View, most: int = batch
     the least distance from a centre, null where only corners outside the ball saw the voxel.  Counts
     don't wrap.  With ``view.interpolate`` points between a node and its parent shorten distances too.
     """
-    leaf, key = batched.side(view.fov), ["arbor_id", "vx", "vy", "vz"]
+    key = ["arbor_id", "vx", "vy", "vz"]
+
+    def run(batches: Iterator[pa.RecordBatch], *more) -> Iterator[pa.RecordBatch]:
+        yield from batched.voxel_sums(batches, *more)
+
+    whole, split = _summed(nodes, masks, view, most, run, "arbor_id bigint, vx bigint, vy bigint, vz bigint, seg_count int, view_count int, distance double")
+    if split is None:
+        return whole
+    # tasks that share a crowded block each give a part of its sums
+    return whole.union(split.groupBy(*key).agg(F.sum("seg_count").cast("int").alias("seg_count"), F.sum("view_count").cast("int").alias("view_count"), F.min("distance").alias("distance")))
+
+
+def live(nodes: DataFrame, masks: DataFrame, view: View, small: Triple, most: int = batched.MOST) -> DataFrame:
+    """The voxels of ``accumulate`` that some mask holds, by blocks of ``small``: ``KEY, p, w``, places in C order and seg counts, packed.
+
+    ``small`` parts the blocks in which sums are taken, that is ``batched.side(view.fov)``.  No voxel is a row, but those
+    of crowded blocks; a block may occur again, none of its voxels does.
+    """
+    if any(n % m for n, m in zip(batched.side(view.fov), small, strict=True)):
+        raise ValueError("blocks must part those in which sums are taken")
+
+    def run(batches: Iterator[pa.RecordBatch], keys, view, leaf, far) -> Iterator[pa.RecordBatch]:
+        yield from batched.live_sums(batches, keys, view, leaf, small, far)
+
+    whole, split = _summed(nodes, masks, view, most, run, "arbor_id bigint, bx bigint, by bigint, bz bigint, p binary, w binary")
+    if split is None:
+        return whole
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            p, counts = batched.values_of(t.column("p"), "i4")
+            row = np.repeat(np.arange(b.num_rows), counts)
+            cols = [*[pa.array(t.column(k).to_numpy()[row]) for k in batched.KEY], pa.array(p), pa.array(batched.values_of(t.column("w"), "f8")[0])]
+            yield from pa.Table.from_arrays(cols, names=[*batched.KEY, "p", "w"]).to_batches(max_chunksize=1 << 17)
+
+    each = split.mapInArrow(unpacked, "arbor_id bigint, bx bigint, by bigint, bz bigint, p int, w double")
+    return whole.union(batched.gathered(each.groupBy(*batched.KEY, "p").agg(F.sum("w").alias("w")), {"p": "i4", "w": "f8"}))
+
+
+def _summed(nodes: DataFrame, masks: DataFrame, view: View, most: int, run, schema: str) -> tuple[DataFrame, DataFrame | None]:
+    """``run`` over the blocks that nodes see, and over parts of crowded blocks, if there are any."""
+    leaf, keys = batched.side(view.fov), (*batched.KEY, "share")
     at = centers(nodes, view)
     rows = at.join(shuffled(batched.packed(masks, view)), ["arbor_id", "nid"], "left").withColumn("n", F.lit(1))
     if view.interpolate:
@@ -191,22 +233,17 @@ def accumulate(nodes: DataFrame, masks: DataFrame, view: View, most: int = batch
         at, rows = at.union(more), rows.unionByName(more.withColumns({"bits": F.lit(None).cast("binary"), "n": F.lit(0)}))
     distance, used = view.ball()
     far = np.where(used, distance, np.inf)
-    pieces, keys = met(rows, view, leaf), (*batched.KEY, "share")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batched.voxel_sums(batches, keys, view, leaf, far)
+    pieces = met(rows, view, leaf)
 
     def sums(some: DataFrame) -> DataFrame:
         part = some.select(*batched.KEY, "share", "cx", "cy", "cz", "bits", "n")
-        return batched.together(part, *keys).mapInArrow(run, "arbor_id bigint, vx bigint, vy bigint, vz bigint, seg_count int, view_count int, distance double")
+        return batched.together(part, *keys).mapInArrow(lambda batches: run(batches, keys, view, leaf, far), schema)
 
     shares = crowded(met(at, view, leaf), most)
     if shares.isEmpty():
-        return sums(pieces.withColumn("share", F.lit(0).cast("bigint")))
-    # tasks that share a crowded block each give a part of its sums
+        return sums(pieces.withColumn("share", F.lit(0).cast("bigint"))), None
     rows = dealt(pieces, shares)
-    split = sums(rows.where("shared")).groupBy(*key).agg(F.sum("seg_count").cast("int").alias("seg_count"), F.sum("view_count").cast("int").alias("view_count"), F.min("distance").alias("distance"))
-    return sums(rows.where("not shared")).union(split)
+    return sums(rows.where("not shared")), sums(rows.where("shared"))
 
 
 def confidence(incr_denom: float) -> Column:

@@ -103,3 +103,35 @@ def test_downsampling_groups_words_not_cells(spark):
     assert "bit_or" in plan and "i_#" in plan
     with pytest.raises(Exception, match="more in a block"):
         volume.downsampled(masks.withColumn("v", F.lit(300)), factor).collect()
+
+
+def noise(spark):
+    r = np.random.default_rng(4)
+    at = {(int(a), *map(int, p)): float(w) for a, p, w in zip(r.integers(0, 2, 300), r.integers(-10, 10, (300, 3)), r.integers(1, 5, 300), strict=True)}
+    return spark.createDataFrame([(*k, w) for k, w in at.items()], "arbor_id long, vx long, vy long, vz long, value double")
+
+
+def plain(df):
+    return sorted(tuple(round(v, 6) + 0.0 if isinstance(v, float) else v for v in r) for r in df.collect())
+
+
+def test_packed_counts_are_those_of_voxels(forest):
+    nodes, masks = forest
+    want = sorted((r.arbor_id, r.vx, r.vy, r.vz, float(r.seg_count)) for r in volume.accumulate(nodes, masks, VIEW).where("seg_count > 0").collect())
+    for most in (2, 2048):
+        got = []
+        for r in volume.live(nodes, masks, VIEW, (8, 4, 16), most).collect():
+            p = np.stack(np.unravel_index(np.frombuffer(r.p, "i4"), (8, 4, 16)), axis=1) + np.array([r.bx, r.by, r.bz]) * (8, 4, 16)
+            got += [(r.arbor_id, *map(int, x), w) for x, w in zip(p, np.frombuffer(r.w, "f8").tolist(), strict=True)]
+        assert sorted(got) == want
+
+
+@pytest.mark.parametrize("resolution, cell", [((1, 1, 1), 2.0), ((1, 2, 3), 0.7)])
+def test_decimation_tells_clusters_not_triangles(spark, monkeypatch, resolution, cell):
+    monkeypatch.setattr(mesh, "AT_ONCE", 3)  # clusters and triangles come from many tables
+    voxels = noise(spark)
+    want = mesh.decimated(mesh.triangles(mesh.edge_cells(voxels), 0.5, resolution), cell)
+    got = mesh.surface(voxels, 0.5, resolution, cell)
+    lines, plan = exchanges(got)
+    assert plain(got) == plain(want)
+    assert len(lines) == 2 and "Broadcast" not in plan and not any("ax#" in x for x in lines)
