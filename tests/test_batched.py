@@ -147,3 +147,10 @@ def test_triangles_are_measured_where_they_are_made(spark):
         w += [1, np.linalg.norm(n) / 2, p[0] @ n / 6]
     got = {r.arbor_id: [r.triangles, r.area, r.volume] for r in mesh.measures(packed, 0.5, (4, 4, 10)).collect()}
     assert got.keys() == want.keys() and all(np.allclose(got[a], want[a]) for a in want)
+
+
+def test_vertices_come_without_cells(spark):
+    voxels = noise(spark)
+    got = mesh.vertices(mesh.of_voxels(voxels), 0.5, (4, 4, 10))
+    assert len(exchanges(got)[0]) == 1
+    assert plain(got) == plain(mesh.corners(mesh.edge_cells(voxels), (4, 4, 10)))
