@@ -154,3 +154,15 @@ def test_vertices_come_without_cells(spark):
     got = mesh.vertices(mesh.of_voxels(voxels), 0.5, (4, 4, 10))
     assert len(exchanges(got)[0]) == 1
     assert plain(got) == plain(mesh.corners(mesh.edge_cells(voxels), (4, 4, 10)))
+
+
+def test_cells_name_their_corners_unsorted(spark):
+    cells = mesh.cells_of(mesh.of_voxels(noise(spark)), values=False)
+    assert cells.columns == ["arbor_id", "vx", "vy", "vz"]
+    cubes = mesh.hexahedra(cells)
+    assert "array_sort" not in cubes._jdf.queryExecution().optimizedPlan().toString()
+    corner = lambda d: mesh.vertex_id(*[F.col("v" + a) + F.lit(c) for a, c in zip("xyz", d, strict=True)])
+    want = cells.select("arbor_id", corner((0, 0, 0)).alias("cid"), F.array_sort(F.array(*[corner(d) for d in mesh.CORNERS])).alias("vids"))
+    assert sorted(map(str, cubes.collect())) == sorted(map(str, want.collect()))
+    with pytest.raises(Exception, match="too far out"):
+        mesh.hexahedra(spark.createDataFrame([(0, 0, mesh.SHIFT - 1, 0)], "arbor_id long, vx long, vy long, vz long")).collect()
