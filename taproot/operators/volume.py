@@ -290,3 +290,48 @@ def greatest(nodes: DataFrame, voxels: DataFrame, view: View, value: str = "dist
         yield from batched.greatest(batched.answers(batches, view, leaf, used, batched.sparse), value)
 
     return answered(nodes, batched.by_block(voxels, leaf), view, leaf, run, "arbor_id bigint, nid bigint, v double, place bigint")
+
+
+def edited(nodes: DataFrame, kept: DataFrame, masks: DataFrame, view: View, value: str = "dist_view", most: int = batched.MOST) -> DataFrame:
+    """``arbor_id, nid, kept, changed, v, place, v2, place2`` of every node and block that it meets: the greatest voxel (as ``greatest``
+    gives it) of the volume of ``nodes`` and of that of ``kept``, and whether the volumes differ in the node's part of the block.
+
+    ``kept`` are the nodes that an edit leaves, where they were.  Nodes go to the blocks that they see once; both volumes are
+    summed, compared and looked up there, and no voxel is a row.  Of crowded blocks tasks sum their shares first; what they
+    give is put together and sent to all of them.
+    """
+    leaf, keys = batched.side(view.fov), (*batched.KEY, "share")
+    there = kept.select("arbor_id", "nid").distinct().withColumn("kept", F.lit(True))
+    at = centers(nodes, view).join(shuffled(there), ["arbor_id", "nid"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    pieces = met(at.join(shuffled(batched.packed(masks, view)), ["arbor_id", "nid"], "left"), view, leaf)
+    shares = crowded(met(at, view, leaf), most)
+    split = not shares.isEmpty()
+    rows = dealt(pieces, shares) if split else pieces.withColumns({"share": F.lit(0).cast("bigint"), "shared": F.lit(False)})
+    rows = rows.select(*keys, "shared", "nid", "kept", "cx", "cy", "cz", "bits")
+    distance, used = view.ball()
+    far = np.where(used, distance, np.inf)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batched.compared(batches, keys, view, leaf, far, used, value)
+
+    found = "arbor_id bigint, nid bigint, kept boolean, changed boolean, v double, place bigint, v2 double, place2 bigint"
+    out = batched.together(rows.where("not shared").drop("shared"), *keys).mapInArrow(told, found)
+    if not split:
+        return out
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batched.both_sums(batches, keys, view, leaf, far)
+
+    some = rows.where("shared").drop("shared")
+    cols = "p int, seg int, view int, far double, seg2 int, view2 int, far2 double"
+    each = batched.together(some, *keys).mapInArrow(parts, f"arbor_id bigint, bx bigint, by bigint, bz bigint, {cols}")
+    whole = each.groupBy(*batched.KEY, "p").agg(*[F.sum(c).cast("int").alias(c) for c in ("seg", "view", "seg2", "view2")], *[F.min(c).alias(c) for c in ("far", "far2")])
+    sums = batched.gathered(whole, batched.BOTH).join(F.broadcast(shares), list(batched.KEY)).withColumn("share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1))).drop("shares")
+    asked = some.select(*keys, F.lit(1).alias("kind"), "nid", "kept", "cx", "cy", "cz", *[F.lit(None).cast("binary").alias(c) for c in batched.BOTH])
+    number = F.lit(None).cast("bigint")
+    told_ = sums.select(*keys, F.lit(0).alias("kind"), number.alias("nid"), F.lit(None).cast("boolean").alias("kept"), *[number.alias("c" + a) for a in AXES], *batched.BOTH)
+
+    def looked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batched.compared(batches, keys, view, leaf, far, used, value, given=True)
+
+    return out.union(batched.together(told_.union(asked), *keys, within=("kind",)).mapInArrow(looked, found))

@@ -166,3 +166,18 @@ def test_cells_name_their_corners_unsorted(spark):
     assert sorted(map(str, cubes.collect())) == sorted(map(str, want.collect()))
     with pytest.raises(Exception, match="too far out"):
         mesh.hexahedra(spark.createDataFrame([(0, 0, mesh.SHIFT - 1, 0)], "arbor_id long, vx long, vy long, vz long")).collect()
+
+
+@pytest.mark.parametrize("most", [2, 2048])
+def test_an_edit_is_scored_in_one_pass(forest, most):
+    """As the old volume, the new one and their difference give it, in crowded blocks too; voxels are not joined."""
+    nodes, masks = forest
+    kept = nodes.where("nid not in (2, 5)")
+    voxels = volume.accumulate(nodes, masks, VIEW)
+    want = scores.scores_where_changed(kept, voxels, masks, scores.branch_scores(nodes, voxels, VIEW), VIEW)
+    got = scores.scores_of_edit(nodes, kept, masks, VIEW, most=most)
+    lines, plan = exchanges(got)
+    assert not any("vx#" in x for x in lines)
+    assert plain(got) == plain(want)
+    changed = {r.nid for r in volume.edited(nodes, kept, masks, VIEW, most=most).where("kept and changed").collect()}
+    assert changed == {r.nid for r in scores.changed_nodes(kept, voxels, volume.accumulate(kept, masks, VIEW), VIEW).collect()}
