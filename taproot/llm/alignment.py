@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taproot.llm.bpe import FIRST_RARE
-from taproot.llm.common import discard, shared_dir, written
+from taproot.llm.common import LONG_ROWS, discard, shared_dir, written
 
 #: A's id in the high half of a pair's key, B's in the low one.
 HIGH = 32
@@ -393,7 +393,7 @@ def alignments(docs: DataFrame, byte_path: str, piece_path: str, *, key: str = "
     one row a shard and one count for each id of A.
     """
     spark = docs.sparkSession
-    batches = written(aligned(docs, byte_path, piece_path, key=key, text=text))
+    batches = written(aligned(docs, byte_path, piece_path, key=key, text=text), LONG_ROWS)
     partial = written(partial_counts(batches))
     shards = written(count_shards(partial))
     discard(partial)
@@ -423,4 +423,7 @@ def alignments(docs: DataFrame, byte_path: str, piece_path: str, *, key: str = "
 
     kept = batches.select("ids", *lists, "groups_sha256", *[n for n, _ in blobs])
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, " + ", ".join(f"{c} bigint" for c in [*lists, "n_best", "count_sum"]) + ", groups_sha256 string"
-    return kept.mapInArrow(run, schema)
+    # a write, so that Arrow gets rows of some MB a few at a time and not all of a partition's at once
+    out = written(kept.mapInArrow(run, schema))
+    discard(batches)
+    return out

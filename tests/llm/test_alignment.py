@@ -120,3 +120,21 @@ def test_words_equal_whole_texts():
             assert " " + t == "".join(" " + w for w in tool.words(t))
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a", None])], names=["i", "t"])
     assert [x.num_rows for x in alignment.batches_of_texts(iter([batch, batch, batch]), 1, 1)] == [2, 2, 2]
+
+
+def test_long_rows_are_held_a_few_at_a_time(spark):
+    """Row groups end by size and not after 100 rows; the looking up of counts runs in a write, with its small Arrow batches."""
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from taproot.llm.common import LONG_ROWS, written
+
+    rows = spark.range(90, numPartitions=1).select(F.expr("cast(concat_ws('', transform(sequence(1, 12000), k -> sha2(concat(id, k), 256))) as binary)").alias("words"))
+    table = written(rows, LONG_ROWS)
+    (file,) = Path(table._taproot_path.removeprefix("file://")).glob("*.parquet")
+    meta = pq.ParquetFile(file).metadata
+    assert meta.num_row_groups > 2 and all(meta.row_group(k).total_byte_size < 40 << 20 for k in range(meta.num_row_groups))
+    out = alignment.alignments(spark.createDataFrame([(1, "a b")], "doc_id bigint, text string"), *PATHS)
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 1
